@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netaccess.llm import topk
+from netaccess.llm import langid, topk, urlfilter
 from netaccess.llm.common import table
 
 QUERIES: dict = {}
@@ -35,3 +35,21 @@ WITH v AS (
 ), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rk FROM s)
 SELECT query_id, CAST(rk AS INTEGER) AS rank, vec_id, score FROM r WHERE rk <= 10
 """
+
+
+@query
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from the two thirds that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
+    return langid.identify(docs, docs.where(~held_out), {"doc_id": F.col("doc_id"), "held_out": held_out})
+
+
+#: The rules that op4 applies, as host/path and verdict.
+URL_RULES = [("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("org/es/", "block")]
+
+
+@query
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on every page's URL: by rule, else by the ratio of two character models."""
+    return urlfilter.judge(table(spark, sf_dir, "pages"), {"page_id": F.col("page_id")}, URL_RULES)
