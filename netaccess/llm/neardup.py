@@ -9,11 +9,12 @@
 3. Classes that share a key are compared: first signatures (at most 15 places), then full sets.
 4. Links make components.
 
-A key can be shared by very many classes, so its classes aren't paired off. Each key's classes are
-compared with a few leaders first (chosen by hash, a number that depends on the key's class count), links
-are merged into components, and only classes that are not yet in one component go on to the next round,
-with sixteen times the leaders, until every class has led where it needs to. A pair is left out only when
-both its ends are already known to be in one component, so components are those of all pairs.
+A key can be shared by very many classes, so its classes aren't paired off as rows. Keys with few classes
+are compared pair by pair; of larger ones only a few leaders (chosen by hash) are compared with all, and
+the links merged into components. Larger keys whose classes are then not all in one component are
+finished exactly: their classes gather under the key's first leader, are dealt into blocks of bounded
+size, and each pair of blocks counts common shingles of all its classes by matrix products and returns no
+more links than it has classes (a spanning forest). Nothing is capped or sampled.
 """
 
 from __future__ import annotations
@@ -31,8 +32,10 @@ from netaccess.llm.common import Scratch, byte_words
 
 #: Chunks of the signature, places of a chunk (16 bits each, so a chunk is a long), largest distance.
 CHUNKS, PLACES, DISTANCE = 8, 4, 15
-#: Leaders of a key in the first round, and their growth from round to round.
-LEADERS, GROWTH = 8, 16
+#: Keys of at most SMALL classes are compared pair by pair; larger ones with about LEADERS of their classes.
+SMALL, LEADERS = 8, 3
+#: Classes, and hashes in their sets, of a block of a large key (one class at least).
+BLOCK, BLOCK_HASHES = 512, 500_000
 _RNG = np.random.default_rng(20240229)
 _A = _RNG.integers(1, 2**63, CHUNKS * PLACES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _RNG.integers(0, 2**63, CHUNKS * PLACES, dtype=np.uint64)
@@ -147,6 +150,74 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
             return labels
 
 
+def merged(labels: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
+    """Labels (node, comp) after the links (u, v) between nodes."""
+    name = labels.toDF("x", "c")
+    edges = links.join(name.toDF("u", "cu"), "u").join(name.toDF("v", "cv"), "v").where("cu <> cv").select(F.col("cu").alias("u"), F.col("cv").alias("v"))
+    found = components(edges, scratch)
+    out = scratch.keep(labels.join(found.toDF("comp", "to"), "comp", "left").select("node", F.coalesce("to", "comp").alias("comp")))
+    scratch.drop(labels, found, links)
+    return out
+
+
+def forest(sets: list[np.ndarray], comp: list[int], block: list[int], threshold: int) -> list[tuple[int, int]]:
+    """Links (positions) that join what the sets' links join, given components that are joined already.
+
+    ``block`` is 0 or 1 for each set; with both present only links between the two are looked for.
+    """
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while root.setdefault(x, x) != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    left = [i for i, b in enumerate(block) if b == 0] or list(range(len(sets)))
+    right = [i for i, b in enumerate(block) if b == 1] or left
+    sizes = np.array([len(s) for s in sets], dtype=np.float64)
+    flat = np.concatenate(sets)
+    owner = np.repeat(np.arange(len(sets)), sizes.astype(np.int64))
+    _, at, count = np.unique(flat, return_inverse=True, return_counts=True)
+    shared = count > 1  # what only one set has is in no intersection
+    column = np.cumsum(shared) - 1
+    keep = shared[at]
+    at, owner, width = column[at[keep]], owner[keep], int(shared.sum())
+    place = np.full(len(sets), -1)
+    common = np.zeros((len(left), len(right)), dtype=np.float32)
+
+    def dense(chosen: list[int], lo: int, hi: int) -> np.ndarray:
+        place[:] = -1
+        place[chosen] = np.arange(len(chosen))
+        m = np.zeros((len(chosen), hi - lo), dtype=np.float32)
+        use = (at >= lo) & (at < hi) & (place[owner] >= 0)
+        m[place[owner[use]], at[use] - lo] = 1
+        return m
+
+    for lo in range(0, width, 4096):
+        hi = min(width, lo + 4096)
+        common += dense(left, lo, hi) @ dense(right, lo, hi).T
+    linked = common * 100.0 >= (sizes[left][:, None] + sizes[right][None, :] - common) * threshold
+    out = []
+    for x, y in zip(*np.nonzero(linked), strict=True):
+        i, j = left[x], right[y]
+        a, b = find(comp[i]), find(comp[j])
+        if a != b:
+            root[a] = b
+            out.append((i, j))
+    return out
+
+
+def _block_links(threshold: int):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        nodes, comp = pdf["node"].tolist(), pdf["comp"].tolist()
+        found = []
+        if len(set(comp)) > 1:
+            found = forest([np.asarray(s) for s in pdf["s"]], comp, [int(b) for b in pdf["i"] != pdf["bi"]], threshold)
+        return pd.DataFrame([(nodes[i], nodes[j]) for i, j in found], columns=["u", "v"]).astype("int64")
+
+    return run
+
+
 def near_duplicates(docs: DataFrame, threshold: int = 80, width: int = 5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each document: doc_id, n_shingles, component_id, kept.
 
@@ -177,33 +248,32 @@ def near_duplicates(docs: DataFrame, threshold: int = 80, width: int = 5, doc_id
     sets = rows.join(ids, "id", "left_semi").mapInPandas(_sets(width), "a long, s array<long>")
     sets = scratch.keep(sets.join(candidates, "a", "left_semi").groupBy("a").agg(F.first("s").alias("s")))
     labels = scratch.keep(candidates.select(F.col("a").alias("node"), F.col("a").alias("comp")))
-    low, high = 0, LEADERS
-    most = shared.agg(F.max("m")).first()[0] or 0
-    while low < most:
-        live = shared.where(F.col("m") > low).join(labels, "node")
-        open_ = live.groupBy("key").agg((F.min("comp") != F.max("comp")).alias("open")).where("open").select("key") if low else None
-        live = live.join(open_, "key", "left_semi") if open_ is not None else live
-        lead = live.where((F.col("h") * F.col("m") >= low) & (F.col("h") * F.col("m") < high)).select("key", F.col("node").alias("u"), F.col("h").alias("hu"), F.col("comp").alias("cu"))
-        pairs = lead.join(live.select("key", F.col("node").alias("v"), F.col("h").alias("hv"), F.col("comp").alias("cv")), "key")
-        later = (F.col("hv") > F.col("hu")) | ((F.col("hv") == F.col("hu")) & (F.col("v") > F.col("u")))
-        pairs = pairs.where(later & (F.col("cu") != F.col("cv"))).select("u", "v", "cu", "cv").distinct()
-        sig = candidates.select("a", "n", "sig")
-        near = pairs.join(sig.toDF("u", "nu", "su"), "u").join(sig.toDF("v", "nv", "sv"), "v")
-        # a link needs sizes within the threshold of each other
-        fits = F.least("nu", "nv") * 100 >= F.greatest("nu", "nv") * threshold
-        near = near.where(fits & (_distance("su", "sv") <= DISTANCE)).select("u", "v", "cu", "cv", "nu", "nv")
-        near = near.join(sets.toDF("u", "xu"), "u").join(sets.toDF("v", "xv"), "v")
-        both = F.size(F.array_intersect("xu", "xv"))
-        links = scratch.keep(near.withColumn("both", both).where(F.col("both") * 100 >= (F.col("nu") + F.col("nv") - F.col("both")) * threshold).select("cu", "cv").distinct())
-        if links.limit(1).count():
-            found = components(links.toDF("u", "v"), scratch)
-            new = labels.join(found.toDF("comp", "to"), "comp", "left").select("node", F.coalesce("to", "comp").alias("comp"))
-            new = scratch.keep(new)
-            scratch.drop(labels, found)
-            labels = new
-        scratch.drop(links)
-        low, high = high, high * GROWTH
-    scratch.drop(sets, shared)
+    sig = candidates.select("a", "n", "sig")
+    leads = (F.col("m") <= SMALL) | (F.col("h") * F.col("m") < LEADERS)
+    lead = shared.where(leads).select("key", F.col("node").alias("u"), F.col("h").alias("hu"))
+    pairs = lead.join(shared.select("key", F.col("node").alias("v"), F.col("h").alias("hv")), "key")
+    pairs = pairs.where((F.col("hv") > F.col("hu")) | ((F.col("hv") == F.col("hu")) & (F.col("v") > F.col("u")))).select("u", "v").distinct()
+    near = pairs.join(sig.toDF("u", "nu", "su"), "u").join(sig.toDF("v", "nv", "sv"), "v")
+    # a link needs sizes within the threshold of each other
+    fits = F.least("nu", "nv") * 100 >= F.greatest("nu", "nv") * threshold
+    near = near.where(fits & (_distance("su", "sv") <= DISTANCE)).select("u", "v", "nu", "nv")
+    near = near.join(sets.toDF("u", "xu"), "u").join(sets.toDF("v", "xv"), "v")
+    both = F.size(F.array_intersect("xu", "xv"))
+    links = near.withColumn("both", both).where(F.col("both") * 100 >= (F.col("nu") + F.col("nv") - F.col("both")) * threshold)
+    labels = merged(labels, scratch.keep(links.select("u", "v")), scratch)
+    # large keys whose classes aren't all in one component yet
+    large = shared.where(F.col("m") > SMALL).join(labels, "node")
+    first = large.groupBy("key").agg(F.min_by("node", "h").alias("first"), (F.min("comp") != F.max("comp")).alias("open")).where("open")
+    members = scratch.keep(large.join(first.select("key", "first"), "key").select("first", "node", "comp").distinct())
+    if members.limit(1).count():
+        sized = members.join(candidates.select(F.col("a").alias("node"), "n"), "node").groupBy("first").agg(F.count("*").alias("c"), F.sum("n").alias("s"))
+        sized = sized.select("first", F.greatest(F.ceil(F.col("c") / BLOCK), F.ceil(F.col("s") / BLOCK_HASHES)).cast("int").alias("blocks"))
+        dealt = members.join(sized, "first").withColumn("i", F.pmod(F.xxhash64(F.lit(9), F.col("node")), F.col("blocks")).cast("int"))
+        dealt = dealt.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        dealt = dealt.select("first", F.least("i", "j").alias("bi"), F.greatest("i", "j").alias("bj"), "i", "node", "comp").join(sets.withColumnRenamed("a", "node"), "node")
+        links = dealt.groupBy("first", "bi", "bj").applyInPandas(_block_links(threshold), "u long, v long")
+        labels = merged(labels, scratch.keep(links.distinct()), scratch)
+    scratch.drop(sets, shared, members)
     # from digests to smallest doc_ids
     reps = candidates.join(labels, candidates.a == labels.node).select("a", "rep", "comp")
     smallest = reps.groupBy("comp").agg(F.min("rep").alias("component"))
