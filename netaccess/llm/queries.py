@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netaccess.llm import chat, langid, mixing, neardup, sharding, topk, urlfilter
+from netaccess.llm import chat, langid, mixing, neardup, quality, sharding, topk, urlfilter
 from netaccess.llm.common import table
 
 QUERIES: dict = {}
@@ -17,6 +17,12 @@ def query(f):
     return f
 
 
+@query
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document by a scorer that weak labels have trained."""
+    return quality.classify(table(spark, sf_dir, "documents"), {"doc_id": F.col("doc_id")})
+
+
 @query
 def op2_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ten best integer inner products of every 100th embedding against all others."""
