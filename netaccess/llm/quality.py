@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 #: Buckets of the hashed features; documents that the scorer is fitted on.
 BUCKETS, SAMPLE = 2048, 6000
 #: How often at most a labeller is believed to object to a good document.
-OBJECTS = 0.003
+OBJECTS = 0.0001
 #: Fixed values, the labellers: (name, bad from this share on, good up to this share); between: no vote.
 SHARES = [
     ("noise", 0.30, 0.05),  # words that end in two or more symbols
