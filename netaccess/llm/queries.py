@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netaccess.llm import chat, langid, mixing, neardup, quality, sharding, topk, urlfilter
+from netaccess.llm import chat, langid, mixing, neardup, quality, secrets, sharding, topk, urlfilter
 from netaccess.llm.common import table
 
 QUERIES: dict = {}
@@ -173,3 +173,10 @@ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce(c.low,
        d.doc_id <= coalesce(c.low, d.doc_id) AS kept
 FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN c ON c.u = d.doc_id
 """
+
+
+@query
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document: the fixed patterns, and spans that a conditional random field adds."""
+    found = secrets.scan(table(spark, sf_dir, "documents"), {"doc_id": F.col("doc_id")})
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans")
