@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netaccess.llm import chat, langid, mixing, neardup, quality, secrets, sharding, topk, urlfilter
+from netaccess.llm import chat, decontaminate, langid, mixing, neardup, quality, secrets, sharding, topk, urlfilter
 from netaccess.llm.common import table
 
 QUERIES: dict = {}
@@ -180,3 +180,9 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of every document: the fixed patterns, and spans that a conditional random field adds."""
     found = secrets.scan(table(spark, sf_dir, "documents"), {"doc_id": F.col("doc_id")})
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
+@query
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, and which."""
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
