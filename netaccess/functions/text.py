@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Apostrophes that names are written with.
 APOSTROPHES = "'’‘ʻʼ`´"
@@ -23,7 +24,7 @@ def name_key(c: Column) -> Column:
     return F.trim(F.regexp_replace(low, r"[^a-z0-9Ѐ-ӿ]+", " "))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def match_key(c: pd.Series) -> pd.Series:
     """Compatibility-decomposed, case-folded, only a-z and 0-9 (Spark has no Unicode normalisation)."""
     def one(s):

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from netaccess.operators.lineage import cut
+
 #: Positions on an edge closer than this are one, in metres.
 EPSILON = 1e-6
 #: Edges of the largest network that one worker searches; beyond it the distributed search is used.
@@ -156,12 +158,12 @@ def multi_source_distances(adj: DataFrame, entries: DataFrame, distributed: bool
 def _relax(adj: DataFrame, entries: DataFrame) -> DataFrame:
     """Bellman-Ford by the frontier: each round only nodes that improved reach their neighbours."""
     both = adj.select("mode", "a", "b", "w").unionByName(adj.select("mode", F.col("b").alias("a"), F.col("a").alias("b"), "w")).repartition("mode", "a").cache()
-    dist = entries.select("mode", "node", F.col("cost").alias("distance")).withColumn("fresh", F.lit(True)).checkpoint()
+    dist = cut(entries.select("mode", "node", F.col("cost").alias("distance")).withColumn("fresh", F.lit(True)))
     while True:
         step = dist.where("fresh").join(both, (dist.mode == both.mode) & (dist.node == both.a)).select(dist.mode, F.col("b").alias("node"), (F.col("distance") + F.col("w")).alias("new"))
         step = step.groupBy("mode", "node").agg(F.min("new").alias("new"))
         old = dist.select("mode", "node", "distance")
-        dist = old.join(step, ["mode", "node"], "full").select("mode", "node", F.least("distance", "new").alias("distance"), (F.col("new").isNotNull() & (F.coalesce("distance", F.lit(math.inf)) > F.col("new"))).alias("fresh")).checkpoint()
+        dist = cut(old.join(step, ["mode", "node"], "full").select("mode", "node", F.least("distance", "new").alias("distance"), (F.col("new").isNotNull() & (F.coalesce("distance", F.lit(math.inf)) > F.col("new"))).alias("fresh")))
         if not dist.where("fresh").limit(1).count():
             both.unpersist()
             return dist.select("mode", "node", "distance", F.lit(None).cast("string").alias("before"))
@@ -195,12 +197,12 @@ def service_area(segs: DataFrame, reached: DataFrame, budget: float) -> DataFram
 def components(edges: DataFrame) -> DataFrame:
     """(node, comp): the smallest node that each node reaches. Labels move and jump until none changes."""
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct().cache()
-    labels = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("comp")).withColumnRenamed("u", "node").checkpoint()
+    labels = cut(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("comp")).withColumnRenamed("u", "node"))
     while True:
         low = both.join(labels.withColumnRenamed("node", "v"), "v").groupBy("u").agg(F.min("comp").alias("low"))
         step = labels.join(low, labels.node == low.u).select("node", F.least("comp", "low").alias("next"), F.col("comp").alias("was"))
         hop = labels.select(F.col("node").alias("next"), F.col("comp").alias("beyond"))
-        new = step.join(hop, "next").select("node", F.least("next", "beyond").alias("comp"), "was").checkpoint()
+        new = cut(step.join(hop, "next").select("node", F.least("next", "beyond").alias("comp"), "was"))
         if not new.where("comp <> was").limit(1).count():
             both.unpersist()
             return new.select("node", "comp")
@@ -218,7 +220,7 @@ def trace(reached: DataFrame, targets: DataFrame) -> DataFrame:
     while True:
         walk = walk.join(before, ["mode", "at"], "left_outer").withColumn("known", F.col("prev").isNotNull() | (F.size("path") > 0))
         hit = walk.join(before.select("mode", "at", F.lit(True).alias("is")), ["mode", "at"], "left").withColumn("path", F.when(F.col("is"), F.concat(F.array("at"), "path")).otherwise(F.col("path")))
-        hit = hit.select("mode", "node", F.col("prev").alias("at"), "path").checkpoint()
+        hit = cut(hit.select("mode", "node", F.col("prev").alias("at"), "path"))
         ended = hit.where("at IS NULL").select("mode", "node", "path")
         done = ended if done is None else done.unionByName(ended)
         walk = hit.where("at IS NOT NULL")

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from netaccess.operators.lineage import cut
+
 
 def _cells(lo, hi, size: float):
     return F.sequence(F.floor(lo / size), F.floor(hi / size))
@@ -28,7 +30,7 @@ def _ring_search(points: DataFrame, things: DataFrame, key: str, box: list, meas
         pairs = mine.join(tiles, ["gx", "gy"]).select("point_id", *measure)
         got = pairs.groupBy("point_id").agg(F.min_by(F.struct("*"), F.struct(*best)).alias("m"))
         near = got.where(F.col("m.d") <= step).select("m.*")
-        near = near.checkpoint()
+        near = cut(near)
         out = near if out is None else out.unionByName(near)
         left = left.join(near.select("point_id"), "point_id", "left_anti")
         if not left.limit(1).count():
