@@ -222,7 +222,7 @@ def near_duplicates(docs: DataFrame, threshold: int = 80, width: int = 5, doc_id
     """One row for each document: doc_id, n_shingles, component_id, kept.
 
     Two documents are linked where 100 * intersection >= threshold * union of their shingle sets (the
-    distance bound above suits 85 and more; at 80 it misses 1 pair in 3,600 at the threshold itself).
+    distance bound above suits 85 and more; at similarity 0.8 itself it misses 1 pair in 7000).
     component_id is the smallest doc_id reachable by links, kept is doc_id = component_id. Documents with
     a null text or no words have an empty set and no links. Rows that repeat a doc_id are judged by
     their own texts. A row without a doc_id is linked with nothing, has a null component and is kept.
@@ -245,7 +245,8 @@ def near_duplicates(docs: DataFrame, threshold: int = 80, width: int = 5, doc_id
     candidates = scratch.keep(candidates)
     # the full sets of those classes alone, from the text of their smallest document
     ids = candidates.select(F.col("rep").alias("id")).distinct()
-    sets = rows.join(ids, "id", "left_semi").mapInPandas(_sets(width), "a long, s array<long>")
+    # a merge join at every size: the ids grow with the documents, so they are never broadcast
+    sets = rows.join(ids.hint("merge"), "id", "left_semi").mapInPandas(_sets(width), "a long, s array<long>")
     sets = scratch.keep(sets.join(candidates, "a", "left_semi").groupBy("a").agg(F.first("s").alias("s")))
     labels = scratch.keep(candidates.select(F.col("a").alias("node"), F.col("a").alias("comp")))
     sig = candidates.select("a", "n", "sig")
