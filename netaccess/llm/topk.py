@@ -95,8 +95,8 @@ def threshold_search(q_ids, queries, ids, vectors, k: int, depths=DEPTHS, stats:
                     out += [(q_ids[a], ids[met[j]], int(scores[j])) for j in chosen]
                 else:
                     left.append(a)
-            # where no query stopped, the next depth seldom stops one either: read on to the end
-            if len(left) == len(active):
+            # where none of many queries stopped, the next depth seldom stops one either: read on to the end
+            if len(left) == len(active) >= 32:
                 active = np.asarray(left)
                 break
             active = np.asarray(left, dtype=np.int64)
@@ -107,11 +107,10 @@ def threshold_search(q_ids, queries, ids, vectors, k: int, depths=DEPTHS, stats:
         for a, row in zip(part, scores, strict=True):
             others = np.flatnonzero(ids != q_ids[a])
             if exact:
-                row = np.array([max(-LONG - 1, min(LONG, int(x))) for x in row], dtype=object)
                 chosen = sorted(others, key=lambda j: (-row[j], ids[j]))[:k]
             else:
                 chosen = others[_best(row[others], ids[others], k)] if len(others) else []
-            out += [(q_ids[a], ids[j], int(row[j])) for j in chosen]
+            out += [(q_ids[a], ids[j], max(-LONG - 1, min(LONG, int(row[j])))) for j in chosen]
     if stats is not None:
         stats["scored"] = stats.get("scored", 0) + scored
     return out
