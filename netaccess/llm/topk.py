@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 #: Rows of a block of vectors, and of a block of queries: what one task holds.
 BLOCK, QUERY_BLOCK = 16_384, 2_048
 #: Depths of the rounds; after the last one all remaining list entries are read.
-DEPTHS = (8, 64, 512)
+DEPTHS = (8, 32, 128, 512)
 LONG = 2**63 - 1
 
 
