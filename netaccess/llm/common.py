@@ -60,6 +60,14 @@ class Scratch:
                 p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def bounded_batches(df: DataFrame, rows: int = 1000) -> None:
+    """Batches of texts go to Python workers in at most so many rows: texts are long, and a worker holds a batch whole."""
+    key, spark = "spark.sql.execution.arrow.maxRecordsPerBatch", df.sparkSession
+    now = int(spark.conf.get(key))
+    if not 0 < now <= rows:
+        spark.conf.set(key, str(rows))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -90,13 +98,3 @@ def chunks(pdf: pd.DataFrame, column: str, chars: int = 1_000_000, rows: int = 2
         total += n
     if start < len(lengths):
         yield pdf.iloc[start:]
-
-
-def struct_of(*fields: str) -> str:
-    return ", ".join(fields)
-
-
-def without(df: DataFrame, *names: str) -> DataFrame:
-    """Without columns of these names, in any case, so that new ones don't clash."""
-    low = {n.lower() for n in names}
-    return df.select([F.col(f"`{c}`") for c in df.columns if c.lower() not in low])

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netaccess.llm.common import Scratch, chunks
+from netaccess.llm.common import Scratch, bounded_batches, chunks
 
 #: Words of half a passage (passages are two halves and overlap by one), step between an item's passages.
 HALF, STEP = 12, 6
@@ -48,7 +48,7 @@ class Vocabulary(dict):
         self.base = {w: i + 2 for i, w in enumerate(words)}
 
     def __missing__(self, token: str) -> int:
-        if len(self) > 500_000:
+        if len(self) > 150_000:
             self.clear()
         n = self[token] = self.base.get(token.strip(_MARKS), 1)
         return n
@@ -162,8 +162,8 @@ class Searcher:
         best: dict[tuple[int, int], float] = {}
         regions: dict[tuple[int, int], list[tuple[int, int]]] = {}
         doc_of = np.repeat(np.arange(len(texts)), halves)
-        for lo in range(0, len(doc_of) - 1, 4096):
-            hi = min(len(doc_of), lo + 4097)
+        for lo in range(0, len(doc_of) - 1, 1024):
+            hi = min(len(doc_of), lo + 1025)
             part = flat[lo * HALF : hi * HALF]
             sums = self.vectors[part].reshape(-1, HALF, k).sum(1)
             square = self.square[part].reshape(-1, HALF).sum(1)
@@ -211,6 +211,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     items with equal texts each is reported. Documents with a null text hold nothing; repeated rows are
     reported each; an empty table gives no rows.
     """
+    bounded_batches(docs)
     spark = docs.sparkSession
     schema = f"doc_id {dict(docs.dtypes)[doc_id]}, item_id {dict(benchmark.dtypes)[item_id]}, cosine double, words double, answer double"
     out = spark.createDataFrame([], schema)
@@ -236,7 +237,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
         def find(batches: Iterator[pd.DataFrame], searcher=searcher) -> Iterator[pd.DataFrame]:
             vocabulary = Vocabulary(searcher.words)
             for pdf in batches:
-                for piece in chunks(pdf, "t", chars=600_000):
+                for piece in chunks(pdf, "t", chars=300_000):
                     hits = searcher.search(list(piece["t"]), vocabulary)
                     if hits:
                         names = piece["id"].tolist()

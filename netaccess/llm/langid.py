@@ -18,12 +18,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from netaccess.llm.common import chunks
+from netaccess.llm.common import bounded_batches, chunks
 
 #: Dimension of the vectors, and the scale at which unit vectors become integers.
 DIMS, SCALE = 512, 1_000_000
 #: Trigram vectors that a worker keeps; beyond it the store starts anew (memory only, not results).
-STORE = 40_000
+STORE = 30_000
 #: A learned table has one row for each language; more than so many values is not a language column.
 MAX_LANGS = 20_000
 
@@ -142,6 +142,7 @@ def identify(docs: DataFrame, examples: DataFrame, keys: dict[str, Column], text
     could be learned. score is (1 + cosine) / 2, 0 for ``und``. Repeated rows each get their row; long
     texts are read whole; other columns of ``docs`` are not read, and keys keep their names.
     """
+    bounded_batches(docs)
     learned = prototypes(examples, text, lang, dims)
     names = [k for k, _ in learned]
     P = np.array([v for _, v in learned], dtype=np.float64).reshape(len(names), dims)

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netaccess.llm.common import Scratch, byte_words
+from netaccess.llm.common import Scratch, bounded_batches, byte_words
 
 #: Chunks of the signature, places of a chunk (16 bits each, so a chunk is a long), largest distance.
 CHUNKS, PLACES, DISTANCE = 8, 4, 15
@@ -46,7 +46,7 @@ class _Hashes(dict):
     """Word to 64-bit hash."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 150_000:
             self.clear()
         h = self[word] = xxhash.xxh64_intdigest(word)
         return h
@@ -227,6 +227,7 @@ def near_duplicates(docs: DataFrame, threshold: int = 80, width: int = 5, doc_id
     a null text or no words have an empty set and no links. Rows that repeat a doc_id are judged by
     their own texts. A row without a doc_id is linked with nothing, has a null component and is kept.
     """
+    bounded_batches(docs)
     scratch = Scratch(docs.sparkSession)
     rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("t"))
     base = scratch.keep(rows.mapInPandas(_profiles(width), "id long, n long, a long, b long, sig array<long>"))

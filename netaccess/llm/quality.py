@@ -19,6 +19,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from netaccess.llm.common import bounded_batches
+
 #: Buckets of the hashed features; documents that the scorer is fitted on.
 BUCKETS, SAMPLE = 2048, 6000
 #: How often at most a labeller is believed to object to a good document.
@@ -85,7 +87,7 @@ class Profiler:
         words = (text or "").split()
         if not words:
             return 0, np.zeros(BUCKETS, np.float32), False
-        if len(self.index) > 300_000:
+        if len(self.index) > 100_000:
             self.clear()
         for w in set(words).difference(self.index):
             at = self.index[w] = len(self.index)
@@ -198,6 +200,7 @@ def _examples(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def train(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> dict:
     """Posterior by combination of votes, weights and bias."""
+    bounded_batches(docs)
     texts = docs.select(F.col(text).alias("t"))
     rows = texts.mapInPandas(_votes, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).collect()
     counts = {r["code"]: r["n"] for r in rows if r["n"]}

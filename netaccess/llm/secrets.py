@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from netaccess.llm.common import WORD
+from netaccess.llm.common import WORD, bounded_batches
 
 #: The patterns, in the order in which kinds are listed. Long forms of hex and access runs
 #: match exactly the long ones among all maximal runs.
@@ -98,7 +98,7 @@ class Lexicon:
 
     def scores(self, words: list[str]) -> np.ndarray:
         """(words x 3) scores without the document's feature."""
-        if len(self.index) > 300_000:
+        if len(self.index) > 100_000:
             self.clear()
         w = self.weights
         for word in set(words).difference(self.index):
@@ -293,6 +293,7 @@ def scan(docs: DataFrame, keys: dict[str, Column], text: str = "text", sample: i
     base lists the pattern spans, spans these and what the field adds, as kind:start:end by start, then
     kind. A null text is empty: no spans. Repeated rows get a row each, texts are read whole.
     """
+    bounded_batches(docs)
     weights, transition = fit(docs, text, sample)
     rows = docs.select(*[c.alias(k) for k, c in keys.items()], F.col(text).alias("__t"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]) + ", n_assign long, n_access long, n_hex long, base string, spans string"
