@@ -14,7 +14,7 @@ def compare(a: DataFrame, b: DataFrame, key: str, floor: float = 0.05, near: flo
     Columns (key, value) each; a key on one side only is valid there only. Two passes over the joined
     surfaces, the second because residuals need the scale.
     """
-    j = a.select(key, F.col("value").alias("a")).join(b.select(key, F.col("value").alias("b")), key, "full")
+    j = a.select(key, F.col("value").alias("a")).join(b.select(key, F.col("value").alias("b")), key, "full").select("a", "b")
     both = F.col("a").isNotNull() & F.col("b").isNotNull()
     ratio = F.when(both & (F.col("a") > floor), F.col("b") / F.col("a"))
     pa, pb = F.when(both, F.col("a")), F.when(both, F.col("b"))
