@@ -92,7 +92,8 @@ def document_frequencies(docs: DataFrame, words: list[str]) -> tuple[np.ndarray,
         vocabulary, df, n = Vocabulary(words), np.zeros(size, dtype=np.int64), 0
         for pdf in batches:
             for t in pdf["t"]:
-                df[np.unique(vocabulary.numbers(t))] += 1
+                # distinct words are enough here
+                df[list({vocabulary[w] for w in set((t or "").lower().split())})] += 1
                 n += 1
         df[0] = n
         at = np.flatnonzero(df)
