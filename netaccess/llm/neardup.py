@@ -288,6 +288,10 @@ def near_duplicates(docs: DataFrame, threshold: int = 80, width: int = 5, doc_id
 
 
 def deduplicate(docs: DataFrame, **options) -> DataFrame:
-    """One document of each component, with all columns; of rows that repeat a doc_id and its text, one."""
+    """One document of each component, with all columns.
+
+    Ids identify documents: rows that repeat a kept doc_id and its text all stay, and where a doc_id has
+    several texts of which one isn't kept, all rows of that doc_id go. Rows without a doc_id stay.
+    """
     gone = near_duplicates(docs, **options).where("NOT kept").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti")
