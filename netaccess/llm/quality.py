@@ -163,7 +163,10 @@ def expectation_maximisation(counts: dict[int, int], rounds: int = 100, k: int =
 
 
 def fit_scorer(X: np.ndarray, y: np.ndarray, rounds: int = 300, rate: float = 2.0, ridge: float = 1e-4) -> tuple[np.ndarray, float]:
-    """Logistic regression on soft labels; the two classes weigh the same. Full-batch, accelerated, deterministic."""
+    """Logistic regression on soft labels; the two classes weigh the same. Full-batch, accelerated, deterministic.
+
+    ``X`` is multiplied in its own precision: a wider copy in every round would be twice as large as the sample.
+    """
     w, b = np.zeros(X.shape[1]), 0.0
     if not len(X):
         return w, b
@@ -172,9 +175,9 @@ def fit_scorer(X: np.ndarray, y: np.ndarray, rounds: int = 300, rate: float = 2.
     weight /= weight.sum()
     v, vb = w.copy(), b
     for t in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(X @ v + vb, -30, 30)))
+        p = 1 / (1 + np.exp(-np.clip(X @ v.astype(X.dtype) + vb, -30, 30)))
         g = weight * (p - y)
-        nw, nb = v - rate * (X.T @ g + ridge * v), vb - rate * g.sum()
+        nw, nb = v - rate * (X.T @ g.astype(X.dtype) + ridge * v), vb - rate * g.sum()
         m = t / (t + 3)
         v, vb = nw + m * (nw - w), nb + m * (nb - b)
         w, b = nw, nb
@@ -193,7 +196,8 @@ def _votes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def _examples(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     profiler = Profiler()
     for pdf in batches:
-        rows = [(c, np.flatnonzero(x).astype(np.int32), x[x > 0]) for c, x, ok in map(profiler.profile, pdf["t"]) if ok]
+        # big-endian bytes: small on the driver, and they sort as the numbers do
+        rows = [(c, np.flatnonzero(x).astype(">i4").tobytes(), x[x > 0].astype(">f4").tobytes()) for c, x, ok in map(profiler.profile, pdf["t"]) if ok]
         if rows:
             yield pd.DataFrame(rows, columns=["code", "at", "x"])
 
@@ -211,12 +215,12 @@ def train(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> dict:
     # the id spreads copies of one text over the hash range
     key = F.xxhash64(F.lit(3), *[F.col(f"`{c}`") for c in docs.columns if dict(docs.dtypes)[c] in ("bigint", "int", "string")])
     chosen = docs.select(F.col(text).alias("t"), F.pmod(key, F.lit(2**31)).alias("h")).where(F.col("h") < limit).select("t")
-    got = chosen.mapInPandas(_examples, "code long, at array<int>, x array<float>").limit(sample * 2).collect()
-    got = sorted(got, key=lambda r: (r["code"], r["at"], r["x"]))
+    got = chosen.mapInPandas(_examples, "code long, at binary, x binary").limit(sample * 2).collect()
+    got = sorted(got, key=lambda r: (r["code"], bytes(r["at"]), bytes(r["x"])))
     got = got[:: max(1, -(-len(got) // sample))]
     X, y = np.zeros((len(got), BUCKETS), np.float32), np.zeros(len(got))
     for i, r in enumerate(got):
-        X[i, r["at"]] = r["x"]
+        X[i, np.frombuffer(r["at"], ">i4")] = np.frombuffer(r["x"], ">f4")
         y[i] = posterior.get(r["code"], prior)
     weights, bias = fit_scorer(X, y)
     return {"posterior": posterior, "prior": prior, "table": table, "weights": weights.astype(np.float32), "bias": float(bias)}
