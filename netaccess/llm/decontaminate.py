@@ -6,7 +6,12 @@
 3. Every document is cut into overlapping passages, each projected on the axes and compared with all item
    passages by cosine (with the full TF-IDF norm of the document's passage). Passages whose projection is
    too short to reach the threshold are left out beforehand, which loses nothing.
-4. Candidates are checked on words: the longest common subsequence of the item and the document around the
+4. The cosine alone would miss short copies, edited ones and items that the axes represent poorly. So the
+   words are counted too: a copy has 60 % of the item's words, hence most of its rare ones. Texts with enough
+   of them are looked through for windows of the item's own length (and half of it for insertions) that have
+   enough of all its words. Every copy within such a window is a candidate, whatever the axes, the weights
+   and the number of documents.
+5. Candidates are checked on words: the longest common subsequence of the item and the document around the
    passage, and that of the item's answer (its last quarter). So edited copies count, shared words do not.
 
 The documents are read twice, and nothing of them is shuffled but the result. The benchmark is worked
@@ -29,6 +34,8 @@ from netaccess.llm.common import Scratch, bounded_batches, chunks
 HALF, STEP = 12, 6
 #: Latent axes, extra random directions, power iterations, items at a time.
 AXES, EXTRA, POWERS, ITEMS = 384, 16, 2, 200
+#: Share of an item's words, the rarest first, by which texts are chosen for the look through their windows.
+RAREST = 0.8
 #: Least cosine of a candidate; least share of an item's words in common order, alone or with the answer.
 COSINE, ALONE, WITH_ANSWER, ANSWER = 0.3, 0.75, 0.6, 0.75
 #: Items with fewer words are never reported: so few words in order prove nothing.
@@ -106,6 +113,14 @@ def document_frequencies(docs: DataFrame, words: list[str]) -> tuple[np.ndarray,
     return df, int(df[0])
 
 
+def outside_weight(idf: np.ndarray, df: np.ndarray) -> float:
+    """Weight of a word that the benchmark lacks: the mean of the benchmark's words over their documents.
+
+    It depends on how common words are, not on the number of documents.
+    """
+    return float((idf[2:] * df[2:]).sum() / df[2:].sum()) if df[2:].sum() else float(np.log(2))
+
+
 def latent_axes(spark, passages: list[list[int]], idf: np.ndarray, axes: int = AXES) -> np.ndarray:
     """(words x axes) right singular vectors of the passages' TF-IDF matrix, by a randomised SVD.
 
@@ -150,6 +165,59 @@ class Searcher:
         rows = np.array([self.vectors[p].sum(0) for _, p in parts])
         norms = np.array([np.sqrt(self.square[p].sum()) for _, p in parts])
         self.parts = (rows / np.maximum(norms, 1e-9)[:, None]).astype(np.float32).T
+        self._index(idf)
+
+    def _index(self, idf: np.ndarray) -> None:
+        """For each word the items that have it among their rarest, and what a copy of an item needs of words."""
+        posts, self.kinds, self.rare, self.need, self.rare_need = [], [], [], [], []
+        for i, words in enumerate(self.items):
+            kinds, times = np.unique(words, return_counts=True)
+            order = np.argsort(-idf[kinds], kind="stable")
+            upto = np.cumsum(times[order])
+            chosen = order[: int(np.searchsorted(upto, RAREST * len(words))) + 1]
+            need = int(np.ceil(WITH_ANSWER * len(words) - 1e-9))
+            # a copy lacks at most len - need words; it has the rest of the rarest
+            self.kinds.append(kinds)
+            self.rare.append(kinds[chosen])
+            self.need.append(need)
+            self.rare_need.append(int(times[chosen].sum()) - (len(words) - need))
+            posts += [(int(w), i, int(n)) for w, n in zip(kinds[chosen], times[chosen], strict=True)]
+        posts.sort()
+        self.post = np.array(posts, dtype=np.int64).reshape(-1, 3)
+        self.first_post = np.searchsorted(self.post[:, 0], np.arange(len(self.vectors) + 1))
+        self.rare_need = np.array(self.rare_need)
+
+    def windows(self, numbers: list[np.ndarray]) -> Iterator[tuple[int, int, int, int]]:
+        """(text, item, start, end) of every window that has enough of the item's words; exact, no sample."""
+        count = len(self.items)
+        has = np.zeros((len(numbers), len(self.vectors)), dtype=bool)
+        for d, x in enumerate(numbers):
+            has[d, x] = True
+        d, w = np.nonzero(has)
+        first = self.first_post[w]
+        n = self.first_post[w + 1] - first
+        at = np.arange(n.sum()) + np.repeat(first - (np.cumsum(n) - n), n)
+        sums = np.bincount(np.repeat(d, n) * count + self.post[at, 1], weights=self.post[at, 2], minlength=len(numbers) * count)
+        enough = sums.reshape(len(numbers), count) >= self.rare_need
+        member = np.zeros(len(self.vectors), dtype=bool)
+        for d, item in zip(*np.nonzero(enough), strict=True):
+            length = len(self.items[item])
+            span, step = length + max(2, length // 2), max(1, length // 4)
+            starts = None
+            for kinds, need in ((self.rare[item], self.rare_need[item]), (self.kinds[item], self.need[item])):
+                member[kinds] = True
+                at = np.flatnonzero(member[numbers[d]])
+                member[kinds] = False
+                # grid places whose window, a step longer than a copy's span, has enough words
+                grid = np.arange(0, len(numbers[d]), step) if starts is None else starts
+                starts = grid[np.searchsorted(at, grid + span + step) - np.searchsorted(at, grid) >= need]
+            for s in starts:
+                yield int(d), int(item), int(s), int(s) + span + step
+
+    def cosine(self, x: np.ndarray, item: int) -> float:
+        """Best cosine of a window's words with a passage of the item."""
+        norm = np.sqrt(self.square[x].sum())
+        return float((self.vectors[x].sum(0) @ self.parts[:, self.owner == item]).max() / max(1e-9, norm))
 
     def search(self, texts: list, vocabulary: Vocabulary) -> list[tuple]:
         """(text, item id, cosine, share of the item's words, share of the answer's) of contaminated texts."""
@@ -173,8 +241,12 @@ class Searcher:
             able = np.flatnonzero(reach >= COSINE * np.maximum(norm, 1e-9))
             if not len(able):
                 continue
-            cos = (x[able] @ self.parts) / np.maximum(norm[able], 1e-9)[:, None]
-            for a, p in zip(*np.nonzero(cos >= COSINE), strict=True):
+            x, norm = x[able], np.maximum(norm[able], 1e-9)[:, None]
+            hits = []
+            for c in range(0, self.parts.shape[1], 4096):
+                cos = (x @ self.parts[:, c : c + 4096]) / norm
+                hits += [(a, c + p, cos[a, p]) for a, p in zip(*np.nonzero(cos >= COSINE), strict=True)]
+            for a, p, value in hits:
                 h = lo + int(able[a])
                 d, item = int(doc_of[h]), int(self.owner[p])
                 n, s = len(self.items[item]), (h - int(first[d])) * HALF
@@ -184,13 +256,24 @@ class Searcher:
                     kept[-1] = kept[-1][0], max(kept[-1][1], region[1])
                 else:
                     kept.append(region)
-                best[d, item] = max(best.get((d, item), 0.0), float(cos[a, p]))
+                best[d, item] = max(best.get((d, item), 0.0), float(value))
+        windows: dict[tuple[int, int], list[tuple[int, int]]] = {}
+        for d, item, s, e in self.windows(numbers):
+            windows.setdefault((d, item), []).append((s, e))
         out = []
-        for (d, item), places in sorted(regions.items()):
+        for d, item in sorted({*regions, *windows}):
             words = self.items[item]
             answer = words[-max(3, len(words) // 4) :]
             found = (0.0, 0.0)
-            for s, e in places:
+            for s, e in windows.get((d, item), ()):
+                near = numbers[d][s:e].tolist()
+                share = common_subsequence(words, near) / len(words)
+                tail = common_subsequence(answer, near) / len(answer) if share >= WITH_ANSWER else 0.0
+                if (share, tail) > found:
+                    found = (share, tail)
+                    if share >= WITH_ANSWER:
+                        best[d, item] = max(best.get((d, item), 0.0), self.cosine(numbers[d][s:e], item))
+            for s, e in regions.get((d, item), ()):
                 # a long region is read in pieces that overlap by more than the item, edits included
                 size = 4 * len(words)
                 for at in range(s, max(s + 1, e - 2 * len(words)), max(1, size - 2 * len(words))):
@@ -228,7 +311,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
         words = sorted({w for _, ws in found for w in ws})
         df, n = document_frequencies(texts.select("t"), words)
         idf = np.log((n + 2) / (df + 1))
-        idf[0], idf[1] = 0.0, np.log((n + 2) / 2)  # padding; words that the benchmark doesn't have count as rare
+        idf[0], idf[1] = 0.0, outside_weight(idf, df)  # padding; words that the benchmark doesn't have
         number = {w: i + 2 for i, w in enumerate(words)}
         items, ids = [[number[w] for w in ws] for _, ws in found], [i for i, _ in found]
         axes = latent_axes(spark, [p for _, p in item_passages(items)], idf)

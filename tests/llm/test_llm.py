@@ -441,6 +441,28 @@ def test_decontaminate_planted_and_edited(spark):
     assert decontaminate.contaminated(d, b.limit(0)).count() == decontaminate.contaminated(d.limit(0), b).count() == 0
 
 
+@pytest.mark.parametrize("n", [400, 4000])
+def test_decontaminate_short_edited_and_long_items(spark, n):
+    rng = np.random.default_rng(n)
+    word = lambda k: [f"v{int(x)}" for x in np.minimum(rng.zipf(1.3, k), 10**7)]
+    items = [word(6) for _ in range(40)] + [word(30) for _ in range(40)] + [word(350) for _ in range(40)]
+    rows, want = [], set()
+    for i in range(n):
+        text = [w + "x" for w in word(90)]  # words that no item has: nothing is found by chance
+        if i < 240:
+            copy = list(items[i % 120])
+            if i >= 120 and len(copy) > 6:  # an edited copy: words replaced, left out and put in
+                copy = [w if k % 8 else "changed" for k, w in enumerate(copy) if k % 16 != 5]
+                copy = [x for k, w in enumerate(copy) for x in ([w, "put", "in"] if k % 9 == 4 else [w])]
+            text[37:37] = copy
+            want.add((i, i % 120))
+        rows.append((i, " ".join(text), None, None))
+    b = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(docs_of(spark, rows), b).collect()}
+    assert want <= got
+    assert {d for d, _ in got} == {d for d, _ in want}
+
+
 # --- pipeline and queries
 
 
