@@ -15,7 +15,7 @@
    passage, and that of the item's answer (its last quarter). So edited copies count, shared words do not.
 
 The documents are read twice, and nothing of them is shuffled but the result. The benchmark is worked
-through in blocks of ``ITEMS`` items, which bounds what each task holds.
+through in blocks of at most about ``ITEMS`` items and ``PASSAGES`` passages, which bounds what each task holds.
 """
 
 from __future__ import annotations
@@ -34,6 +34,8 @@ from netaccess.llm.common import Scratch, bounded_batches, chunks
 HALF, STEP = 12, 6
 #: Latent axes, extra random directions, power iterations, items at a time.
 AXES, EXTRA, POWERS, ITEMS = 384, 16, 2, 200
+#: Passages of a block's items, about: longer items make smaller blocks, so that the axes suffice.
+PASSAGES = 1_600
 #: Share of an item's words, the rarest first, by which texts are chosen for the look through their windows.
 RAREST = 0.8
 #: Least cosine of a candidate; least share of an item's words in common order, alone or with the answer.
@@ -301,8 +303,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     out = spark.createDataFrame([], schema)
     texts = docs.where(F.col(text).isNotNull()).select(F.col(doc_id).alias("id"), F.col(text).alias("t"))
     rows = benchmark.where(F.col(item_text).isNotNull()).select(F.col(item_id).alias("i"), F.col(item_text).alias("t"))
-    # blocks of items by a hash, sized by a count; each comes to the driver alone
-    blocks = -(-rows.count() // block)
+    # blocks of items by a hash, sized by counts of items and of their passages; each comes to the driver alone
+    over = F.greatest(F.size(F.split(F.trim("t"), r"\s+")) - 2 * HALF, F.lit(0))
+    size = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum(1 + F.ceil(over / STEP)), F.lit(0)).alias("p")).first()
+    blocks = max(-(-size["n"] // block), -(-int(size["p"]) // PASSAGES))
     for b in range(blocks):
         part = rows.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == b).orderBy("i", "t").collect()
         found = [(r["i"], w) for r in part if len(w := item_words(r["t"])) >= LEAST_WORDS]

@@ -463,6 +463,17 @@ def test_decontaminate_short_edited_and_long_items(spark, n):
     assert {d for d, _ in got} == {d for d, _ in want}
 
 
+def test_blocks_are_bounded_by_passages(spark, monkeypatch):
+    rng, seen = random.Random(4), []
+    items = [(i, " ".join(f"w{rng.randint(0, 20_000)}" for _ in range(300))) for i in range(120)]
+    axes = decontaminate.latent_axes
+    monkeypatch.setattr(decontaminate, "latent_axes", lambda s, passages, idf: seen.append(len(passages)) or axes(s, passages, idf, axes=8))
+    d, b = docs_of(spark, [(i, t, None, None) for i, t in items[:30]]), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(d, b).collect()}
+    assert got == {(i, i) for i in range(30)}  # found although 8 axes hold next to nothing
+    assert sum(seen) == 120 * 47 and len(seen) > 1 and max(seen) <= 1.5 * decontaminate.PASSAGES
+
+
 # --- pipeline and queries
 
 
