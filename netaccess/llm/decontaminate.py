@@ -289,19 +289,8 @@ class Searcher:
         return out
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", block: int = ITEMS) -> DataFrame:
-    """One row for each document and item that it holds: doc_id, item_id, cosine, words, answer.
-
-    words and answer are the shares of the item's words, and of its answer's, that the document has in
-    order near the passage. Items with a null text or fewer than ``LEAST_WORDS`` words are never found; of
-    items with equal texts each is reported. Documents with a null text hold nothing; repeated rows are
-    reported each; an empty table gives no rows.
-    """
-    bounded_batches(docs)
-    spark = docs.sparkSession
-    schema = f"doc_id {dict(docs.dtypes)[doc_id]}, item_id {dict(benchmark.dtypes)[item_id]}, cosine double, words double, answer double"
-    out = spark.createDataFrame([], schema)
-    texts = docs.where(F.col(text).isNotNull()).select(F.col(doc_id).alias("id"), F.col(text).alias("t"))
+def searchers(texts: DataFrame, benchmark: DataFrame, item_id: str, item_text: str, block: int) -> Iterator[Searcher]:
+    """A searcher for each block of the benchmark's items; ``texts`` has the documents' texts as ``t``."""
     rows = benchmark.where(F.col(item_text).isNotNull()).select(F.col(item_id).alias("i"), F.col(item_text).alias("t"))
     # blocks of items by a hash, sized by counts of items and of their passages; each comes to the driver alone
     over = F.greatest(F.size(F.split(F.trim("t"), r"\s+")) - 2 * HALF, F.lit(0))
@@ -313,14 +302,29 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
         if not found:
             continue
         words = sorted({w for _, ws in found for w in ws})
-        df, n = document_frequencies(texts.select("t"), words)
+        df, n = document_frequencies(texts, words)
         idf = np.log((n + 2) / (df + 1))
         idf[0], idf[1] = 0.0, outside_weight(idf, df)  # padding; words that the benchmark doesn't have
         number = {w: i + 2 for i, w in enumerate(words)}
         items, ids = [[number[w] for w in ws] for _, ws in found], [i for i, _ in found]
-        axes = latent_axes(spark, [p for _, p in item_passages(items)], idf)
+        axes = latent_axes(texts.sparkSession, [p for _, p in item_passages(items)], idf)
         axes[:2] = 0
-        searcher = Searcher(words, items, ids, idf, axes)
+        yield Searcher(words, items, ids, idf, axes)
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", block: int = ITEMS) -> DataFrame:
+    """One row for each document and item that it holds: doc_id, item_id, cosine, words, answer.
+
+    words and answer are the shares of the item's words, and of its answer's, that the document has in
+    order near the passage. Items with a null text or fewer than ``LEAST_WORDS`` words are never found; of
+    items with equal texts each is reported. Documents with a null text hold nothing; repeated rows are
+    reported each; an empty table gives no rows.
+    """
+    bounded_batches(docs)
+    schema = f"doc_id {dict(docs.dtypes)[doc_id]}, item_id {dict(benchmark.dtypes)[item_id]}, cosine double, words double, answer double"
+    out = docs.sparkSession.createDataFrame([], schema)
+    texts = docs.where(F.col(text).isNotNull()).select(F.col(doc_id).alias("id"), F.col(text).alias("t"))
+    for searcher in searchers(texts.select("t"), benchmark, item_id, item_text, block):
 
         def find(batches: Iterator[pd.DataFrame], searcher=searcher) -> Iterator[pd.DataFrame]:
             vocabulary = Vocabulary(searcher.words)
@@ -335,7 +339,32 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     return out
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", **options) -> DataFrame:
-    """The documents that hold no item, with their columns."""
-    gone = Scratch(docs.sparkSession).keep(contaminated(docs, benchmark, doc_id=doc_id, **options).select("doc_id").distinct())
-    return docs.join(gone.withColumnRenamed("doc_id", doc_id), doc_id, "left_anti").select(docs.columns)
+def _clean(searcher: Searcher):
+    """Column function: whether a text holds none of the searcher's items."""
+
+    @F.pandas_udf("boolean")
+    def clean(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        vocabulary = Vocabulary(searcher.words)
+        for column in batches:
+            out = []
+            for piece in chunks(pd.DataFrame({"t": column}), "t", chars=300_000):
+                held = {d for d, *_ in searcher.search(list(piece["t"]), vocabulary)}
+                out += [d not in held for d in range(len(piece))]
+            yield pd.Series(out, dtype=bool)
+
+    return clean
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", block: int = ITEMS) -> DataFrame:
+    """The rows whose text holds no item, with their columns.
+
+    Each row is judged by its own text and by nothing else: ids may be missing or repeated (``doc_id`` is
+    not read). A null text stays.
+    """
+    bounded_batches(docs)
+    scratch = Scratch(docs.sparkSession)
+    texts = docs.where(F.col(text).isNotNull()).select(F.col(text).alias("t"))
+    for i, searcher in enumerate(searchers(texts, benchmark, item_id, item_text, block)):
+        # written between blocks: one worker holds one block's axes
+        docs = (scratch.keep(docs) if i else docs).where(_clean(searcher)(F.col(text)))
+    return docs

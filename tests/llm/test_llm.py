@@ -474,6 +474,18 @@ def test_blocks_are_bounded_by_passages(spark, monkeypatch):
     assert sum(seen) == 120 * 47 and len(seen) > 1 and max(seen) <= 1.5 * decontaminate.PASSAGES
 
 
+def test_decontaminate_judges_rows_not_ids(spark):
+    rng = random.Random(12)
+    item = " ".join(f"q{rng.randint(0, 3000)}" for _ in range(30))
+    bad, good = prose(rng, 60) + " " + item, prose(rng, 60)
+    d = docs_of(spark, [(None, bad, None, None), (None, good, None, None), (1, bad, None, None), (1, good, None, None), (2, None, None, None)])
+    b = spark.createDataFrame([(0, item), (1, "some other words of a second block")], "item_id long, text string")
+    for block in (1, 200):
+        left = decontaminate.decontaminate(d, b, block=block)
+        assert left.columns == d.columns
+        assert sorted(left.select("doc_id", "text").collect(), key=str) == sorted([(None, good), (1, good), (2, None)], key=str)
+
+
 # --- pipeline and queries
 
 
