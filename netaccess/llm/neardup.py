@@ -287,11 +287,21 @@ def near_duplicates(docs: DataFrame, threshold: int = 80, width: int = 5, doc_id
     return out.select(F.col("id").alias("doc_id"), "n_shingles", component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
 
 
-def deduplicate(docs: DataFrame, **options) -> DataFrame:
-    """One document of each component, with all columns.
+def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """One row of each component of linked texts, with all columns.
 
-    Ids identify documents: rows that repeat a kept doc_id and its text all stay, and where a doc_id has
-    several texts of which one isn't kept, all rows of that doc_id go. Rows without a doc_id stay.
+    Rows are told apart by a key of their own, so ids may be missing or repeated: copies of a text leave one
+    row, and the several texts of one id are judged each for itself. Of a component the row with the
+    smallest id stays, rows without one last; then the text's digest and the row's number decide. Rows with
+    a null text or no words are linked with nothing and stay.
     """
-    gone = near_duplicates(docs, **options).where("NOT kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+    scratch = Scratch(docs.sparkSession)
+    # written once: the numbers must not change between the plans that read them
+    keyed = scratch.keep(docs.withColumn("__row", F.monotonically_increasing_id()))
+    found = near_duplicates(keyed, doc_id="__row", text=text, **options).select(F.col("doc_id").alias("__row"), "component_id")
+    linked = found.groupBy("component_id").agg(F.count("*").alias("m")).where("m > 1").select("component_id")
+    names = keyed.select("__row", F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"), F.xxhash64(text).alias("h"), F.col("__row").alias("r")).alias("o"))
+    grouped = scratch.keep(found.join(linked, "component_id").join(names, "__row").select("component_id", "__row", "o"))
+    stays = grouped.groupBy("component_id").agg(F.min("o").alias("o")).select(F.col("o.r").alias("__row"))
+    gone = scratch.keep(grouped.join(stays, "__row", "left_anti").select("__row"))
+    return keyed.join(gone, "__row", "left_anti").select(docs.columns)

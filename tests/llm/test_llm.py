@@ -486,6 +486,19 @@ def test_decontaminate_judges_rows_not_ids(spark):
         assert sorted(left.select("doc_id", "text").collect(), key=str) == sorted([(None, good), (1, good), (2, None)], key=str)
 
 
+def test_deduplicate_leaves_one_row_of_each_component(spark):
+    rng = random.Random(13)
+    long = lambda: " ".join(f"w{rng.randint(0, 5000)}" for _ in range(120))
+    a, b, c, e = long(), long(), long(), long()
+    near = a + " end"
+    rows = [(1, a), (1, a), (2, near), (None, a), (None, b), (None, b), (3, c), (5, near), (5, e), (6, None), (6, None), (7, " ")]
+    d = docs_of(spark, [(i, t, None, None) for i, t in rows])
+    left = neardup.deduplicate(d, threshold=80)
+    assert left.columns == d.columns
+    want = [(1, a), (None, b), (3, c), (5, e), (6, None), (6, None), (7, " ")]
+    assert sorted(left.select("doc_id", "text").collect(), key=str) == sorted(want, key=str)
+
+
 # --- pipeline and queries
 
 
