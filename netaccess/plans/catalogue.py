@@ -313,6 +313,12 @@ def components(spark: SparkSession, d: str) -> DataFrame:
     return network.components(b.edges(spark, d).where("edge_id % 2 = 0"))
 
 
+@query(f"WITH RECURSIVE {NETWORK}, both_ways AS (SELECT u, v FROM edges UNION SELECT v, u FROM edges), r AS (SELECT u AS node, least(u, v) AS comp FROM both_ways UNION SELECT a.u, r.comp FROM r JOIN both_ways a ON a.v = r.node) SELECT node, min(comp) AS comp FROM r GROUP BY node")
+def network_components(spark: SparkSession, d: str) -> DataFrame:
+    """Components of the whole network; ``components`` has its even edges only."""
+    return network.components(b.edges(spark, d))
+
+
 @query("""WITH p AS (SELECT vec_id, CAST(embedding[1] AS DOUBLE) * 1000 AS x, CAST(embedding[2] AS DOUBLE) * 1000 AS y FROM embeddings), d AS (
 SELECT s.vec_id AS station, e.vec_id AS entrance, sqrt((s.x - e.x) * (s.x - e.x) + (s.y - e.y) * (s.y - e.y)) AS d FROM p s JOIN p e ON s.vec_id % 10 = 1 AND e.vec_id % 40 = 0), n AS (SELECT station, min(d) AS d FROM d GROUP BY station)
 SELECT vec_id AS target_id, 'entrance' AS kind, NULL AS reason FROM p WHERE vec_id % 40 = 0 UNION ALL SELECT station, 'station', 'no entrance within 60 m' FROM n WHERE d > 60""")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from netaccess.functions import text
 from netaccess.operators import access, checks, network, places, spatial, surface, temporal, weights
+from netaccess.plans import bindings, catalogue
 from netaccess.sources import files
 
 
@@ -96,6 +97,17 @@ def test_components(spark):
     assert {r["comp"] for r in network.components(e).collect()} == {0, 50}
 
 
+def test_network_components_has_every_edge(spark):
+    d = "/root/testdata/sf0.001"
+    edges = [(r["u"], r["v"]) for r in bindings.edges(spark, d).collect()]
+    root = {x: x for e in edges for x in e}
+    for _ in root:
+        for u, v in edges:
+            root[u] = root[v] = min(root[u], root[v])
+    got = {r["node"]: r["comp"] for r in catalogue.QUERIES["network_components"](spark, d).collect()}
+    assert got == root
+
+
 def test_thresholds_and_partition(spark):
     df = spark.createDataFrame([("a", "A", 10.0, 800.0, 900.0), ("b", "A", 20.0, 800.000001, 800.0), ("c", "B", 30.0, math.inf, math.inf)], "cell_id string, district string, weight double, metro_d double, bus_d double")
     got = access.city_and_groups(df, 800.0).where("scope = 'city'").first()
