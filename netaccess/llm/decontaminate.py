@@ -276,9 +276,10 @@ class Searcher:
                     if share >= WITH_ANSWER:
                         best[d, item] = max(best.get((d, item), 0.0), self.cosine(numbers[d][s:e], item))
             for s, e in regions.get((d, item), ()):
-                # a long region is read in pieces that overlap by more than the item, edits included
-                size = 4 * len(words)
-                for at in range(s, max(s + 1, e - 2 * len(words)), max(1, size - 2 * len(words))):
+                # a long region is read in pieces; whatever lies within four times the item, or near one passage, is whole in one
+                lap = max(4 * len(words), 2 * HALF + 2 * len(words))
+                size = 2 * lap
+                for at in range(s, max(s + 1, e - lap), lap):
                     near = numbers[d][at : min(e, at + size)].tolist()
                     share = common_subsequence(words, near) / len(words)
                     tail = common_subsequence(answer, near) / len(answer) if share >= WITH_ANSWER else 0.0
