@@ -3,8 +3,9 @@
 Conversations come in many layouts: rows of turns, prompt and response, instruction, input and output,
 message arrays under various names. A layout is recognised by its fingerprint, the hash of its sorted
 nested field paths, and each known fingerprint selects a declarative mapping to canonical turns
-(role, text). Tables have one fingerprint, from their schema; columns of JSON text have one for each
-row. Canonical turns are rendered by a template whose control strings cannot occur in escaped text.
+(role, text). A table of several layouts (a union of sources by column name) has a fingerprint for each
+row, from the columns that the row fills; so has a column of JSON text. Canonical turns are rendered by a
+template whose control strings cannot occur in escaped text.
 
 Escapes: a backslash is written ``\\s``, ``<|`` is written ``\\b`` and, in roles only, a newline is
 written ``\\n``. Every backslash of an escaped text thus stands before s, b or n, so reading back is exact.
@@ -21,7 +22,8 @@ from pyspark.sql import types as T
 START, END = "<|im_start|>", "<|im_end|>\n"
 
 #: Layouts as sorted field paths, and the mapping to turns as (role, path of the text) or
-#: (array, role path, text path). Extra fields don't belong to a layout and are left out beforehand.
+#: (array, role path, text path). Extra fields don't belong to a layout and are left out beforehand. A
+#: table of rows of turns is gathered to ``turns`` first.
 MAPPINGS = {
     ("prompt", "response"): [("user", "prompt"), ("assistant", "response")],
     ("completion", "prompt"): [("user", "prompt"), ("assistant", "completion")],
@@ -98,8 +100,7 @@ def json_paths(c: Column) -> Column:
 
 def _role(c: Column) -> Column:
     known = F.create_map(*[F.lit(x) for kv in ROLES.items() for x in kv])
-    low = F.lower(c)
-    return F.coalesce(F.element_at(known, low), low)
+    return F.coalesce(F.element_at(known, F.lower(c)), c)
 
 
 def _turns(mapping, get, elements) -> Column:
@@ -113,25 +114,41 @@ def _turns(mapping, get, elements) -> Column:
     return F.array(*made)
 
 
-def canonical(df: DataFrame, column: str | None = None) -> Column:
+def filled_paths(df: DataFrame) -> Column:
+    """Known field paths of the columns that a row fills (not null), as an array."""
+    parts = []
+    for f in df.schema.fields:
+        known = [p for p in paths_of(T.StructType([f])) if p in KNOWN]
+        if known:
+            parts.append(F.when(F.col(f"`{f.name}`").isNotNull(), F.array(*map(F.lit, known))).otherwise(F.array().cast("array<string>")))
+    return F.flatten(F.array(*parts)) if parts else F.array().cast("array<string>")
+
+
+def layout(df: DataFrame, column: str | None = None) -> Column:
+    """Column expression: the fingerprint of each row, of JSON text in ``column`` or of the table's own columns."""
+    return fingerprint(filled_paths(df) if column is None else json_paths(F.col(column)))
+
+
+def canonical(df: DataFrame, column: str | None = None, found: Column | None = None) -> Column:
     """Column expression: the canonical turns of each row of ``df``.
 
-    With ``column``, that column holds JSON text of any known layout; else the table's own columns are one.
-    Null where no mapping has the fingerprint (unknown layout, null or broken JSON).
+    With ``column``, that column holds JSON text of any known layout; else the columns that a row fills are
+    its layout, so a table may hold several. Columns that no layout has count for nothing, whatever their
+    names. Roles are kept but for the names in ``ROLES``. Null where no mapping has the fingerprint (unknown
+    layout, null or broken JSON). ``found`` is the fingerprint where a column has it already.
     """
-    empty = F.lit(None).cast(TURNS)
+    found, out = layout(df, column) if found is None else found, F.lit(None).cast(TURNS)
     if column is None:
-        known = F.array(*[F.lit(p) for p in paths_of(df.schema)])
         own = {p for p in paths_of(df.schema) if p in KNOWN}
-        for paths, mapping in MAPPINGS.items():
-            if own == set(paths):  # the same test as by hash, before the plan is made
-                return F.when(fingerprint(known) == _literal(paths), _turns(mapping, F.col, lambda a, r, t: F.col(a)))
-        return empty
-    c = F.col(column)
-    found = fingerprint(json_paths(c))
-    get = lambda p: F.get_json_object(c, f"$.{p}")
-    parts = lambda a, r, t: F.from_json(F.get_json_object(c, f"$.{a}"), f"array<struct<`{r}`:string,`{t}`:string>>")
-    return reduce(lambda rest, kv: F.when(found == _literal(kv[0]), _turns(kv[1], get, parts)).otherwise(rest), MAPPINGS.items(), empty)
+        get, parts = (lambda p: F.col(p)), (lambda a, r, t: F.col(a))
+    else:
+        own, c = set(KNOWN), F.col(column)
+        get = lambda p: F.get_json_object(c, f"$.{p}")
+        parts = lambda a, r, t: F.from_json(F.get_json_object(c, f"$.{a}"), f"array<struct<`{r}`:string,`{t}`:string>>")
+    for paths, mapping in MAPPINGS.items():
+        if own.issuperset(paths):  # others cannot occur in this table
+            out = F.when(found == _literal(paths), _turns(mapping, get, parts)).otherwise(out)
+    return out
 
 
 def formatted(turns: Column) -> Column:
@@ -139,26 +156,87 @@ def formatted(turns: Column) -> Column:
     return F.array_join(F.transform(turns, lambda t: rendered(t["role"], t["text"])), "")
 
 
-def format_rows(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """Conversations kept as rows of turns: conv, formatted, loss_mask (a boolean for each turn) and loss_spans.
+def gathered(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
+    """Rows of turns to one row for each conversation: conv and ``turns``, the layout of arrays of role and text.
 
     Turns go by number, null first; equal numbers by role, then text; repeated rows are turns of their
-    own. Null roles and texts are empty. A null conversation id is a conversation. loss_spans are the
-    code point ranges [start, end) of assistant texts in ``formatted``. Other columns are left out.
-    The result is one string for each conversation, so a conversation is held whole where it is made;
-    everything before that aggregation is done turn by turn.
+    own. Null roles and texts are empty. A null conversation id is a conversation. Other columns are left
+    out. A conversation is one row from here on, so it is held whole, however long.
+    """
+    blank = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    turns = rows.select(F.col(conv).alias("c"), F.struct(F.col(turn).alias("turn"), blank(role).alias("role"), blank(text).alias("text")).alias("x"))
+    got = turns.groupBy("c").agg(F.sort_array(F.collect_list("x")).alias("x"))
+    return got.select(F.col("c").alias(conv), F.transform("x", lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text"))).alias("turns"))
+
+
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Adds columns through a generator: later expressions read their values instead of repeating them in the plan."""
+    one = F.explode(F.array(F.struct(*[c.alias(n) for n, c in columns.items()])))
+    return df.select("*", one.alias("__once")).select(*[F.col(f"`{c}`") for c in df.columns], *[F.col(f"__once.{n}") for n in columns])
+
+
+def with_format(df: DataFrame, turns: Column, role: str = "assistant") -> DataFrame:
+    """Adds formatted and loss_spans to ``df``, from canonical turns.
+
+    loss_spans are (turn, start, end) for each turn of ``role``: the code points of its text, end exclusive,
+    counted from where the turn starts in ``formatted``. Turns that are null (no layout known) give nulls.
     """
-    turns = rows.select(F.col(conv).alias("c"), F.col(turn).alias("k"), F.coalesce(F.col(role), F.lit("")).alias("r"), F.coalesce(F.col(text), F.lit("")).alias("t"))
-    by = Window.partitionBy("c").orderBy(F.col("k").asc_nulls_first(), "r", "t")
-    out = turns.withColumn("i", F.row_number().over(by)).withColumn("s", rendered(F.col("r"), F.col("t")))
-    out = out.withColumn("end", F.sum(F.length("s")).over(by.rowsBetween(Window.unboundedPreceding, 0)).cast("long"))
-    last = F.col("end") - len(END)
-    loss = F.col("r") == "assistant"
-    out = out.select("c", F.struct("i", "s", loss.alias("loss"), (last - F.length(escaped(F.col("t")))).alias("start"), last.alias("stop")).alias("x"))
-    got = out.groupBy("c").agg(F.sort_array(F.collect_list("x")).alias("x"))
-    return got.select(
-        F.col("c").alias(conv),
-        F.array_join(F.transform("x", lambda x: x["s"]), "").alias("formatted"),
-        F.transform("x", lambda x: x["loss"]).alias("loss_mask"),
-        F.transform(F.filter("x", lambda x: x["loss"]), lambda x: F.struct(x["start"].alias("start"), x["stop"].alias("end"))).alias("loss_spans"),
+    spans = F.filter(
+        F.transform(
+            turns,
+            lambda t, i: F.struct(
+                i.alias("turn"),
+                F.length(F.concat(F.lit(START), escaped(F.coalesce(t["role"], F.lit("")), True), F.lit("\n"))).alias("start"),
+                (F.length(rendered(t["role"], t["text"])) - len(END)).alias("end"),
+                (F.coalesce(t["role"], F.lit("")) == role).alias("on"),
+            ),
+        ),
+        lambda s: s["on"],
     )
+    return once(df, formatted=formatted(turns), loss_spans=F.transform(spans, lambda s: F.struct(s["turn"], s["start"], s["end"])))
+
+
+def loss_text(formatted: Column, spans: Column) -> Column:
+    """The unescaped text under the loss spans, read from the formatted string: each once, in order, nothing between."""
+    pieces = F.split(formatted, r"\Q" + END + r"\E")
+    one = lambda s: unescaped(F.get(pieces, s["turn"]).substr(s["start"] + F.lit(1), s["end"] - s["start"]))
+    return F.array_join(F.transform(spans, one), "")
+
+
+def format_rows(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
+    """Conversations kept as rows of turns: conv, formatted and loss_spans; see ``gathered`` and ``with_format``."""
+    got = gathered(rows, conv, turn, role, text)
+    return with_format(once(got.select(conv, "turns"), c=canonical(got.select("turns"))), F.col("c")).select(conv, "formatted", "loss_spans")
+
+
+#: What a conversation is in another layout, by the roles of its turns: (roles, columns of the texts).
+FLAT = [(("user", "assistant"), ("prompt", "response")), (("system", "user", "assistant"), ("system", "prompt", "response"))]
+
+
+def in_layouts(turns: DataFrame, conv: str = "conv_id") -> DataFrame:
+    """Conversations of ``gathered`` as a table of several layouts: what fits one is moved to it, the rest stays.
+
+    A user's and an assistant's turn become prompt and response, with a system turn before them also that;
+    longer ones of these roles alone become conversations (from, value) under other names of the roles; what
+    starts with a system turn becomes messages (role, content). All else, and every other role, stays in turns.
+    """
+    roles = F.transform("turns", lambda t: t["role"])
+    names = lambda rs: F.array(*map(F.lit, rs))
+    kind = F.lit("turns")
+    plain = ~F.exists(roles, lambda r: ~r.isin("user", "assistant"))
+    kind = F.when(plain & (F.size("turns") > 2), F.lit("conversations")).otherwise(kind)
+    kind = F.when((F.get("turns", F.lit(0))["role"] == "system") & (F.size("turns") > 3), F.lit("messages")).otherwise(kind)
+    for i, (rs, _) in enumerate(FLAT):
+        kind = F.when(roles == names(rs), F.lit(f"flat{i}")).otherwise(kind)
+    df = once(turns, k=kind)
+    other = F.create_map(*[F.lit(x) for kv in (("user", "human"), ("assistant", "gpt")) for x in kv])
+    at = lambda i: F.get("turns", F.lit(i))["text"]
+    columns = {
+        "conversations": F.when(F.col("k") == "conversations", F.transform("turns", lambda t: F.struct(F.element_at(other, t["role"]).alias("from"), t["text"].alias("value")))),
+        "messages": F.when(F.col("k") == "messages", F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("content")))),
+    }
+    for i, (_, texts) in enumerate(FLAT):
+        for j, name in enumerate(texts):
+            columns[name] = F.when(F.col("k") == f"flat{i}", at(j)).otherwise(columns.get(name, F.lit(None).cast("string")))
+    kept = F.when(F.col("k") == "turns", F.col("turns"))
+    return df.select(conv, *[c.alias(n) for n, c in columns.items()], kept.alias("turns"))
