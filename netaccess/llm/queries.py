@@ -28,7 +28,7 @@ def op2_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ten best integer inner products of every 100th embedding against all others."""
     rows = table(spark, sf_dir, "embeddings").where(topk.usable(F.col("embedding")))
     vectors = rows.select(F.col("vec_id").alias("id"), topk.quantised(F.col("embedding")).alias("v"))
-    return topk.exact_top_k(vectors, vectors.where(F.col("id") % 100 == 0), k=10)
+    return topk.exact_top_k(vectors, vectors.where(F.col("id") % 100 == 0), k=10).select("query_id", "rank", "vec_id", "score")
 
 
 ORACLE_SQL["op2_exact_top_k"] = """
