@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
 import re
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -18,22 +18,25 @@ _LOWER = {c: c + 32 for c in range(65, 91)}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where unset (tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share: spark.checkpoint.dir, or the context's own checkpoint folder."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
-        folder = spark.sparkContext.getCheckpointDir()
-    if not folder:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="netaccess-"))
-        folder = spark.sparkContext.getCheckpointDir()
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     return folder
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 class Scratch:
     """Intermediate tables as Parquet in the shared folder.
 
     A written table cuts lineage as a checkpoint does, survives the loss of any executor, is computed
     once, and has a known size, from which Spark decides on broadcasts. ``drop`` deletes early what no
-    later plan reads.
+    later plan reads; ``close`` the whole folder. What a lazy result still reads is deleted when the
+    program ends.
     """
 
     def __init__(self, spark: SparkSession):
@@ -41,6 +44,7 @@ class Scratch:
         self.root = f"{shared_folder(spark)}/netaccess-{uuid.uuid4().hex}"
         self.n = 0
         self.paths: dict[int, str] = {}
+        atexit.register(self.close)
 
     def keep(self, df: DataFrame) -> DataFrame:
         self.n += 1
@@ -55,19 +59,46 @@ class Scratch:
         for table in tables:
             path = self.paths.pop(id(table), None)
             if path:
-                jvm = self.spark.sparkContext._jvm
-                p = jvm.org.apache.hadoop.fs.Path(path)
-                p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+                _delete(self.spark, path)
+
+    def close(self) -> None:
+        atexit.unregister(self.close)
+        if self.n and self.spark.sparkContext._jsc is not None:
+            try:
+                _delete(self.spark, self.root)
+            except Exception as x:  # the session has ended before the program: the folder stays
+                print(f"{self.root} is not deleted: {str(x)[:100]}")
 
 
 def bounded_batches(df: DataFrame, rows: int = 1000) -> None:
-    """Batches of texts go to Python workers in at most so many rows: texts are long, and a worker holds a batch whole."""
+    """Batches of texts go to Python workers in at most so many rows: texts are long, and a worker holds a batch whole.
+
+    The session keeps the setting: a plan that is made now is executed later, and reads it then.
+    """
     key, spark = "spark.sql.execution.arrow.maxRecordsPerBatch", df.sparkSession
     now = int(spark.conf.get(key))
     if not 0 < now <= rows:
         spark.conf.set(key, str(rows))
 
 
+#: Positions of the hash by which samples are chosen.
+RANGE = 2**31
+
+
+def place(*columns: Column) -> Column:
+    """A position in 0 .. RANGE - 1 by hash."""
+    return F.pmod(F.xxhash64(F.lit(3), *columns), F.lit(RANGE))
+
+
+def cut_for(rows: DataFrame, column: Column, sample: int) -> int:
+    """The hash position below which a quarter more than ``sample`` distinct values of ``column`` lie, about.
+
+    One estimate of fixed size comes to the driver; distinct values count, so copies of one do not fill a sample.
+    """
+    n = rows.agg(F.approx_count_distinct(column, 0.02).alias("n")).first()["n"]
+    return RANGE if n <= sample else int(1.25 * sample / n * RANGE)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

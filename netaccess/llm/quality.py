@@ -1,10 +1,13 @@
 """Quality classifier by weak labels.
 
 Overlapping heuristic labellers vote good, bad or nothing on every document. Expectation-maximisation
-estimates, without any true labels, how often each labeller votes what on good and on bad documents. It needs
-only how often each combination of votes occurs, which is counted over all documents and is bounded by
-3 to the number of labellers. The posterior labels train a hashed linear scorer on ``SAMPLE`` documents
-chosen by hash; every document is scored, from its whole text.
+estimates, without any true labels, how often each labeller votes what on good and on bad documents. Votes
+depend on one another: a document has one fault or another, and a fault is seen by one labeller or by a
+few that overlap. So a document is good or bad in one of several ways (one for each labeller that it may start from), and
+votes are independent given the way; what a labeller votes on bad documents is the mean over these ways.
+It needs only how often each combination of votes occurs, which is counted over all documents and is
+bounded by 3 to the number of labellers. The posterior labels train a hashed linear scorer on ``SAMPLE``
+distinct texts chosen by hash; every document is scored, from its whole text.
 """
 
 from __future__ import annotations
@@ -19,12 +22,16 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from netaccess.llm.common import bounded_batches
+from netaccess.llm.common import bounded_batches, cut_for, place
 
 #: Buckets of the hashed features; documents that the scorer is fitted on.
 BUCKETS, SAMPLE = 2048, 6000
-#: How often at most a labeller is believed to object to a good document.
-OBJECTS = 0.0001
+#: Documents that each estimate is smoothed with: a flat prior of so many votes of each kind.
+PRIOR = 0.5
+#: Beta prior of how often a labeller objects to a good document: its mean, and its strength in documents for
+#: each document of the table. Labellers are made to be right when they object; without it the estimates
+#: settle on rare faults being noise of good documents, which the votes alone cannot tell apart.
+OBJECTS, STRENGTH = 0.001, 1.0
 #: Fixed values, the labellers: (name, bad from this share on, good up to this share); between: no vote.
 SHARES = [
     ("noise", 0.30, 0.05),  # words that end in two or more symbols
@@ -48,7 +55,7 @@ def shape(word: str) -> str:
             return m.group(2) if len(run) == 1 else m.group(2) * 2
         return "A" if run[0].isupper() else "0" if run[0].isdigit() else "a"
 
-    return _RUNS.sub(one, word[:200])
+    return _RUNS.sub(one, word)
 
 
 class Profiler:
@@ -129,37 +136,53 @@ def unpack(code: int, k: int = LABELLERS) -> list[int]:
     return [code // 3 ** (k - 1 - i) % 3 for i in range(k)]
 
 
-def expectation_maximisation(counts: dict[int, int], rounds: int = 100, k: int = LABELLERS) -> tuple[dict[int, float], float, np.ndarray]:
+def expectation_maximisation(counts: dict[int, int], rounds: int = 200, k: int = LABELLERS) -> tuple[dict[int, float], float, np.ndarray]:
     """(posterior of good by combination, share of good documents, P(vote | class) by labeller, class, vote).
 
-    Starts with documents that no labeller objects to as good, so class 1 is the good one. Deterministic.
+    Class 1 is good, class 0 bad in any way. Starts with documents that no labeller objects to as good, and
+    the others as bad in the ways of the labellers that object. The counts move the estimates from there
+    against the priors (``PRIOR``, ``OBJECTS``, ``STRENGTH``); no probability is held to a range. Deterministic.
     """
-    codes = sorted(counts)
-    votes = np.array([unpack(c, k) for c in codes]).reshape(len(codes), k)
-    w = np.array([counts[c] for c in codes], dtype=np.float64)
+    codes = sorted(c for c, n in counts.items() if n > 0)
     if not codes:
         return {}, 0.5, np.full((k, 2, 3), 1 / 3)
-    bad, good = (votes == 1).sum(1), (votes == 2).sum(1)
-    # each labeller knows one fault, so a bad document has few bad votes: start with those without any as good
-    post = np.where(bad == 0, np.clip((good + 0.5) / (good + 1), 0.02, 0.98), 0.5 ** (bad + 2.0))
-    table = np.zeros((k, 2, 3))
-    prior = 0.5
+    votes = np.array([unpack(c, k) for c in codes]).reshape(len(codes), k)
+    w = np.array([counts[c] for c in codes], dtype=np.float64)
+    bad = votes == 1
+    # way 0 is good, way i + 1 is what labeller i objects to
+    post = np.zeros((len(codes), k + 1))
+    post[:, 1:] = bad / np.maximum(1, bad.sum(1))[:, None]
+    post[:, 0] = ~bad.any(1)
+    # a way that no document starts from stays empty
+    used = np.flatnonzero((w[:, None] * post).sum(0) > 0)
+    post = 0.98 * post[:, used] + 0.02 / len(used)
+    onehot = np.stack([votes == v for v in range(3)], axis=2).astype(np.float64)
     for _ in range(rounds):
-        for c, p in ((0, 1 - post), (1, post)):
-            for v in range(3):
-                table[:, c, v] = ((votes == v) * (w * p)[:, None]).sum(0) + 0.1
+        mass = w[:, None] * post
+        table = np.einsum("nc,nkv->ckv", mass, onehot) + PRIOR
+        if used[0] == 0:
+            said = table[0, :, 1].copy()
+            rest = table[0].sum(1) - said
+            # the posterior mean of objecting, and the other votes in their own proportion
+            objects = (said + OBJECTS * STRENGTH * w.sum()) / (said + rest + STRENGTH * w.sum())
+            table[0] *= ((1 - objects) / rest)[:, None]
+            table[0, :, 1] = objects
         table /= table.sum(2, keepdims=True)
-        # labellers are made to be right when they object: else EM explains a rare fault as noise of good documents
-        table[:, 1, 1] = np.minimum(table[:, 1, 1], OBJECTS)
-        table /= table.sum(2, keepdims=True)
-        prior = float((w * post).sum() / w.sum())
-        ll = [np.log(max(1e-6, q)) + sum(np.log(table[i, c][votes[:, i]]) for i in range(k)) for c, q in ((0, 1 - prior), (1, prior))]
-        new = 1 / (1 + np.exp(np.clip(ll[0] - ll[1], -50, 50)))
+        share = (mass.sum(0) + PRIOR) / (w.sum() + PRIOR * len(used))
+        ll = np.log(share)[None, :] + np.einsum("nkv,ckv->nc", onehot, np.log(table))
+        new = np.exp(ll - ll.max(1, keepdims=True))
+        new /= new.sum(1, keepdims=True)
         done = float(np.abs(new - post).max()) < 1e-9
         post = new
         if done:
             break
-    return dict(zip(codes, post.tolist(), strict=True)), prior, table
+    good = np.flatnonzero(used == 0)
+    p_good = post[:, good].sum(1)
+    out = np.full((k, 2, 3), 1 / 3)
+    for c, p in ((0, 1 - p_good), (1, p_good)):
+        out[:, c] = np.einsum("n,nkv->kv", w * p, onehot) + PRIOR / 3
+    out /= out.sum(2, keepdims=True)
+    return dict(zip(codes, p_good.tolist(), strict=True)), float((w * p_good).sum() / w.sum()), out
 
 
 def fit_scorer(X: np.ndarray, y: np.ndarray, rounds: int = 300, rate: float = 2.0, ridge: float = 1e-4) -> tuple[np.ndarray, float]:
@@ -197,31 +220,31 @@ def _examples(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     profiler = Profiler()
     for pdf in batches:
         # big-endian bytes: small on the driver, and they sort as the numbers do
-        rows = [(c, np.flatnonzero(x).astype(">i4").tobytes(), x[x > 0].astype(">f4").tobytes()) for c, x, ok in map(profiler.profile, pdf["t"]) if ok]
+        rows = [(h, c, np.flatnonzero(x).astype(">i4").tobytes(), x[x > 0].astype(">f4").tobytes()) for h, (c, x, ok) in zip(pdf["h"], map(profiler.profile, pdf["t"]), strict=True) if ok]
         if rows:
-            yield pd.DataFrame(rows, columns=["code", "at", "x"])
+            yield pd.DataFrame(rows, columns=["h", "code", "at", "x"])
 
 
 def train(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> dict:
-    """Posterior by combination of votes, weights and bias."""
+    """Posterior by combination of votes, weights and bias.
+
+    The scorer learns from at most ``sample`` distinct texts, those with the smallest hashes: copies of a
+    text are one example, so its number and the result do not depend on how often rows repeat.
+    """
     bounded_batches(docs)
-    texts = docs.select(F.col(text).alias("t"))
+    texts = docs.select(F.col(f"`{text}`").alias("t")).where(F.col("t").isNotNull())
     rows = texts.mapInPandas(_votes, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).collect()
     counts = {r["code"]: r["n"] for r in rows if r["n"]}
     posterior, prior, table = expectation_maximisation(counts)
-    total = sum(counts.values())
-    # a share of the hash range that holds a quarter more than the sample, then cut to its size
-    limit = int(min(1.0, 1.25 * sample / max(1, total)) * 2**31)
-    # the id spreads copies of one text over the hash range
-    key = F.xxhash64(F.lit(3), *[F.col(f"`{c}`") for c in docs.columns if dict(docs.dtypes)[c] in ("bigint", "int", "string")])
-    chosen = docs.select(F.col(text).alias("t"), F.pmod(key, F.lit(2**31)).alias("h")).where(F.col("h") < limit).select("t")
-    got = chosen.mapInPandas(_examples, "code long, at binary, x binary").limit(sample * 2).collect()
-    got = sorted(got, key=lambda r: (r["code"], bytes(r["at"]), bytes(r["x"])))
-    got = got[:: max(1, -(-len(got) // sample))]
+    at = place(F.col("t"))
+    chosen = texts.select("t", at.alias("h")).where(F.col("h") < cut_for(texts, at, sample))
+    # in the range are a quarter more texts than the sample; copies have the same features
+    found = chosen.mapInPandas(_examples, "h long, code long, at binary, x binary").groupBy("h").agg(F.min(F.struct("code", "at", "x")).alias("e"))
+    got = sorted(((r["h"], r["e"]) for r in found.collect()), key=lambda r: r[0])[:sample]
     X, y = np.zeros((len(got), BUCKETS), np.float32), np.zeros(len(got))
-    for i, r in enumerate(got):
-        X[i, np.frombuffer(r["at"], ">i4")] = np.frombuffer(r["x"], ">f4")
-        y[i] = posterior.get(r["code"], prior)
+    for i, (_, e) in enumerate(got):
+        X[i, np.frombuffer(e["at"], ">i4")] = np.frombuffer(e["x"], ">f4")
+        y[i] = posterior.get(e["code"], prior)
     weights, bias = fit_scorer(X, y)
     return {"posterior": posterior, "prior": prior, "table": table, "weights": weights.astype(np.float32), "bias": float(bias)}
 
@@ -235,7 +258,7 @@ def classify(docs: DataFrame, keys: dict[str, Column], text: str = "text", thres
     """
     model = train(docs, text, sample)
     posterior, prior, weights, bias = model["posterior"], model["prior"], model["weights"], model["bias"]
-    rows = docs.select(*[c.alias(k) for k, c in keys.items()], F.col(text).alias("__t"))
+    rows = docs.select(*[c.alias(k) for k, c in keys.items()], F.col(f"`{text}`").alias("__t"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]) + ", score double, posterior double, kept boolean"
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
