@@ -36,6 +36,9 @@ CHUNKS, PLACES, DISTANCE = 8, 4, 15
 SMALL, LEADERS = 8, 3
 #: Classes, and hashes in their sets, of a block of a large key (one class at least).
 BLOCK, BLOCK_HASHES = 512, 500_000
+#: Bits of the filter of ids for each id in it, and at most (32 MB are broadcast): beyond it the filter lets more
+#: rows through, and the join after it, which decides, reads more.
+FILTER_BITS, FILTER_MOST = 16, 2**28
 _RNG = np.random.default_rng(20240229)
 _A = _RNG.integers(1, 2**63, CHUNKS * PLACES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _RNG.integers(0, 2**63, CHUNKS * PLACES, dtype=np.uint64)
@@ -116,6 +119,20 @@ def _sets(width: int):
     return run
 
 
+def prefiltered(rows: DataFrame, ids: DataFrame, n: int) -> DataFrame:
+    """The rows whose id may be among ``ids`` (n of them), by a bitmap of bounded size, before anything is shuffled."""
+    bits = 2**15
+    while bits < min(FILTER_BITS * n, FILTER_MOST):
+        bits *= 2
+    at = lambda c: F.pmod(F.xxhash64(F.lit(21), F.col(c)), F.lit(bits))
+    maps = ids.select(at("id").alias("p")).groupBy(F.floor(F.col("p") / 2**15).cast("long").alias("part"))
+    maps = maps.agg(F.bitmap_construct_agg(F.col("p") % 2**15).alias("m"))
+    rows = rows.withColumn("p", at("id"))
+    byte = F.conv(F.hex(F.substring(F.col("m"), (F.floor((F.col("p") % 2**15) / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    on = F.floor(rows.p / 2**15).cast("long") == F.col("part")
+    return rows.join(F.broadcast(maps), on).where(F.getbit(byte, (F.col("p") % 8).cast("int")) == 1).drop("p", "part", "m")
+
+
 def _distance(a: str, b: str):
     """Places in which two signatures differ."""
     lane = [0xFFFF << 16 * p for p in range(PLACES)]
@@ -229,7 +246,7 @@ def near_duplicates(docs: DataFrame, threshold: int = 80, width: int = 5, doc_id
     """
     bounded_batches(docs)
     scratch = Scratch(docs.sparkSession)
-    rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("t"))
+    rows = docs.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("t"))
     base = scratch.keep(rows.mapInPandas(_profiles(width), "id long, n long, a long, b long, sig array<long>"))
     full = base.where("n > 0 AND id IS NOT NULL")
     classes = scratch.keep(full.groupBy("a", "b").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig")))
@@ -238,22 +255,23 @@ def near_duplicates(docs: DataFrame, threshold: int = 80, width: int = 5, doc_id
     keyed = classes.select(
         "rep", "a", F.explode(F.array(*[F.xxhash64(F.lit(c * PLACES + p), F.col("sig")[c].bitwiseAND(F.lit(mask[p]))) for c in range(CHUNKS) for p in range(PLACES)])).alias("key")
     )
-    shared = keyed.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
+    # merge joins on keys: a key of very many classes is a skewed partition, which adaptive execution splits
+    counts = keyed.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
     place = F.pmod(F.xxhash64(F.lit(5), F.col("a")), F.lit(2**40)).cast("double") / float(2**40)
-    shared = scratch.keep(keyed.join(shared, "key").select("key", "m", F.col("a").alias("node"), place.alias("h")))
+    shared = scratch.keep(keyed.join(counts.hint("merge"), "key").select("key", "m", F.col("a").alias("node"), place.alias("h")))
     nodes = shared.select("node").distinct()
-    candidates = classes.join(nodes, classes.a == nodes.node, "left_semi").select("a", "rep", "n", "sig")
-    candidates = scratch.keep(candidates)
-    # the full sets of those classes alone, from the text of their smallest document
+    candidates = scratch.keep(classes.join(nodes, classes.a == nodes.node, "left_semi").select("a", "rep", "n", "sig"))
+    # the full sets of those classes alone, from the text of their smallest document; other texts are not shuffled
     ids = candidates.select(F.col("rep").alias("id")).distinct()
+    likely = prefiltered(rows, ids, candidates.count())
     # a merge join at every size: the ids grow with the documents, so they are never broadcast
-    sets = rows.join(ids.hint("merge"), "id", "left_semi").mapInPandas(_sets(width), "a long, s array<long>")
+    sets = likely.join(ids.hint("merge"), "id", "left_semi").mapInPandas(_sets(width), "a long, s array<long>")
     sets = scratch.keep(sets.join(candidates, "a", "left_semi").groupBy("a").agg(F.first("s").alias("s")))
     labels = scratch.keep(candidates.select(F.col("a").alias("node"), F.col("a").alias("comp")))
     sig = candidates.select("a", "n", "sig")
     leads = (F.col("m") <= SMALL) | (F.col("h") * F.col("m") < LEADERS)
     lead = shared.where(leads).select("key", F.col("node").alias("u"), F.col("h").alias("hu"))
-    pairs = lead.join(shared.select("key", F.col("node").alias("v"), F.col("h").alias("hv")), "key")
+    pairs = shared.select("key", F.col("node").alias("v"), F.col("h").alias("hv")).join(lead.hint("merge"), "key")
     pairs = pairs.where((F.col("hv") > F.col("hu")) | ((F.col("hv") == F.col("hu")) & (F.col("v") > F.col("u")))).select("u", "v").distinct()
     near = pairs.join(sig.toDF("u", "nu", "su"), "u").join(sig.toDF("v", "nv", "sv"), "v")
     # a link needs sizes within the threshold of each other
@@ -266,7 +284,7 @@ def near_duplicates(docs: DataFrame, threshold: int = 80, width: int = 5, doc_id
     # large keys whose classes aren't all in one component yet
     large = shared.where(F.col("m") > SMALL).join(labels, "node")
     first = large.groupBy("key").agg(F.min_by("node", "h").alias("first"), (F.min("comp") != F.max("comp")).alias("open")).where("open")
-    members = scratch.keep(large.join(first.select("key", "first"), "key").select("first", "node", "comp").distinct())
+    members = scratch.keep(large.join(first.select("key", "first").hint("merge"), "key").select("first", "node", "comp").distinct())
     if members.limit(1).count():
         sized = members.join(candidates.select(F.col("a").alias("node"), "n"), "node").groupBy("first").agg(F.count("*").alias("c"), F.sum("n").alias("s"))
         sized = sized.select("first", F.greatest(F.ceil(F.col("c") / BLOCK), F.ceil(F.col("s") / BLOCK_HASHES)).cast("int").alias("blocks"))
@@ -280,11 +298,13 @@ def near_duplicates(docs: DataFrame, threshold: int = 80, width: int = 5, doc_id
     reps = candidates.join(labels, candidates.a == labels.node).select("a", "rep", "comp")
     smallest = reps.groupBy("comp").agg(F.min("rep").alias("component"))
     named = classes.select("a", "b", "rep").join(reps.select("a", "comp"), "a", "left").join(smallest, "comp", "left")
-    named = named.select("a", "b", F.coalesce("component", "rep").alias("component_id")).withColumn("n", F.lit(True))
+    named = named.select("a", "b", F.coalesce("component", "rep").alias("component_id"))
     out = base.select("id", F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull() & (F.col("n") > 0), F.col("a")).alias("a"), "b")
-    out = out.join(named.drop("n"), ["a", "b"], "left")
+    out = out.join(named, ["a", "b"], "left")
     component = F.coalesce("component_id", "id")
-    return out.select(F.col("id").alias("doc_id"), "n_shingles", component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
+    out = scratch.keep(out.select(F.col("id").alias("doc_id"), "n_shingles", component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept")))
+    scratch.drop(base, classes, candidates, labels)
+    return out
 
 
 def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
@@ -296,12 +316,14 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **o
     a null text or no words are linked with nothing and stay.
     """
     scratch = Scratch(docs.sparkSession)
-    # written once: the numbers must not change between the plans that read them
-    keyed = scratch.keep(docs.withColumn("__row", F.monotonically_increasing_id()))
-    found = near_duplicates(keyed, doc_id="__row", text=text, **options).select(F.col("doc_id").alias("__row"), "component_id")
+    # written once: the numbers must not change between the plans that read them; the row is apart from what is added
+    row = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)])
+    keyed = scratch.keep(docs.select(F.monotonically_increasing_id().alias("r"), F.col(f"`{doc_id}`").alias("i"), F.col(f"`{text}`").alias("t"), row.alias("row")))
+    found = near_duplicates(keyed, doc_id="r", text="t", **options).select(F.col("doc_id").alias("r"), "component_id")
     linked = found.groupBy("component_id").agg(F.count("*").alias("m")).where("m > 1").select("component_id")
-    names = keyed.select("__row", F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"), F.xxhash64(text).alias("h"), F.col("__row").alias("r")).alias("o"))
-    grouped = scratch.keep(found.join(linked, "component_id").join(names, "__row").select("component_id", "__row", "o"))
-    stays = grouped.groupBy("component_id").agg(F.min("o").alias("o")).select(F.col("o.r").alias("__row"))
-    gone = scratch.keep(grouped.join(stays, "__row", "left_anti").select("__row"))
-    return keyed.join(gone, "__row", "left_anti").select(docs.columns)
+    names = keyed.select("r", F.struct(F.col("i").isNull().alias("none"), F.col("i").alias("id"), F.xxhash64("t").alias("h"), "r").alias("o"))
+    grouped = scratch.keep(found.join(linked, "component_id").join(names, "r").select("component_id", "r", "o"))
+    stays = grouped.groupBy("component_id").agg(F.min("o").alias("o")).select(F.col("o.r").alias("r"))
+    gone = scratch.keep(grouped.join(stays, "r", "left_anti").select("r"))
+    kept = keyed.join(gone, "r", "left_anti")
+    return kept.select(*[F.col(f"row.c{i}").alias(c) for i, c in enumerate(docs.columns)])
