@@ -1,8 +1,8 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-1. Document frequencies of the benchmark's words are counted over all documents.
+1. Document frequencies of the benchmark's words are counted over all documents, for all items at once.
 2. Benchmark items are cut into passages; a randomised SVD of their TF-IDF matrix, computed over the
-   passages' partitions, gives latent axes.
+   passages' partitions, gives latent axes, for each block of items its own.
 3. Every document is cut into overlapping passages, each projected on the axes and compared with all item
    passages by cosine (with the full TF-IDF norm of the document's passage). Passages whose projection is
    too short to reach the threshold are left out beforehand, which loses nothing.
@@ -12,14 +12,18 @@
    enough of all its words. Every copy within such a window is a candidate, whatever the axes, the weights
    and the number of documents.
 5. Candidates are checked on words: the longest common subsequence of the item and the document around the
-   passage, and that of the item's answer (its last quarter). So edited copies count, shared words do not.
+   passage, and that of the item's answer (what follows a word for it, else the last sentence). So edited
+   copies count, shared words do not. Items of fewer than ``LEAST_WORDS`` words have too little to compare:
+   they are found where their words stand in a row.
 
-The documents are read twice, and nothing of them is shuffled but the result. The benchmark is worked
-through in blocks of at most about ``ITEMS`` items and ``PASSAGES`` passages, which bounds what each task holds.
+The documents are read twice, and nothing of them is shuffled but the result. Items are worked on in blocks of
+at most about ``ITEMS`` items and ``PASSAGES`` passages; one reading searches all blocks, or ``AT_ONCE`` of them
+where there are more, which bounds what each task holds.
 """
 
 from __future__ import annotations
 
+import re
 import string
 from collections.abc import Iterator
 
@@ -33,15 +37,19 @@ from netaccess.llm.common import Scratch, bounded_batches, chunks
 #: Words of half a passage (passages are two halves and overlap by one), step between an item's passages.
 HALF, STEP = 12, 6
 #: Latent axes, extra random directions, power iterations, items at a time.
-AXES, EXTRA, POWERS, ITEMS = 384, 16, 2, 200
+AXES, EXTRA, POWERS, ITEMS = 128, 16, 2, 200
+#: Blocks that one reading of the documents searches: about 4 MB of vectors each.
+AT_ONCE = 24
 #: Passages of a block's items, about: longer items make smaller blocks, so that the axes suffice.
 PASSAGES = 1_600
 #: Share of an item's words, the rarest first, by which texts are chosen for the look through their windows.
 RAREST = 0.8
 #: Least cosine of a candidate; least share of an item's words in common order, alone or with the answer.
 COSINE, ALONE, WITH_ANSWER, ANSWER = 0.3, 0.75, 0.6, 0.75
-#: Items with fewer words are never reported: so few words in order prove nothing.
+#: Items with fewer words are found as whole sequences of words only.
 LEAST_WORDS = 5
+#: Words (followed by a colon) that an item's answer comes after.
+ANSWERS = re.compile(r"(?:\banswer|\bsolution|\ba)\s*:", re.IGNORECASE)
 _MARKS = string.punctuation + "«»“”„‘’…–—"
 
 
@@ -49,8 +57,17 @@ def item_words(text: str | None) -> list[str]:
     return [c for w in (text or "").lower().split() if (c := w.strip(_MARKS))]
 
 
+def answer_length(text: str) -> int:
+    """Words of an item's answer: what follows the last word for it, else the last sentence; 3 at least, no more than the item."""
+    n = len(item_words(text))
+    marks = list(ANSWERS.finditer(text))
+    tail = text[marks[-1].end() :] if marks else re.split(r"[.?!]\s+", text.strip())[-1]
+    k = len(item_words(tail))
+    return min(n, max(3, k if 0 < k < n else -(-n // 4)))
+
+
 class Vocabulary(dict):
-    """Number of a token, from 2 on; 1 for a word that the benchmark doesn't have. 0 is padding."""
+    """Number of a token, from 2 on; 1 for a word that the benchmark doesn't have, 0 for padding and marks alone."""
 
     def __init__(self, words: list[str]):
         super().__init__()
@@ -59,7 +76,8 @@ class Vocabulary(dict):
     def __missing__(self, token: str) -> int:
         if len(self) > 150_000:
             self.clear()
-        n = self[token] = self.base.get(token.strip(_MARKS), 1)
+        word = token.strip(_MARKS)
+        n = self[token] = self.base.get(word, 1) if word else 0
         return n
 
     def numbers(self, text: str | None) -> np.ndarray:
@@ -102,7 +120,7 @@ def document_frequencies(docs: DataFrame, words: list[str]) -> tuple[np.ndarray,
         for pdf in batches:
             for t in pdf["t"]:
                 # distinct words are enough here
-                df[list({vocabulary[w] for w in set((t or "").lower().split())})] += 1
+                df[list({*map(vocabulary.__getitem__, set((t or "").lower().split()))})] += 1
                 n += 1
         df[0] = n
         at = np.flatnonzero(df)
@@ -156,23 +174,36 @@ def latent_axes(spark, passages: list[list[int]], idf: np.ndarray, axes: int = A
 
 
 class Searcher:
-    """What a task needs to find the items of one block in texts."""
+    """What a task needs to find the items of one block in texts.
+
+    ``items`` are word numbers of the block, ``answers`` the lengths of their answers, ``names`` the numbers of
+    the block's words in the vocabulary of all.
+    """
 
-    def __init__(self, words, items, ids, idf, axes):
-        self.words, self.items, self.ids = words, items, ids
+    def __init__(self, items, answers, ids, names, idf, axes):
+        self.items, self.answers, self.ids, self.names = items, answers, ids, names
         self.vectors = (idf[:, None] * axes).astype(np.float32)
         self.square = (idf * idf).astype(np.float32)
-        parts = item_passages(items)
-        self.owner = np.array([i for i, _ in parts])
-        rows = np.array([self.vectors[p].sum(0) for _, p in parts])
-        norms = np.array([np.sqrt(self.square[p].sum()) for _, p in parts])
+        self.length = np.sqrt((self.vectors * self.vectors).sum(1))
+        self.short = [i for i, words in enumerate(items) if len(words) < LEAST_WORDS]
+        parts = item_passages([w if len(w) >= LEAST_WORDS else [] for w in items])
+        self.owner = np.array([i for i, _ in parts], dtype=np.int64)
+        rows = np.array([self.vectors[p].sum(0) for _, p in parts]).reshape(len(parts), self.vectors.shape[1])
+        norms = np.array([np.sqrt(self.square[p].sum()) for _, p in parts]).reshape(-1)
         self.parts = (rows / np.maximum(norms, 1e-9)[:, None]).astype(np.float32).T
         self._index(idf)
 
     def _index(self, idf: np.ndarray) -> None:
         """For each word the items that have it among their rarest, and what a copy of an item needs of words."""
-        posts, self.kinds, self.rare, self.need, self.rare_need = [], [], [], [], []
+        posts, self.kinds, self.times, self.rare, self.need, self.rare_need = [], [], [], [], [], []
         for i, words in enumerate(self.items):
+            if len(words) < LEAST_WORDS:
+                self.kinds.append(None)
+                self.times.append(None)
+                self.rare.append(None)
+                self.need.append(0)
+                self.rare_need.append(2**40)  # never reached
+                continue
             kinds, times = np.unique(words, return_counts=True)
             order = np.argsort(-idf[kinds], kind="stable")
             upto = np.cumsum(times[order])
@@ -180,6 +211,7 @@ class Searcher:
             need = int(np.ceil(WITH_ANSWER * len(words) - 1e-9))
             # a copy lacks at most len - need words; it has the rest of the rarest
             self.kinds.append(kinds)
+            self.times.append(times)
             self.rare.append(kinds[chosen])
             self.need.append(need)
             self.rare_need.append(int(times[chosen].sum()) - (len(words) - need))
@@ -189,12 +221,22 @@ class Searcher:
         self.first_post = np.searchsorted(self.post[:, 0], np.arange(len(self.vectors) + 1))
         self.rare_need = np.array(self.rare_need)
 
-    def windows(self, numbers: list[np.ndarray]) -> Iterator[tuple[int, int, int, int]]:
+    def sequences(self, numbers: list[np.ndarray], has: np.ndarray) -> Iterator[tuple[int, int]]:
+        """(text, item) of the short items whose words stand in a row in the text."""
+        for i in self.short:
+            words = np.array(self.items[i])
+            for d in np.flatnonzero(has[:, words].all(1)):
+                x = numbers[d]
+                x = x[x > 0]  # what has no letter or digit is no word
+                starts = np.flatnonzero(x[: len(x) - len(words) + 1] == words[0]) if len(x) >= len(words) else ()
+                if any((x[s : s + len(words)] == words).all() for s in starts):
+                    yield int(d), i
+
+    def windows(self, numbers: list[np.ndarray], has: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
         """(text, item, start, end) of every window that has enough of the item's words; exact, no sample."""
         count = len(self.items)
-        has = np.zeros((len(numbers), len(self.vectors)), dtype=bool)
-        for d, x in enumerate(numbers):
-            has[d, x] = True
+        has = has.copy()
+        has[:, :2] = False
         d, w = np.nonzero(has)
         first = self.first_post[w]
         n = self.first_post[w + 1] - first
@@ -221,51 +263,68 @@ class Searcher:
         norm = np.sqrt(self.square[x].sum())
         return float((self.vectors[x].sum(0) @ self.parts[:, self.owner == item]).max() / max(1e-9, norm))
 
-    def search(self, texts: list, vocabulary: Vocabulary) -> list[tuple]:
-        """(text, item id, cosine, share of the item's words, share of the answer's) of contaminated texts."""
-        numbers = [vocabulary.numbers(t) for t in texts]
+    def regions(self, numbers: list[np.ndarray], best: dict) -> dict[tuple[int, int], list[tuple[int, int]]]:
+        """Stretches of the texts around passages whose cosine with an item's passage reaches the threshold."""
         halves = [-(-len(x) // HALF) + 1 for x in numbers]  # one empty half behind each text
         flat = np.zeros(sum(halves) * HALF, dtype=np.int32)
         first = np.cumsum([0, *halves])
         for x, f in zip(numbers, first, strict=False):
             flat[f * HALF : f * HALF + len(x)] = x
-        k = self.vectors.shape[1]
-        best: dict[tuple[int, int], float] = {}
         regions: dict[tuple[int, int], list[tuple[int, int]]] = {}
-        doc_of = np.repeat(np.arange(len(texts)), halves)
-        for lo in range(0, len(doc_of) - 1, 1024):
-            hi = min(len(doc_of), lo + 1025)
-            part = flat[lo * HALF : hi * HALF]
-            sums = self.vectors[part].reshape(-1, HALF, k).sum(1)
-            square = self.square[part].reshape(-1, HALF).sum(1)
-            x, norm = sums[:-1] + sums[1:], np.sqrt(square[:-1] + square[1:])
-            reach = np.sqrt((x * x).sum(1))
-            able = np.flatnonzero(reach >= COSINE * np.maximum(norm, 1e-9))
-            if not len(able):
+        doc_of = np.repeat(np.arange(len(numbers)), halves)
+        if not self.parts.shape[1]:
+            return regions
+        # a projection is no longer than the passage's part in the block's words, each word counted as often as it stands
+        inside = self.length[flat].reshape(-1, HALF).sum(1)
+        square = self.square[flat].reshape(-1, HALF).sum(1)
+        norms = np.maximum(np.sqrt(square[:-1] + square[1:]), 1e-9)
+        able = np.flatnonzero(inside[:-1] + inside[1:] >= COSINE * norms)
+        where = np.zeros(len(square), dtype=np.int64)
+        for lo in range(0, len(able), 1024):
+            mine = able[lo : lo + 1024]
+            half = np.unique(np.concatenate([mine, mine + 1]))
+            where[half] = np.arange(len(half))
+            part = flat.reshape(-1, HALF)[half]
+            sums = np.einsum("hwk->hk", self.vectors[part])
+            x = sums[where[mine]] + sums[where[mine + 1]]
+            norm = norms[mine]
+            long = np.flatnonzero((x * x).sum(1) >= (COSINE * norm) ** 2)
+            if not len(long):
                 continue
-            x, norm = x[able], np.maximum(norm[able], 1e-9)[:, None]
-            hits = []
+            x, norm, mine = x[long], norm[long], mine[long]
             for c in range(0, self.parts.shape[1], 4096):
-                cos = (x @ self.parts[:, c : c + 4096]) / norm
-                hits += [(a, c + p, cos[a, p]) for a, p in zip(*np.nonzero(cos >= COSINE), strict=True)]
-            for a, p, value in hits:
-                h = lo + int(able[a])
-                d, item = int(doc_of[h]), int(self.owner[p])
-                n, s = len(self.items[item]), (h - int(first[d])) * HALF
-                region = max(0, s - n), s + 2 * HALF + n
-                kept = regions.setdefault((d, item), [])
-                if kept and kept[-1][1] >= region[0] >= kept[-1][0]:
-                    kept[-1] = kept[-1][0], max(kept[-1][1], region[1])
-                else:
-                    kept.append(region)
-                best[d, item] = max(best.get((d, item), 0.0), float(value))
+                cos = (x @ self.parts[:, c : c + 4096]) / norm[:, None]
+                for a, p in zip(*np.nonzero(cos >= COSINE), strict=True):
+                    h = int(mine[a])
+                    d, item = int(doc_of[h]), int(self.owner[c + p])
+                    n, s = len(self.items[item]), (h - int(first[d])) * HALF
+                    region = max(0, s - n), s + 2 * HALF + n
+                    kept = regions.setdefault((d, item), [])
+                    if kept and kept[-1][1] >= region[0] >= kept[-1][0]:
+                        kept[-1] = kept[-1][0], max(kept[-1][1], region[1])
+                    else:
+                        kept.append(region)
+                    best[d, item] = max(best.get((d, item), 0.0), float(cos[a, p]))
+        return regions
+
+    def search(self, everywhere: list[np.ndarray], place: np.ndarray) -> list[tuple]:
+        """(text, item id, cosine, share of the item's words, share of the answer's) of contaminated texts.
+
+        ``everywhere`` are the texts as numbers of the whole vocabulary, ``place`` those of this block.
+        """
+        numbers = [place[x] for x in everywhere]
+        has = np.zeros((len(numbers), len(self.vectors)), dtype=bool)
+        for d, x in enumerate(numbers):
+            has[d, x] = True
+        out = [(d, self.ids[i], 1.0, 1.0, 1.0) for d, i in self.sequences(numbers, has)]
         windows: dict[tuple[int, int], list[tuple[int, int]]] = {}
-        for d, item, s, e in self.windows(numbers):
+        for d, item, s, e in self.windows(numbers, has):
             windows.setdefault((d, item), []).append((s, e))
-        out = []
+        best: dict[tuple[int, int], float] = {}
+        regions = self.regions(numbers, best)
         for d, item in sorted({*regions, *windows}):
             words = self.items[item]
-            answer = words[-max(3, len(words) // 4) :]
+            answer = words[-self.answers[item] :]
             found = (0.0, 0.0)
             for s, e in windows.get((d, item), ()):
                 near = numbers[d][s:e].tolist()
@@ -280,7 +339,11 @@ class Searcher:
                 lap = max(4 * len(words), 2 * HALF + 2 * len(words))
                 size = 2 * lap
                 for at in range(s, max(s + 1, e - lap), lap):
-                    near = numbers[d][at : min(e, at + size)].tolist()
+                    piece = numbers[d][at : min(e, at + size)]
+                    # no more words in common order than there are in common
+                    if not self._enough(piece, item):
+                        continue
+                    near = piece.tolist()
                     share = common_subsequence(words, near) / len(words)
                     tail = common_subsequence(answer, near) / len(answer) if share >= WITH_ANSWER else 0.0
                     found = max(found, (share, tail))
@@ -289,83 +352,129 @@ class Searcher:
                 out.append((d, self.ids[item], best[d, item], share, tail))
         return out
 
+    def _enough(self, piece: np.ndarray, item: int) -> bool:
+        times = np.bincount(piece, minlength=len(self.vectors))[self.kinds[item]]
+        return int(np.minimum(times, self.times[item]).sum()) >= self.need[item]
+
+
+class Search:
+    """Several blocks' searchers over one vocabulary: what one reading of the documents looks for."""
+
+    def __init__(self, words: list[str], blocks: list[Searcher]):
+        self.words, self.blocks = words, blocks
+
+    def __call__(self, batches: Iterator[tuple[list, list]]) -> Iterator[tuple]:
+        """From (keys, texts) to (key, item id, cosine, words, answer)."""
+        vocabulary = Vocabulary(self.words)
+        places = []
+        for block in self.blocks:
+            place = np.ones(len(self.words) + 2, dtype=np.int32)
+            place[0] = 0
+            place[block.names] = np.arange(2, len(block.names) + 2)
+            places.append(place)
+        for keys, texts in batches:
+            numbers = [vocabulary.numbers(t) for t in texts]
+            for block, place in zip(self.blocks, places, strict=True):
+                for d, *rest in block.search(numbers, place):
+                    yield keys[d], *rest
+
 
-def searchers(texts: DataFrame, benchmark: DataFrame, item_id: str, item_text: str, block: int) -> Iterator[Searcher]:
-    """A searcher for each block of the benchmark's items; ``texts`` has the documents' texts as ``t``."""
-    rows = benchmark.where(F.col(item_text).isNotNull()).select(F.col(item_id).alias("i"), F.col(item_text).alias("t"))
-    # blocks of items by a hash, sized by counts of items and of their passages; each comes to the driver alone
+def searches(texts: DataFrame, benchmark: DataFrame, item_id: str, item_text: str, block: int, at_once: int = AT_ONCE) -> Iterator[Search]:
+    """Searches for all of the benchmark's items, ``at_once`` blocks each; ``texts`` has the documents' texts as ``t``.
+
+    The benchmark's items come to the driver, ``at_once`` blocks at a time: benchmarks do not grow with documents.
+    """
+    rows = benchmark.where(F.col(f"`{item_text}`").isNotNull()).select(F.col(f"`{item_id}`").alias("i"), F.col(f"`{item_text}`").alias("t"))
+    # blocks of items by a hash, sized by counts of items and of their passages
     over = F.greatest(F.size(F.split(F.trim("t"), r"\s+")) - 2 * HALF, F.lit(0))
     size = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum(1 + F.ceil(over / STEP)), F.lit(0)).alias("p")).first()
     blocks = max(-(-size["n"] // block), -(-int(size["p"]) // PASSAGES))
-    for b in range(blocks):
-        part = rows.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == b).orderBy("i", "t").collect()
-        found = [(r["i"], w) for r in part if len(w := item_words(r["t"])) >= LEAST_WORDS]
+    number = F.pmod(F.xxhash64("i", "t"), F.lit(max(1, blocks))).alias("b")
+    for lo in range(0, blocks, at_once):
+        part = rows.select("i", "t", number).where((F.col("b") >= lo) & (F.col("b") < lo + at_once)).orderBy("b", "i", "t").collect()
+        found = [(r["b"], r["i"], w, answer_length(r["t"])) for r in part if (w := item_words(r["t"]))]
         if not found:
             continue
-        words = sorted({w for _, ws in found for w in ws})
+        words = sorted({w for _, _, ws, _ in found for w in ws})
         df, n = document_frequencies(texts, words)
-        idf = np.log((n + 2) / (df + 1))
-        idf[0], idf[1] = 0.0, outside_weight(idf, df)  # padding; words that the benchmark doesn't have
-        number = {w: i + 2 for i, w in enumerate(words)}
-        items, ids = [[number[w] for w in ws] for _, ws in found], [i for i, _ in found]
-        axes = latent_axes(texts.sparkSession, [p for _, p in item_passages(items)], idf)
-        axes[:2] = 0
-        yield Searcher(words, items, ids, idf, axes)
-
-
-def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", block: int = ITEMS) -> DataFrame:
+        every = np.log((n + 2) / (df + 1))
+        every[0], every[1] = 0.0, outside_weight(every, df)  # padding; words that the benchmark doesn't have
+        at = {w: i + 2 for i, w in enumerate(words)}
+        made = []
+        for b in sorted({f[0] for f in found}):
+            mine = [f for f in found if f[0] == b]
+            names = np.array(sorted({at[w] for _, _, ws, _ in mine for w in ws}), dtype=np.int64)
+            own = {int(x): i + 2 for i, x in enumerate(names)}
+            items = [[own[at[w]] for w in ws] for _, _, ws, _ in mine]
+            # words of other blocks weigh as what the block lacks
+            idf = np.concatenate([every[:2], every[names]])
+            parts = [p for _, p in item_passages([w for w in items if len(w) >= LEAST_WORDS])]
+            axes = latent_axes(texts.sparkSession, parts, idf) if parts else np.zeros((len(idf), 1))
+            axes[:2] = 0
+            made.append(Searcher(items, [a for *_, a in mine], [i for _, i, _, _ in mine], names, idf, axes))
+        yield Search(words, made)
+
+
+def _pieces(batches: Iterator[pd.DataFrame], key) -> Iterator[tuple[list, list]]:
+    for pdf in batches:
+        for piece in chunks(pdf, "t", chars=300_000):
+            yield key(piece), list(piece["t"])
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", block: int = ITEMS, at_once: int = AT_ONCE) -> DataFrame:
     """One row for each document and item that it holds: doc_id, item_id, cosine, words, answer.
 
     words and answer are the shares of the item's words, and of its answer's, that the document has in
-    order near the passage. Items with a null text or fewer than ``LEAST_WORDS`` words are never found; of
-    items with equal texts each is reported. Documents with a null text hold nothing; repeated rows are
-    reported each; an empty table gives no rows.
+    order near the passage. Items with a null text or without words are never found; items of fewer than
+    ``LEAST_WORDS`` words where these stand in a row; of items with equal texts each is reported. Documents
+    with a null text hold nothing; repeated rows are reported each; an empty table gives no rows.
     """
     bounded_batches(docs)
     schema = f"doc_id {dict(docs.dtypes)[doc_id]}, item_id {dict(benchmark.dtypes)[item_id]}, cosine double, words double, answer double"
     out = docs.sparkSession.createDataFrame([], schema)
-    texts = docs.where(F.col(text).isNotNull()).select(F.col(doc_id).alias("id"), F.col(text).alias("t"))
-    for searcher in searchers(texts.select("t"), benchmark, item_id, item_text, block):
+    texts = docs.where(F.col(f"`{text}`").isNotNull()).select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("t"))
+    for search in searches(texts.select("t"), benchmark, item_id, item_text, block, at_once):
 
-        def find(batches: Iterator[pd.DataFrame], searcher=searcher) -> Iterator[pd.DataFrame]:
-            vocabulary = Vocabulary(searcher.words)
-            for pdf in batches:
-                for piece in chunks(pdf, "t", chars=300_000):
-                    hits = searcher.search(list(piece["t"]), vocabulary)
-                    if hits:
-                        names = piece["id"].tolist()
-                        yield pd.DataFrame([(names[d], *rest) for d, *rest in hits], columns=["doc_id", "item_id", "cosine", "words", "answer"])
+        def find(batches: Iterator[pd.DataFrame], search=search) -> Iterator[pd.DataFrame]:
+            hits = []
+            for hit in search(_pieces(batches, lambda p: p["id"].tolist())):
+                hits.append(hit)
+                if len(hits) == 1000:
+                    yield pd.DataFrame(hits, columns=["doc_id", "item_id", "cosine", "words", "answer"])
+                    hits = []
+            if hits:
+                yield pd.DataFrame(hits, columns=["doc_id", "item_id", "cosine", "words", "answer"])
 
         out = out.unionByName(texts.mapInPandas(find, schema))
     return out
 
 
-def _clean(searcher: Searcher):
-    """Column function: whether a text holds none of the searcher's items."""
+def _clean(search: Search):
+    """Column function: whether a text holds none of the items."""
 
     @F.pandas_udf("boolean")
     def clean(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        vocabulary = Vocabulary(searcher.words)
         for column in batches:
-            out = []
-            for piece in chunks(pd.DataFrame({"t": column}), "t", chars=300_000):
-                held = {d for d, *_ in searcher.search(list(piece["t"]), vocabulary)}
-                out += [d not in held for d in range(len(piece))]
-            yield pd.Series(out, dtype=bool)
+            frame = pd.DataFrame({"t": column.reset_index(drop=True)})
+            held = {d for d, *_ in search(_pieces([frame], lambda p: p.index.tolist()))}
+            yield pd.Series([d not in held for d in range(len(frame))], dtype=bool)
 
     return clean
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", block: int = ITEMS) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", block: int = ITEMS, at_once: int = AT_ONCE) -> DataFrame:
     """The rows whose text holds no item, with their columns.
 
-    Each row is judged by its own text and by nothing else: ids may be missing or repeated (``doc_id`` is
-    not read). A null text stays.
+    Each row is judged by its own text and by nothing else: ids may be missing or repeated, they are not
+    read. A null text stays.
     """
     bounded_batches(docs)
     scratch = Scratch(docs.sparkSession)
-    texts = docs.where(F.col(text).isNotNull()).select(F.col(text).alias("t"))
-    for i, searcher in enumerate(searchers(texts, benchmark, item_id, item_text, block)):
-        # written between blocks: one worker holds one block's axes
-        docs = (scratch.keep(docs) if i else docs).where(_clean(searcher)(F.col(text)))
+    texts = docs.where(F.col(f"`{text}`").isNotNull()).select(F.col(f"`{text}`").alias("t"))
+    for i, search in enumerate(searches(texts, benchmark, item_id, item_text, block, at_once)):
+        # written between readings: one worker holds one search
+        before = docs
+        docs = (scratch.keep(docs) if i else docs).where(_clean(search)(F.col(f"`{text}`")))
+        if i > 1:
+            scratch.drop(before)
     return docs
