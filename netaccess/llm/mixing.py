@@ -3,7 +3,7 @@
 Each source's target is its weighted share of the whole, clamped at ``cap`` times its size; what the
 clamp takes away is dealt again by weight until no source is above its clamp. A source is then taken as
 whole repetitions of all its documents plus a fractional repetition: documents in a seeded random order
-(MD5 of seed and id) are repeated once more until the target's words are reached; the document at the
+(MD5 of seed, id and text) are repeated once more until the target's words are reached; the document at the
 border is repeated up to the word that reaches it, so each source meets its target to the word.
 
 The order within a source is never sorted as a whole: ids fall into ``BUCKETS`` ranges of the hash, the
@@ -42,76 +42,105 @@ def water_fill(sizes: list[int], weights: list[float], cap: float = 3.0, total:
         for i in full:
             targets[i] = Fraction(cap) * sizes[i]
         rest -= sum(targets[i] for i in full)
-        open_ = [i for i in open_ if i not in set(full)]
+        gone = set(full)
+        open_ = [i for i in open_ if i not in gone]
     return [float(t) for t in targets]
 
 
-def mix(docs: DataFrame, keep: list[str], text: str = "text", source: str = "source", doc_id: str = "doc_id", cycle=(5, 2, 1), cap: float = 3.0, seed: str = "mix") -> DataFrame:
-    """``keep`` columns of every document plus __size, __source_size, __target and __taken (words).
-
-    Sources in code point order, null last, get the weights of ``cycle`` in turn and share the sum of all
-    sizes. A null text has size 0, as has one without words; sources without words get target 0. Repeated
-    rows are documents of their own. __taken = whole repetitions * size, plus the size once more for
-    documents before the border, plus a part for the document at the border; never above cap * size.
-    An empty table gives no rows. A null doc_id counts as an empty one in the order.
-    """
+def _planned(docs: DataFrame, row: Column, text: str, source: str, doc_id: str, cycle, cap: float, seed: str) -> DataFrame:
+    """``row`` (a struct of what to keep) and mix: size, source_size, target, taken. No column of ``docs`` can clash with these."""
     scratch = Scratch(docs.sparkSession)
-    size = n_words(F.col(text))
-    order = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col(doc_id).cast("string"), F.lit(""))))
-    rows = docs.select(*[F.col(c) for c in keep], F.col(source).alias("__source"), size.alias("__size"), order.alias("__order"))
-    bucket = F.substring("__order", 1, HEX)
-    sums = scratch.keep(rows.groupBy("__source", bucket.alias("__bucket")).agg(F.sum("__size").alias("s")))
+    spark = docs.sparkSession
+    t, size = F.col(f"`{text}`"), n_words(F.col(f"`{text}`"))
+    blank = F.lit("")
+    # the text is in the order too, so that documents without an id, or of one id, do not share a place
+    order = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col(f"`{doc_id}`").cast("string"), blank), F.lit(":"), F.md5(F.coalesce(t, blank))))
+    rows = docs.select(row.alias("row"), F.col(f"`{source}`").cast("string").alias("source"), size.alias("size"), order.alias("o"), F.substring(order, 1, HEX).alias("bucket"))
+    sums = scratch.keep(rows.groupBy("source", "bucket").agg(F.sum("size").alias("s")))
     # one row for each source: names and sizes are what the plan is made of
-    sources = [(r["__source"], r["s"]) for r in sums.groupBy("__source").agg(F.sum("s").alias("s")).collect()]
+    sources = [(r["source"], r["s"]) for r in sums.groupBy("source").agg(F.sum("s").alias("s")).collect()]
     sources.sort(key=lambda r: (r[0] is None, r[0] or ""))
     targets = water_fill([s for _, s in sources], [cycle[i % len(cycle)] for i in range(len(sources))], cap)
     plan = []
-    for (name, s), t in zip(sources, targets, strict=True):
-        whole = int(Fraction(t) // s) if s else 0
-        plan.append((name, s, t, whole, int(t) - whole * s))
-    spark = docs.sparkSession
-    schema = "p_source string, p_size long, p_target double, p_whole long, p_extra long"
-    planned = spark.createDataFrame(plan, schema)
+    for (name, s), target in zip(sources, targets, strict=True):
+        whole = int(Fraction(target) // s) if s else 0
+        plan.append((name, s, target, whole, int(target) - whole * s))
+    planned = spark.createDataFrame(plan, "p_source string, source_size long, target double, whole long, extra long")
     # the range in which each source's extra words end, and how many words remain there
-    running = F.sum("s").over(Window.partitionBy("__source").orderBy("__bucket"))
+    running = F.sum("s").over(Window.partitionBy("source").orderBy("bucket"))
     border = (
         sums.withColumn("after", running)
-        .join(planned, F.col("__source").eqNullSafe(F.col("p_source")))
-        .where((F.col("after") > F.col("p_extra")) & (F.col("after") - F.col("s") <= F.col("p_extra")))
-        .select("p_source", F.col("__bucket").alias("b_bucket"), (F.col("p_extra") - F.col("after") + F.col("s")).alias("b_left"))
-    )
-    plan_rows = [(*p, b.get(p[0], ("~", 0))[0], b.get(p[0], ("~", 0))[1]) for b in [{r[0]: (r[1], r[2]) for r in border.collect()}] for p in plan]
-    full = spark.createDataFrame(plan_rows, schema + ", b_bucket string, b_left long")
-    full = F.broadcast(full) if len(plan_rows) <= BROADCAST_SOURCES else full
-    joined = rows.join(full, F.col("__source").eqNullSafe(F.col("p_source")))
-    bucket = F.substring("__order", 1, HEX)
-    clear = joined.where(bucket != F.col("b_bucket")).withColumn("x", F.when(bucket < F.col("b_bucket"), F.col("__size")).otherwise(F.lit(0).cast("long")))
-    before = F.sum("__size").over(Window.partitionBy("__source").orderBy("__order", *(["doc_id"] if doc_id in keep else []), "__size").rowsBetween(Window.unboundedPreceding, -1))
-    extra = F.least(F.greatest(F.col("b_left") - F.coalesce(before, F.lit(0)), F.lit(0)), F.col("__size"))
-    edge = joined.where(bucket == F.col("b_bucket")).withColumn("x", extra)
-    names = [F.col(c) for c in keep]
-    return clear.unionByName(edge).select(
-        *names, "__size", F.col("p_size").alias("__source_size"), F.col("p_target").alias("__target"), (F.col("p_whole") * F.col("__size") + F.col("x")).alias("__taken")
+        .join(planned, F.col("source").eqNullSafe(F.col("p_source")))
+        .where((F.col("after") > F.col("extra")) & (F.col("after") - F.col("s") <= F.col("extra")))
+        .select(F.col("source").alias("b_source"), F.col("bucket").alias("b_bucket"), (F.col("extra") - F.col("after") + F.col("s")).alias("b_left"))
     )
+    full = planned.join(border, F.col("p_source").eqNullSafe(F.col("b_source")), "left").drop("b_source")
+    # a source whose extra words no range ends takes none or all of them
+    full = full.select("p_source", "source_size", "target", "whole", F.coalesce("b_bucket", F.lit("~")).alias("b_bucket"), F.coalesce("b_left", F.lit(0).cast("long")).alias("b_left"))
+    full = F.broadcast(full) if len(plan) <= BROADCAST_SOURCES else full
+    joined = rows.join(full, F.col("source").eqNullSafe(F.col("p_source")))
+    clear = joined.where("bucket <> b_bucket").withColumn("x", F.when(F.col("bucket") < F.col("b_bucket"), F.col("size")).otherwise(F.lit(0).cast("long")))
+    before = F.sum("size").over(Window.partitionBy("source").orderBy("o", "size").rowsBetween(Window.unboundedPreceding, -1))
+    extra = F.least(F.greatest(F.col("b_left") - F.coalesce(before, F.lit(0)), F.lit(0)), F.col("size"))
+    edge = joined.where("bucket = b_bucket").withColumn("x", extra)
+    taken = (F.col("whole") * F.col("size") + F.col("x")).alias("taken")
+    return clear.unionByName(edge).select("row", F.struct("size", "source_size", "target", taken).alias("mix"))
+
+
+RESULTS = ("size", "source_size", "target", "taken")
+
+
+def mix(docs: DataFrame, keep: list[str], text: str = "text", source: str = "source", doc_id: str = "doc_id", cycle=(5, 2, 1), cap: float = 3.0, seed: str = "mix") -> DataFrame:
+    """``keep`` columns of every document plus size, source_size, target and taken (words).
+
+    Sources in code point order, null last, get the weights of ``cycle`` in turn and share the sum of all
+    sizes. A null text has size 0, as has one without words; sources without words get target 0. Repeated
+    rows are documents of their own. taken = whole repetitions * size, plus the size once more for
+    documents before the border, plus a part for the document at the border; never above cap * size.
+    An empty table gives no rows. A null doc_id counts as an empty one in the order. A kept column that has
+    the name of a result column goes by that name with ``_in`` behind it.
+    """
+    row = F.struct(F.lit(0).alias("c"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)])
+    out = _planned(docs, row, text, source, doc_id, cycle, cap, seed)
+    named = lambda c: f"{c}_in" if c.lower() in RESULTS else c
+    return out.select(*[F.col(f"row.c{i}").alias(named(c)) for i, c in enumerate(keep)], *[F.col(f"mix.{c}") for c in RESULTS])
 
 
 def words_upto(text: Column, n: Column) -> Column:
-    """The text up to the end of its nth word."""
-    return F.regexp_extract(text, r"^[\x20\x09-\x0D]*", 0) if n is None else F.when(
-        n <= 0, F.lit("")
-    ).otherwise(F.array_join(F.slice(F.filter(F.regexp_extract_all(text, F.lit(r"([\x20\x09-\x0D]*[^\x20\x09-\x0D]+)"), F.lit(1)), lambda x: x != ""), F.lit(1), n.cast("int")), ""))
+    """The text up to the end of its nth word, by bisection over prefixes: no array of words is made.
+
+    The smallest prefix with n + 1 words ends in the first character of the next word; what it has before
+    that, without white space at its end, is the result. The whole text where it has no more than n words.
+    """
+    bits = 31
+    start = F.struct(F.lit(0).alias("lo"), (F.length(text) + 1).alias("hi"))  # lo has at most n words, hi more (or is beyond the end)
+
+    def halve(at: Column, _: Column) -> Column:
+        mid = F.floor((at["lo"] + at["hi"]) / 2).cast("int")
+        more = n_words(F.substring(text, F.lit(1), mid)) > n
+        done = at["hi"] - at["lo"] <= 1
+        return F.struct(F.when(done | more, at["lo"]).otherwise(mid).alias("lo"), F.when(~done & more, mid).otherwise(at["hi"]).alias("hi"))
+
+    cut = F.aggregate(F.sequence(F.lit(1), F.lit(bits)), start, halve, lambda at: at["lo"])
+    whole = n_words(text) <= n
+    return F.when(n <= 0, F.lit("")).when(whole, text).otherwise(F.rtrim(F.substring(text, F.lit(1), cut), F.lit(" \t\n\x0b\x0c\r")))
 
 
-def sample(docs: DataFrame, text: str = "text", **options) -> DataFrame:
-    """The mix itself, with the columns of ``docs``: every document repeated as often as it is taken.
+def sample(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id", cycle=(5, 2, 1), cap: float = 3.0, seed: str = "mix") -> DataFrame:
+    """The mix itself, with the columns of ``docs``, whatever their names: every document repeated as often as it is taken.
 
     A fractional repetition is a row whose text ends with the word that meets the source's target.
     Documents without words are part of every mix, once.
     """
-    mixed = mix(docs, docs.columns, text=text, **options)
-    size, taken = F.col("__size"), F.col("__taken")
+    row = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)])
+    mixed = _planned(docs, row, text, source, doc_id, cycle, cap, seed)
+    size, taken = F.col("mix.size"), F.col("mix.taken")
     whole = F.when(size > 0, F.floor(taken / F.when(size > 0, size))).otherwise(F.lit(1)).cast("int")
-    part = F.when(size > 0, taken - whole * size).otherwise(F.lit(0))
-    copies = mixed.withColumn("__part", F.explode(F.concat(F.array_repeat(F.lit(0).cast("long"), whole), F.when(part > 0, F.array(part)).otherwise(F.array().cast("array<bigint>")))))
-    cut = F.when(F.col("__part") > 0, words_upto(F.col(text), F.col("__part"))).otherwise(F.col(text))
-    return copies.withColumn(text, cut).select(*[F.col(f"`{c}`") for c in docs.columns])
+    part = F.when(size > 0, taken - whole * size).otherwise(F.lit(0).cast("long"))
+    t = docs.columns.index(text)
+    entire = mixed.select("row", F.explode(F.array_repeat(F.lit(0), whole)).alias("copy")).select("row")
+    # at most one document of each source is at its border
+    ends = mixed.where(part > 0).select("row", part.alias("n"))
+    cut = [words_upto(F.col(f"row.c{i}"), F.col("n")).alias(f"c{i}") if i == t else F.col(f"row.c{i}") for i in range(len(docs.columns))]
+    out = entire.unionByName(ends.select(F.struct(*cut).alias("row")))
+    return out.select(*[F.col(f"row.c{i}").alias(c) for i, c in enumerate(docs.columns)])
