@@ -64,15 +64,13 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op5_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that a mix of the sources at weights 5, 2, 1 takes of every document."""
-    mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), ["doc_id"])
-    names = {"__size": "size", "__source_size": "source_size", "__target": "target", "__taken": "taken"}
-    return mixed.withColumnsRenamed(names)
+    return mixing.mix(table(spark, sf_dir, "documents"), ["doc_id"])
 
 
 ORACLE_SQL["op5_mix"] = r"""
 WITH RECURSIVE d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
-         md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS o FROM documents
+         md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))) AS o FROM documents
 ), s AS (
   SELECT source, CAST(sum(size) AS DOUBLE) AS size,
          CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS w
@@ -92,7 +90,7 @@ WITH RECURSIVE d AS (
 ), x AS (
   SELECT d.doc_id, d.size, p.source_size, p.target, p.whole,
          CAST(floor(p.target) AS BIGINT) - p.whole * p.source_size AS extra,
-         coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.o, d.doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+         coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.o, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
   FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source
 )
 SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
@@ -102,13 +100,12 @@ SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
 
 @query
 def op8_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents from five uneven shards to eight equal ones, with the fewest bytes moved."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    """Documents from the files they lie in to eight equal shards, with the fewest bytes moved."""
+    docs = table(spark, sf_dir, "documents")
     crc = F.crc32(F.coalesce(F.col("text"), F.lit(""))).alias("text_crc32")
-    moved = sharding.reshard(docs.select("doc_id", "text", crc), ["doc_id", "text_crc32"], shards=8, old_shards=5)
+    moved = sharding.reshard(docs.select("doc_id", "text", crc), ["doc_id", "text_crc32"], shards=8)
     return moved.select(
-        "doc_id", F.col("__size").alias("size"), "text_crc32", F.lit("bytes").alias("law"), F.col("__shard").alias("shard"),
-        F.col("__slot").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), F.col("__old").alias("old_shard"),
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard",
     )
 
 

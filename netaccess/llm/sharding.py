@@ -1,23 +1,29 @@
 """Resharding by minimum-cost flow.
 
-Rows fall into a bounded number of blocks by a hash of their text, so equal texts share a block; a block
-much larger than others is cut by a hash of the document id. Blocks have old shards. From the old shards'
-sizes and the new shards' capacities, a minimum-cost flow (staying is free, a moved byte costs 1) says how
-many bytes go from each old to each new shard; blocks are then chosen to make up these flows. Only blocks
-that move are rewritten. The plan is made of block sizes, never of rows, and its size is a parameter.
+Old shards are the files that the rows lie in, or a column's values, dealt into a bounded number of groups. Rows
+fall into blocks by old shard and a hash of their text. Copies of a text that lie in several old shards go by the
+smallest of these, so equal texts share a block; a large block is cut by another hash of the text, and only a
+group of equal texts that alone exceeds a new shard's capacity is cut further, by document. From the old shards'
+sizes and the new shards' capacities, a minimum-cost flow (staying is free, a moved byte costs 1) says how many
+bytes go from each old to each new shard; blocks are then chosen to make up these flows. Only shards that gain or
+lose a block are rewritten. The plan is made of block sizes, never of rows, and its size is a parameter.
 """
 
 from __future__ import annotations
 
 import heapq
+from functools import reduce
+from operator import and_, or_
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Blocks before large ones are cut, and parts of a cut block. The plan has at most BLOCKS + 1/4 BLOCKS * PARTS rows.
+from netaccess.llm.common import Scratch
+
+#: Blocks of all old shards together before large ones are cut, parts of a cut block or of a group of equal texts.
 BLOCKS, PARTS = 4096, 64
-#: A block this many times the mean is cut.
-HEAVY = 4
+#: A block of more than a shard's capacity over FINE is cut: there are at most FINE * shards of them.
+FINE = 16
 
 
 def min_cost_flow(supply: list[int], capacity: list[int], cost) -> dict[tuple[int, int], int]:
@@ -107,57 +113,110 @@ def assign(blocks: list[tuple], shards: int, old_shards: int) -> tuple[dict, int
     return place, sum(f for (i, j), f in flow.items() if i != j), moved
 
 
-def _keys(df: DataFrame, blocks: int, heavy: list[int]) -> DataFrame:
-    block = F.pmod(F.xxhash64(F.coalesce(F.col("text"), F.lit(""))), F.lit(blocks)).cast("int")
-    cut = F.when(block.isin(heavy), F.pmod(F.xxhash64(F.lit(17), F.col("doc_id")), F.lit(PARTS)) + 1) if heavy else F.lit(0)
-    return df.withColumn("__block", block).withColumn("__part", F.coalesce(cut, F.lit(0)).cast("int"))
-
+def _old(docs: DataFrame, old_shard: str | None, groups: int):
+    """Column expression: the old shard of a row, 0 to groups - 1."""
+    if old_shard is not None:
+        name = F.col(f"`{old_shard}`").cast("string")
+        number = F.expr(f"try_cast(`{old_shard}` AS BIGINT)")
+        # small numbers are shards themselves, so that shard j can stay shard j
+        return F.when(number.between(0, groups - 1), number).otherwise(F.pmod(F.xxhash64(name), F.lit(groups))).cast("int")
+    files = sorted(f.rpartition("/")[2] for f in docs.inputFiles())
+    file = F.substring_index(F.input_file_name(), "/", -1)
+    if 0 < len(files) <= groups:  # in order of their names: file j may stay shard j
+        at = F.array_position(F.array(*map(F.lit, files)), file).cast("int")
+        return F.greatest(at - 1, F.lit(0))
+    return F.pmod(F.xxhash64(file), F.lit(groups)).cast("int")
 
-def reshard(docs: DataFrame, keep: list[str], shards: int = 8, old_shards: int = 5, blocks: int = BLOCKS, old_shard: str | None = None) -> DataFrame:
-    """``keep`` columns of every row plus __size, __old, __shard and __slot.
 
-    __size is the UTF-8 bytes of ``text`` plus 1; a null text has none. Old shards are given by the column
-    ``old_shard`` (0 to old_shards - 1; then it belongs to the block), else by block. __slot counts from 0
-    in each shard without gaps: offsets of blocks come from the plan, and rows are numbered by doc_id and
-    size within their block only. New shards are as near to equal size as whole blocks allow; one document
-    longer than a shard's share, or rows that repeat one id and text, are not cut. Empty table: no rows.
-    """
+def _planned(docs: DataFrame, row, text: str, doc_id: str, shards: int, old_shards: int, blocks: int, old_shard: str | None) -> tuple[DataFrame, dict]:
+    """(``row`` with size, old, shard and slot; bytes of old shards, bytes that the flow and the blocks move)."""
     spark = docs.sparkSession
-    size = (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long")
-    rows = docs.withColumn("__size", size)
-    old = F.pmod(F.col(old_shard), F.lit(old_shards)).cast("int") if old_shard else None
-
-    def measured(heavy: list[int]) -> list:
-        r = _keys(rows, blocks, heavy)
-        r = r.withColumn("__old", F.coalesce(old, F.lit(0)) if old is not None else F.floor(F.sqrt(F.col("__block") / F.lit(float(blocks))) * old_shards).cast("int"))
-        return r
-
-    first = measured([]).groupBy("__block").agg(F.sum("__size").alias("s")).collect()
-    mean = sum(r["s"] for r in first) / max(1, blocks)
-    heavy = sorted(r["__block"] for r in first if r["s"] > HEAVY * mean)
-    keyed = measured(heavy)
-    parts = keyed.groupBy("__block", "__part", "__old").agg(F.sum("__size").alias("s"), F.count("*").alias("n")).collect()
-    cells = sorted(((r["__block"], r["__part"], r["__old"]), r["__old"], r["s"], r["n"]) for r in parts)
-    place, _, _ = assign([c[:3] for c in cells], shards, old_shards)
+    scratch = Scratch(spark)
+    t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    size = (F.octet_length(t) + 1).cast("long")
+    rows = docs.select(row.alias("row"), F.col(f"`{doc_id}`").cast("string").alias("id"), size.alias("size"), _old(docs, old_shard, old_shards).alias("old"), F.xxhash64(t).alias("h"))
+    # texts that lie in several old shards belong to the first of them
+    homes = rows.groupBy("h").agg(F.min("old").alias("home"), F.max("old").alias("last")).where("home <> last").select("h", "home")
+    homes = scratch.keep(homes)
+    if homes.limit(1).count():
+        rows = rows.join(homes.hint("merge"), "h", "left").withColumn("home", F.coalesce("home", "old"))
+    else:
+        rows = rows.withColumn("home", F.col("old"))
+    block = F.pmod("h", F.lit(max(1, blocks // old_shards))).cast("int")
+    part = F.pmod(F.xxhash64(F.lit(17), "h"), F.lit(PARTS)).cast("int")
+    piece = F.pmod(F.xxhash64(F.lit(23), "id", "h"), F.lit(PARTS)).cast("int")
+
+    def keyed(heavy: list[tuple], whole: list[tuple]) -> DataFrame:
+        one = lambda cells, *cs: reduce(or_, [reduce(and_, [F.col(c) == v for c, v in zip(cs, cell, strict=True)]) for cell in cells], F.lit(False))
+        out = rows.withColumn("block", block)
+        out = out.withColumn("part", F.when(one(heavy, "home", "block"), part).otherwise(F.lit(0)))
+        return out.withColumn("piece", F.when(one(whole, "home", "block", "part"), piece).otherwise(F.lit(0)))
+
+    def cells(heavy: list[tuple], whole: list[tuple]) -> list:
+        return keyed(heavy, whole).groupBy("home", "block", "part", "piece").agg(F.sum("size").alias("s"), F.count("*").alias("n")).collect()
+
+    heavy, whole = [], []
+    found = cells(heavy, whole)
+    capacity = sum(r["s"] for r in found) / shards
+    heavy = sorted((r["home"], r["block"]) for r in found if r["s"] > capacity / FINE)
+    if heavy:
+        found = cells(heavy, whole)
+        whole = sorted((r["home"], r["block"], r["part"]) for r in found if r["s"] > capacity)
+        if whole:
+            found = cells(heavy, whole)
+    units = sorted(((r["home"], r["block"], r["part"], r["piece"]), r["home"], r["s"], r["n"]) for r in found)
+    place, flow, moved = assign([c[:3] for c in units], shards, old_shards)
     offset, plan = [0] * shards, []
-    for key, _, _, n in cells:
+    for key, _, _, n in units:
         j = place[key]
         plan.append((*key, j, offset[j]))
         offset[j] += n
-    planned = spark.createDataFrame(plan, "__block int, __part int, __old int, __shard int, __offset long")
-    # at most BLOCKS + BLOCKS / HEAVY * PARTS rows (times old shards where these are given) of 24 bytes
-    out = keyed.select(*[F.col(f"`{c}`") for c in keep], "__block", "__part", "__old", "__size", F.col("doc_id").alias("__id"))
-    out = out.join(F.broadcast(planned), ["__block", "__part", "__old"])
-    by = Window.partitionBy("__block", "__part", "__old").orderBy("__id", "__size")
-    slot = (F.col("__offset") + F.row_number().over(by) - 1).cast("long")
-    return out.select(*[F.col(f"`{c}`") for c in keep], "__size", "__old", "__shard", slot.alias("__slot"))
-
-
-def rewrite(docs: DataFrame, path: str, **options) -> DataFrame:
-    """Writes the shards that gain or lose a block as ``path``/shard=N, and returns what was moved by shard."""
-    planned = reshard(docs, docs.columns, **options)
-    touched = planned.where("__old <> __shard").select(F.explode(F.array("__old", "__shard")).alias("__shard")).distinct()
-    out = planned.join(touched, "__shard", "left_semi")
-    names = [F.col(f"`{c}`") for c in docs.columns]
-    out.select(*names, F.col("__shard").alias("shard")).write.partitionBy("shard").mode("overwrite").parquet(path)
-    return planned.groupBy("__shard").agg(F.sum("__size").alias("bytes"), F.sum(F.when(F.col("__old") != F.col("__shard"), F.col("__size")).otherwise(0)).alias("moved_in"))
+    planned = spark.createDataFrame(plan, "home int, block int, part int, piece int, shard int, offset long")
+    # at most BLOCKS + FINE * shards * PARTS + shards * PARTS rows of 28 bytes
+    cell = ["home", "block", "part", "piece"]
+    out = keyed(heavy, whole).join(F.broadcast(planned), cell)
+    slot = (F.col("offset") + F.row_number().over(Window.partitionBy(*cell).orderBy("id", "h", "size")) - 1).cast("long")
+    facts = {"flow": flow, "moved": moved, "units": len(units)}
+    return out.select("row", F.struct("size", "old", "shard", slot.alias("slot")).alias("plan")), facts
+
+
+RESULTS = ("size", "old_shard", "shard", "slot")
+
+
+def reshard(docs: DataFrame, keep: list[str], shards: int = 8, old_shards: int = 8, blocks: int = BLOCKS, old_shard: str | None = None, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """``keep`` columns of every row plus size, old_shard, shard and slot.
+
+    size is the UTF-8 bytes of ``text`` plus 1; a null text has none. Old shards are the values of the column
+    ``old_shard`` (0 to old_shards - 1; others by hash), else the input files (more than ``old_shards`` of them are
+    dealt into so many groups by hash; a table without files is one). slot counts from 0 in each shard without
+    gaps; rows are numbered by id as text, null first, and text hash within their block. Rows with equal texts share a
+    shard, unless they alone exceed a shard's share. New shards are as near to equal size as whole blocks allow;
+    one document longer than a shard's share, or rows that repeat one id and text, are not cut. Empty table: no
+    rows. A kept column that has the name of a result column is left out.
+    """
+    row = F.struct(F.lit(0).alias("c"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)])
+    out, _ = _planned(docs, row, text, doc_id, shards, old_shards, blocks, old_shard)
+    named = [F.col(f"row.c{i}").alias(c) for i, c in enumerate(keep) if c.lower() not in RESULTS]
+    return out.select(*named, "plan.size", F.col("plan.old").alias("old_shard"), "plan.shard", "plan.slot")
+
+
+def rewrite(docs: DataFrame, path: str, shards: int = 8, old_shards: int = 8, blocks: int = BLOCKS, old_shard: str | None = None, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """Writes the shards that gain or lose a row as ``path``/shard=N, and returns one row for each shard.
+
+    Result: shard, rows, bytes, gained and lost (bytes that come and go), written. Shards with neither stay as
+    they are and are not written. Columns go as they are (one named ``shard`` would clash with the folder's and goes
+    as ``shard_in``); an empty table writes nothing.
+    """
+    row = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)])
+    planned, _ = _planned(docs, row, text, doc_id, shards, old_shards, blocks, old_shard)
+    planned = Scratch(docs.sparkSession).keep(planned)
+    flat = planned.select("plan.*")
+    into = flat.groupBy("shard").agg(F.count("*").alias("rows"), F.sum("size").alias("bytes"), F.sum(F.when(F.col("old") != F.col("shard"), F.col("size")).otherwise(0)).alias("gained"))
+    away = flat.where(f"old <> shard AND old < {shards}").groupBy(F.col("old").alias("shard")).agg(F.sum("size").alias("lost"))
+    facts = into.join(away, "shard", "full").fillna(0)
+    facts = facts.withColumn("written", (F.col("gained") > 0) | (F.col("lost") > 0))
+    touched = [r["shard"] for r in facts.where("written").select("shard").collect()]  # no more than there are shards
+    named = [F.col(f"row.c{i}").alias("shard_in" if c.lower() == "shard" else c) for i, c in enumerate(docs.columns)]
+    out = planned.where(F.col("plan.shard").isin(touched)).select(*named, F.col("plan.shard").alias("shard"))
+    out.write.partitionBy("shard").mode("overwrite").parquet(path)
+    return facts
