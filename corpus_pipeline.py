@@ -1,4 +1,8 @@
-"""The corpus pipeline: quality, near-duplicates, decontamination, mixing, sharding (part of the llm subpackage)."""
+"""The corpus pipeline: quality, near-duplicates, decontamination, mixing, sharding (part of the llm subpackage).
+
+Every stage takes null and empty texts, repeated rows, empty tables and columns of any name; what each does with
+them is in the docstrings of the operators it calls. Documents without words are rejected by the first stage.
+"""
 
 from __future__ import annotations
 
@@ -30,10 +34,8 @@ def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The columns of documents plus size, old_shard, shard (0 to 7) and slot."""
-    names = {"__size": "size", "__old": "old_shard", "__shard": "shard", "__slot": "slot"}
-    moved = sharding.reshard(docs, docs.columns, shards=8, old_shards=5)
-    return moved.select(*[F.col(c) for c in docs.columns], *[F.col(k).alias(v) for k, v in names.items()])
+    """The columns of documents plus size, old_shard, shard (0 to 7) and slot; columns of these names are replaced."""
+    return sharding.reshard(docs, docs.columns, shards=8)
 
 
 #: Each function takes (spark, docs, sf_dir); its result is written as Parquet and reread as the next one's docs.
@@ -50,9 +52,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each result is a written table in the shared folder."""
+    """All stages over documents; each result is a written table in the shared folder, deleted once the next one is there."""
     scratch = Scratch(spark)
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for _, stage in STAGES:
         docs = scratch.keep(stage(spark, docs, sf_dir))
+        scratch.drop(before)
+        before = docs
     return docs
