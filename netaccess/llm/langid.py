@@ -7,10 +7,12 @@ vectors. A text gets the language whose prototype has the largest cosine with it
 
 Prototypes are exact: unit vectors are rounded to integers before they are summed, so the sums don't
 depend on partitioning. Two passes over the texts, one small aggregation, no join, no shuffle of texts.
+Prototypes are scored in blocks of ``BLOCK`` languages, one more pass for each further block.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,14 +20,16 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from netaccess.llm.common import bounded_batches, chunks
+from netaccess.llm.common import Scratch, bounded_batches, chunks
 
 #: Dimension of the vectors, and the scale at which unit vectors become integers.
 DIMS, SCALE = 512, 1_000_000
 #: Trigram vectors that a worker keeps; beyond it the store starts anew (memory only, not results).
 STORE = 30_000
-#: A learned table has one row for each language; more than so many values is not a language column.
-MAX_LANGS = 20_000
+#: Languages whose prototypes a worker holds at a time (2 KB each).
+BLOCK = 20_000
+#: Letters of a text that are encoded at a time.
+PIECE = 500_000
 
 
 def letter_vector(code: int, dims: int = DIMS) -> np.ndarray:
@@ -67,12 +71,34 @@ class Encoder:
 
     def encode(self, texts: list) -> tuple[np.ndarray, np.ndarray]:
         """(sum vectors, has a letter) of the texts; null is a text without letters."""
-        n = len(texts)
         lowered = ["" if t is None else t.lower() for t in texts]
-        # each text stands between spaces; runs of what is no letter become one space
-        raw = "".join(f" {t} " for t in lowered).encode("utf-32-le", "surrogatepass")
-        codes = np.frombuffer(raw, dtype=np.uint32)
-        owner = np.repeat(np.arange(n), [len(t) + 2 for t in lowered])
+        # each text stands between spaces; a long one is cut, and each piece starts with the two characters before it
+        pieces = [" " + t + " " for t in lowered]
+        if all(len(t) <= PIECE for t in pieces):
+            return self._encode(pieces)
+        out, has = np.zeros((len(texts), self.dims), np.float32), np.zeros(len(texts), dtype=bool)
+        for i, t in enumerate(pieces):
+            for part in self._cuts(t):
+                vectors, any_ = self._encode([part])
+                out[i] += vectors[0]
+                has[i] |= any_[0]
+        return out, has
+
+    def _cuts(self, text: str) -> Iterator[str]:
+        """Pieces whose trigrams are together those of the text: runs of what is no letter count as one space across cuts."""
+        before = ""
+        for s in range(0, len(text), PIECE):
+            part = re.sub(r"[\W\d_]+", lambda m: " " if not any(map(str.isalpha, m.group())) else "".join(c if c.isalpha() else " " for c in m.group()), text[s : s + PIECE])
+            part = re.sub(" +", " ", part)
+            if before.endswith(" "):
+                part = part.lstrip(" ")
+            yield before + part
+            before = (before + part)[-2:]
+
+    def _encode(self, spaced: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        n = len(spaced)
+        codes = np.frombuffer("".join(spaced).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        owner = np.repeat(np.arange(n), [len(t) for t in spaced])
         letter = self.is_letter[codes]
         has = np.zeros(n, dtype=bool)
         has[owner[letter]] = True
@@ -109,8 +135,8 @@ def _units(vectors: np.ndarray) -> np.ndarray:
     return vectors / np.where(norm > 0, norm, 1)
 
 
-def prototypes(examples: DataFrame, text: str = "text", lang: str = "lang", dims: int = DIMS) -> list[tuple[str, np.ndarray]]:
-    """(lang, unit prototype) by lang, from all rows with a lang and a letter in the text."""
+def _sums(examples: DataFrame, text: str, lang: str, dims: int) -> DataFrame:
+    """(l, v): summed integer unit vectors of each language, from all rows with a lang and a letter in the text."""
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder, sums = Encoder(dims), {}
@@ -121,45 +147,71 @@ def prototypes(examples: DataFrame, text: str = "text", lang: str = "lang", dims
                 langs = part["l"].to_numpy()
                 for value in set(langs[has]):
                     sums[value] = sums.get(value, 0) + whole[has & (langs == value)].sum(0)
+            if len(sums) > 2000:  # bounded even where every row has a value of its own
+                yield pd.DataFrame({"l": list(sums), "v": [v.tolist() for v in sums.values()]})
+                sums = {}
         if sums:
             yield pd.DataFrame({"l": list(sums), "v": [v.tolist() for v in sums.values()]})
 
-    rows = examples.where(F.col(lang).isNotNull()).select(F.col(text).alias("t"), F.col(lang).cast("string").alias("l"))
+    rows = examples.where(F.col(f"`{lang}`").isNotNull()).select(F.col(f"`{text}`").alias("t"), F.col(f"`{lang}`").cast("string").alias("l"))
     parts = rows.mapInPandas(partial, "l string, v array<long>")
     sums = parts.select("l", F.posexplode("v")).groupBy("l", "pos").agg(F.sum("col").alias("s"))
     found = sums.groupBy("l").agg(F.sort_array(F.collect_list(F.struct("pos", "s"))).alias("v"))
-    learned = sorted((r["l"], np.array([x["s"] for x in r["v"]], dtype=np.float64)) for r in found.limit(MAX_LANGS + 1).collect())
-    if len(learned) > MAX_LANGS:
-        raise ValueError(f"{lang} has more than {MAX_LANGS} values")
-    return [(k, v / max(np.sqrt((v**2).sum()), 1e-12)) for k, v in learned]
+    return found.select("l", F.transform("v", lambda x: x["s"]).alias("v"))
+
+
+def _learned(rows: list) -> list[tuple[str, np.ndarray]]:
+    vectors = [(r["l"], np.array(r["v"], dtype=np.float64)) for r in rows]
+    return sorted(((k, v / max(np.sqrt((v**2).sum()), 1e-12)) for k, v in vectors), key=lambda x: x[0])
 
 
-def identify(docs: DataFrame, examples: DataFrame, keys: dict[str, Column], text: str = "text", lang: str = "lang", dims: int = DIMS) -> DataFrame:
+def prototypes(examples: DataFrame, text: str = "text", lang: str = "lang", dims: int = DIMS, block: int = BLOCK) -> Iterator[list[tuple[str, np.ndarray]]]:
+    """Blocks of (lang, unit prototype), about ``block`` languages each; at least one block, which may be empty."""
+    sums = _sums(examples, text, lang, dims)
+    n = examples.agg(F.approx_count_distinct(F.col(f"`{lang}`")).alias("n")).first()["n"]
+    blocks = max(1, -(-n // block))
+    if blocks == 1:
+        yield _learned(sums.collect())
+        return
+    sums = Scratch(examples.sparkSession).keep(sums.withColumn("b", F.pmod(F.xxhash64("l"), F.lit(blocks))))
+    for b in range(blocks):
+        yield _learned(sums.where(F.col("b") == b).collect())
+
+
+def identify(docs: DataFrame, examples: DataFrame, keys: dict[str, Column], text: str = "text", lang: str = "lang", dims: int = DIMS, block: int = BLOCK) -> DataFrame:
     """One row for each document: the ``keys`` columns, lang_pred and score.
 
     ``examples`` are the rows to learn from. lang_pred is the learned value with the largest cosine, ties
     to the smaller value by code point; ``und`` where the text is null or has no letter, or where nothing
     could be learned. score is (1 + cosine) / 2, 0 for ``und``. Repeated rows each get their row; long
-    texts are read whole; other columns of ``docs`` are not read, and keys keep their names.
+    texts are read whole, in pieces; other columns of ``docs`` are not read, and keys keep their names. Any
+    number of languages can be learned.
     """
     bounded_batches(docs)
-    learned = prototypes(examples, text, lang, dims)
-    names = [k for k, _ in learned]
-    P = np.array([v for _, v in learned], dtype=np.float64).reshape(len(names), dims)
-    ids = docs.select(*[c.alias(k) for k, c in keys.items()], F.col(text).alias("__text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ids.schema.fields[:-1]) + ", lang_pred string, score double"
-
-    def predict(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = Encoder(dims)
-        for pdf in batches:
-            for part in chunks(pdf, "__text"):
-                vectors, has = encoder.encode(list(part["__text"]))
-                cos = _units(vectors) @ P.T if names else np.zeros((len(part), 1))
-                best = cos.argmax(1)
-                known = has & bool(names)
-                out = part.drop(columns="__text")
-                out["lang_pred"] = [names[b] if k else "und" for b, k in zip(best, known, strict=True)]
-                out["score"] = np.where(known, np.clip((1 + cos[np.arange(len(best)), best]) / 2, 0, 1), 0.0)
-                yield out
-
-    return ids.mapInPandas(predict, schema)
+    scratch = Scratch(docs.sparkSession)
+    row = F.struct(F.lit(0).alias("c"), *[c.alias(f"c{i}") for i, c in enumerate(keys.values())])
+    rows = docs.select(row.alias("row"), F.col(f"`{text}`").alias("t"), F.lit(None).cast("string").alias("l"), F.lit(-2.0).alias("s"))
+    types = [f.dataType.simpleString() for f in rows.schema["row"].dataType.fields[1:]]
+    flat = ", ".join(["t string", "l string", "s double", *[f"c{i} {t}" for i, t in enumerate(types)]])
+    rows = rows.select("t", "l", "s", "row.*").drop("c")
+    for i, learned in enumerate(prototypes(examples, text, lang, dims, block)):
+        names = [k for k, _ in learned]
+        P = np.array([v for _, v in learned], dtype=np.float64).reshape(len(names), dims)
+
+        def predict(batches: Iterator[pd.DataFrame], names=names, P=P) -> Iterator[pd.DataFrame]:
+            encoder = Encoder(dims)
+            for pdf in batches:
+                for part in chunks(pdf, "t"):
+                    vectors, has = encoder.encode(list(part["t"]))
+                    cos = _units(vectors) @ P.T if names else np.full((len(part), 1), -2.0)
+                    best = cos.argmax(1)
+                    top, out = cos[np.arange(len(best)), best], part.copy()
+                    was, old = part["s"].to_numpy(), part["l"].tolist()
+                    better = [h and bool(names) and (c > w or c == w and names[b] < o) for h, c, w, b, o in zip(has, top, was, best, old, strict=True)]
+                    out["l"] = [names[b] if y else o for y, b, o in zip(better, best, old, strict=True)]
+                    out["s"] = np.where(better, top, was)
+                    yield out
+
+        rows = (scratch.keep(rows) if i else rows).mapInPandas(predict, flat)
+    score = F.when(F.col("l").isNull(), 0.0).otherwise(F.least(F.greatest((1 + F.col("s")) / 2, F.lit(0.0)), F.lit(1.0)))
+    return rows.select(*[F.col(f"c{i}").alias(k) for i, k in enumerate(keys)], F.coalesce("l", F.lit("und")).alias("lang_pred"), score.alias("score"))
