@@ -1,8 +1,11 @@
 """Secret scan: fixed patterns, plus spans tagged by a linear-chain conditional random field.
 
 The field tags words as begin, inside or outside of a secret from their shape, the words around them and
-features of the document. It is trained here, on a bounded sample of documents whose pattern spans are
-the labels, by maximum likelihood (forward-backward), and decoded by Viterbi over whole documents.
+features of the document. It is trained here, by maximum likelihood (forward-backward), on stretches of words
+from anywhere in a bounded sample of distinct documents whose pattern spans are the labels. The patterns must not be all
+that it learns: each stretch with a secret is learned a second time with what the patterns go by left out (the
+words around it and how the secret starts), so that the shape alone tells. It is decoded by Viterbi over whole
+documents. ``held_out_recall`` tells how it finds secrets of a kind that it has not seen.
 
 Decoding is exact and cheap: where a word's score for "outside" leads by more than transitions could ever
 make up, every best path is outside there, so a document falls into short stretches of undecided words
@@ -11,6 +14,7 @@ and only these are decoded word by word.
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterator
 
@@ -20,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from netaccess.llm.common import WORD, bounded_batches
+from netaccess.llm.common import WORD, bounded_batches, cut_for, place
 
 #: The patterns, in the order in which kinds are listed. Long forms of hex and access runs
 #: match exactly the long ones among all maximal runs.
@@ -32,6 +36,8 @@ HINTS = ("passw", "secret", "token", "api")
 OUT, BEGIN, INSIDE = 0, 1, 2
 #: Hashed features; documents that the field is trained on, with and without spans; words around a span.
 BUCKETS, SAMPLE, CONTEXT = 4096, 800, 12
+#: Stretches of the sample, those with the smallest hashes, that the field is fitted on.
+STRETCHES = 6_000
 _WORD = re.compile(WORD)
 
 
@@ -49,10 +55,10 @@ def base_spans(text: str | None) -> list[tuple[int, int, str]]:
     return sorted(spans, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
-def value_spans(text: str) -> list[tuple[int, int]]:
+def value_spans(text: str, kinds=KINDS) -> list[tuple[int, int]]:
     """The secrets' own ranges: what the field learns to tag."""
-    found = [(m.start(2), m.end(2)) for m in ASSIGN.finditer(text) if len(m[2]) >= 12]
-    return sorted([*found, *((s, e) for s, e, k in base_spans(text) if k != "assign")])
+    found = [(m.start(2), m.end(2)) for m in ASSIGN.finditer(text) if len(m[2]) >= 12] if "assign" in kinds else []
+    return sorted([*found, *((s, e) for s, e, k in base_spans(text) if k != "assign" and k in kinds)])
 
 
 def _bucket(s: str) -> int:
@@ -69,7 +75,10 @@ def features(word: str) -> tuple[list[int], int, int]:
     distinct = len(set(core))
     size = "0" if n < 8 else "8" if n < 12 else "12" if n < 16 else "16" if n < 24 else "24"
     mix = f"{digits > 0}{uppers > 1}{0 < uppers < n}{odd > 0}"
-    own = ["s" + size, "m" + mix, "sm" + size + mix, f"h{n >= 12 and hexes == n}", f"d{size}{4 * digits // max(1, n)}", f"e{distinct >= 10}{size}", f"q{word[:1] in chr(34) + chr(39)}", "p" + (core[:4] if n >= 16 and digits else "")]
+    # what tells a random run of characters from words and numbers: changes between letters and digits, and how many letters are vowels
+    turns = sum(a.isdigit() != b.isdigit() for a, b in zip(core, core[1:], strict=False))
+    odds = f"{size}{min(4, turns // 2)}{distinct >= 10}"
+    own = ["s" + size, f"t{odds}", f"d{size}{4 * digits // max(1, n)}", f"e{distinct >= 10}{size}", "sm" + size + mix, f"h{n >= 12 and hexes == n}", f"q{word[:1] in chr(34) + chr(39)}", "p" + (core[:4] if n >= 16 and digits else "")]
     plain = "a" if core.isalpha() and n < 20 else "n" if core.isdigit() else "x"
     key = core.lower() if core.lower() in NAMES else word if n == 0 else plain
     return [_bucket(x) for x in own], _bucket("<" + key), _bucket(">" + plain)
@@ -79,6 +88,10 @@ def features(word: str) -> tuple[list[int], int, int]:
 NAMES = {"password", "passwd", "secret", "token", "apikey", "api_key", "key", "auth", "credential", "bearer", "access"}
 
 
+#: So many of a word's own features, the first, go by shape alone.
+SHAPES = 4
+
+
 def document_feature(text: str) -> int:
     """Bucket of the document's own features: length class, and whether it has assignments."""
     return _bucket(f"doc{min(4, len(text).bit_length() // 3)}{' = ' in text}")
@@ -213,12 +226,12 @@ def train(sequences: list[tuple[list[list[int]], list[int]]], rounds: int = 60,
     return W.astype(np.float32), T
 
 
-def sequences_of(text: str) -> list[tuple[list[list[int]], list[int]]]:
-    """Training sequences of a document: words around each span, and one stretch from the start."""
-    spans = value_spans(text)
-    words = [(m.start(), m.end(), m.group()) for m in _WORD.finditer(text)]
+def sequences_of(text: str, kinds=KINDS) -> Iterator[tuple[list[list[int]], list[int]]]:
+    """Training sequences of a document: words around each of its spans, wherever they are, once as they are and once masked, and one stretch at a place by hash."""
+    spans = value_spans(text, kinds)
+    words = [(m.start(), m.end()) for m in _WORD.finditer(text)]
     if not words:
-        return []
+        return
     tags, at = [OUT] * len(words), 0
     for s, e in spans:
         inside = False
@@ -229,30 +242,88 @@ def sequences_of(text: str) -> list[tuple[list[list[int]], list[int]]]:
                 tags[at] = INSIDE if inside else BEGIN
                 inside = True
             at += 1
-    facts = [features(w) for _, _, w in words]
-    doc, out, last = document_feature(text), [], -1
-    hits = [i for i, t in enumerate(tags) if t == BEGIN][:20]
-    for h in [*hits, min(len(words) - 1, CONTEXT)]:
+    doc, last = document_feature(text), -1
+    anywhere = xxhash.xxh32_intdigest(text.encode("utf-8", "surrogatepass")) % len(words)
+    hits = [i for i, t in enumerate(tags) if t == BEGIN]
+    for h in sorted({*hits, anywhere}):
         lo, hi = max(0, h - CONTEXT), min(len(words), h + CONTEXT + 1)
         if lo <= last:
-            continue
-        last = h
-        x = []
-        for i in range(lo, hi):
-            x.append([*facts[i][0], facts[i - 1][1] if i else _bucket("<^"), facts[i + 1][2] if i + 1 < len(words) else _bucket(">$"), doc])
-        out.append((x, tags[lo:hi]))
-    return out
+            lo = last + 1  # no word twice
+            if lo >= hi or tags[lo] == INSIDE:
+                continue
+        last = hi - 1
+        near = [text[a:b] for a, b in words[max(0, lo - 1) : hi + 1]]
+        facts = [features(w) for w in near]
+        off = lo - max(0, lo - 1)
+        plain, masked = [], []
+        for i in range(hi - lo):
+            j = i + off
+            before = facts[j - 1][1] if j else _bucket("<^")
+            after = facts[j + 1][2] if j + 1 < len(facts) else _bucket(">$")
+            plain.append([*facts[j][0], before, after, doc])
+            masked.append([*facts[j][0][:SHAPES], doc])
+        yield plain, tags[lo:hi]
+        if any(tags[lo:hi]):
+            yield masked, tags[lo:hi]
+
+
+def _stretches(kinds):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for h, text in zip(pdf["h"], pdf["t"], strict=True):
+                for n, (x, tags) in enumerate(sequences_of(text, kinds)):
+                    rows.append((xxhash.xxh64_intdigest(f"{h}:{n}") >> 1, json.dumps([x, tags])))
+                    if len(rows) == 1000:
+                        yield pd.DataFrame(rows, columns=["g", "x"])
+                        rows = []
+            if rows:
+                yield pd.DataFrame(rows, columns=["g", "x"])
+
+    return run
 
 
-def fit(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and transitions, from ``sample`` documents with pattern spans and as many of all, chosen by hash."""
-    named = F.col(text).rlike(r"(?i)(password|passwd|secret|token|api_?key)[\"']? *[:=]|AKIA[A-Z0-9]{14}|[0-9a-f]{16}")
-    rows = docs.where(F.col(text).isNotNull()).select(F.col(text).alias("t"), F.xxhash64(text).alias("h"), named.alias("named"))
-    # a window of each text: training looks no further, and the sample stays small on the driver
-    got = []
-    for part in (rows.where("named"), rows):
-        got += [r["t"] for r in part.orderBy("h", "t").select(F.substring("t", 1, 20_000).alias("t")).limit(sample).collect()]
-    return train([s for t in got for s in sequences_of(t)])
+NAMED = r"(?i)(password|passwd|secret|token|api_?key)[\"']? *[:=]|AKIA[A-Z0-9]{14}|[0-9a-f]{16}"
+
+
+def fit(docs: DataFrame, text: str = "text", sample: int = SAMPLE, kinds=KINDS) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and transitions, from ``sample`` distinct texts with pattern spans and as many of all, chosen by hash.
+
+    Whole texts are read where they lie; what comes to the driver are at most ``STRETCHES`` stretches of
+    25 words at most, as numbers. ``kinds`` are those whose spans are labels.
+    """
+    bounded_batches(docs)
+    t = F.col(f"`{text}`")
+    rows = docs.where(t.isNotNull()).select(t.alias("t"), place(t).alias("h"))
+    got = {}
+    for part in (rows.where(F.col("t").rlike(NAMED)), rows):
+        cut = cut_for(part, F.col("h"), sample)
+        # the range of the hash is tested first: the pattern meets few texts
+        chosen = rows.where(F.col("h") < cut) if part is rows else rows.where(F.col("h") < cut).where(F.col("t").rlike(NAMED))
+        found = chosen.mapInPandas(_stretches(kinds), "g long, x string").groupBy("g").agg(F.min("x").alias("x"))
+        got |= {r["g"]: r["x"] for r in found.orderBy("g").limit(STRETCHES // 2).collect()}
+    return train([(x, tags) for x, tags in (json.loads(got[g]) for g in sorted(got))])
+
+
+def held_out_recall(docs: DataFrame, kind: str, text: str = "text", sample: int = SAMPLE) -> tuple[int, int]:
+    """(found, all) secrets of a kind whose spans the field has not learned from: documents that have it are left out of the fit."""
+    t = F.col(f"`{text}`")
+    with_kind = {"assign": ASSIGN.pattern, "access": ACCESS.pattern, "hex": HEX.pattern}[kind]
+    has = t.rlike(("(?i)" if kind == "assign" else "") + with_kind)
+    weights, transition = fit(docs.where(t.isNotNull() & ~has), text, sample, tuple(k for k in KINDS if k != kind))
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        lexicon, hit, every = Lexicon(weights), 0, 0
+        for pdf in batches:
+            for x in pdf["t"]:
+                spans = value_spans(x, (kind,))
+                tagged = crf_spans(x, [], lexicon, transition, weights[document_feature(x)]) if spans else []
+                every += len(spans)
+                hit += sum(any(a < e and s < b for a, b, _ in tagged) for s, e in spans)
+        yield pd.DataFrame({"hit": [hit], "every": [every]})
+
+    r = docs.where(has).select(t.alias("t")).mapInPandas(count, "hit long, every long").agg(F.sum("hit"), F.sum("every")).first()
+    return r[0] or 0, r[1] or 0
 
 
 def crf_spans(text: str, base: list[tuple[int, int, str]], lexicon: Lexicon, transition: np.ndarray, document: np.ndarray) -> list[tuple[int, int, str]]:
@@ -295,7 +366,7 @@ def scan(docs: DataFrame, keys: dict[str, Column], text: str = "text", sample: i
     """
     bounded_batches(docs)
     weights, transition = fit(docs, text, sample)
-    rows = docs.select(*[c.alias(k) for k, c in keys.items()], F.col(text).alias("__t"))
+    rows = docs.select(*[c.alias(k) for k, c in keys.items()], F.col(f"`{text}`").alias("__t"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]) + ", n_assign long, n_access long, n_hex long, base string, spans string"
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
