@@ -32,6 +32,8 @@ PRIOR = 0.5
 #: each document of the table. Labellers are made to be right when they object; without it the estimates
 #: settle on rare faults being noise of good documents, which the votes alone cannot tell apart.
 OBJECTS, STRENGTH = 0.001, 1.0
+#: Mean of the Beta prior, of the same strength, of how often a labeller objects to documents that are bad in its way.
+SEES = 0.95
 #: Fixed values, the labellers: (name, bad from this share on, good up to this share); between: no vote.
 SHARES = [
     ("noise", 0.30, 0.05),  # words that end in two or more symbols
@@ -141,7 +143,7 @@ def expectation_maximisation(counts: dict[int, int], rounds: int = 200, k: int =
 
     Class 1 is good, class 0 bad in any way. Starts with documents that no labeller objects to as good, and
     the others as bad in the ways of the labellers that object. The counts move the estimates from there
-    against the priors (``PRIOR``, ``OBJECTS``, ``STRENGTH``); no probability is held to a range. Deterministic.
+    against the priors (``PRIOR``, ``OBJECTS``, ``SEES``, ``STRENGTH``); no probability is held to a range. Deterministic.
     """
     codes = sorted(c for c, n in counts.items() if n > 0)
     if not codes:
@@ -167,6 +169,12 @@ def expectation_maximisation(counts: dict[int, int], rounds: int = 200, k: int =
             objects = (said + OBJECTS * STRENGTH * w.sum()) / (said + rest + STRENGTH * w.sum())
             table[0] *= ((1 - objects) / rest)[:, None]
             table[0, :, 1] = objects
+        for c, way in enumerate(used):
+            if way:  # the labeller that a way is named by sees it
+                said, mine = table[c, way - 1, 1], table[c, way - 1].sum()
+                sees = (said + SEES * STRENGTH * mine) / (mine + STRENGTH * mine)
+                table[c, way - 1] *= (1 - sees) / (mine - said)
+                table[c, way - 1, 1] = sees
         table /= table.sum(2, keepdims=True)
         share = (mass.sum(0) + PRIOR) / (w.sum() + PRIOR * len(used))
         ll = np.log(share)[None, :] + np.einsum("nkv,ckv->nc", onehot, np.log(table))
