@@ -15,6 +15,7 @@ import heapq
 from functools import reduce
 from operator import and_, or_
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -128,10 +129,21 @@ def _old(docs: DataFrame, old_shard: str | None, groups: int):
     return F.pmod(F.xxhash64(file), F.lit(groups)).cast("int")
 
 
+def _one_source(docs: DataFrame) -> bool:
+    """Whether the rows' files can be told: they are read from one place."""
+    try:
+        return docs.select(F.input_file_name()).columns is not None and len(docs.inputFiles()) > 0
+    except AnalysisException:
+        return False
+
+
 def _planned(docs: DataFrame, row, text: str, doc_id: str, shards: int, old_shards: int, blocks: int, old_shard: str | None) -> tuple[DataFrame, dict]:
     """(``row`` with size, old, shard and slot; bytes of old shards, bytes that the flow and the blocks move)."""
     spark = docs.sparkSession
     scratch = Scratch(spark)
+    if old_shard is None and not _one_source(docs):
+        names = docs.columns  # written under names that Parquet takes
+        docs = scratch.keep(docs.toDF(*[f"c{i}" for i in range(len(names))])).toDF(*names)
     t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     size = (F.octet_length(t) + 1).cast("long")
     rows = docs.select(row.alias("row"), F.col(f"`{doc_id}`").cast("string").alias("id"), size.alias("size"), _old(docs, old_shard, old_shards).alias("old"), F.xxhash64(t).alias("h"))
@@ -188,7 +200,7 @@ def reshard(docs: DataFrame, keep: list[str], shards: int = 8, old_shards: int =
 
     size is the UTF-8 bytes of ``text`` plus 1; a null text has none. Old shards are the values of the column
     ``old_shard`` (0 to old_shards - 1; others by hash), else the input files (more than ``old_shards`` of them are
-    dealt into so many groups by hash; a table without files is one). slot counts from 0 in each shard without
+    dealt into so many groups by hash; a table that isn't read from one place is written first). slot counts from 0 in each shard without
     gaps; rows are numbered by id as text, null first, and text hash within their block. Rows with equal texts share a
     shard, unless they alone exceed a shard's share. New shards are as near to equal size as whole blocks allow;
     one document longer than a shard's share, or rows that repeat one id and text, are not cut. Empty table: no
