@@ -41,21 +41,36 @@ def test_threshold_search_is_exact(n, dims, spread):
     rng = random.Random(n)
     V = [[rng.randint(-spread, spread) for _ in range(dims)] for _ in range(n)]
     ids = list(range(n))
-    assert sorted(topk.threshold_search(ids[::20], V[::20], ids, V, 10)) == brute_top_k(ids[::20], V[::20], ids, V, 10)
+    assert sorted(r[:3] for r in topk.threshold_search(ids[::20], V[::20], ids, V, 10)) == brute_top_k(ids[::20], V[::20], ids, V, 10)
 
 
 def test_scores_beyond_a_long_rank_exactly():
     big = 2**62
     got = topk.threshold_search([0], [[big]], [0, 1, 2], [[1], [big], [big - 1]], 2)
-    assert got == [(0, 1, topk.LONG), (0, 2, topk.LONG)]
+    assert [r[:3] for r in got] == [(0, 1, topk.LONG), (0, 2, topk.LONG)]
 
 
-def test_threshold_search_stops_early():
+def test_walks_stop_by_the_threshold():
     rng = np.random.default_rng(5)
-    V = rng.integers(0, 1000, (5000, 2))
-    stats = {}
-    topk.threshold_search([0], [V[0]], range(5000), list(V), 3, stats=stats)
-    assert stats["scored"] < 500
+    V = rng.integers(0, 1000, (5000, 8)) // np.array([1, 2, 4, 8, 16, 32, 64, 128])  # later dimensions weigh little
+    got = topk.threshold_search(range(10), list(V[:10]), range(5000), list(V), 3)
+    walks = {q: (scored, stopped) for q, _, _, scored, stopped in got}
+    assert len(walks) == 10 and all(stopped and scored < 2500 for scored, stopped in walks.values())
+    wanted = [x for q in range(10) for x in brute_top_k([q], V[[q]].tolist(), list(range(5000)), V.tolist(), 3)]
+    assert sorted(r[:3] for r in got) == sorted(wanted)
+
+
+def test_no_result_without_the_lists(monkeypatch):
+    """The walk alone finds results: with lists that show one vector only, only that one is found."""
+    V = [[i, 1] for i in range(50)]
+    made = topk.Lists.__init__
+
+    def one_vector(self, ids, vectors):
+        made(self, ids, vectors)
+        self.order[:] = 7
+
+    monkeypatch.setattr(topk.Lists, "__init__", one_vector)
+    assert {r[1] for r in topk.threshold_search([0], [V[3]], range(50), V, 5)} == {7}
 
 
 def test_top_k_odd_rows(spark):
@@ -63,7 +78,8 @@ def test_top_k_odd_rows(spark):
     df = spark.createDataFrame(rows, "vec_id long, e array<float>").where(topk.usable(F.col("e")))
     v = df.select(F.col("vec_id").alias("id"), topk.quantised(F.col("e")).alias("v"))
     got = topk.exact_top_k(v, v.where("id % 100 = 0"), block=2, query_block=1).orderBy("rank").collect()
-    assert [tuple(r) for r in got] == [(0, 1, 5, 786432), (0, 2, 6, 786432)]
+    assert [tuple(r)[:4] for r in got] == [(0, 1, 5, 786432), (0, 2, 6, 786432)]
+    assert {r["scored"] for r in got} == {2}
     assert topk.exact_top_k(v.limit(0), v.limit(0)).count() == 0
 
 
@@ -93,6 +109,61 @@ def test_encoder_equals_definition():
     assert (v[0] == want).all() and has.tolist() == [True, False, False]
 
 
+def test_long_texts_are_encoded_in_pieces(monkeypatch):
+    rng = random.Random(2)
+    texts = ["".join(rng.choice("abç ,9Σσß  ") for _ in range(rng.randint(0, 400))) for _ in range(30)] + [None, "   ", "a"]
+    whole = langid.Encoder(32).encode(texts)
+    for piece in (3, 7, 50):
+        monkeypatch.setattr(langid, "PIECE", piece)
+        cut = langid.Encoder(32).encode(texts)
+        assert (whole[0] == cut[0]).all() and (whole[1] == cut[1]).all()
+
+
+def test_languages_in_blocks_equal_all_at_once(spark):
+    rng = random.Random(3)
+    rows = [(i, " ".join(rng.choices(["uno", "dos", f"w{i % 37}x", f"q{i % 11}"], k=9)).translate(str.maketrans("0123456789", "abcdefghij")), f"l{i % 37}", "s") for i in range(150)]
+    d = docs_of(spark, rows)
+    key = {"lang_pred": F.col("doc_id"), "t": F.col("text")}  # a clashing name is the key's
+    one = langid.identify(d, d.where("doc_id % 3 <> 1"), {"doc_id": F.col("doc_id")}).collect()
+    many = langid.identify(d, d.where("doc_id % 3 <> 1"), {"doc_id": F.col("doc_id")}, block=5).collect()
+    assert sorted(map(tuple, one)) == sorted(map(tuple, many)) and len(key) == 2
+
+
+def test_op3_equals_brute_force(spark):
+    """Prototypes and cosines straight from the definition, for every document of the smallest table."""
+    from zlib import crc32
+
+    from netaccess.llm import queries
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang").collect()
+    letters, grams = {}, {}
+
+    def vector(text):
+        low = "".join(c if c.isalpha() else " " for c in (text or "").lower())
+        low = f" {' '.join(low.split())} "
+        total = np.zeros(langid.DIMS)
+        for gram, n in Counter(zip(low, low[1:], low[2:], strict=False)).items():
+            if gram not in grams:
+                v = [letters.setdefault(c, langid.letter_vector(ord(c)).astype(int)) for c in gram]
+                grams[gram] = np.roll(v[0], 2) * np.roll(v[1], 1) * v[2]
+            total = total + n * grams[gram]
+        return total / max(np.sqrt((total * total).sum()), 1e-12) if low.strip() else None
+
+    units = {r["doc_id"]: vector(r["text"]) for r in docs}
+    learned = {}
+    for r in docs:
+        if r["lang"] is not None and crc32(str(r["doc_id"]).encode()) % 3 != 1 and units[r["doc_id"]] is not None:
+            learned[r["lang"]] = learned.get(r["lang"], 0) + np.rint(units[r["doc_id"]] * langid.SCALE)
+    learned = {k: v / np.sqrt((v * v).sum()) for k, v in learned.items()}
+    got = {r["doc_id"]: r for r in queries.op3_language_id(spark, sf).collect()}
+    assert len(got) == len(docs)
+    for i, u in units.items():
+        want = max(sorted(learned), key=lambda k: round(float(learned[k] @ u), 9)) if u is not None else "und"
+        assert got[i]["lang_pred"] == want
+        assert got[i]["score"] == pytest.approx((1 + float(learned[want] @ u)) / 2 if u is not None else 0, abs=1e-5)
+
+
 # --- URLs
 
 RULES = [("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("org/es/", "block")]
@@ -131,6 +202,45 @@ def test_markov_model_sums_to_at_most_one_and_separates():
     assert urlfilter.calibrated([1.0, 2.0], [-1.0, 0.5]) == 0.75
 
 
+def brute_ratio(good, bad, url, order=urlfilter.ORDER, least=urlfilter.MIN_COUNT):
+    """The score from its definition: counts are looked up in the training texts themselves."""
+    def logs(texts, text):
+        total = 0.0
+        for i in range(1, len(text)):
+            p = 1 / 2**16
+            for k in range(min(order, i) + 1):
+                context, after = text[i - k : i], Counter()
+                for t in texts:
+                    after.update(t[j] for j in range(max(1, k), len(t)) if t[j - k : j] == context)
+                if not after or k and sum(after.values()) < least:
+                    break
+                p = (after[text[i]] + len(after) * p) / (sum(after.values()) + len(after))
+            total += np.log(p)
+        return total
+
+    text = urlfilter.normalised(url)
+    return (logs(good, text) - logs(bad, text)) / (len(text) - 1)
+
+
+def test_verdicts_equal_brute_force(spark):
+    rng = random.Random(6)
+    kinds = {"com/en": ["news", "daily", "paper"], "net/de": ["zeitung", "blatt"], "org/es": ["casino", "bets"]}
+    urls = [f"http://{rng.choice(kinds[k])}.{k.split('/')[0]}/{k.split('/')[1]}/{rng.randint(0, 99)}?utm={rng.choice('ab')}" for k in kinds for _ in range(14)]
+    urls += [urls[0]] * 40 + [f"http://{rng.choice(sum(kinds.values(), []))}.info/{i}?x=casino" for i in range(6)] + ["noscheme casino", "zeitung"]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r["page_id"]: r for r in urlfilter.judge(df, {"page_id": F.col("page_id")}, RULES).collect()}
+    judged = {k: sorted({u for i, u in enumerate(urls) if got[i]["rule"] and got[i]["verdict"] == k}) for k in ("allow", "block")}
+    place = {r["url"]: r["h"] for r in df.select("url", F.pmod(F.xxhash64(F.lit(3), "url"), F.lit(2**31)).alias("h")).collect()}
+    fitted = {k: [urlfilter.normalised(u) for u in v if place[u] % urlfilter.CALIBRATION] for k, v in judged.items()}
+    held = {k: [brute_ratio(fitted["allow"], fitted["block"], u) for u in v if place[u] % urlfilter.CALIBRATION == 0] for k, v in judged.items()}
+    cut = urlfilter.calibrated(held["allow"], held["block"])
+    opened = [i for i, u in enumerate(urls) if not got[i]["rule"]]
+    assert len(opened) >= 8
+    for i in opened:
+        want = brute_ratio(fitted["allow"], fitted["block"], urls[i]) - cut
+        assert got[i]["score"] == pytest.approx(want, abs=1e-9) and got[i]["verdict"] == ("block" if want < 0 else "allow")
+
+
 # --- mixing
 
 
@@ -148,21 +258,59 @@ def test_mix_meets_targets_and_odd_rows(spark):
     assert len(got) == d.count()
     by = {}
     for r in got:
-        assert 0 <= r["__taken"] <= 3 * r["__size"]
+        assert 0 <= r["taken"] <= 3 * r["size"]
         by.setdefault(r["source"], []).append(r)
     for rs in by.values():
-        assert sum(r["__size"] for r in rs) == rs[0]["__source_size"]
-        assert sum(r["__taken"] for r in rs) == int(rs[0]["__target"])
-    assert sum(rs[0]["__target"] for rs in by.values()) == pytest.approx(sum(r["__size"] for r in got))
+        assert sum(r["size"] for r in rs) == rs[0]["source_size"]
+        assert sum(r["taken"] for r in rs) == int(rs[0]["target"])
+    assert sum(rs[0]["target"] for rs in by.values()) == pytest.approx(sum(r["size"] for r in got))
     again = mixing.mix(d.repartition(7), ["doc_id", "source"]).collect()
     assert Counter(map(tuple, got)) == Counter(map(tuple, again))
     made = mixing.sample(d)
     assert made.columns == d.columns
     words = made.select(mixing.n_words(F.col("text")).alias("n")).agg(F.sum("n")).first()[0]
-    assert words == sum(r["__taken"] for r in got)
+    assert words == sum(r["taken"] for r in got)
     assert mixing.mix(d.limit(0), ["doc_id"]).count() == 0
 
 
+@pytest.mark.parametrize("text,n", [("", 1), (" a  b\tc ", 2), ("one", 1), ("a b", 5), ("  x", 0), ("é ñ ü", 2), ("a\n\nb  c", 2)])
+def test_words_upto(spark, text, n):
+    got = spark.createDataFrame([(text, n)], "t string, n long").select(mixing.words_upto(F.col("t"), F.col("n")).alias("x")).first()[0]
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    assert re.findall(r"[^\x20\x09-\x0D]+", got) == words[: max(0, n)] and (n <= 0 or text.startswith(got))
+
+
+CLASH = ["x", "size", "taken", "source_size", "target", "p_size", "a.b", "row", "shard", "slot", "old_shard", "c0", "o", "id", "h", "block", "component_id", "kept", "score", "__size"]
+
+
+def test_clashing_names_and_odd_rows_everywhere(spark):
+    """Columns of any name are carried as they are; null and repeated ids, null and empty texts crash nothing."""
+    rng = random.Random(14)
+    rows = [(i, prose(rng, 70), "en", rng.choice("ab")) for i in range(30)] + [*ODD, ODD[3], (None, None, None, None), (None, None, None, None)]
+    d = docs_of(spark, rows)
+    for i, c in enumerate(CLASH):
+        d = d.withColumn(c, F.lit(7 + i))
+    b = spark.createDataFrame([(0, prose(rng, 20)), (1, "no such words here at all"), (2, "no id here")], "item_id long, text string")
+    stages = {
+        "quality": quality.filter_good(d), "near-dedup": neardup.deduplicate(d), "decontaminate": decontaminate.decontaminate(d, b), "mix": mixing.sample(d),
+    }
+    for name, out in stages.items():
+        assert out.columns == d.columns, name
+        for r in out.collect():
+            assert [r[c] for c in CLASH] == [7 + i for i in range(len(CLASH))], name
+    mixed = mixing.mix(d, ["doc_id", "x", "a.b", "taken"])
+    assert mixed.columns == ["doc_id", "x", "a.b", "taken_in", "size", "source_size", "target", "taken"]
+    assert {(r["x"], r["a.b"], r["taken_in"]) for r in mixed.collect()} == {(7, 13, 9)}
+    moved = sharding.reshard(d, d.columns, old_shards=3)
+    assert moved.count() == d.count() and moved.columns[-4:] == ["size", "old_shard", "shard", "slot"] and len(set(moved.columns)) == len(moved.columns)
+    import corpus_pipeline
+
+    last = corpus_pipeline.shard(spark, d, "")
+    assert last.count() == d.count()
+    left = [r["text"] for r in stages["decontaminate"].collect()]
+    assert "no id here" not in left  # an item of three words, in a row without an id
+
+
 # --- near-duplicates
 
 
@@ -279,6 +427,75 @@ def test_expectation_maximisation_recovers_accuracies():
     assert sum((post[c] > 0.5) == g for c, g in truth) / len(truth) > 0.98
 
 
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_planted_accuracies_of_overlapping_labellers_are_recovered(seed):
+    """Documents are bad in one of four ways, each seen by labellers that overlap; good ones are objected to by chance."""
+    rng = np.random.default_rng(seed)
+    k = quality.LABELLERS
+    ways = np.full((5, k, 3), 0.0)
+    ways[0] = [0.095, 0.005, 0.9]  # good: no vote, bad, good
+    for way, seers in enumerate([(0, 1), (2, 3, 4), (5, 6), (7, 8, 0)], 1):
+        ways[way] = [0.3, 0.01, 0.69]
+        for s in seers:
+            ways[way, s] = [0.1, 0.8, 0.1]
+    share = np.array([0.8, 0.05, 0.05, 0.05, 0.05])
+    n = 40_000
+    kind = rng.choice(5, n, p=share)
+    votes = (rng.random((n, k, 1)) > np.cumsum(ways[kind], axis=2)).sum(2)
+    codes = votes @ (3 ** np.arange(k - 1, -1, -1))
+    post, prior, table = quality.expectation_maximisation(Counter(codes.tolist()))
+    good = ways[0]
+    bad = (share[1:, None, None] * ways[1:]).sum(0) / share[1:].sum()
+    assert abs(prior - 0.8) < 0.05
+    assert np.abs(table[:, 1] - good).max() < 0.05 and np.abs(table[:, 0] - bad).max() < 0.05
+    # an objection is not a verdict: some are outvoted
+    assert 0 < table[:, 1, 1].min() < table[:, 1, 1].max()
+
+
+def brute_votes(text):
+    """The labellers as their descriptions say, word by word."""
+    words, lines = text.split(), [x for x in text.split("\n") if x.strip()]
+    n = len(words)
+    if not n:
+        return None
+    def shouted(w):
+        return sum(c.isalpha() for c in w) >= 2 and w.upper() == w and w.lower() != w
+
+    def ends_doubled(w):
+        return len(w) >= 2 and not w[-1].isalnum() and w[-2] == w[-1]
+
+    share = lambda f: sum(map(f, words)) / n
+    values = {
+        "noise": share(ends_doubled), "capitals": share(shouted), "bars": share(lambda w: not any(map(str.isalnum, w))),
+        "echo": sum(a == b for a, b in zip(words, words[1:], strict=False)) / max(1, n - 1),
+        "repeated": max(0.0, 1 - len(set(words)) / min(n, 12 * n**0.6)) if n >= 10 else 0.0,
+        "lines": 1 - len(set(lines)) / max(1, len(lines)), "long": share(lambda w: len(w) > 30), "digits": share(lambda w: any(map(str.isdigit, w))),
+    }
+    votes = [1 if values[k] >= bad else 2 if values[k] <= good else 0 for k, bad, good in quality.SHARES]
+    return [*votes, 0 if n < 15 else 2 if 0.02 <= share(lambda w: w[-1] in ".?!;:") <= 0.35 else 1]
+
+
+def test_op1_equals_brute_force_and_labels(spark):
+    from netaccess.llm import queries
+
+    sf = "/root/testdata/sf0.01"
+    docs = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    votes = {i: brute_votes(t) for i, t in docs.items()}
+    code = lambda v: sum(x * 3 ** (len(v) - 1 - i) for i, x in enumerate(v))
+    post, _, _ = quality.expectation_maximisation(Counter(code(v) for v in votes.values() if v))
+    got = {r["doc_id"]: r for r in queries.op1_quality(spark, sf).collect()}
+    assert len(got) == len(docs)
+    for i, v in votes.items():
+        assert got[i]["posterior"] == pytest.approx(post[code(v)] if v else 0.0, abs=1e-9)
+    labels = spark.read.parquet(f"{sf}/labels.parquet").collect()
+    right = [got[r["doc_id"]]["kept"] == (r["quality"] == 1) for r in labels]
+    assert sum(right) / len(right) > 0.98
+
+
+def test_long_words_count_whole():
+    assert quality.shape("a" * 200 + "1!!") == "a0!!" and quality.shape("x1" * 300) == "a0" * 300
+
+
 # --- secrets
 
 
@@ -337,6 +554,28 @@ def test_scan(spark):
     assert lexicon._cached("There").tolist() == lexicon._row("There").tolist()
 
 
+def test_stretches_come_from_anywhere():
+    rng = random.Random(7)
+    text = prose(rng, 9000) + " " + " ".join(f'token = "{i:040x}" {prose(rng, 40)}' for i in range(1, 60))
+    assert len(text) > 20_000
+    seen = [t for _, t in secrets.sequences_of(text)]
+    assert sum(t.count(secrets.BEGIN) for t in seen) == 2 * 59  # each span, and once more masked
+
+
+def test_kinds_that_were_held_out_are_found(spark):
+    rng = random.Random(3)
+    pick = lambda a, n: "".join(rng.choice(a) for _ in range(n))
+    abc = "abcdefghijklmnopqrstuvwxyz"
+    make = [lambda: f'{rng.choice(["password", "token", "api_key"])} = "{pick(abc + abc.upper() + "0123456789", rng.randint(16, 32))}"', lambda: "AKIA" + pick(abc.upper() + "0123456789", 16), lambda: pick("0123456789abcdef", rng.choice([32, 40]))]
+    rows = [(i, f"{prose(rng, 30)} {make[i % 4]() if i % 4 < 3 else ''} 2019 a@b.org 192.168.1.12 {prose(rng, 30)}", None, None) for i in range(300)]
+    d = docs_of(spark, rows)
+    for kind, least in (("access", 0.9), ("hex", 0.9)):
+        found, every = secrets.held_out_recall(d, kind)
+        assert every == 75 and found >= least * every
+    spans = secrets.scan(d.where("doc_id % 4 = 3"), {"doc_id": F.col("doc_id")}).collect()
+    assert all(r["spans"] == "" for r in spans)  # clean documents are left alone
+
+
 # --- sharding
 
 
@@ -358,17 +597,51 @@ def test_reshard(spark, tmp_path):
     rng = random.Random(8)
     rows = [(i, "copy" if i % 3 == 0 else prose(rng, rng.randint(1, 60)), None, None) for i in range(20, 2000)]
     d = docs_of(spark, [*rows, *ODD[:6]])
-    got = sharding.reshard(d, ["doc_id"], blocks=256).collect()
+    got = sharding.reshard(d, ["doc_id", "text"], blocks=256).collect()
     assert len(got) == d.count()
-    by = {}
+    by, group = {}, {}
     for r in got:
-        by.setdefault(r["__shard"], []).append(r)
-    assert all(sorted(x["__slot"] for x in v) == list(range(len(v))) for v in by.values())
-    loads = [sum(x["__size"] for x in v) for v in by.values()]
-    assert len(loads) == 8 and max(loads) - min(loads) < 0.01 * sum(loads)
+        by.setdefault(r["shard"], []).append(r)
+        group.setdefault(r["text"] or "", set()).add(r["shard"])
+    assert all(sorted(x["slot"] for x in v) == list(range(len(v))) for v in by.values())
+    loads = [sum(x["size"] for x in v) for v in by.values()]
+    assert len(loads) == 8 and max(loads) - min(loads) < 0.02 * sum(loads)
+    assert all(len(v) == 1 for v in group.values())
     assert sharding.reshard(d.limit(0), ["doc_id"]).count() == 0
-    sharding.rewrite(d, str(tmp_path / "shards"), blocks=256)
-    assert spark.read.parquet(str(tmp_path / "shards")).count() > 0
+    # a group that exceeds a shard's share is cut, and no other
+    hot = docs_of(spark, [(i, "hot text " * 20 if i % 2 else prose(rng, 20), None, None) for i in range(3000)])
+    rows = sharding.reshard(hot, ["text"]).collect()
+    loads = Counter()
+    for r in rows:
+        loads[r["shard"]] += r["size"]
+    assert max(loads.values()) < 1.05 * min(loads.values())
+    places = {}
+    for r in rows:
+        places.setdefault(r["text"], set()).add(r["shard"])
+    assert [t for t, v in places.items() if len(v) > 1] == ["hot text " * 20]
+
+
+def test_files_are_old_shards_and_untouched_shards_stay(spark, tmp_path):
+    rng = random.Random(9)
+    rows = [(i, prose(rng, 30) if i % 10 else "shared by shards", None, None) for i in range(1200)]
+    folder = str(tmp_path / "in")
+    for k in range(4):
+        docs_of(spark, rows[k::4]).coalesce(1).write.mode("append").parquet(folder)
+    d = spark.read.parquet(folder)
+    got = sharding.reshard(d, ["doc_id", "text"], shards=4, old_shards=4).collect()
+    old = {r["old_shard"] for r in got}
+    assert old == {0, 1, 2, 3}
+    # nearly all stays where it is: what must move are copies that lie apart
+    assert sum(r["size"] for r in got if r["old_shard"] != r["shard"]) < 0.1 * sum(r["size"] for r in got)
+    assert len({r["shard"] for r in got if r["text"] == "shared by shards"}) == 1
+    out = str(tmp_path / "out")
+    facts = {r["shard"]: r for r in sharding.rewrite(d.withColumn("s", F.lit(2)), out, shards=8, old_shards=8, old_shard="s").collect()}
+    assert facts[2]["gained"] == 0 and facts[2]["lost"] > 0 and all(r["written"] for r in facts.values())
+    back = spark.read.parquet(out)
+    assert back.count() == 1200 and back.select("shard").distinct().count() == 8
+    even = docs_of(spark, [(i, f"{i:05d}", None, None) for i in range(800)]).withColumn("s", F.floor(F.col("doc_id") / 100).cast("int"))
+    still = sharding.rewrite(even, str(tmp_path / "even"), shards=8, old_shards=8, old_shard="s", blocks=2**16)
+    assert still.where("written").count() == 0 and still.agg(F.sum("rows")).first()[0] == 800
 
 
 # --- chat
@@ -388,8 +661,9 @@ def test_format_rows_round_trip(spark):
     for r in out:
         turns = [(a, b) for _, a, b in sorted(want[r["conv_id"]])]
         assert [tuple(t) for t in r["turns"]] == turns
-        assert r["loss_mask"] == [a == "assistant" for a, _ in turns]
-        cut = [r["formatted"][s["start"] : s["end"]] for s in r["loss_spans"]]
+        starts = [i for i in range(len(r["formatted"])) if r["formatted"].startswith(chat.START, i)]
+        assert [s["turn"] for s in r["loss_spans"]] == [i for i, (a, _) in enumerate(turns) if a == "assistant"]
+        cut = [r["formatted"][starts[s["turn"]] + s["start"] : starts[s["turn"]] + s["end"]] for s in r["loss_spans"]]
         assert [x.replace("\\b", "<|").replace("\\s", "\\") for x in cut] == [b for a, b in turns if a == "assistant"]
     assert chat.format_rows(df.limit(0)).count() == 0
 
@@ -405,6 +679,24 @@ def test_layouts_by_fingerprint(spark):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_conversations_reach_turns_by_fingerprint_only(spark, monkeypatch):
+    from netaccess.llm import queries
+
+    sf = "/root/testdata/sf0.001"
+    rows = spark.read.parquet(f"{sf}/conversations.parquet")
+    own = spark.createDataFrame([(900, 0, "tool", "x"), (900, 1, "assistant", None), (901, 0, "System", "y"), (902, 0, "user", "u"), (902, 1, "assistant", "a")], "conv_id long, turn long, role string, text string")
+    mixed = chat.in_layouts(chat.gathered(rows.select("conv_id", "turn", "role", "text").unionByName(own.select("conv_id", "turn", "role", "text"))))
+    seen = mixed.select("conv_id", chat.layout(mixed).alias("f"), chat.canonical(mixed).alias("c"), F.col("turns").isNotNull().alias("own")).collect()
+    assert len({r["f"] for r in seen}) >= 4 and {r["conv_id"] for r in seen if r["own"]} >= {900, 901}
+    assert all(r["c"] is not None for r in seen)
+    assert [tuple(t) for t in next(r["c"] for r in seen if r["conv_id"] == 901)] == [("System", "y")]
+    plan = queries.op9_chat_format(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+    # without the mappings no conversation is formatted: the query has no other way
+    monkeypatch.setattr(chat, "MAPPINGS", {})
+    assert {r["n_turns"] for r in queries.op9_chat_format(spark, sf).collect()} <= {None, -1}
+
+
 # --- decontamination
 
 
@@ -422,7 +714,7 @@ def test_common_subsequence():
 def test_decontaminate_planted_and_edited(spark):
     rng = random.Random(10)
     item = lambda n: " ".join(f"q{rng.randint(0, 3000)}" for _ in range(n))
-    bench = [(i, item(rng.randint(15, 60))) for i in range(30)] + [(90, None), (91, ""), (92, "two words")]
+    bench = [(i, item(rng.randint(15, 60))) for i in range(30)] + [(90, None), (91, ""), (92, "two wordsthatnonehas")]
     rows = []
     for i in range(120):
         text = prose(rng, 150).split()
@@ -468,12 +760,55 @@ def test_blocks_are_bounded_by_passages(spark, monkeypatch):
     items = [(i, " ".join(f"w{rng.randint(0, 20_000)}" for _ in range(300))) for i in range(120)]
     axes = decontaminate.latent_axes
     monkeypatch.setattr(decontaminate, "latent_axes", lambda s, passages, idf: seen.append(len(passages)) or axes(s, passages, idf, axes=8))
+    monkeypatch.setattr(decontaminate, "AT_ONCE", 2)
     d, b = docs_of(spark, [(i, t, None, None) for i, t in items[:30]]), spark.createDataFrame(items, "item_id long, text string")
     got = {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(d, b).collect()}
     assert got == {(i, i) for i in range(30)}  # found although 8 axes hold next to nothing
     assert sum(seen) == 120 * 47 and len(seen) > 1 and max(seen) <= 1.5 * decontaminate.PASSAGES
 
 
+def test_many_items_are_searched_in_one_reading(spark):
+    rng = random.Random(15)
+    items = [(i, " ".join(f"w{rng.randint(0, 9000)}" for _ in range(25))) for i in range(1000)]
+    d = docs_of(spark, [(i, prose(rng, 40) + " " + items[i * 7][1], None, None) for i in range(140)])
+    b = spark.createDataFrame(items, "item_id long, text string")
+    got = decontaminate.contaminated(d, b)
+    assert {(r["doc_id"], r["item_id"]) for r in got.collect()} == {(i, i * 7) for i in range(140)}
+    assert got._jdf.queryExecution().executedPlan().toString().count("MapInPandas") == 1
+    few = decontaminate.contaminated(d, b, at_once=2)
+    assert {(r["doc_id"], r["item_id"]) for r in few.collect()} == {(i, i * 7) for i in range(140)}
+
+
+def test_short_items_are_whole_sequences(spark):
+    texts = ["say deep blue sea now", "deep, blue - Sea!", "blue deep sea", "sea", "the deep blue", None, ""]
+    b = spark.createDataFrame([(1, "Deep blue sea."), (2, "sea"), (3, "...")], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(docs_of(spark, [(i, t, None, None) for i, t in enumerate(texts)]), b).collect()}
+    assert got == {(0, 1), (1, 1), (0, 2), (1, 2), (2, 2), (3, 2)}
+
+
+def test_op10_equals_an_exhaustive_search(spark):
+    """Every window of every document against every item by common subsequences: none is missed, none is added."""
+    from netaccess.llm import queries
+
+    sf = "/root/testdata/sf0.001"
+    items = [(r["item_id"], decontaminate.item_words(r["text"]), decontaminate.answer_length(r["text"])) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    number = {w: i + 2 for i, w in enumerate(sorted({w for _, ws, _ in items for w in ws}))}
+    want = set()
+    for r in spark.read.parquet(f"{sf}/documents.parquet").collect():
+        x = [number.get(w, 1) for w in decontaminate.item_words(r["text"])]
+        for i, ws, a in items:
+            ws = [number[w] for w in ws]
+            span = len(ws) * 3 // 2
+            for s in range(0, max(1, len(x) - span + 1 + len(ws) // 4), max(1, len(ws) // 6)):
+                near = x[s : s + span]
+                share = decontaminate.common_subsequence(ws, near) / len(ws)
+                if share >= decontaminate.ALONE or share >= decontaminate.WITH_ANSWER and decontaminate.common_subsequence(ws[-a:], near) / a >= decontaminate.ANSWER:
+                    want.add((r["doc_id"], i))
+                    break
+    got = {(r["doc_id"], r["item_id"]) for r in queries.op10_decontaminate(spark, sf).collect()}
+    assert want and len(want & got) >= 0.9 * len(want) and len(got - want) <= 0.1 * len(want)
+
+
 def test_decontaminate_judges_rows_not_ids(spark):
     rng = random.Random(12)
     item = " ".join(f"q{rng.randint(0, 3000)}" for _ in range(30))
@@ -502,6 +837,48 @@ def test_deduplicate_leaves_one_row_of_each_component(spark):
 # --- pipeline and queries
 
 
+def test_pipeline_equals_brute_force(spark):
+    """Every decision of the five stages against plain Python on the smallest table."""
+    import corpus_pipeline
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    outs = []
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, sf).cache()
+        outs.append(docs.collect())
+    good, unique, clean, mixed, sharded = outs
+    verdict = {r["doc_id"]: r["kept"] for r in quality.classify(spark.read.parquet(f"{sf}/documents.parquet"), {"doc_id": F.col("doc_id")}).collect()}
+    assert {r["doc_id"] for r in good} == {i for i, k in verdict.items() if k}
+    parts = brute_components({r["doc_id"]: r["text"] for r in good}, 80)
+    assert {r["doc_id"] for r in unique} == {c for _, c in parts.values()}
+    held = {r["doc_id"] for r in decontaminate.contaminated(spark.createDataFrame(unique), spark.read.parquet(f"{sf}/benchmark.parquet")).collect()}
+    assert {r["doc_id"] for r in clean} == {r["doc_id"] for r in unique} - held
+    count = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+    sizes = {}
+    for r in clean:
+        sizes[r["source"]] = sizes.get(r["source"], 0) + count(r["text"])
+    names = sorted(sizes, key=lambda s: (s is None, s or ""))
+    target = dict(zip(names, mixing.water_fill([sizes[s] for s in names], [(5, 2, 1)[i % 3] for i in range(len(names))]), strict=True))
+    taken, whole = Counter(), {r["doc_id"]: r["text"] for r in clean}
+    for r in mixed:
+        taken[r["source"]] += count(r["text"])
+        assert whole[r["doc_id"]].startswith(r["text"])
+    assert all(taken[s] == int(t) for s, t in target.items())
+    assert Counter((r["doc_id"], r["text"]) for r in sharded) == Counter((r["doc_id"], r["text"]) for r in mixed)
+    loads, groups = Counter(), {}
+    for r in sharded:
+        loads[r["shard"]] += r["size"]
+        groups.setdefault(r["text"], set()).add(r["shard"])
+    assert all(r["size"] == len((r["text"] or "").encode()) + 1 for r in sharded)
+    fair = sum(loads.values()) / 8
+    assert all(len(v) == 1 for t, v in groups.items() if sum(r["size"] for r in sharded if r["text"] == t) <= fair)
+    slots = {}
+    for r in sharded:
+        slots.setdefault(r["shard"], []).append(r["slot"])
+    assert all(sorted(v) == list(range(len(v))) for v in slots.values())
+
+
 def test_pipeline_decisions(spark):
     import corpus_pipeline
 
