@@ -167,28 +167,33 @@ def _planned(docs: DataFrame, row, text: str, doc_id: str, shards: int, old_shar
     def cells(heavy: list[tuple], whole: list[tuple]) -> list:
         return keyed(heavy, whole).groupBy("home", "block", "part", "piece").agg(F.sum("size").alias("s"), F.count("*").alias("n")).collect()
 
-    heavy, whole = [], []
-    found = cells(heavy, whole)
+    found = cells([], [])
     capacity = sum(r["s"] for r in found) / shards
-    heavy = sorted((r["home"], r["block"]) for r in found if r["s"] > capacity / FINE)
+    heavy, pieced = sorted((r["home"], r["block"]) for r in found if r["s"] > capacity / FINE), []
     if heavy:
-        found = cells(heavy, whole)
-        whole = sorted((r["home"], r["block"], r["part"]) for r in found if r["s"] > capacity)
-        if whole:
-            found = cells(heavy, whole)
-    units = sorted(((r["home"], r["block"], r["part"], r["piece"]), r["home"], r["s"], r["n"]) for r in found)
-    place, flow, moved = assign([c[:3] for c in units], shards, old_shards)
+        found = cells(heavy, [])
+        pieced = sorted((r["home"], r["block"], r["part"]) for r in found if r["s"] > capacity / FINE)
+    # large parts are numbered in pieces; the pieces stay together unless the part alone exceeds a shard's capacity
+    apart = {(r["home"], r["block"], r["part"]) for r in found if r["s"] > capacity}
+    if pieced:
+        found = cells(heavy, pieced)
+    rows_of = sorted(((r["home"], r["block"], r["part"], r["piece"]), r["s"], r["n"]) for r in found)
+    unit = lambda cell: cell if cell[:3] in apart else cell[:3]
+    sizes: dict[tuple, int] = {}
+    for cell, s, _ in rows_of:
+        sizes[unit(cell)] = sizes.get(unit(cell), 0) + s
+    place, flow, moved = assign([(u, u[0], s) for u, s in sorted(sizes.items())], shards, old_shards)
     offset, plan = [0] * shards, []
-    for key, _, _, n in units:
-        j = place[key]
-        plan.append((*key, j, offset[j]))
+    for cell, _, n in rows_of:
+        j = place[unit(cell)]
+        plan.append((*cell, j, offset[j]))
         offset[j] += n
     planned = spark.createDataFrame(plan, "home int, block int, part int, piece int, shard int, offset long")
-    # at most BLOCKS + FINE * shards * PARTS + shards * PARTS rows of 28 bytes
+    # at most BLOCKS + 2 * FINE * shards * PARTS rows of 28 bytes
     cell = ["home", "block", "part", "piece"]
     out = keyed(heavy, whole).join(F.broadcast(planned), cell)
     slot = (F.col("offset") + F.row_number().over(Window.partitionBy(*cell).orderBy("id", "h", "size")) - 1).cast("long")
-    facts = {"flow": flow, "moved": moved, "units": len(units)}
+    facts = {"flow": flow, "moved": moved, "units": len(sizes)}
     return out.select("row", F.struct("size", "old", "shard", slot.alias("slot")).alias("plan")), facts
 
 
