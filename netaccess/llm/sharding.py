@@ -191,7 +191,7 @@ def _planned(docs: DataFrame, row, text: str, doc_id: str, shards: int, old_shar
     planned = spark.createDataFrame(plan, "home int, block int, part int, piece int, shard int, offset long")
     # at most BLOCKS + 2 * FINE * shards * PARTS rows of 28 bytes
     cell = ["home", "block", "part", "piece"]
-    out = keyed(heavy, whole).join(F.broadcast(planned), cell)
+    out = keyed(heavy, pieced).join(F.broadcast(planned), cell)
     slot = (F.col("offset") + F.row_number().over(Window.partitionBy(*cell).orderBy("id", "h", "size")) - 1).cast("long")
     facts = {"flow": flow, "moved": moved, "units": len(sizes)}
     return out.select("row", F.struct("size", "old", "shard", slot.alias("slot")).alias("plan")), facts
