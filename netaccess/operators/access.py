@@ -21,9 +21,14 @@ def within(distance: Column, budget) -> Column:
     return F.coalesce(~F.isnan(distance) & (distance <= budget), F.lit(False))
 
 
+def known(distance: Column) -> Column:
+    """The distance, raising where it is NaN: a cell without a distance must not pass for one out of reach."""
+    return F.when(F.isnan(distance), F.raise_error(F.lit("a distance is NaN")).cast("double")).otherwise(distance)
+
+
 def classes(metro: Column, bus: Column, budget) -> dict[str, Column]:
-    """The exclusive partition: metro, bus_only, underserved."""
-    m, b = within(metro, budget), within(bus, budget)
+    """The exclusive partition: metro, bus_only, underserved. A NaN distance raises; null is unreached."""
+    m, b = within(known(metro), budget), within(known(bus), budget)
     return {"metro": m, "bus_only": ~m & b, "underserved": ~m & ~b}
 
 
@@ -69,8 +74,8 @@ def by_speed(cells: DataFrame, speeds=SPEEDS, group: str = "district") -> DataFr
 
 
 def weighted_access(df: DataFrame, weight: Column, accessible: Column, by: list[str]) -> DataFrame:
-    """Denominator and numerator over weights that are neither null nor NaN; percent null where nothing is left."""
-    w = F.when(~F.isnan(weight), weight)
+    """Denominator and numerator over weights that are neither null nor NaN; percent null where nothing is left. A negative weight raises."""
+    w = F.when(weight < 0, F.raise_error(F.lit("a weight is negative")).cast("double")).when(~F.isnan(weight), weight)
     out = df.groupBy(*by).agg(F.sum(w).alias("denominator"), F.sum(F.when(accessible, w).otherwise(F.when(w.isNotNull(), 0.0))).alias("numerator"))
     return out.withColumn("pct", F.round(rate(F.col("numerator"), F.col("denominator"), 100.0), 6))
 

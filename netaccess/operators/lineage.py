@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """A checkpoint in spark.checkpoint.dir; a temporary folder only where the session names none (tests)."""
+    """A checkpoint in spark.checkpoint.dir."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
         folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="netaccess-"))
+        if not folder:
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        context.setCheckpointDir(folder)
     return df.checkpoint()

@@ -38,6 +38,58 @@ def canonical_edges(records: DataFrame) -> DataFrame:
     return out.select((F.col("off") + F.col("i") - 1).cast("long").alias("edge_id"), "u", "v", "cost_m", "records")
 
 
+def reversed_line(wkt):
+    """A LINESTRING text with its points the other way round; no number is parsed."""
+    inner = F.regexp_extract(wkt, r"\((.*)\)", 1)
+    return F.concat(F.lit("LINESTRING ("), F.array_join(F.reverse(F.split(inner, r"\s*,\s*")), ", "), F.lit(")"))
+
+
+def canonical_lines(records: DataFrame) -> DataFrame:
+    """``canonical_edges`` for records with a line (u, v, cost, wkt): one edge for each ends, cost and line.
+
+    The line is turned with its ends; a loop's line is the smaller of itself and its reverse. Columns: u, v, cost_m, wkt, records.
+    """
+    good = records.where("u IS NOT NULL AND v IS NOT NULL AND cost > 0 AND NOT isnan(cost) AND cost < double('inf')")
+    back = reversed_line(F.col("wkt"))
+    line = F.when(F.col("u") < F.col("v"), F.col("wkt")).when(F.col("u") > F.col("v"), back).otherwise(F.least(F.col("wkt"), back))
+    ends = good.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), "cost", F.bround("cost", 6).alias("c"), line.alias("wkt"))
+    return ends.groupBy("u", "v", "c", "wkt").agg(F.min("cost").alias("cost_m"), F.count("*").alias("records")).drop("c")
+
+
+def guarded(df: DataFrame, expected: int | None, what: str) -> DataFrame:
+    """The table, after its number of rows was compared with what is expected."""
+    n = df.count() if expected is not None else None
+    if n != expected:
+        raise ValueError(f"{n} {what}, expected {expected}")
+    return df
+
+
+def backing_histogram(edges: DataFrame) -> DataFrame:
+    """How many edges are made of how many records: records, edges."""
+    return edges.groupBy("records").agg(F.count("*").alias("edges"))
+
+
+def cost_ratios(edges: DataFrame, lines: DataFrame) -> DataFrame:
+    """Smallest, median and largest ratio of an edge's cost to the straight distance of its ends; edges of no length left out."""
+    d = F.sqrt((F.col("x2") - F.col("x1")) ** 2 + (F.col("y2") - F.col("y1")) ** 2)
+    r = F.when(d > 0, F.col("cost_m") / d)
+    at = lines.select("edge_id", "x1", "y1", "x2", "y2")
+    return edges.select("edge_id", "cost_m").join(at, "edge_id").agg(F.round(F.min(r), 6).alias("lo"), F.round(F.percentile(r, F.lit(0.5)), 6).alias("median"), F.round(F.max(r), 6).alias("hi"))
+
+
+def spliced_xy(spliced: DataFrame, lines: DataFrame) -> DataFrame:
+    """(mode, node, x, y) of the nodes that splicing adds, interpolated along their straight edges."""
+    new = spliced.where("fraction > 0 AND fraction < 1").select("mode", "edge_id", "node", "fraction").distinct()
+    f = F.col("fraction")
+    at = lines.select("edge_id", "x1", "y1", "x2", "y2")
+    return new.join(at, "edge_id").select("mode", "node", (F.col("x1") + f * (F.col("x2") - F.col("x1"))).alias("x"), (F.col("y1") + f * (F.col("y2") - F.col("y1"))).alias("y"))
+
+
+def snap_subset(snaps: DataFrame, active: DataFrame, key: str = "point_id") -> DataFrame:
+    """The snaps of the active sources, not computed anew."""
+    return snaps.join(active.select(key).distinct(), key, "left_semi")
+
+
 def cheapest_pairs(edges: DataFrame) -> DataFrame:
     """Parallel edges collapse to the cheapest, never to a sum; loops go."""
     return edges.where("u <> v").groupBy("u", "v").agg(F.min("cost_m").alias("cost_m"))
@@ -135,9 +187,12 @@ def multi_source_distances(adj: DataFrame, entries: DataFrame, distributed: bool
     """(mode, node, distance, before) of the nodes that an entry (mode, node, cost) reaches; others are absent.
 
     A mode is searched by one worker while its network is no larger than WORKER_EDGES; beyond that by
-    rounds of relaxation over the whole cluster (``distributed`` forces either; then before is null).
+    rounds of relaxation over the whole cluster (``distributed`` forces either; distances and paths are the
+    same, of equally near nodes before one the smaller name counts). No entry at all raises.
     """
     entries = entries.groupBy("mode", "node").agg(F.min("cost").alias("cost"))
+    if not entries.limit(1).count():
+        raise ValueError("no source to search from")
     if distributed is None:
         largest = adj.groupBy("mode").count().agg(F.max("count")).first()[0] or 0
         distributed = largest > WORKER_EDGES
@@ -156,17 +211,22 @@ def multi_source_distances(adj: DataFrame, entries: DataFrame, distributed: bool
 
 
 def _relax(adj: DataFrame, entries: DataFrame) -> DataFrame:
-    """Bellman-Ford by the frontier: each round only nodes that improved reach their neighbours."""
-    both = adj.select("mode", "a", "b", "w").unionByName(adj.select("mode", F.col("b").alias("a"), F.col("a").alias("b"), "w")).repartition("mode", "a").cache()
-    dist = cut(entries.select("mode", "node", F.col("cost").alias("distance")).withColumn("fresh", F.lit(True)))
+    """Bellman-Ford by the frontier: each round only nodes that improved reach their neighbours.
+
+    What has been reached is a table of its own, to which a round adds the nodes it improves; the nodes
+    before them are carried along.
+    """
+    both = cut(adj.select("mode", "a", "b", "w").unionByName(adj.select("mode", F.col("b").alias("a"), F.col("a").alias("b"), "w")).repartition("mode", "a"))
+    fresh = dist = cut(entries.select("mode", "node", F.col("cost").alias("distance"), F.lit(None).cast("string").alias("before")))
     while True:
-        step = dist.where("fresh").join(both, (dist.mode == both.mode) & (dist.node == both.a)).select(dist.mode, F.col("b").alias("node"), (F.col("distance") + F.col("w")).alias("new"))
-        step = step.groupBy("mode", "node").agg(F.min("new").alias("new"))
-        old = dist.select("mode", "node", "distance")
-        dist = cut(old.join(step, ["mode", "node"], "full").select("mode", "node", F.least("distance", "new").alias("distance"), (F.col("new").isNotNull() & (F.coalesce("distance", F.lit(math.inf)) > F.col("new"))).alias("fresh")))
-        if not dist.where("fresh").limit(1).count():
-            both.unpersist()
-            return dist.select("mode", "node", "distance", F.lit(None).cast("string").alias("before"))
+        step = fresh.join(both, (fresh.mode == both.mode) & (fresh.node == both.a)).select(fresh.mode, F.col("b").alias("node"), F.struct((F.col("distance") + F.col("w")).alias("distance"), F.col("node").alias("before")).alias("s"))
+        step = step.groupBy("mode", "node").agg(F.min("s").alias("s")).select("mode", "node", "s.*")
+        old = dist.select("mode", "node", F.col("distance").alias("was"))
+        fresh = cut(step.join(old, ["mode", "node"], "left").where("was IS NULL OR distance < was").select("mode", "node", "distance", "before"))
+        if not fresh.limit(1).count():
+            return dist
+        kept = dist.join(fresh.select("mode", "node"), ["mode", "node"], "left_anti")
+        dist = cut(kept.unionByName(fresh))
 
 
 def cell_distances(cells: DataFrame, segs: DataFrame, reached: DataFrame) -> DataFrame:

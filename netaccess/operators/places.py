@@ -21,9 +21,9 @@ def greedy_dedupe(places: DataFrame, block: list[str], radius: float, order: lis
 
     Places are taken by ``order``; which ones stay depends on it, so a block (say category and name) is
     walked in one task, with kept places on a grid of the radius: its work is linear in the block. Places
-    with a null block value never merge. kept_id is the place's own id where it stays.
+    with a null block value or without coordinates never merge. kept_id is the place's own id where it stays.
     """
-    named = places
+    named = places.where(F.col("x").isNotNull() & F.col("y").isNotNull() & ~F.isnan("x") & ~F.isnan("y"))
     for b in block:
         named = named.where(F.col(b).isNotNull() & (F.col(b) != ""))
     rest = places.join(named.select(id_), id_, "left_anti").select(id_, F.col(id_).alias("kept_id"), F.lit(0.0).alias("distance"))
@@ -48,6 +48,87 @@ def greedy_dedupe(places: DataFrame, block: list[str], radius: float, order: lis
     return named.select(*cols).groupBy(*block).applyInPandas(walk, f"{id_} {kind}, kept_id {kind}, distance double").unionByName(rest)
 
 
+def named_blocks(places: DataFrame, keys: str = "keys", id_: str = "place_id") -> DataFrame:
+    """Places with ``block``: the smallest id that a place shares names with, directly or by way of others.
+
+    ``keys`` are the name variants of a place. Only places of one block can be the same; a place without a name is its own block.
+    """
+    from netaccess.operators import network
+
+    one = places.select(F.col(id_).alias("p"), F.explode(F.array_distinct(keys)).alias("k")).where("k IS NOT NULL AND k <> ''")
+    # each name links its places to the first of them: one row for each place and name, no pairs
+    first = one.groupBy("k").agg(F.min("p").alias("f"))
+    edges = one.join(first, "k").where("p <> f").select(F.col("f").alias("u"), F.col("p").alias("v")).distinct()
+    if not edges.limit(1).count():
+        return places.withColumn("block", F.col(id_))
+    found = network.components(edges)
+    return places.join(found.select(F.col("node").alias(id_), F.col("comp").alias("block")), id_, "left").withColumn("block", F.coalesce("block", id_))
+
+
+def dedupe_by_names(places: DataFrame, radius: float, order: list[str], keys: str = "keys", id_: str = "place_id", by: list[str] | None = None) -> DataFrame:
+    """``greedy_dedupe`` where a place goes only if a kept one within the radius shares a name variant with it.
+
+    Blocks are what shared names connect (and ``by``, such as a role, keeps apart); within a block the walk compares names.
+    """
+    kind = dict(places.dtypes)[id_]
+    blocked = named_blocks(places, keys, id_)
+    cols = list(dict.fromkeys([id_, "x", "y", keys, "block", *(by or []), *order]))
+
+    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
+        grid: dict = {}
+        out = []
+        for p in pdf.sort_values(order).itertuples(index=False):
+            key, x, y, names = getattr(p, id_), p.x, p.y, {n for n in (getattr(p, keys) if getattr(p, keys) is not None else ()) if n}
+            if x is None or y is None or x != x or y != y:
+                out.append((key, key, 0.0))
+                continue
+            gx, gy = math.floor(x / radius), math.floor(y / radius)
+            near = [(n, k, math.hypot(x - a, y - b)) for i in (-1, 0, 1) for j in (-1, 0, 1) for n, k, a, b, other in grid.get((gx + i, gy + j), ()) if names & other and math.hypot(x - a, y - b) <= radius]
+            if near:
+                first = min(near)
+                out.append((key, first[1], first[2]))
+            else:
+                grid.setdefault((gx, gy), []).append((len(out), key, x, y, names))
+                out.append((key, key, 0.0))
+        return pd.DataFrame(out, columns=[id_, "kept_id", "distance"])
+
+    return blocked.select(*cols).groupBy("block", *(by or [])).applyInPandas(walk, f"{id_} {kind}, kept_id {kind}, distance double")
+
+
+def layer(places: DataFrame, sides: DataFrame, boundary: DataFrame, radius: float, order: list[str], keys: str = "keys") -> DataFrame:
+    """A layer as the analyses use it: clipped to the boundary, without duplicates, each place with a district.
+
+    ``places``: place_id, x, y, ``keys`` and what ``order`` names. Adds district and method (within or nearest).
+    """
+    from netaccess.operators import relate, spatial
+
+    points = places.select(F.col("place_id").alias("point_id"), "x", "y")
+    inside = spatial.assign_polygon(points, boundary, 0.0).where("district IS NOT NULL").select(F.col("point_id").alias("place_id"))
+    kept = places.join(inside, "place_id", "left_semi")
+    found = dedupe_by_names(kept, radius, order, keys).where("kept_id = place_id").select("place_id")
+    kept = kept.join(found, "place_id", "left_semi")
+    at = relate.with_nearest_polygon(kept.select(F.col("place_id").alias("point_id"), "x", "y"), sides)
+    return kept.join(at.withColumnRenamed("point_id", "place_id"), "place_id")
+
+
+def built_class(places: DataFrame, sides: DataFrame, radius: float) -> DataFrame:
+    """A facility class: duplicates of one category and name go, polygons before lines before points; districts are never guessed.
+
+    ``places``: place_id, x, y, category, name, rank. Adds district (null outside) and method.
+    """
+    from netaccess.operators import spatial
+
+    found = greedy_dedupe(places, ["category", "name"], radius, ["rank", "place_id"]).where("kept_id = place_id").select("place_id")
+    kept = places.join(found, "place_id", "left_semi")
+    at = spatial.assign_polygon(kept.select(F.col("place_id").alias("point_id"), "x", "y"), sides)
+    return kept.join(at.withColumnRenamed("point_id", "place_id"), "place_id", "left")
+
+
+def scope_counts(assigned: DataFrame, by: list[str]) -> DataFrame:
+    """Places by how they were assigned: within, on a boundary, outside."""
+    return assigned.groupBy(*by).agg(F.count("*").alias("places"), *[F.count_if(F.col("method") == m).alias(m) for m in ("within", "boundary_tie", "outside")])
+
+
 def dedupe_summary(pairs: DataFrame, id_: str = "place_id") -> DataFrame:
     gone = F.when(F.col("kept_id") != F.col(id_), F.col("distance"))
     return pairs.agg(F.count_if(F.col("kept_id") == F.col(id_)).alias("kept"), F.count(gone).alias("dropped"), F.round(F.min(gone), 4).alias("min"), F.round(F.percentile(gone, F.lit(0.5)), 4).alias("median"), F.round(F.max(gone), 4).alias("max"))

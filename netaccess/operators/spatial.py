@@ -6,6 +6,8 @@ equi join whose work follows the density of the data, with no cross join and not
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,30 +18,45 @@ def _cells(lo, hi, size: float):
     return F.sequence(F.floor(lo / size), F.floor(hi / size))
 
 
-def _ring_search(points: DataFrame, things: DataFrame, key: str, box: list, measure: list, best: list, size: float, rounds: int = 24) -> DataFrame:
-    """For each point the first of ``best`` (ordering struct) among things; ``measure`` are its columns."""
-    gx, gy = _cells(box[0], box[2], size), _cells(box[1], box[3], size)
-    out, left, ring = None, points, 1
-    for _ in range(rounds):
-        # coarser cells for wider rings: always nine cells around the point
-        step = size * ring
+def _ring_search(points: DataFrame, things: DataFrame, box: list, measure: list, best: list, size: float) -> DataFrame:
+    """For each point the first of ``best`` (ordering struct) among things; ``measure`` are its columns.
+
+    Points and things are written once. The first cells are sized so that about one thing lies in each (``size`` at least),
+    and every round meets nine cells around the point; what is nearer than a cell is decided, the rest goes on with cells four
+    times as wide, until one cell holds everything. Points or things without finite coordinates take no part.
+    """
+    finite = lambda *cs: reduce(lambda a, b: a & b, [c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")) for c in cs])
+    things = cut(things.where(finite(*box)))
+    left = cut(points.where(finite(F.col("px"), F.col("py"))))
+    facts = things.agg(F.count("*").alias("n"), F.min(box[0]).alias("x1"), F.min(box[1]).alias("y1"), F.max(box[2]).alias("x2"), F.max(box[3]).alias("y2")).first()
+    if not facts["n"]:
+        return left.join(things, F.lit(False)).select("point_id", *measure)
+    reach = left.agg(F.min("px").alias("x1"), F.min("py").alias("y1"), F.max("px").alias("x2"), F.max("py").alias("y2")).first()
+    if reach["x1"] is None:
+        return left.join(things, F.lit(False)).select("point_id", *measure)
+    width, height = facts["x2"] - facts["x1"], facts["y2"] - facts["y1"]
+    step = max(size, (width * height / facts["n"]) ** 0.5)
+    whole = max(facts["x2"], reach["x2"]) - min(facts["x1"], reach["x1"]) + max(facts["y2"], reach["y2"]) - min(facts["y1"], reach["y1"])
+    out = None
+    while True:
         gx, gy = _cells(box[0], box[2], step), _cells(box[1], box[3], step)
         tiles = things.withColumn("gx", F.explode(gx)).withColumn("gy", F.explode(gy))
         mine = left.withColumn("gx", F.explode(F.sequence(F.floor(F.col("px") / step) - 1, F.floor(F.col("px") / step) + 1)))
         mine = mine.withColumn("gy", F.explode(F.sequence(F.floor(F.col("py") / step) - 1, F.floor(F.col("py") / step) + 1)))
         pairs = mine.join(tiles, ["gx", "gy"]).select("point_id", *measure)
         got = pairs.groupBy("point_id").agg(F.min_by(F.struct("*"), F.struct(*best)).alias("m"))
-        near = got.where(F.col("m.d") <= step).select("m.*")
-        near = cut(near)
+        last = step > whole  # then nine cells hold everything
+        near = cut((got if last else got.where(F.col("m.d") <= step)).select("m.*"))
         out = near if out is None else out.unionByName(near)
-        left = left.join(near.select("point_id"), "point_id", "left_anti")
+        if last:
+            return out
+        left = cut(left.join(near.select("point_id"), "point_id", "left_anti"))
         if not left.limit(1).count():
             return out
-        ring *= 4
-    return out
+        step *= 4
 
 
-def snap_to_edges(points: DataFrame, segments: DataFrame, size: float = 250.0) -> DataFrame:
+def snap_to_edges(points: DataFrame, segments: DataFrame, size: float = 25.0) -> DataFrame:
     """Nearest edge of each point: edge_id, connector_m, fraction, cost_to_u, cost_to_v, sx, sy.
 
     ``points``: point_id, x, y. ``segments``: edge_id, cost_m, x1, y1, x2, y2 (straight edges). The nearest
@@ -57,17 +74,17 @@ def snap_to_edges(points: DataFrame, segments: DataFrame, size: float = 250.0) -
     d = F.sqrt((px - qx) * (px - qx) + (py - qy) * (py - qy))
     box = [F.least("x1", "x2"), F.least("y1", "y2"), F.greatest("x1", "x2"), F.greatest("y1", "y2")]
     measure = [F.col("edge_id"), d.alias("d"), t.alias("t"), F.col("cost_m"), qx.alias("sx"), qy.alias("sy")]
-    got = _ring_search(p, segments, "edge_id", box, measure, ["d", "edge_id"], size)
+    got = _ring_search(p, segments, box, measure, ["d", "edge_id"], size)
     return got.select("point_id", "edge_id", F.col("d").alias("connector_m"), F.col("t").alias("fraction"), (F.col("t") * F.col("cost_m")).alias("cost_to_u"), ((1 - F.col("t")) * F.col("cost_m")).alias("cost_to_v"), "sx", "sy")
 
 
-def nearest_points(points: DataFrame, targets: DataFrame, size: float = 250.0) -> DataFrame:
+def nearest_points(points: DataFrame, targets: DataFrame, size: float = 25.0) -> DataFrame:
     """(point_id, target_id, distance) of the nearest target (target_id, x, y), ties to the smaller id."""
     p = points.select("point_id", F.col("x").alias("px"), F.col("y").alias("py"))
     t = targets.select("target_id", F.col("x").alias("tx"), F.col("y").alias("ty"))
     d = F.sqrt((F.col("px") - F.col("tx")) * (F.col("px") - F.col("tx")) + (F.col("py") - F.col("ty")) * (F.col("py") - F.col("ty")))
     box = [F.col("tx"), F.col("ty"), F.col("tx"), F.col("ty")]
-    got = _ring_search(p, t, "target_id", box, [F.col("target_id"), d.alias("d")], ["d", "target_id"], size)
+    got = _ring_search(p, t, box, [F.col("target_id"), d.alias("d")], ["d", "target_id"], size)
     return got.select("point_id", "target_id", F.col("d").alias("distance"))
 
 
