@@ -66,3 +66,15 @@ def union_and_common_growth(grid: DataFrame, first: int, last: int, cell: str =
     sums = per.agg(F.sum("v0").alias("a0"), F.sum("v1").alias("a1"), both("v0").alias("b0"), both("v1").alias("b1"), F.count_if("all").alias("common_cells"))
     g = lambda x, y: F.round(F.try_divide(100.0 * (F.col(y) - F.col(x)), F.col(x)), 6)
     return sums.select(g("a0", "a1").alias("growth_a"), g("b0", "b1").alias("growth_b"), "common_cells")
+
+
+def mask_switches(grid: DataFrame, cell: str = "cell_id") -> DataFrame:
+    """Cells by how often they change between valid and invalid: switches, cells."""
+    w = Window.partitionBy(cell).orderBy("year")
+    per = grid.withColumn("sw", F.col("valid") != F.lag("valid").over(w)).groupBy(cell).agg(F.count_if("sw").alias("switches"))
+    return per.groupBy("switches").agg(F.count("*").alias("cells"))
+
+
+def widest_gap(series: DataFrame, a: str, b: str, year: str = "year") -> DataFrame:
+    """The year in which two series differ most, the earliest of equals."""
+    return series.agg(F.min_by(F.struct(year, (F.col(b) - F.col(a)).alias("gap")), F.struct(-F.abs(F.col(b) - F.col(a)), F.col(year))).alias("m")).select("m.*")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from netaccess.operators import network, spatial
+from netaccess.operators.lineage import cut
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -144,17 +145,18 @@ class Routed:
 
     def __init__(self, spark: SparkSession, d: str):
         p = points(spark, d)
-        self.edges = edges(spark, d).cache()
-        lines = edge_lines(spark, d, self.edges).cache()
+        # written tables: what is computed once survives the loss of an executor
+        self.edges = cut(edges(spark, d))
+        self.lines = lines = cut(edge_lines(spark, d, self.edges))
         spot = lambda k, x, y, where: p.where(where).select(F.concat(F.lit(k + ":"), "vec_id").alias("point_id"), F.col(x).alias("x"), F.col(y).alias("y"))
         spots = spot("cell", "e3", "e4", "true").unionByName(spot("metro", "e5", "e6", "vec_id % 50 = 0")).unionByName(spot("bus", "e5", "e6", "vec_id % 11 = 3"))
         self.snap = spatial.snap_to_edges(spots, lines).withColumn("kind", F.substring_index("point_id", ":", 1)).withColumn("vec_id", F.substring_index("point_id", ":", -1).cast("long"))
         sources = self.snap.where("kind <> 'cell'").withColumn("mode", F.col("kind"))
-        self.spliced = network.splice(self.edges, sources).cache()
+        self.spliced = cut(network.splice(self.edges, sources))
         self.breaks = network.break_table(self.edges, self.spliced, MODES)
-        self.segments = network.segments(self.breaks, self.edges).cache()
+        self.segments = cut(network.segments(self.breaks, self.edges))
         entries = self.spliced.where("connector_m IS NOT NULL").select("mode", "node", F.col("connector_m").alias("cost"))
-        self.reached = network.multi_source_distances(network.adjacency(self.segments), entries).cache()
+        self.reached = cut(network.multi_source_distances(network.adjacency(self.segments), entries))
 
     def cells(self) -> DataFrame:
         own = self.snap.where("kind = 'cell'").select(F.col("vec_id").alias("point_id"), "edge_id", "fraction", "connector_m")
