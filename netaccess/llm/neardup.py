@@ -264,8 +264,9 @@ def near_duplicates(docs: DataFrame, threshold: int = 80, width: int = 5, doc_id
     # the full sets of those classes alone, from the text of their smallest document; other texts are not shuffled
     ids = candidates.select(F.col("rep").alias("id")).distinct()
     likely = prefiltered(rows, ids, candidates.count())
-    # a merge join at every size: the ids grow with the documents, so they are never broadcast
-    sets = likely.join(ids.hint("merge"), "id", "left_semi").mapInPandas(_sets(width), "a long, s array<long>")
+    # a merge join at every size: the ids grow with the documents, so they are never broadcast; an inner one of distinct
+    # ids, as the optimizer would move a semi join before the filter
+    sets = likely.join(ids.hint("merge"), "id").select("id", "t").mapInPandas(_sets(width), "a long, s array<long>")
     sets = scratch.keep(sets.join(candidates, "a", "left_semi").groupBy("a").agg(F.first("s").alias("s")))
     labels = scratch.keep(candidates.select(F.col("a").alias("node"), F.col("a").alias("comp")))
     sig = candidates.select("a", "n", "sig")
