@@ -173,6 +173,6 @@ def joined_rings(ways: DataFrame) -> DataFrame:
             if chain[0] == chain[-1] and len(chain) >= 4:
                 out.append([{"x": x, "y": y} for x, y in chain])
         first = pdf.iloc[0]
-        return pd.DataFrame({"relation": [first["relation"]] * len(out), "role": [first["role"]] * len(out), "ring": out})
+        return pd.DataFrame({"relation": [first["relation"]] * len(out), "role": [first["role"]] * len(out), "ring": pd.Series(out, dtype=object)})
 
     return ways.select("relation", "role", "way_id", "points").groupBy("relation", "role").applyInPandas(stitch, f"relation long, role string, ring array<{POINT}>")

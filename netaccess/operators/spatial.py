@@ -64,6 +64,7 @@ def snap_to_edges(points: DataFrame, segments: DataFrame, size: float = 25.0) ->
     the smaller id counts. No edges or no points: no rows.
     """
     p = points.select("point_id", F.col("x").alias("px"), F.col("y").alias("py"))
+    segments = segments.where("x1 IS NOT NULL AND y1 IS NOT NULL AND x2 IS NOT NULL AND y2 IS NOT NULL")
     if not segments.limit(1).count():
         return p.limit(0).select("point_id", *[F.lit(0.0).alias(c) for c in ("edge_id", "connector_m", "fraction", "cost_to_u", "cost_to_v", "sx", "sy")])
     x1, y1, x2, y2, px, py = (F.col(c) for c in ("x1", "y1", "x2", "y2", "px", "py"))

@@ -308,14 +308,9 @@ def service_area_segments(spark: SparkSession, d: str) -> DataFrame:
     return network.service_area(r.segments, r.reached, 400.0)
 
 
-@query(f"WITH RECURSIVE {NETWORK}, sub AS (SELECT u, v FROM edges WHERE edge_id % 2 = 0), both_ways AS (SELECT u, v FROM sub UNION SELECT v, u FROM sub), r AS (SELECT u AS node, least(u, v) AS comp FROM both_ways UNION SELECT a.u, r.comp FROM r JOIN both_ways a ON a.v = r.node) SELECT node, min(comp) AS comp FROM r GROUP BY node")
-def components(spark: SparkSession, d: str) -> DataFrame:
-    return network.components(b.edges(spark, d).where("edge_id % 2 = 0"))
-
-
 @query(f"WITH RECURSIVE {NETWORK}, both_ways AS (SELECT u, v FROM edges UNION SELECT v, u FROM edges), r AS (SELECT u AS node, least(u, v) AS comp FROM both_ways UNION SELECT a.u, r.comp FROM r JOIN both_ways a ON a.v = r.node) SELECT node, min(comp) AS comp FROM r GROUP BY node")
-def network_components(spark: SparkSession, d: str) -> DataFrame:
-    """Components of the whole network; ``components`` has its even edges only."""
+def components(spark: SparkSession, d: str) -> DataFrame:
+    """Components of the whole network."""
     return network.components(b.edges(spark, d))
 
 
@@ -432,12 +427,13 @@ def invariants(spark: SparkSession, d: str) -> DataFrame:
     return out
 
 
-@query(f"""WITH {ANNUAL}, w AS (SELECT cell_id, sum(value) FILTER (WHERE year = 1996) AS pop_1996, sum(value) FILTER (WHERE year = 1997) AS pop_1997, sum(value) FILTER (WHERE year = 1998) AS pop_1998 FROM annual GROUP BY cell_id)
-SELECT cell_id, CAST(substr(c, 5) AS INTEGER) AS year, round(v, 2) AS pop, CASE WHEN v IS NULL THEN 'nodata' WHEN substr(c, 5) >= '1998' THEN 'break' ELSE 'comparable' END AS label
-FROM (SELECT cell_id, 'pop_1996' AS c, pop_1996 AS v FROM w UNION ALL SELECT cell_id, 'pop_1997', pop_1997 FROM w UNION ALL SELECT cell_id, 'pop_1998', pop_1998 FROM w)""")
+@query(f"""WITH {ANNUAL}, {YEARS}, k AS (SELECT DISTINCT cell_id FROM annual) SELECT k.cell_id, y.year, round(a.value, 2) AS pop, CASE WHEN a.value IS NULL THEN 'nodata' WHEN y.year >= 1998 THEN 'break' ELSE 'comparable' END AS label
+FROM k CROSS JOIN years y LEFT JOIN annual a ON a.cell_id = k.cell_id AND a.year = y.year""")
 def unpivot_annual(spark: SparkSession, d: str) -> DataFrame:
-    wide = b.annual(spark, d).groupBy("cell_id").agg(*[F.sum(F.when(F.col("year") == y, F.col("value"))).alias(f"pop_{y}") for y in (1996, 1997, 1998)])
-    long = wide.unpivot(["cell_id"], [f"pop_{y}" for y in (1996, 1997, 1998)], "c", "v")
+    """A wide table with a column for each year, made long, with labels."""
+    years = sorted(r[0] for r in b.years(spark, d).collect())  # the columns of the wide table
+    wide = b.annual(spark, d).groupBy("cell_id").agg(*[F.sum(F.when(F.col("year") == y, F.col("value"))).alias(f"pop_{y}") for y in years])
+    long = wide.unpivot(["cell_id"], [f"pop_{y}" for y in years], "c", "v")
     year = F.substring("c", 5, 4).cast("int")
     label = F.when(F.col("v").isNull(), "nodata").when(year >= 1998, "break").otherwise("comparable")
     return long.select("cell_id", year.alias("year"), F.round("v", 2).alias("pop"), label.alias("label"))
