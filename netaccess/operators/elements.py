@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -157,8 +160,6 @@ def joined_rings(ways: DataFrame) -> DataFrame:
     A ring is made of ways that meet end to end, in any direction, each used once; what does not close is
     left out. One relation is stitched in one task; relations are small by nature.
     """
-    import pandas as pd
-
     def stitch(pdf: pd.DataFrame) -> pd.DataFrame:
         left = [[(p["x"], p["y"]) for p in w] for w in pdf.sort_values("way_id")["points"] if w is not None and len(w) > 1]
         out = []
@@ -173,6 +174,7 @@ def joined_rings(ways: DataFrame) -> DataFrame:
             if chain[0] == chain[-1] and len(chain) >= 4:
                 out.append([{"x": x, "y": y} for x, y in chain])
         first = pdf.iloc[0]
-        return pd.DataFrame({"relation": [first["relation"]] * len(out), "role": [first["role"]] * len(out), "ring": pd.Series(out, dtype=object)})
+        return pd.DataFrame([(int(first["relation"]), str(first["role"]), json.dumps(out))], columns=["relation", "role", "rings"])
 
-    return ways.select("relation", "role", "way_id", "points").groupBy("relation", "role").applyInPandas(stitch, f"relation long, role string, ring array<{POINT}>")
+    found = ways.select("relation", "role", "way_id", "points").groupBy("relation", "role").applyInPandas(stitch, "relation long, role string, rings string")
+    return found.select("relation", "role", F.explode(F.from_json("rings", f"array<array<{POINT}>>")).alias("ring"))

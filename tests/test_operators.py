@@ -97,14 +97,14 @@ def test_components(spark):
     assert {r["comp"] for r in network.components(e).collect()} == {0, 50}
 
 
-def test_network_components_has_every_edge(spark):
+def test_components_has_every_edge(spark):
     d = "/root/testdata/sf0.001"
     edges = [(r["u"], r["v"]) for r in bindings.edges(spark, d).collect()]
     root = {x: x for e in edges for x in e}
     for _ in root:
         for u, v in edges:
             root[u] = root[v] = min(root[u], root[v])
-    got = {r["node"]: r["comp"] for r in catalogue.QUERIES["network_components"](spark, d).collect()}
+    got = {r["node"]: r["comp"] for r in catalogue.QUERIES["components"](spark, d).collect()}
     assert got == root
 
 
