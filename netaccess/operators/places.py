@@ -101,10 +101,12 @@ def layer(places: DataFrame, sides: DataFrame, boundary: DataFrame, radius: floa
     ``places``: place_id, x, y, ``keys`` and what ``order`` names. Adds district and method (within or nearest).
     """
     from netaccess.operators import relate, spatial
+    from netaccess.operators.lineage import cut
 
+    places = cut(places)  # every step reads it again
     points = places.select(F.col("place_id").alias("point_id"), "x", "y")
     inside = spatial.assign_polygon(points, boundary, 0.0).where("district IS NOT NULL").select(F.col("point_id").alias("place_id"))
-    kept = places.join(inside, "place_id", "left_semi")
+    kept = cut(places.join(inside, "place_id", "left_semi"))
     found = dedupe_by_names(kept, radius, order, keys).where("kept_id = place_id").select("place_id")
     kept = kept.join(found, "place_id", "left_semi")
     at = relate.with_nearest_polygon(kept.select(F.col("place_id").alias("point_id"), "x", "y"), sides)
@@ -117,7 +119,9 @@ def built_class(places: DataFrame, sides: DataFrame, radius: float) -> DataFrame
     ``places``: place_id, x, y, category, name, rank. Adds district (null outside) and method.
     """
     from netaccess.operators import spatial
+    from netaccess.operators.lineage import cut
 
+    places = cut(places)  # every step reads it again
     found = greedy_dedupe(places, ["category", "name"], radius, ["rank", "place_id"]).where("kept_id = place_id").select("place_id")
     kept = places.join(found, "place_id", "left_semi")
     at = spatial.assign_polygon(kept.select(F.col("place_id").alias("point_id"), "x", "y"), sides)
