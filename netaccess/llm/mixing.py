@@ -8,12 +8,15 @@ border is repeated up to the word that reaches it, so each source meets its targ
 
 The order within a source is never sorted as a whole: ids fall into ``BUCKETS`` ranges of the hash, the
 ranges' sizes are summed (partial sums before the shuffle), and only documents in the one range that
-holds the border are ordered, about 1/BUCKETS of a source however hot it is. Texts are not shuffled.
+holds the border are ordered, about 1/BUCKETS of a source however hot it is. Rows that repeat one id and
+text share a place; they are dealt into pieces of ``PIECE`` rows, pieces are ordered by their sums, and rows
+only within a piece, so a third of all rows being one row is no large task. Only border rows are shuffled.
 """
 
 from __future__ import annotations
 
 from fractions import Fraction
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -23,6 +26,8 @@ from netaccess.llm.common import Scratch, n_words
 #: Hash ranges of a source, named by the first HEX digits of the hash.
 HEX = 3
 BUCKETS = 16**HEX
+#: Rows of a piece, as a power of two.
+PIECE = 12
 #: A plan of at most so many sources is broadcast; a longer one is joined by shuffle.
 BROADCAST_SOURCES = 50_000
 
@@ -47,8 +52,11 @@ def water_fill(sizes: list[int], weights: list[float], cap: float = 3.0, total:
     return [float(t) for t in targets]
 
 
-def _planned(docs: DataFrame, row: Column, text: str, source: str, doc_id: str, cycle, cap: float, seed: str) -> DataFrame:
-    """``row`` (a struct of what to keep) and mix: size, source_size, target, taken. No column of ``docs`` can clash with these."""
+def _planned(docs: DataFrame, row: Column, text: str, source: str, doc_id: str, cycle, cap: float, seed: str) -> tuple[DataFrame, DataFrame]:
+    """``row`` (a struct of what to keep) and mix: size, source_size, target, taken. No column of ``docs`` can clash with these.
+
+    First the documents that are taken a whole number of times, then those of the ranges that hold the borders.
+    """
     scratch = Scratch(docs.sparkSession)
     spark = docs.sparkSession
     t, size = F.col(f"`{text}`"), n_words(F.col(f"`{text}`"))
@@ -80,11 +88,25 @@ def _planned(docs: DataFrame, row: Column, text: str, source: str, doc_id: str,
     full = F.broadcast(full) if len(plan) <= BROADCAST_SOURCES else full
     joined = rows.join(full, F.col("source").eqNullSafe(F.col("p_source")))
     clear = joined.where("bucket <> b_bucket").withColumn("x", F.when(F.col("bucket") < F.col("b_bucket"), F.col("size")).otherwise(F.lit(0).cast("long")))
-    before = F.sum("size").over(Window.partitionBy("source").orderBy("o", "size").rowsBetween(Window.unboundedPreceding, -1))
-    extra = F.least(F.greatest(F.col("b_left") - F.coalesce(before, F.lit(0)), F.lit(0)), F.col("size"))
-    edge = joined.where("bucket = b_bucket").withColumn("x", extra)
+    edge = _border(scratch, joined.where("bucket = b_bucket"))
     taken = (F.col("whole") * F.col("size") + F.col("x")).alias("taken")
-    return clear.unionByName(edge).select("row", F.struct("size", "source_size", "target", taken).alias("mix"))
+    return tuple(df.select("row", F.struct("size", "source_size", "target", taken).alias("mix")) for df in (clear, edge))
+
+
+def _border(scratch: Scratch, rows: DataFrame) -> DataFrame:
+    """Rows of the ranges that hold the borders, with x: the words that the fractional repetition takes of each."""
+    # written once: the pieces of equal rows must not change between the plans that read them
+    same = F.xxhash64(F.to_json(F.struct("row")))
+    rows = scratch.keep(rows.withColumn("same", same).withColumn("u", F.monotonically_increasing_id()).withColumn("piece", F.shiftright("u", PIECE)))
+    key = ["source", "o", "same", "piece"]
+    pieces = rows.groupBy(*key).agg(F.sum("size").alias("s"))
+    running = F.sum("s").over(Window.partitionBy("source").orderBy("o", "same", "piece")) - F.col("s")
+    pieces = pieces.select(*[F.col(c).alias(f"k_{c}") for c in key], running.alias("k_before"))
+    matches = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"k_{c}")) for c in key])
+    within = F.coalesce(F.sum("size").over(Window.partitionBy(*key).orderBy("u").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    left = F.col("b_left") - F.col("k_before") - F.col("within")
+    found = rows.withColumn("within", within).join(pieces, matches)
+    return found.withColumn("x", F.least(F.greatest(left, F.lit(0)), F.col("size")))
 
 
 RESULTS = ("size", "source_size", "target", "taken")
@@ -101,7 +123,8 @@ def mix(docs: DataFrame, keep: list[str], text: str = "text", source: str = "sou
     the name of a result column goes by that name with ``_in`` behind it.
     """
     row = F.struct(F.lit(0).alias("c"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)])
-    out = _planned(docs, row, text, source, doc_id, cycle, cap, seed)
+    clear, edge = _planned(docs, row, text, source, doc_id, cycle, cap, seed)
+    out = clear.unionByName(edge)
     named = lambda c: f"{c}_in" if c.lower() in RESULTS else c
     return out.select(*[F.col(f"row.c{i}").alias(named(c)) for i, c in enumerate(keep)], *[F.col(f"mix.{c}") for c in RESULTS])
 
@@ -133,14 +156,14 @@ def sample(docs: DataFrame, text: str = "text", source: str = "source", doc_id:
     Documents without words are part of every mix, once.
     """
     row = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)])
-    mixed = _planned(docs, row, text, source, doc_id, cycle, cap, seed)
+    clear, edge = _planned(docs, row, text, source, doc_id, cycle, cap, seed)
     size, taken = F.col("mix.size"), F.col("mix.taken")
     whole = F.when(size > 0, F.floor(taken / F.when(size > 0, size))).otherwise(F.lit(1)).cast("int")
     part = F.when(size > 0, taken - whole * size).otherwise(F.lit(0).cast("long"))
     t = docs.columns.index(text)
-    entire = mixed.select("row", F.explode(F.array_repeat(F.lit(0), whole)).alias("copy")).select("row")
+    entire = clear.unionByName(edge).select("row", F.explode(F.array_repeat(F.lit(0), whole)).alias("copy")).select("row")
     # at most one document of each source is at its border
-    ends = mixed.where(part > 0).select("row", part.alias("n"))
+    ends = edge.where(part > 0).select("row", part.alias("n"))
     cut = [words_upto(F.col(f"row.c{i}"), F.col("n")).alias(f"c{i}") if i == t else F.col(f"row.c{i}") for i in range(len(docs.columns))]
     out = entire.unionByName(ends.select(F.struct(*cut).alias("row")))
     return out.select(*[F.col(f"row.c{i}").alias(c) for i, c in enumerate(docs.columns)])

@@ -273,6 +273,22 @@ def test_mix_meets_targets_and_odd_rows(spark):
     assert mixing.mix(d.limit(0), ["doc_id"]).count() == 0
 
 
+def test_mix_with_a_source_of_one_repeated_row(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "PIECE", 3)
+    rows = [(7, "one two three", "en", None)] * 700 + [(i, f"word{i} and more", "en", "a") for i in range(300)] + [(7, "one two three", "fr", None)] * 50
+    d = docs_of(spark, rows).repartition(5)
+    got = mixing.mix(d, ["doc_id", "lang", "source"]).collect()
+    assert len(got) == len(rows) and all(0 <= r["taken"] <= 9 for r in got)
+    for s in (None, "a"):
+        mine = [r for r in got if r["source"] == s]
+        assert sum(r["taken"] for r in mine) == int(mine[0]["target"])
+    # only one row is taken in part, and which equal row it is cannot be seen
+    assert sum(r["taken"] % 3 > 0 for r in got if r["source"] is None) <= 1
+    assert Counter(map(tuple, got)) == Counter(map(tuple, mixing.mix(d.repartition(3), ["doc_id", "lang", "source"]).collect()))
+    words = mixing.sample(d).select(mixing.n_words(F.col("text")).alias("n")).agg(F.sum("n")).first()[0]
+    assert words == sum(r["taken"] for r in got)
+
+
 @pytest.mark.parametrize("text,n", [("", 1), (" a  b\tc ", 2), ("one", 1), ("a b", 5), ("  x", 0), ("é ñ ü", 2), ("a\n\nb  c", 2)])
 def test_words_upto(spark, text, n):
     got = spark.createDataFrame([(text, n)], "t string, n long").select(mixing.words_upto(F.col("t"), F.col("n")).alias("x")).first()[0]
