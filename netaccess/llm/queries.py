@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netaccess.llm import chat, decontaminate, langid, mixing, neardup, quality, secrets, sharding, topk, urlfilter
+from netaccess.llm import chat, clustering, decontaminate, langid, lexical, mixing, neardup, ngramjoin, quality, secrets, sharding, topk, urlfilter
 from netaccess.llm.common import table
 
 QUERIES: dict = {}
@@ -184,3 +184,90 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item, and which."""
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op11_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose four-word shingle sets have a similarity of 0.85 or more."""
+    return ngramjoin.similar_components(table(spark, sf_dir, "documents"), threshold=85, width=4)
+
+
+ORACLE_SQL["op11_ngram_join"] = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, CASE WHEN len(w) < 4 THEN array_to_string(w, ' ') ELSE array_to_string(w[i:i + 3], ' ') END AS g
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 2))) AS i FROM w WHERE len(w) > 0)
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (
+  SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS shared FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2
+), links AS (
+  SELECT u, v FROM p JOIN n x ON x.doc_id = u JOIN n y ON y.doc_id = v WHERE 100 * shared >= 85 * (x.n + y.n - shared)
+), reach AS (
+  SELECT u, v FROM links UNION SELECT r.u, l.v FROM reach r JOIN links l ON r.v = l.u
+), c AS (SELECT u, min(v) AS low FROM reach GROUP BY u)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce(c.low, d.doc_id)) AS component_id
+FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN c ON c.u = d.doc_id
+"""
+
+
+@query
+def op12_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eight clusters of the embeddings after ten rounds of Lloyd on integers."""
+    return clustering.lloyd(table(spark, sf_dir, "embeddings"), k=8, rounds=10, seed=3)
+
+
+def _lloyd_sql(rounds: int = 10) -> str:
+    """The rounds one after another: each assigns every vector, then divides the sums of each component."""
+    nearest = """a{r} AS MATERIALIZED (
+  SELECT vec_id, e, arg_min(c, (d, c)) AS c, min(d) AS d FROM (
+    SELECT v.vec_id, v.e, k.c, list_sum(list_transform(list_zip(v.e, k.e), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS d FROM v, k{r} k
+  ) GROUP BY vec_id, e
+)"""
+    moved = """s{r} AS MATERIALIZED (
+  SELECT c, list(m ORDER BY i) AS e FROM (
+    SELECT c, i, CAST((sum(x) - ((sum(x) % count(*)) + count(*)) % count(*)) // count(*) AS BIGINT) AS m
+    FROM (SELECT c, unnest(e) AS x, unnest(range(1, 65)) AS i FROM a{r}) GROUP BY c, i
+  ) GROUP BY c
+), k{n} AS MATERIALIZED (SELECT k.c, coalesce(s.e, k.e) AS e FROM k{r} k LEFT JOIN s{r} s USING (c))"""
+    steps = ", ".join(nearest.format(r=r) + ", " + moved.format(r=r, n=r + 1) for r in range(rounds))
+    return f"""
+WITH v AS MATERIALIZED (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), k0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY h, e) - 1 AS c, e FROM (SELECT sha256('3:' || CAST(vec_id AS VARCHAR)) AS h, e FROM v ORDER BY h, e LIMIT 8)
+), {steps}, {nearest.format(r=rounds)}
+SELECT a.vec_id, CAST(a.c AS INTEGER) AS cluster, CAST(a.d AS BIGINT) AS distance,
+       CAST(sum(a.d) OVER (PARTITION BY a.c) AS BIGINT) AS cluster_inertia, CAST(sum(a.d) OVER () AS BIGINT) AS inertia,
+       sha256(array_to_string(k.e, ',')) AS centroid_sha256
+FROM a{rounds} a JOIN k{rounds} k ON k.c = a.c
+"""
+
+
+ORACLE_SQL["op12_lloyd"] = _lloyd_sql()
+
+
+@query
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten best documents by integer term scores for every benchmark item."""
+    return lexical.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10).select("item_id", "rank", "doc_id", "score")
+
+
+ORACLE_SQL["op13_ranked_search"] = r"""
+WITH t AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS w FROM documents
+), tf AS (SELECT doc_id, w, count(*) AS tf FROM t GROUP BY doc_id, w),
+dl AS (SELECT doc_id, CAST(sum(tf) AS BIGINT) AS n FROM tf GROUP BY doc_id),
+g AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS total FROM dl),
+df AS (SELECT w, count(*) AS df FROM tf GROUP BY w),
+q AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS w FROM benchmark
+), s AS (
+  SELECT q.item_id, tf.doc_id,
+         CAST(sum(CAST(floor(1000 * ln(CAST(2 * g.docs + 2 AS DOUBLE) / (2 * df.df + 1))) AS BIGINT)
+             * ((1000000000 * tf.tf) // (1000 * tf.tf + 8 * (10 + (90 * dl.n * g.docs) // g.total)))) AS BIGINT) AS score
+  FROM q JOIN tf USING (w) JOIN df USING (w) JOIN dl ON dl.doc_id = tf.doc_id CROSS JOIN g GROUP BY q.item_id, tf.doc_id
+), r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rk FROM s WHERE score > 0)
+SELECT item_id, CAST(rk AS INTEGER) AS rank, doc_id, score FROM r WHERE rk <= 10
+"""
