@@ -5,7 +5,7 @@ from __future__ import annotations
 import atexit
 import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -93,6 +93,12 @@ def cut_for(rows: DataFrame, column: Column, sample: int) -> int:
     return RANGE if n <= sample else int(1.25 * sample / n * RANGE)
 
 
+def key_names(keys: Iterable[str], results: Iterable[str]) -> list[str]:
+    """The names that key columns have in a result: one that is the name of a result column gets ``_in`` behind it."""
+    taken = {r.lower() for r in results}
+    return [f"{k}_in" if k.lower() in taken else k for k in keys]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

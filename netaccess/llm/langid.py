@@ -5,8 +5,8 @@ trigram is the product of its letters' vectors, the first rotated twice and the
 order matters; a text is the sum of its trigrams' vectors, a language the sum of its texts' unit
 vectors. A text gets the language whose prototype has the largest cosine with it.
 
-Prototypes are exact: unit vectors are rounded to integers before they are summed, so the sums don't
-depend on partitioning. Two passes over the texts, one small aggregation, no join, no shuffle of texts.
+All is exact: unit vectors are rounded to integers before they are summed or multiplied, so sums don't depend on
+partitioning, nor a cosine on the batch that a text comes in. Two passes over the texts, one small aggregation, no join, no shuffle of texts.
 Prototypes are scored in blocks of ``BLOCK`` languages, one more pass for each further block.
 """
 
@@ -20,14 +20,16 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from netaccess.llm.common import Scratch, bounded_batches, chunks
+from netaccess.llm.common import Scratch, bounded_batches, chunks, key_names
 
 #: Dimension of the vectors, and the scale at which unit vectors become integers.
 DIMS, SCALE = 512, 1_000_000
+#: Grid that the components of both sides of a cosine are rounded to: products of such unit vectors sum exactly in a double.
+GRID = 2**20
 #: Trigram vectors that a worker keeps; beyond it the store starts anew (memory only, not results).
 STORE = 30_000
-#: Languages whose prototypes a worker holds at a time (2 KB each).
-BLOCK = 20_000
+#: Languages whose prototypes a worker holds at a time (4 KB each).
+BLOCK = 1_000
 #: Letters of a text that are encoded at a time.
 PIECE = 500_000
 
@@ -76,7 +78,7 @@ class Encoder:
         pieces = [" " + t + " " for t in lowered]
         if all(len(t) <= PIECE for t in pieces):
             return self._encode(pieces)
-        out, has = np.zeros((len(texts), self.dims), np.float32), np.zeros(len(texts), dtype=bool)
+        out, has = np.zeros((len(texts), self.dims)), np.zeros(len(texts), dtype=bool)
         for i, t in enumerate(pieces):
             for part in self._cuts(t):
                 vectors, any_ = self._encode([part])
@@ -130,9 +132,11 @@ class Encoder:
         return out, has
 
 
-def _units(vectors: np.ndarray) -> np.ndarray:
-    norm = np.sqrt((vectors.astype(np.float64) ** 2).sum(1, keepdims=True))
-    return vectors / np.where(norm > 0, norm, 1)
+def units(vectors: np.ndarray, scale: int) -> np.ndarray:
+    """Unit vectors times ``scale``, rounded to integers; each row's result depends on that row alone."""
+    whole = vectors.astype(np.float64)
+    norm = np.array([np.sqrt(float((row * row).sum())) for row in whole]).reshape(-1, 1)
+    return np.rint(whole / np.where(norm > 0, norm, 1) * scale)
 
 
 def _sums(examples: DataFrame, text: str, lang: str, dims: int) -> DataFrame:
@@ -143,7 +147,7 @@ def _sums(examples: DataFrame, text: str, lang: str, dims: int) -> DataFrame:
         for pdf in batches:
             for part in chunks(pdf, "t"):
                 vectors, has = encoder.encode(list(part["t"]))
-                whole = np.rint(_units(vectors) * SCALE).astype(np.int64)
+                whole = units(vectors, SCALE).astype(np.int64)
                 langs = part["l"].to_numpy()
                 for value in set(langs[has]):
                     sums[value] = sums.get(value, 0) + whole[has & (langs == value)].sum(0)
@@ -161,12 +165,11 @@ def _sums(examples: DataFrame, text: str, lang: str, dims: int) -> DataFrame:
 
 
 def _learned(rows: list) -> list[tuple[str, np.ndarray]]:
-    vectors = [(r["l"], np.array(r["v"], dtype=np.float64)) for r in rows]
-    return sorted(((k, v / max(np.sqrt((v**2).sum()), 1e-12)) for k, v in vectors), key=lambda x: x[0])
+    return sorted(((r["l"], units(np.array([r["v"]], dtype=np.float64), GRID)[0]) for r in rows), key=lambda x: x[0])
 
 
 def prototypes(examples: DataFrame, text: str = "text", lang: str = "lang", dims: int = DIMS, block: int = BLOCK) -> Iterator[list[tuple[str, np.ndarray]]]:
-    """Blocks of (lang, unit prototype), about ``block`` languages each; at least one block, which may be empty."""
+    """Blocks of (lang, unit prototype times ``GRID``), about ``block`` languages each; at least one block, which may be empty."""
     sums = _sums(examples, text, lang, dims)
     n = examples.agg(F.approx_count_distinct(F.col(f"`{lang}`")).alias("n")).first()["n"]
     blocks = max(1, -(-n // block))
@@ -184,8 +187,8 @@ def identify(docs: DataFrame, examples: DataFrame, keys: dict[str, Column], text
     ``examples`` are the rows to learn from. lang_pred is the learned value with the largest cosine, ties
     to the smaller value by code point; ``und`` where the text is null or has no letter, or where nothing
     could be learned. score is (1 + cosine) / 2, 0 for ``und``. Repeated rows each get their row; long
-    texts are read whole, in pieces; other columns of ``docs`` are not read, and keys keep their names. Any
-    number of languages can be learned.
+    texts are read whole, in pieces; other columns of ``docs`` are not read. A key with the name of a result column
+    goes by that name with ``_in`` behind it. Any number of languages can be learned.
     """
     bounded_batches(docs)
     scratch = Scratch(docs.sparkSession)
@@ -203,7 +206,8 @@ def identify(docs: DataFrame, examples: DataFrame, keys: dict[str, Column], text
             for pdf in batches:
                 for part in chunks(pdf, "t"):
                     vectors, has = encoder.encode(list(part["t"]))
-                    cos = _units(vectors) @ P.T if names else np.full((len(part), 1), -2.0)
+                    # integers below 2^53 throughout: the product is exact in any order of summation
+                    cos = units(vectors, GRID) @ P.T / GRID**2 if names else np.full((len(part), 1), -2.0)
                     best = cos.argmax(1)
                     top, out = cos[np.arange(len(best)), best], part.copy()
                     was, old = part["s"].to_numpy(), part["l"].tolist()
@@ -214,4 +218,4 @@ def identify(docs: DataFrame, examples: DataFrame, keys: dict[str, Column], text
 
         rows = (scratch.keep(rows) if i else rows).mapInPandas(predict, flat)
     score = F.when(F.col("l").isNull(), 0.0).otherwise(F.least(F.greatest((1 + F.col("s")) / 2, F.lit(0.0)), F.lit(1.0)))
-    return rows.select(*[F.col(f"c{i}").alias(k) for i, k in enumerate(keys)], F.coalesce("l", F.lit("und")).alias("lang_pred"), score.alias("score"))
+    return rows.select(*[F.col(f"c{i}").alias(k) for i, k in enumerate(key_names(keys, ("lang_pred", "score")))], F.coalesce("l", F.lit("und")).alias("lang_pred"), score.alias("score"))
