@@ -1,11 +1,10 @@
 """Quality classifier by weak labels.
 
-Overlapping heuristic labellers vote good, bad or nothing on every document. Expectation-maximisation
-estimates, without any true labels, how often each labeller votes what on good and on bad documents. Votes
-depend on one another: a document has one fault or another, and a fault is seen by one labeller or by a
-few that overlap. So a document is good or bad in one of several ways (one for each labeller that it may start from), and
-votes are independent given the way; what a labeller votes on bad documents is the mean over these ways.
-It needs only how often each combination of votes occurs, which is counted over all documents and is
+Overlapping heuristic labellers vote good, bad or nothing on every document; most faults are seen by two of them or
+more. Expectation-maximisation estimates, without any true labels, how often each labeller votes what on good and on
+bad documents, false objections of good ones included. Bad documents are so in one of a few ways (latent classes), and votes are
+independent given the way, which is how labellers may overlap; the number of ways is the one with the best
+Bayesian information criterion. It needs only how often each combination of votes occurs, which is counted over all documents and is
 bounded by 3 to the number of labellers. The posterior labels train a hashed linear scorer on ``SAMPLE``
 distinct texts chosen by hash; every document is scored, from its whole text.
 """
@@ -22,18 +21,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from netaccess.llm.common import bounded_batches, cut_for, place
+from netaccess.llm.common import bounded_batches, cut_for, key_names, place
 
 #: Buckets of the hashed features; documents that the scorer is fitted on.
 BUCKETS, SAMPLE = 2048, 6000
-#: Documents that each estimate is smoothed with: a flat prior of so many votes of each kind.
+#: Flat prior of each estimate, in votes of each kind: the same at every size of the table.
 PRIOR = 0.5
-#: Beta prior of how often a labeller objects to a good document: its mean, and its strength in documents for
-#: each document of the table. Labellers are made to be right when they object; without it the estimates
-#: settle on rare faults being noise of good documents, which the votes alone cannot tell apart.
-OBJECTS, STRENGTH = 0.001, 1.0
-#: Mean of the Beta prior, of the same strength, of how often a labeller objects to documents that are bad in its way.
-SEES = 0.95
+#: Ways of being bad at most.
+WAYS = 8
 #: Fixed values, the labellers: (name, bad from this share on, good up to this share); between: no vote.
 SHARES = [
     ("noise", 0.30, 0.05),  # words that end in two or more symbols
@@ -44,8 +39,11 @@ SHARES = [
     ("lines", 0.50, 0.20),  # lines that occurred before
     ("long", 0.10, 0.02),  # words of more than 30 characters
     ("digits", 0.30, 0.10),  # words with a digit
+    ("marks", 0.08, 0.02),  # words that end in a symbol that is no punctuation
 ]
 LABELLERS = len(SHARES) + 1  # and one on sentence ends
+#: Marks that words of prose end in.
+PUNCTUATION = ".,;:!?)]}\"'’”»…-"
 _RUNS = re.compile(r"([^\W\d_]+|\d+|\s+)|(.)\2*")
 
 
@@ -68,7 +66,7 @@ class Profiler:
 
     def clear(self) -> None:
         self.index: dict[str, int] = {}
-        self.table = np.zeros((4096, 7), dtype=np.int64)
+        self.table = np.zeros((4096, 8), dtype=np.int64)
         self.plain: dict[tuple, tuple] = {}
 
     def _facts(self, word: str) -> tuple:
@@ -89,7 +87,8 @@ class Profiler:
         capitals = letters >= 2 and word.upper() == word and word.lower() != word
         bare = not any(c.isalnum() for c in word)
         h = xxhash.xxh32_intdigest(shape(word).encode("utf-8", "surrogatepass"))
-        return noise, capitals, bare, len(word) > 30, any(c.isdigit() for c in word), word[-1] in ".?!;:", h
+        marked = not word[-1].isalnum() and word[-1] not in PUNCTUATION
+        return noise, capitals, bare, len(word) > 30, any(c.isdigit() for c in word), word[-1] in ".?!;:", marked, h
 
     def profile(self, text: str | None, features: bool = True) -> tuple[int, np.ndarray, bool]:
         """(combination of votes in base 3, feature vector, whether there is a word)."""
@@ -108,21 +107,21 @@ class Profiler:
         known = self.table[uniq]
         counts = np.bincount(inverse)
         n = len(words)
-        share = counts @ known[:, :6] / n
+        share = counts @ known[:, :7] / n
         echo = (ids[1:] == ids[:-1]).sum() / max(1, n - 1)
         repeated = 1 - len(uniq) / n
         lines = [x for x in text.split("\n") if x.strip()]
         again = 1 - len(set(lines)) / max(1, len(lines))
         # a long text repeats words anyway: what counts is beyond the usual growth of a vocabulary
         repeated = max(0.0, 1 - len(uniq) / min(n, 12 * n**0.6)) if n >= 10 else 0.0
-        values = [share[0], share[1], share[2], echo, repeated, again, share[3], share[4]]
+        values = [share[0], share[1], share[2], echo, repeated, again, share[3], share[4], share[6]]
         code = 0
         for v, (_, bad, good) in zip(values, SHARES, strict=True):
             code = code * 3 + (1 if v >= bad else 2 if v <= good else 0)
         code = code * 3 + (0 if n < 15 else 2 if 0.02 <= share[5] <= 0.35 else 1)
         if not features:
             return code, np.zeros(0, np.float32), True
-        shapes = known[inverse, 6]
+        shapes = known[inverse, 7]
         pairs = (shapes[:-1] * 31 + shapes[1:] * 17) % 1_000_003
         marks = [int(v * 10) + 20 * i for i, v in enumerate([*values, share[5]])]
         tf = np.bincount(shapes % BUCKETS, minlength=BUCKETS) + np.bincount((pairs + 7) % BUCKETS, minlength=BUCKETS)
@@ -138,54 +137,67 @@ def unpack(code: int, k: int = LABELLERS) -> list[int]:
     return [code // 3 ** (k - 1 - i) % 3 for i in range(k)]
 
 
-def expectation_maximisation(counts: dict[int, int], rounds: int = 200, k: int = LABELLERS) -> tuple[dict[int, float], float, np.ndarray]:
-    """(posterior of good by combination, share of good documents, P(vote | class) by labeller, class, vote).
+def _fit_ways(votes: np.ndarray, w: np.ndarray, ways: int, rounds: int) -> tuple[float, np.ndarray, np.ndarray] | None:
+    """(log likelihood, posterior of good, posterior of each class) with so many ways of being bad; None if there are not so many.
 
-    Class 1 is good, class 0 bad in any way. Starts with documents that no labeller objects to as good, and
-    the others as bad in the ways of the labellers that object. The counts move the estimates from there
-    against the priors (``PRIOR``, ``OBJECTS``, ``SEES``, ``STRENGTH``); no probability is held to a range. Deterministic.
+    Starts with the documents that at most one labeller objects to as good. The others are dealt to the most frequent combinations of
+    objections that differ most, each the start of a way.
     """
-    codes = sorted(c for c, n in counts.items() if n > 0)
-    if not codes:
-        return {}, 0.5, np.full((k, 2, 3), 1 / 3)
-    votes = np.array([unpack(c, k) for c in codes]).reshape(len(codes), k)
-    w = np.array([counts[c] for c in codes], dtype=np.float64)
     bad = votes == 1
-    # way 0 is good, way i + 1 is what labeller i objects to
-    post = np.zeros((len(codes), k + 1))
-    post[:, 1:] = bad / np.maximum(1, bad.sum(1))[:, None]
-    post[:, 0] = ~bad.any(1)
-    # a way that no document starts from stays empty
-    used = np.flatnonzero((w[:, None] * post).sum(0) > 0)
-    post = 0.98 * post[:, used] + 0.02 / len(used)
+    several = bad.sum(1) > 1 if (bad.sum(1) > 1).any() else bad.any(1)
+    rest = np.flatnonzero(several)
+    if len(rest) < ways:
+        return None
+    seeds = [rest[np.argmax(w[rest])]]
+    apart = lambda i: (bad[rest] != bad[i]).sum(1)
+    while len(seeds) < ways:
+        far = np.min([apart(i) for i in seeds], axis=0)
+        if not far.max():
+            return None
+        seeds.append(rest[np.argmax(far * w[rest])])
+    post = np.zeros((len(w), ways + 1))
+    post[~several, 0] = 1
+    post[rest, 1 + np.argmin([apart(i) for i in seeds], axis=0)] = 1
+    post = 0.98 * post + 0.02 / (ways + 1)
     onehot = np.stack([votes == v for v in range(3)], axis=2).astype(np.float64)
     for _ in range(rounds):
         mass = w[:, None] * post
         table = np.einsum("nc,nkv->ckv", mass, onehot) + PRIOR
-        if used[0] == 0:
-            said = table[0, :, 1].copy()
-            rest = table[0].sum(1) - said
-            # the posterior mean of objecting, and the other votes in their own proportion
-            objects = (said + OBJECTS * STRENGTH * w.sum()) / (said + rest + STRENGTH * w.sum())
-            table[0] *= ((1 - objects) / rest)[:, None]
-            table[0, :, 1] = objects
-        for c, way in enumerate(used):
-            if way:  # the labeller that a way is named by sees it
-                said, mine = table[c, way - 1, 1], table[c, way - 1].sum()
-                sees = (said + SEES * STRENGTH * mine) / (mine + STRENGTH * mine)
-                table[c, way - 1] *= (1 - sees) / (mine - said)
-                table[c, way - 1, 1] = sees
         table /= table.sum(2, keepdims=True)
-        share = (mass.sum(0) + PRIOR) / (w.sum() + PRIOR * len(used))
+        share = (mass.sum(0) + PRIOR) / (w.sum() + PRIOR * (ways + 1))
         ll = np.log(share)[None, :] + np.einsum("nkv,ckv->nc", onehot, np.log(table))
-        new = np.exp(ll - ll.max(1, keepdims=True))
-        new /= new.sum(1, keepdims=True)
+        top = ll.max(1, keepdims=True)
+        new = np.exp(ll - top)
+        total = new.sum(1, keepdims=True)
+        new /= total
         done = float(np.abs(new - post).max()) < 1e-9
         post = new
         if done:
             break
-    good = np.flatnonzero(used == 0)
-    p_good = post[:, good].sum(1)
+    good = int(np.argmin(table[:, :, 1].sum(1)))  # the class that labellers object to least
+    return float((w * (np.log(total) + top)[:, 0]).sum()), post[:, good], post
+
+
+def expectation_maximisation(counts: dict[int, int], rounds: int = 200, k: int = LABELLERS) -> tuple[dict[int, float], float, np.ndarray]:
+    """(posterior of good by combination, share of good documents, P(vote | class) by labeller, class, vote).
+
+    Class 1 is good, class 0 bad in any way. The number of ways, up to ``WAYS``, has the best information criterion. The prior
+    (``PRIOR``) is the same at every size, no probability is held to a range. Deterministic.
+    """
+    codes = sorted(c for c, n in counts.items() if n > 0)
+    if not codes:
+        return {}, 0.5, np.full((k, 2, 3), 1 / 3)
+    votes = np.array([unpack(c, k) for c in codes]).reshape(len(codes), k)
+    w = np.array([counts[c] for c in codes], dtype=np.float64)
+    best, p_good = np.inf, np.ones(len(codes))
+    for ways in range(1, WAYS + 1):
+        fit = _fit_ways(votes, w, ways, rounds)
+        if fit is None:
+            break
+        criterion = ((2 * k + 1) * (ways + 1) - 1) * np.log(w.sum()) - 2 * fit[0]
+        if criterion < best:
+            best, p_good = criterion, fit[1]
+    onehot = np.stack([votes == v for v in range(3)], axis=2).astype(np.float64)
     out = np.full((k, 2, 3), 1 / 3)
     for c, p in ((0, 1 - p_good), (1, p_good)):
         out[:, c] = np.einsum("n,nkv->kv", w * p, onehot) + PRIOR / 3
@@ -258,7 +270,7 @@ def train(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> dict:
 
 
 def classify(docs: DataFrame, keys: dict[str, Column], text: str = "text", threshold: float = 0.5, sample: int = SAMPLE) -> DataFrame:
-    """One row for each document: the ``keys`` columns, score, posterior, kept.
+    """One row for each document: the ``keys`` columns (``_in`` behind the name of a result column), score, posterior, kept.
 
     score is the scorer's probability of a good document, posterior that of the labellers, kept is score
     >= threshold. A null text or one without words has score and posterior 0 and is not kept. Repeated
@@ -266,23 +278,25 @@ def classify(docs: DataFrame, keys: dict[str, Column], text: str = "text", thres
     """
     model = train(docs, text, sample)
     posterior, prior, weights, bias = model["posterior"], model["prior"], model["weights"], model["bias"]
-    rows = docs.select(*[c.alias(k) for k, c in keys.items()], F.col(f"`{text}`").alias("__t"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]) + ", score double, posterior double, kept boolean"
+    rows = docs.select(*[c.alias(f"c{i}") for i, c in enumerate(keys.values())], F.col(f"`{text}`").alias("t"))
+    results = {"score": "double", "posterior": "double", "kept": "boolean"}
+    schema = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]] + [f"{k} {t}" for k, t in results.items()])
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         profiler = Profiler()
         for pdf in batches:
             s, q = [], []
-            for t in pdf["__t"]:
+            for t in pdf["t"]:
                 code, x, ok = profiler.profile(t)
                 s.append(float(1 / (1 + np.exp(-np.clip(float(x @ weights) + bias, -30, 30)))) if ok else 0.0)
                 q.append(posterior.get(code, prior) if ok else 0.0)
-            out = pdf.drop(columns="__t")
+            out = pdf.drop(columns="t")
             out["score"], out["posterior"] = s, q
             out["kept"] = np.array(s) >= threshold
             yield out
 
-    return rows.mapInPandas(score, schema)
+    out = rows.mapInPandas(score, schema)
+    return out.select(*[F.col(f"c{i}").alias(k) for i, k in enumerate(key_names(keys, results))], *results)
 
 
 def filter_good(docs: DataFrame, text: str = "text", **options) -> DataFrame:
