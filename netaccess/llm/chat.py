@@ -35,7 +35,7 @@ MAPPINGS = {
     ("conversations[].from", "conversations[].value"): ("conversations", "from", "value"),
     ("turns[].role", "turns[].text"): ("turns", "role", "text"),
 }
-#: Names of roles in other layouts.
+#: Names of roles where an array says whom a turn is ``from``; arrays with a ``role`` keep theirs.
 ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
 KNOWN = sorted({p for paths in MAPPINGS for p in paths})
 TURNS = "array<struct<role:string,text:string>>"
@@ -106,7 +106,8 @@ def _role(c: Column) -> Column:
 def _turns(mapping, get, elements) -> Column:
     if isinstance(mapping, tuple):
         array, role, text = mapping
-        return F.transform(elements(array, role, text), lambda x: F.struct(_role(x[role]).alias("role"), x[text].alias("text")))
+        name = _role if role == "from" else lambda c: c
+        return F.transform(elements(array, role, text), lambda x: F.struct(name(x[role]).alias("role"), x[text].alias("text")))
     made = []
     for role, path in mapping:
         fields = [get(p) for p in path.split("+")]
@@ -134,7 +135,7 @@ def canonical(df: DataFrame, column: str | None = None, found: Column | None = N
 
     With ``column``, that column holds JSON text of any known layout; else the columns that a row fills are
     its layout, so a table may hold several. Columns that no layout has count for nothing, whatever their
-    names. Roles are kept but for the names in ``ROLES``. Null where no mapping has the fingerprint (unknown
+    names. Roles are kept; names in ``ROLES`` are translated where the layout has ``from``. Null where no mapping has the fingerprint (unknown
     layout, null or broken JSON). ``found`` is the fingerprint where a column has it already.
     """
     found, out = layout(df, column) if found is None else found, F.lit(None).cast(TURNS)

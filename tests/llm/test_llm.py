@@ -123,10 +123,21 @@ def test_languages_in_blocks_equal_all_at_once(spark):
     rng = random.Random(3)
     rows = [(i, " ".join(rng.choices(["uno", "dos", f"w{i % 37}x", f"q{i % 11}"], k=9)).translate(str.maketrans("0123456789", "abcdefghij")), f"l{i % 37}", "s") for i in range(150)]
     d = docs_of(spark, rows)
-    key = {"lang_pred": F.col("doc_id"), "t": F.col("text")}  # a clashing name is the key's
     one = langid.identify(d, d.where("doc_id % 3 <> 1"), {"doc_id": F.col("doc_id")}).collect()
     many = langid.identify(d, d.where("doc_id % 3 <> 1"), {"doc_id": F.col("doc_id")}, block=5).collect()
-    assert sorted(map(tuple, one)) == sorted(map(tuple, many)) and len(key) == 2
+    assert sorted(map(tuple, one)) == sorted(map(tuple, many))
+    named = langid.identify(d, d, {"lang_pred": F.col("doc_id"), "score": F.col("text"), "t": F.lit(1)})
+    assert named.columns == ["lang_pred_in", "score_in", "t", "lang_pred", "score"] and named.count() == 150
+
+
+def test_a_cosine_depends_on_its_text_alone():
+    rng = random.Random(8)
+    texts = [prose(rng, rng.randint(1, 300)) for _ in range(40)]
+    P = langid.units(np.random.default_rng(1).integers(-900, 900, (37, langid.DIMS)), langid.GRID)
+    encoder = langid.Encoder()
+    every = langid.units(encoder.encode(texts)[0], langid.GRID) @ P.T
+    for i, t in enumerate(texts):
+        assert (langid.units(encoder.encode([t])[0], langid.GRID) @ P[:5].T == every[i, :5]).all()
 
 
 def test_op3_equals_brute_force(spark):
@@ -148,20 +159,27 @@ def test_op3_equals_brute_force(spark):
                 v = [letters.setdefault(c, langid.letter_vector(ord(c)).astype(int)) for c in gram]
                 grams[gram] = np.roll(v[0], 2) * np.roll(v[1], 1) * v[2]
             total = total + n * grams[gram]
-        return total / max(np.sqrt((total * total).sum()), 1e-12) if low.strip() else None
+        return total if low.strip() else None
+
+    def whole(v, scale):
+        return [round(float(x)) for x in v / max(np.sqrt(float((v * v).sum())), 1e-12) * scale]
 
     units = {r["doc_id"]: vector(r["text"]) for r in docs}
     learned = {}
     for r in docs:
         if r["lang"] is not None and crc32(str(r["doc_id"]).encode()) % 3 != 1 and units[r["doc_id"]] is not None:
-            learned[r["lang"]] = learned.get(r["lang"], 0) + np.rint(units[r["doc_id"]] * langid.SCALE)
-    learned = {k: v / np.sqrt((v * v).sum()) for k, v in learned.items()}
+            learned[r["lang"]] = learned.get(r["lang"], 0) + np.array(whole(units[r["doc_id"]], langid.SCALE))
+    learned = {k: whole(v.astype(float), langid.GRID) for k, v in learned.items()}
     got = {r["doc_id"]: r for r in queries.op3_language_id(spark, sf).collect()}
     assert len(got) == len(docs)
     for i, u in units.items():
-        want = max(sorted(learned), key=lambda k: round(float(learned[k] @ u), 9)) if u is not None else "und"
-        assert got[i]["lang_pred"] == want
-        assert got[i]["score"] == pytest.approx((1 + float(learned[want] @ u)) / 2 if u is not None else 0, abs=1e-5)
+        if u is None:
+            assert (got[i]["lang_pred"], got[i]["score"]) == ("und", 0)
+            continue
+        mine = whole(u, langid.GRID)
+        dots = {k: sum(a * b for a, b in zip(p, mine, strict=True)) for k, p in learned.items()}
+        want = max(sorted(learned), key=dots.get)
+        assert (got[i]["lang_pred"], got[i]["score"]) == (want, (1 + dots[want] / langid.GRID**2) / 2)
 
 
 # --- URLs
@@ -420,6 +438,8 @@ def test_quality_on_planted_faults(spark):
     got = {r["doc_id"]: r for r in quality.classify(d, {"doc_id": F.col("doc_id")}).collect()}
     assert all(got[r[0]]["kept"] for r in good) and not any(got[r[0]]["kept"] for r in bad)
     assert got[2001]["score"] == 0 and not got[2002]["kept"]
+    named = quality.classify(d, {"score": F.col("doc_id"), "Kept": F.col("text"), "t": F.lit(1)})
+    assert named.columns == ["score_in", "Kept_in", "t", "score", "posterior", "kept"] and named.count() == d.count()
     kept = quality.filter_good(d)
     assert kept.columns == d.columns and {r[0] for r in good} <= {r["doc_id"] for r in kept.collect()}
     assert quality.filter_good(d.limit(0)).count() == 0
@@ -468,6 +488,23 @@ def test_planted_accuracies_of_overlapping_labellers_are_recovered(seed):
     assert 0 < table[:, 1, 1].min() < table[:, 1, 1].max()
 
 
+@pytest.mark.parametrize("false", [0.005, 0.05, 0.1, 0.2])
+@pytest.mark.parametrize("good", [0.5, 0.7, 0.9])
+def test_false_objections_are_estimated(false, good):
+    """Independent labellers: the estimates come from the votes at every rate, one labeller may be worse than the others."""
+    rng = np.random.default_rng(5)
+    n, k = 20_000, quality.LABELLERS
+    fine = rng.random(n) < good
+    rate = np.full(k, false)
+    rate[3] = 0.2
+    bad = np.where(fine[:, None], rng.random((n, k)) < rate, rng.random((n, k)) < 0.6)
+    codes = (np.where(bad, 1, 2) * 3 ** np.arange(k - 1, -1, -1)).sum(1)
+    post, share, table = quality.expectation_maximisation(Counter(codes.tolist()))
+    assert abs(share - good) < 0.05
+    assert np.abs(table[:, 1, 1] - rate).max() < 0.05 and np.abs(table[:, 0, 1] - 0.6).max() < 0.05
+    assert ((np.array([post[c] for c in codes.tolist()]) > 0.5) == fine).mean() > 0.9
+
+
 def brute_votes(text):
     """The labellers as their descriptions say, word by word."""
     words, lines = text.split(), [x for x in text.split("\n") if x.strip()]
@@ -486,6 +523,7 @@ def brute_votes(text):
         "echo": sum(a == b for a, b in zip(words, words[1:], strict=False)) / max(1, n - 1),
         "repeated": max(0.0, 1 - len(set(words)) / min(n, 12 * n**0.6)) if n >= 10 else 0.0,
         "lines": 1 - len(set(lines)) / max(1, len(lines)), "long": share(lambda w: len(w) > 30), "digits": share(lambda w: any(map(str.isdigit, w))),
+        "marks": share(lambda w: not w[-1].isalnum() and w[-1] not in quality.PUNCTUATION),
     }
     votes = [1 if values[k] >= bad else 2 if values[k] <= good else 0 for k, bad, good in quality.SHARES]
     return [*votes, 0 if n < 15 else 2 if 0.02 <= share(lambda w: w[-1] in ".?!;:") <= 0.35 else 1]
@@ -713,6 +751,23 @@ def test_conversations_reach_turns_by_fingerprint_only(spark, monkeypatch):
     assert {r["n_turns"] for r in queries.op9_chat_format(spark, sf).collect()} <= {None, -1}
 
 
+def test_op9_keeps_every_role(spark, tmp_path):
+    import duckdb
+
+    from netaccess.llm import queries
+
+    roles = ["human", "bot", "GPT", "gpt", "model", "system", "user", "assistant", "Human", None]
+    rows = [(c, t, roles[(c + t * (1 + c % 3)) % len(roles)], f"text {c} {t}") for c in range(40) for t in range(1 + c % 6)]
+    rows += [(c, t, r, "x") for c in (50, 51) for t, r in enumerate(["system", "bot", "user", "assistant"][c - 50 :])]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").coalesce(1).write.parquet(f"{tmp_path}/conversations.parquet")
+    got = queries.op9_chat_format(spark, str(tmp_path))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    wanted = con.sql(queries.ORACLE_SQL["op9_chat_format"])
+    columns = sorted(got.columns)
+    assert sorted(tuple(r[c] for c in columns) for r in got.collect()) == sorted(wanted.select(*columns).fetchall())
+
+
 # --- decontamination
 
 
