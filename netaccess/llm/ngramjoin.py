@@ -6,10 +6,11 @@ summed per pair.
 
 1. Every text becomes the set of its n-grams (64-bit hashes); equal sets are one class.
 2. The head fragment of a set are its first n - ceil(t n) + 1 n-grams. Two sets with similarity t or more have an
-   n-gram in both heads, whatever the order. Common n-grams are those that more than ``COMMON`` classes have; they
-   are found in two steps: in heads by hash alone, then in whole sets of the classes that these occur in. A bitmap
-   of bounded size marks them. The order is what the bitmap says, so its false marks are part of the order and
-   lose nothing.
+   n-gram in both heads, whatever the order. Common n-grams are those that more than ``COMMON`` classes have in their
+   windows, the window of a set being somewhat more of it, by hash, than its head. A bitmap of bounded size marks them;
+   the order is what the bitmap says, so its false marks are part of the order and lose nothing. A set whose window
+   holds too few uncommon n-grams gets its head from its whole text. A second bitmap, of n-grams that occur in two
+   windows or in such a head, keeps those that no other set can have out of the shuffle.
 3. Classes that share an n-gram of their heads become pairs. Their overlap in the head fragment is counted; what it
    leaves possible (that count and all that lies behind the shorter head) decides which pairs go on.
 4. For these, the rest of the order is cut into ``FRAGMENTS`` ranges; whole sets are cut at them, each fragment's
@@ -33,8 +34,9 @@ from pyspark.sql import functions as F
 from netaccess.llm.common import Scratch, bounded_batches, chunks
 from netaccess.llm.neardup import _digest, _Hashes, forest, merged, prefiltered, shingle_set
 
-#: An n-gram is common if more classes have it. Marks of the bitmap at most (two bytes each), else the border rises.
-COMMON, MARKS = 16, 2**24
+#: An n-gram is common if more classes have it. Bits of a bitmap for each n-gram in it, and at most (16 MB go to the
+#: tasks): beyond it more false marks are made, which cost time alone.
+COMMON, MARK_BITS, MARK_MOST = 16, 16, 2**27
 #: N-grams shared by at most SMALL classes' heads make pairs of all; beyond, about LEADERS of them are paired with all.
 SMALL, LEADERS = 16, 3
 #: Ranges of the order that whole sets are cut into.
@@ -54,8 +56,13 @@ def head_length(n: int, threshold: int) -> int:
     return n - -(-threshold * n // 100) + 1 if n else 0
 
 
+def window_length(n: int, threshold: int) -> int:
+    p = head_length(n, threshold)
+    return min(n, p + p // 2 + 4) if n else 0
+
+
 class Marks:
-    """The bitmap of common n-grams: membership of hashes, with false marks."""
+    """A bitmap of hashes: membership, with false marks."""
 
     def __init__(self, parts: dict[int, bytes], bits: int):
         self.bits = bits
@@ -63,35 +70,38 @@ class Marks:
         for part, m in parts.items():
             self.map[part * 4096 : part * 4096 + len(m)] = np.frombuffer(m, dtype=np.uint8)
 
-    def common(self, hashes: np.ndarray) -> np.ndarray:
+    def has(self, hashes: np.ndarray) -> np.ndarray:
         if not self.bits:
             return np.zeros(len(hashes), dtype=bool)
         p = hashes & np.int64(self.bits - 1)
         return (self.map[p >> 3] >> (p & 7).astype(np.uint8)) & 1 == 1
 
 
-def head(s: np.ndarray, marks: Marks, threshold: int) -> tuple[np.ndarray, int, int]:
-    """(head fragment, whether it ends in common n-grams as 0 or 1, its last n-gram) of a set in ascending order."""
-    common = marks.common(s)
-    p = head_length(len(s), threshold)
+def head(s: np.ndarray, marks: Marks, n: int, threshold: int) -> tuple[np.ndarray, int, int] | None:
+    """(head fragment, whether it ends in common n-grams as 0 or 1, its last n-gram) of a set of n.
+
+    ``s`` is the set in ascending order, or the start of it; None where that start doesn't hold the head.
+    """
+    common = marks.has(s)
+    p = head_length(n, threshold)
     first = s[~common][:p]
     if len(first) == p:
         return first, 0, int(first[-1]) if p else 0
+    if len(s) < n:
+        return None
     first = np.concatenate([first, s[common][: p - len(first)]])
     return first, 1, int(first[-1])
 
 
 def _profiles(width: int, threshold: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words, none = _Hashes(), Marks({}, 0)
+        words = _Hashes()
         for pdf in batches:
             for part in chunks(pdf, "t", rows=1000):
                 sets = [ordered_set(t, words, width) for t in part["t"]]
-                digests, heads = [_digest(s) for s in sets], [head(s, none, threshold) for s in sets]
-                yield pd.DataFrame({
-                    "id": part["id"].to_numpy(), "n": [len(s) for s in sets], "a": [d[0] for d in digests], "b": [d[1] for d in digests],
-                    "head": [h[0] for h in heads], "lv": [h[1] for h in heads], "last": [h[2] for h in heads],
-                })
+                digests = [_digest(s) for s in sets]
+                windows = [s[: window_length(len(s), threshold)] for s in sets]
+                yield pd.DataFrame({"id": part["id"].to_numpy(), "n": [len(s) for s in sets], "a": [d[0] for d in digests], "b": [d[1] for d in digests], "win": windows})
 
     return run
 
@@ -107,11 +117,27 @@ def _sets(width: int):
     return run
 
 
-def _reordered(marks: Marks, threshold: int):
+def _short(marks: Marks, threshold: int):
+    """Classes whose window doesn't hold their head."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pdf[["a", "rep"]][[head(np.asarray(w), marks, n, threshold) is None for w, n in zip(pdf["win"], pdf["n"], strict=True)]]
+
+    return run
+
+
+def _heads(marks: Marks, shared: Marks | None, threshold: int):
+    """Heads of sets or windows ``s``; with ``shared`` without the n-grams that no other head has."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            heads = [head(np.asarray(s), marks, threshold) for s in pdf["s"]]
-            yield pd.DataFrame({"a": pdf["a"], "head": [h[0] for h in heads], "lv": [h[1] for h in heads], "last": [h[2] for h in heads]})
+            rows = []
+            for a, s, n in zip(pdf["a"], pdf["s"], pdf["n"], strict=True):
+                found = head(np.asarray(s), marks, n, threshold)
+                if found is not None:
+                    rows.append((a, found[0] if shared is None else found[0][shared.has(found[0])], *found[1:]))
+            yield pd.DataFrame(rows, columns=["a", "head", "lv", "last"]).astype({"a": "int64", "lv": "int32", "last": "int64"})
 
     return run
 
@@ -140,18 +166,15 @@ def _block_links(threshold: int):
     return run
 
 
-def _marks(counts: DataFrame) -> Marks:
-    """The bitmap over ``counts`` (key, m): at most ``MARKS`` n-grams, by a border that rises until they fit; 2 bytes each."""
-    border = COMMON
-    while (n := counts.where(F.col("m") > border).count()) > MARKS:
-        border *= 2
+def _marks(keys: DataFrame) -> Marks:
+    """The bitmap over the column ``key`` (distinct n-grams)."""
+    n = keys.count()
     if not n:
         return Marks({}, 0)
     bits = 2**15
-    while bits < 16 * n:
+    while bits < min(MARK_BITS * n, MARK_MOST):
         bits *= 2
-    p = F.col("key").bitwiseAND(F.lit(bits - 1))
-    parts = counts.where(F.col("m") > border).select(p.alias("p")).groupBy(F.floor(F.col("p") / 2**15).cast("int").alias("part"))
+    parts = keys.select(F.col("key").bitwiseAND(F.lit(bits - 1)).alias("p")).groupBy(F.floor(F.col("p") / 2**15).cast("int").alias("part"))
     return Marks({r["part"]: bytes(r["m"]) for r in parts.agg(F.bitmap_construct_agg(F.col("p") % 2**15).alias("m")).collect()}, bits)
 
 
@@ -172,27 +195,22 @@ def similar_components(docs: DataFrame, threshold: int = 85, width: int = 4, doc
     bounded_batches(docs)
     scratch = Scratch(docs.sparkSession)
     rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("id"), F.col(f"`{text}`").alias("t"))
-    base = scratch.keep(rows.mapInPandas(_profiles(width, threshold), "id long, n long, a long, b long, head array<long>, lv int, last long"))
+    base = scratch.keep(rows.mapInPandas(_profiles(width, threshold), "id long, n long, a long, b long, win array<long>"))
     full = base.where("n > 0 AND id IS NOT NULL")
-    names = scratch.keep(full.groupBy("a", "b").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("head").alias("head"), F.first("lv").alias("lv"), F.first("last").alias("last")))
     # a class is named by its digest's first half: ids may repeat in several texts
-    exploded = names.select("a", "rep", F.explode("head").alias("id"))
-    counted = scratch.keep(exploded.groupBy(F.col("id").alias("key")).agg(F.count("*").alias("m")).where(F.col("m") > COMMON))
-    n_common = counted.count()
-    if n_common:
-        touched = prefiltered(exploded, counted.select(F.col("key").alias("id")), n_common).select("a", "rep").distinct()
-        touched = scratch.keep(touched)
-        whole = scratch.keep(_texts(rows, touched.select(F.col("rep").alias("id")).distinct()).mapInPandas(_sets(width), "a long, s array<long>").join(touched.select("a").hint("merge"), "a", "left_semi"))
-        # the same text may stand under an id twice
-        whole = whole.groupBy("a").agg(F.first("s").alias("s")) if whole.count() > touched.count() else whole
-        df = whole.select(F.explode("s").alias("key")).groupBy("key").agg(F.count("*").alias("m")).where(F.col("m") > COMMON)
-        marks = _marks(scratch.keep(df))
-        again = whole.mapInPandas(_reordered(marks, threshold), "a long, head array<long>, lv int, last long")
-        others = names.join(touched.select("a").hint("merge"), "a", "left_anti").select("a", "rep", "n", "head", "lv", "last")
-        classes = scratch.keep(others.unionByName(names.select("a", "rep", "n").join(again.hint("merge"), "a")))
-    else:
-        whole, touched, classes = None, None, names
-    keyed = classes.select("a", F.explode("head").alias("key"))
+    names = scratch.keep(full.groupBy("a", "b").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("win").alias("win")))
+    seen = scratch.keep(names.select(F.explode("win").alias("key")).groupBy("key").agg(F.count("*").alias("m")).where("m > 1"))
+    marks = _marks(seen.where(F.col("m") > COMMON).select("key"))
+    short = scratch.keep(names.mapInPandas(_short(marks, threshold), "a long, rep long"))
+    whole = _texts(rows, short.select(F.col("rep").alias("id")).distinct()).mapInPandas(_sets(width), "a long, s array<long>")
+    whole = whole.join(short.select("a").hint("merge"), "a", "left_semi").groupBy("a").agg(F.first("s").alias("s")).select("a", "s", F.size("s").cast("long").alias("n"))
+    schema = "a long, head array<long>, lv int, last long"
+    late = scratch.keep(whole.mapInPandas(_heads(marks, None, threshold), schema))
+    twice = _marks(seen.select("key").union(late.select(F.explode("head"))).distinct())
+    early = names.select("a", F.col("win").alias("s"), "n").mapInPandas(_heads(marks, twice, threshold), schema)
+    heads = scratch.keep(early.unionByName(late))
+    classes = names.select("a", "rep", "n").join(heads.hint("merge"), "a")
+    keyed = heads.select("a", F.explode("head").alias("key"))
     # merge joins on keys: a key of very many classes is a skewed partition, which adaptive execution splits
     counts = keyed.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
     place = F.pmod(F.xxhash64(F.lit(5), F.col("a")), F.lit(2**40)).cast("double") / float(2**40)
@@ -218,13 +236,10 @@ def similar_components(docs: DataFrame, threshold: int = 85, width: int = 4, doc
     near = scratch.keep(near.where(fits & (F.col("large") | (most * (100 + threshold) >= need * threshold))).select("u", "v", "nu", "nv"))
     # whole sets of the classes that pairs or large keys still need, from the text of their smallest document
     large_nodes = shared.where(F.col("m") > SMALL).select("node")
-    wanted = scratch.keep(near.select(F.col("u").alias("node")).union(near.select("v")).union(large_nodes).distinct())
-    missing = wanted if touched is None else wanted.join(touched.select(F.col("a").alias("node")).hint("merge"), "node", "left_anti")
-    missing = scratch.keep(candidates.join(missing.hint("merge"), candidates.a == F.col("node")).select("a", "rep"))
-    sets = _texts(rows, missing.select(F.col("rep").alias("id")).distinct()).mapInPandas(_sets(width), "a long, s array<long>")
-    sets = sets.join(missing.select("a").hint("merge"), "a", "left_semi").groupBy("a").agg(F.first("s").alias("s"))
-    if whole is not None:
-        sets = sets.unionByName(whole.join(wanted.select(F.col("node").alias("a")).hint("merge"), "a", "left_semi").select("a", "s"))
+    wanted = near.select(F.col("u").alias("node")).union(near.select("v")).union(large_nodes).distinct()
+    wanted = scratch.keep(candidates.join(wanted.hint("merge"), candidates.a == F.col("node")).select("a", "rep"))
+    sets = _texts(rows, wanted.select(F.col("rep").alias("id")).distinct()).mapInPandas(_sets(width), "a long, s array<long>")
+    sets = sets.join(wanted.select("a").hint("merge"), "a", "left_semi").groupBy("a").agg(F.first("s").alias("s"))
     cut = scratch.keep(sets.mapInPandas(_segments, "node long, f int, s array<long>"))
     # every fragment counts its own part of the overlap; the parts are summed per pair
     parts = near.join(cut.toDF("u", "f", "xu").hint("merge"), "u").join(cut.toDF("v", "f", "xv").hint("merge"), ["v", "f"])
@@ -246,7 +261,7 @@ def similar_components(docs: DataFrame, threshold: int = 85, width: int = 4, doc
         dealt = dealt.select("first", F.least("i", "j").alias("bi"), F.greatest("i", "j").alias("bj"), "i", "node", "comp").join(joined, "node")
         links = dealt.groupBy("first", "bi", "bj").applyInPandas(_block_links(threshold), "u long, v long")
         labels = merged(labels, scratch.keep(links.distinct()), scratch)
-    scratch.drop(cut, shared, members, whole, near, wanted, missing)
+    scratch.drop(cut, shared, members, near, wanted, heads, late, short, seen)
     # from digests to smallest doc_ids
     reps = candidates.join(labels, candidates.a == labels.node).select("a", "rep", "comp")
     smallest = reps.groupBy("comp").agg(F.min("rep").alias("component"))

@@ -45,7 +45,9 @@ def test_heads_meet_under_any_order():
         x = np.unique(rng.integers(-(2**62), 2**62, int(rng.integers(1, 80))))
         y = np.unique(np.concatenate([x[rng.random(len(x)) < 0.93], rng.integers(-(2**62), 2**62, int(rng.integers(0, 6)))]))
         both = len(np.intersect1d(x, y))
-        hx, hy = ngramjoin.head(x, marks, 80), ngramjoin.head(y, marks, 80)
+        start = ngramjoin.head(x[: ngramjoin.window_length(len(x), 80)], marks, len(x), 80)
+        assert start is None or [*map(list, start[:1]), *start[1:]] == [*map(list, ngramjoin.head(x, marks, len(x), 80)[:1]), *ngramjoin.head(x, marks, len(x), 80)[1:]]
+        hx, hy = ngramjoin.head(x, marks, len(x), 80), ngramjoin.head(y, marks, len(y), 80)
         assert len(hx[0]) == ngramjoin.head_length(len(x), 80)
         if both * 100 >= 80 * (len(x) + len(y) - both):
             shared = len(np.intersect1d(hx[0], hy[0]))
