@@ -265,7 +265,8 @@ def similar_components(docs: DataFrame, threshold: int = 85, width: int = 4, doc
     # from digests to smallest doc_ids
     reps = candidates.join(labels, candidates.a == labels.node).select("a", "rep", "comp")
     smallest = reps.groupBy("comp").agg(F.min("rep").alias("component"))
-    named = names.select("a", "b", "rep").join(reps.select("a", "comp"), "a", "left").join(smallest, "comp", "left")
+    # classes without a component meet nothing on it: their nulls would all go to one task
+    named = names.select("a", "b", "rep").join(reps.select("a", "comp").join(smallest, "comp").select("a", "component"), "a", "left")
     named = named.select("a", "b", F.coalesce("component", "rep").alias("component_id"))
     out = base.select("id", F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull() & (F.col("n") > 0), F.col("a")).alias("a"), "b")
     out = out.join(named.hint("merge"), ["a", "b"], "left")

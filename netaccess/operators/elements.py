@@ -99,7 +99,7 @@ def is_(c: Column) -> Column:
 
 def is_metro_station() -> Column:
     """station=subway or subway=yes and no entrance; railway=station alone is none."""
-    return is_((tag("station") == "subway")) | is_(tag("subway") == "yes") & ~is_metro_entrance()
+    return (is_(tag("station") == "subway") | is_(tag("subway") == "yes")) & ~is_metro_entrance()
 
 
 def is_metro_entrance() -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import heapq
 import math
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -14,7 +15,9 @@ from netaccess.operators.lineage import cut
 #: Positions on an edge closer than this are one, in metres.
 EPSILON = 1e-6
 #: Edges of the largest network that one worker searches; beyond it the distributed search is used.
-WORKER_EDGES = 4_000_000
+WORKER_EDGES = 100_000
+#: Width of a distance bucket of the distributed search, in mean edges.
+BUCKET_EDGES = 8.0
 
 
 def canonical_edges(records: DataFrame) -> DataFrame:
@@ -164,30 +167,33 @@ def adjacency(segs: DataFrame) -> DataFrame:
 
 
 def dijkstra(edges, entries) -> dict:
-    """node -> (distance, node before) from entries (node, cost); the node before an entry is None."""
+    """node -> (distance, node before) from entries (node, cost); the node before an entry is None.
+
+    Of equally near nodes before one the smaller name counts, an entry before all.
+    """
     near: dict = {}
     for a, b, w in edges:
         near.setdefault(a, []).append((b, w))
         near.setdefault(b, []).append((a, w))
     best: dict = {}
-    queue = [(c, n, None) for n, c in entries]
-    heapq.heapify(queue := [(c, str(n), n, p) for c, n, p in queue])
+    queue = [(c, str(n), "", n) for n, c in entries]
+    heapq.heapify(queue)
     while queue:
-        d, _, n, p = heapq.heappop(queue)
+        d, _, p, n = heapq.heappop(queue)
         if n in best:
             continue
-        best[n] = d, p
+        best[n] = d, p or None
         for m, w in near.get(n, ()):
             if m not in best:
-                heapq.heappush(queue, (d + w, str(m), m, n))
+                heapq.heappush(queue, (d + w, str(m), n, m))
     return best
 
 
-def multi_source_distances(adj: DataFrame, entries: DataFrame, distributed: bool | None = None) -> DataFrame:
+def multi_source_distances(adj: DataFrame, entries: DataFrame, distributed: bool | None = None, delta: float | None = None) -> DataFrame:
     """(mode, node, distance, before) of the nodes that an entry (mode, node, cost) reaches; others are absent.
 
     A mode is searched by one worker while its network is no larger than WORKER_EDGES; beyond that by
-    rounds of relaxation over the whole cluster (``distributed`` forces either; distances and paths are the
+    ``delta_stepping`` over the whole cluster (``distributed`` forces either; distances and paths are the
     same, of equally near nodes before one the smaller name counts). No entry at all raises.
     """
     entries = entries.groupBy("mode", "node").agg(F.min("cost").alias("cost"))
@@ -197,7 +203,7 @@ def multi_source_distances(adj: DataFrame, entries: DataFrame, distributed: bool
         largest = adj.groupBy("mode").count().agg(F.max("count")).first()[0] or 0
         distributed = largest > WORKER_EDGES
     if distributed:
-        return _relax(adj, entries)
+        return delta_stepping(adj, entries, delta)
     rows = adj.select("mode", "a", "b", "w").unionByName(entries.select("mode", F.lit(None).cast("string").alias("a"), F.col("node").alias("b"), F.col("cost").alias("w")))
 
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -210,23 +216,53 @@ def multi_source_distances(adj: DataFrame, entries: DataFrame, distributed: bool
     return rows.groupBy("mode").applyInPandas(search, "mode string, node string, distance double, before string")
 
 
-def _relax(adj: DataFrame, entries: DataFrame) -> DataFrame:
-    """Bellman-Ford by the frontier: each round only nodes that improved reach their neighbours.
+def delta_stepping(adj: DataFrame, entries: DataFrame, delta: float | None = None) -> DataFrame:
+    """Shortest paths by distance buckets of width ``delta`` (``BUCKET_EDGES`` mean edges unless given), all modes at once.
 
-    What has been reached is a table of its own, to which a round adds the nodes it improves; the nodes
-    before them are carried along.
+    Nodes that are reached but not settled are open; they alone are rewritten by a round. Of these the ones in the lowest bucket
+    relax their light edges (no longer than delta) until the bucket is stable; they are then settled, into a
+    table of their own for each bucket, and relax their heavy edges once. Edges have no direction, so a node that
+    is settled already and that a bucket can reach lies no further back than the longest edge: only the tables of these buckets are
+    met. Buckets number at most largest distance / delta; empty ones are skipped.
     """
-    both = cut(adj.select("mode", "a", "b", "w").unionByName(adj.select("mode", F.col("b").alias("a"), F.col("a").alias("b"), "w")).repartition("mode", "a"))
-    fresh = dist = cut(entries.select("mode", "node", F.col("cost").alias("distance"), F.lit(None).cast("string").alias("before")))
+    both = adj.select("mode", "a", "b", "w").unionByName(adj.select("mode", F.col("b").alias("a"), F.col("a").alias("b"), "w"))
+    both = cut(both.repartition("mode", "a"))
+    facts = both.agg(F.avg("w").alias("mean"), F.max("w").alias("most")).first()
+    delta = delta or BUCKET_EDGES * (facts["mean"] or 1.0) or 1.0
+    light, heavy = both.where(F.col("w") <= delta), both.where(F.col("w") > delta)
+    any_heavy, back = (facts["most"] or 0.0) > delta, math.ceil((facts["most"] or 0.0) / delta) + 1
+    state = F.struct("distance", "before")
+    opened = cut(entries.select("mode", "node", F.col("cost").alias("distance"), F.lit(None).cast("string").alias("before"), F.lit(True).alias("fresh")))
+    settled: list[tuple[int, DataFrame]] = []
+
+    def relaxed(front: DataFrame, edges: DataFrame, done: list[DataFrame]) -> DataFrame:
+        """Open nodes after the edges of ``front`` were relaxed; fresh are those that came nearer."""
+        on = (front.mode == edges.mode) & (front.node == edges.a)
+        step = front.join(edges, on).select(front.mode, F.col("b").alias("node"), (F.col("distance") + F.col("w")).alias("distance"), F.col("node").alias("before"))
+        if done:
+            old = reduce(DataFrame.unionByName, [t.select("mode", "node") for t in done])
+            step = step.join(old, ["mode", "node"], "left_anti")
+        rows = opened.select("mode", "node", state.alias("s"), F.col("distance").alias("was")).unionByName(step.select("mode", "node", state.alias("s"), F.lit(None).cast("double").alias("was")))
+        best = rows.groupBy("mode", "node").agg(F.min("s").alias("s"), F.min("was").alias("was"))
+        return cut(best.select("mode", "node", "s.distance", "s.before", F.coalesce(F.col("s.distance") < F.col("was"), F.lit(True)).alias("fresh")))
+
     while True:
-        step = fresh.join(both, (fresh.mode == both.mode) & (fresh.node == both.a)).select(fresh.mode, F.col("b").alias("node"), F.struct((F.col("distance") + F.col("w")).alias("distance"), F.col("node").alias("before")).alias("s"))
-        step = step.groupBy("mode", "node").agg(F.min("s").alias("s")).select("mode", "node", "s.*")
-        old = dist.select("mode", "node", F.col("distance").alias("was"))
-        fresh = cut(step.join(old, ["mode", "node"], "left").where("was IS NULL OR distance < was").select("mode", "node", "distance", "before"))
-        if not fresh.limit(1).count():
-            return dist
-        kept = dist.join(fresh.select("mode", "node"), ["mode", "node"], "left_anti")
-        dist = cut(kept.unionByName(fresh))
+        low = opened.agg(F.min("distance")).first()[0]
+        if low is None:
+            break
+        bucket = math.floor(low / delta)
+        end = max((bucket + 1) * delta, math.nextafter(low, math.inf))
+        recent = [t for b, t in settled if b >= bucket - back]
+        front = opened.where(F.col("distance") < end)
+        while front.limit(1).count():
+            opened = relaxed(front, light, recent)
+            front = opened.where(F.col("fresh") & (F.col("distance") < end))
+        mine = cut(opened.where(F.col("distance") < end).select("mode", "node", "distance", "before"))
+        settled.append((bucket, mine))
+        opened = opened.where(F.col("distance") >= end)
+        if any_heavy:
+            opened = relaxed(mine, heavy, [*recent, mine])
+    return reduce(DataFrame.unionByName, [t for _, t in settled])
 
 
 def cell_distances(cells: DataFrame, segs: DataFrame, reached: DataFrame) -> DataFrame:
@@ -256,7 +292,8 @@ def service_area(segs: DataFrame, reached: DataFrame, budget: float) -> DataFram
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, comp): the smallest node that each node reaches. Labels move and jump until none changes."""
-    both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct().cache()
+    both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct()
+    both = cut(both)
     labels = cut(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("comp")).withColumnRenamed("u", "node"))
     while True:
         low = both.join(labels.withColumnRenamed("node", "v"), "v").groupBy("u").agg(F.min("comp").alias("low"))
@@ -264,7 +301,6 @@ def components(edges: DataFrame) -> DataFrame:
         hop = labels.select(F.col("node").alias("next"), F.col("comp").alias("beyond"))
         new = cut(step.join(hop, "next").select("node", F.least("next", "beyond").alias("comp"), "was"))
         if not new.where("comp <> was").limit(1).count():
-            both.unpersist()
             return new.select("node", "comp")
         labels = new.select("node", "comp")
 
@@ -272,17 +308,22 @@ def components(edges: DataFrame) -> DataFrame:
 def trace(reached: DataFrame, targets: DataFrame) -> DataFrame:
     """(mode, node, path): the nodes from the entry to each target (mode, node); empty where unreached.
 
-    Walks all targets back at once, one join a step.
+    Jumps over 1, 2, 4 ... nodes are made by doubling, then the targets' ways are filled in from the longest jump
+    to the shortest: two joins for each doubling of the longest way, not one for each of its nodes.
     """
-    before = reached.select("mode", F.col("node").alias("at"), F.col("before").alias("prev"))
-    walk = targets.select("mode", "node", F.col("node").alias("at"), F.array().cast("array<string>").alias("path"))
-    done = None
+    jumps = [cut(reached.where("before IS NOT NULL").select("mode", "node", F.col("before").alias("up")))]
     while True:
-        walk = walk.join(before, ["mode", "at"], "left_outer").withColumn("known", F.col("prev").isNotNull() | (F.size("path") > 0))
-        hit = walk.join(before.select("mode", "at", F.lit(True).alias("is")), ["mode", "at"], "left").withColumn("path", F.when(F.col("is"), F.concat(F.array("at"), "path")).otherwise(F.col("path")))
-        hit = cut(hit.select("mode", "node", F.col("prev").alias("at"), "path"))
-        ended = hit.where("at IS NULL").select("mode", "node", "path")
-        done = ended if done is None else done.unionByName(ended)
-        walk = hit.where("at IS NOT NULL")
-        if not walk.limit(1).count():
-            return done
+        last = jumps[-1]
+        beyond = last.select("mode", F.col("node").alias("up"), F.col("up").alias("beyond"))
+        further = cut(last.join(beyond, ["mode", "up"]).select("mode", "node", F.col("beyond").alias("up")))
+        if not further.limit(1).count():
+            break
+        jumps.append(further)
+    known = targets.select("mode", "node").distinct().join(reached.select("mode", "node"), ["mode", "node"])
+    steps = cut(known.select("mode", "node", F.col("node").alias("at"), F.lit(0).alias("back")))
+    for k, jump in reversed(list(enumerate(jumps))):
+        more = steps.join(jump.select("mode", F.col("node").alias("at"), "up"), ["mode", "at"])
+        steps = cut(steps.unionByName(more.select("mode", "node", F.col("up").alias("at"), (F.col("back") + 2**k).alias("back"))))
+    ways = steps.groupBy("mode", "node").agg(F.sort_array(F.collect_list(F.struct((-F.col("back")).alias("o"), "at"))).alias("w"))
+    out = targets.select("mode", "node").distinct().join(ways, ["mode", "node"], "left")
+    return out.select("mode", "node", F.coalesce(F.transform("w", lambda x: x["at"]), F.array().cast("array<string>")).alias("path"))

@@ -78,20 +78,26 @@ def sharing(left: DataFrame, right: DataFrame, keys: str = "keys") -> DataFrame:
     return one(left, "left_id").join(one(right, "right_id"), "k").select("left_id", "right_id").distinct()
 
 
-def without_near(rows: DataFrame, others: DataFrame, named: float, unnamed: float) -> DataFrame:
-    """Rows (id, x, y, key) with no other row near: within ``named`` metres if both share a key, within ``unnamed`` if the row has none.
+def without_near(rows: DataFrame, others: DataFrame, named: float, unnamed: float, keys: str = "keys") -> DataFrame:
+    """Rows (id, x, y, ``keys``: array of names) with no other row near: within ``named`` metres if they share a name, within ``unnamed`` whatever its names if the row has none.
 
-    An equi join on grid cells of the larger radius; only the nearest cells meet.
+    Null and empty names are none. Named rows meet others by name and grid cell, the rest by cell: equi joins in which only the
+    nearest cells meet. Rows without coordinates have nothing near.
     """
-    size = max(named, unnamed)
-    cell = lambda c: F.floor(F.col(c) / size)
-    a = rows.select("id", F.col("x").alias("ax"), F.col("y").alias("ay"), F.nullif("key", F.lit("")).alias("ak"))
-    a = a.withColumn("gx", F.explode(F.sequence(F.floor(F.col("ax") / size) - 1, F.floor(F.col("ax") / size) + 1)))
-    a = a.withColumn("gy", F.explode(F.sequence(F.floor(F.col("ay") / size) - 1, F.floor(F.col("ay") / size) + 1)))
-    b = others.select(F.col("x").alias("bx"), F.col("y").alias("by"), F.nullif("key", F.lit("")).alias("bk"), cell("x").alias("gx"), cell("y").alias("gy"))
+    names = lambda df: df.withColumn("k", F.filter(F.array_distinct(F.coalesce(F.col(keys).cast("array<string>"), F.array().cast("array<string>"))), lambda x: x.isNotNull() & (x != "")))
+    a = names(rows).select("id", F.col("x").alias("ax"), F.col("y").alias("ay"), "k")
+    b = names(others).select(F.col("x").alias("bx"), F.col("y").alias("by"), "k")
     d = F.sqrt((F.col("ax") - F.col("bx")) ** 2 + (F.col("ay") - F.col("by")) ** 2)
-    hit = ((F.col("ak") == F.col("bk")) & (d <= named)) | (F.col("ak").isNull() & (d <= unnamed))
-    gone = a.join(b, ["gx", "gy"]).where(hit).select("id").distinct()
+
+    def hits(left: DataFrame, right: DataFrame, radius: float, on: list[str]) -> DataFrame:
+        size = max(radius, 1e-6)
+        for g, c in (("gx", "ax"), ("gy", "ay")):
+            left = left.withColumn(g, F.explode(F.sequence(F.floor(F.col(c) / size) - 1, F.floor(F.col(c) / size) + 1)))
+        right = right.withColumn("gx", F.floor(F.col("bx") / size)).withColumn("gy", F.floor(F.col("by") / size))
+        return left.join(right, [*on, "gx", "gy"]).where(d <= radius).select("id")
+
+    one = lambda df: df.withColumn("k", F.explode("k"))
+    gone = hits(one(a), one(b), named, ["k"]).union(hits(a.where(F.size("k") == 0), b.drop("k"), unnamed, [])).distinct()
     return rows.join(gone, "id", "left_anti")
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -141,22 +143,42 @@ MODES = ["metro", "bus"]
 
 
 class Routed:
-    """The routed network of the embeddings, its parts computed once for a query."""
+    """The routed network of the embeddings; each part is computed when it is first asked for, once for a query.
+
+    Parts are written tables: what is computed once survives the loss of an executor.
+    """
 
     def __init__(self, spark: SparkSession, d: str):
-        p = points(spark, d)
-        # written tables: what is computed once survives the loss of an executor
-        self.edges = cut(edges(spark, d))
-        self.lines = lines = cut(edge_lines(spark, d, self.edges))
-        spot = lambda k, x, y, where: p.where(where).select(F.concat(F.lit(k + ":"), "vec_id").alias("point_id"), F.col(x).alias("x"), F.col(y).alias("y"))
+        self.points = points(spark, d)
+        self.spark, self.dir = spark, d
+
+    @cached_property
+    def edges(self) -> DataFrame:
+        return cut(edges(self.spark, self.dir))
+
+    @cached_property
+    def lines(self) -> DataFrame:
+        return cut(edge_lines(self.spark, self.dir, self.edges))
+
+    @cached_property
+    def snap(self) -> DataFrame:
+        spot = lambda k, x, y, where: self.points.where(where).select(F.concat(F.lit(k + ":"), "vec_id").alias("point_id"), F.col(x).alias("x"), F.col(y).alias("y"))
         spots = spot("cell", "e3", "e4", "true").unionByName(spot("metro", "e5", "e6", "vec_id % 50 = 0")).unionByName(spot("bus", "e5", "e6", "vec_id % 11 = 3"))
-        self.snap = spatial.snap_to_edges(spots, lines).withColumn("kind", F.substring_index("point_id", ":", 1)).withColumn("vec_id", F.substring_index("point_id", ":", -1).cast("long"))
-        sources = self.snap.where("kind <> 'cell'").withColumn("mode", F.col("kind"))
-        self.spliced = cut(network.splice(self.edges, sources))
-        self.breaks = network.break_table(self.edges, self.spliced, MODES)
-        self.segments = cut(network.segments(self.breaks, self.edges))
+        found = spatial.snap_to_edges(spots, self.lines)
+        return found.withColumn("kind", F.substring_index("point_id", ":", 1)).withColumn("vec_id", F.substring_index("point_id", ":", -1).cast("long"))
+
+    @cached_property
+    def spliced(self) -> DataFrame:
+        return cut(network.splice(self.edges, self.snap.where("kind <> 'cell'").withColumn("mode", F.col("kind"))))
+
+    @cached_property
+    def segments(self) -> DataFrame:
+        return cut(network.segments(network.break_table(self.edges, self.spliced, MODES), self.edges))
+
+    @cached_property
+    def reached(self) -> DataFrame:
         entries = self.spliced.where("connector_m IS NOT NULL").select("mode", "node", F.col("connector_m").alias("cost"))
-        self.reached = cut(network.multi_source_distances(network.adjacency(self.segments), entries))
+        return cut(network.multi_source_distances(network.adjacency(self.segments), entries))
 
     def cells(self) -> DataFrame:
         own = self.snap.where("kind = 'cell'").select(F.col("vec_id").alias("point_id"), "edge_id", "fraction", "connector_m")

@@ -374,13 +374,6 @@ def id_digest(spark: SparkSession, d: str) -> DataFrame:
     return n.select("region", text.ids_digest(F.col("ids")).alias("digest"), "n")
 
 
-@query()
-def greedy_dedupe(spark: SparkSession, d: str) -> DataFrame:
-    """Places of one label within 60 m of a kept one go; order-dependent, so tested on exact cases."""
-    p = b.points(spark, d).select(F.col("vec_id").alias("place_id"), F.col("label").cast("string").alias("category"), F.col("e1").alias("x"), F.col("e2").alias("y"), (F.col("vec_id") % 3).alias("rank"))
-    return places.greedy_dedupe(p, ["category"], 60.0, ["rank", "place_id"])
-
-
 @query("SELECT o_orderpriority AS ref, count(DISTINCT o_orderstatus) AS \"values\", CASE WHEN count(DISTINCT o_orderstatus) = 1 THEN min(o_orderstatus) END AS agreed FROM orders GROUP BY 1")
 def consensus_values(spark: SparkSession, d: str) -> DataFrame:
     return places.consensus(table(spark, d, "orders").withColumnRenamed("o_orderpriority", "ref"), "ref", "o_orderstatus")

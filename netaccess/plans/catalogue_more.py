@@ -52,7 +52,7 @@ els AS (SELECT *, CASE method WHEN 'closed_way' THEN 0 WHEN 'open_way' THEN 1 EL
   CASE method WHEN 'closed_way' THEN e1 + 7.5::DOUBLE WHEN 'open_way' THEN e1 + 15 ELSE e1 END AS x, CASE method WHEN 'closed_way' THEN e2 + 20 WHEN 'open_way' THEN e2 + 20 ELSE e2 END AS y FROM el WHERE method IS NOT NULL)"""
 
 
-@query(f"""WITH {ELEMENTS} SELECT type, id, method, rank, round(x, 4) AS x, round(y, 4) AS y, coalesce(id % 11 = 0 AND id % 22 <> 0 OR id % 11 = 0, false) AS station, id % 22 = 0 AS entrance,
+@query(f"""WITH {ELEMENTS} SELECT type, id, method, rank, round(x, 4) AS x, round(y, 4) AS y, id % 11 = 0 AND id % 22 <> 0 AS station, id % 22 = 0 AS entrance,
 id % 13 = 0 OR (id % 14 = 0 AND id % 22 <> 0) AS bus_stop, CASE WHEN id % 13 = 0 OR id % 7 = 0 THEN 'platform' ELSE 'stop_position' END AS role, CASE WHEN type = 'node' THEN 0 ELSE 2 END + CASE WHEN name IS NULL THEN 1 ELSE 0 END AS priority FROM els""")
 def map_elements(spark: SparkSession, d: str) -> DataFrame:
     """Elements of JSON to one geometry, one point and the transit rules' verdicts."""
@@ -70,14 +70,6 @@ def facility_tallies(spark: SparkSession, d: str) -> DataFrame:
     return elements.tallies(elements.classified(raw_elements(spark, d), "element", ["amenity", "building"], ["clinic", "school"]))
 
 
-@query(f"""WITH {PTS}, s AS (SELECT vec_id AS id, vec_id % 2 AS role, CASE WHEN vec_id % 5 <> 0 THEN label END AS key, e1 AS x, e2 AS y FROM pts)
-SELECT id FROM s a WHERE role = 1 AND NOT EXISTS (SELECT 1 FROM s o WHERE o.role = 0 AND ((a.key = o.key AND sqrt((a.x - o.x) * (a.x - o.x) + (a.y - o.y) * (a.y - o.y)) <= 50) OR (a.key IS NULL AND sqrt((a.x - o.x) * (a.x - o.x) + (a.y - o.y) * (a.y - o.y)) <= 25)))""")
-def stops_without_platform(spark: SparkSession, d: str) -> DataFrame:
-    """Stop positions that no platform stands in for: of the same name within 50 m, or unnamed within 25 m."""
-    s = b.points(spark, d).select(F.col("vec_id").alias("id"), (F.col("vec_id") % 2).alias("role"), F.when(F.col("vec_id") % 5 != 0, F.col("label").cast("string")).alias("key"), F.col("e1").alias("x"), F.col("e2").alias("y"))
-    return relate.without_near(s.where("role = 1"), s.where("role = 0"), 50.0, 25.0).select("id")
-
-
 @query("""WITH p AS (SELECT p_partkey AS id, [lower(p_brand), lower(p_name)] AS keys FROM part), c AS (SELECT * FROM (VALUES (1, ['brand#2', 'gold ring']), (2, ['red widget', '']), (3, ['small ring', 'brand#17']), (4, [NULL])) t(id, keys))
 SELECT DISTINCT p.id AS left_id, CAST(c.id AS BIGINT) AS right_id FROM p, c WHERE len(list_intersect(p.keys, list_filter(c.keys, lambda k: k IS NOT NULL AND k <> ''))) > 0""")
 def shared_names(spark: SparkSession, d: str) -> DataFrame:
@@ -448,19 +440,3 @@ def station_history(spark: SparkSession, d: str) -> DataFrame:
     j = relate.keyed_both_ways(curated, mapped, text.match_key(F.col("spelt")), text.match_key(F.col("name")))
     batch = Window.partitionBy("opening_year")
     return j.select("station_id", "match_key", "opening_year", F.row_number().over(batch.orderBy("name")).alias("in_batch"), F.count("*").over(batch).alias("batch"))
-
-
-@query()
-def dedupe_by_names(spark: SparkSession, d: str) -> DataFrame:
-    """Places that share a name variant with a kept one within 60 m go; order-dependent, tested on exact cases."""
-    p = b.points(spark, d).select(F.col("vec_id").alias("place_id"), F.array(F.col("label").cast("string"), F.concat(F.lit("v"), F.col("vec_id") % 40)).alias("keys"), F.col("e1").alias("x"), F.col("e2").alias("y"), (F.col("vec_id") % 3).alias("rank"))
-    return places.dedupe_by_names(p, 60.0, ["rank", "place_id"])
-
-
-@query()
-def transit_layer(spark: SparkSession, d: str) -> DataFrame:
-    """A layer from elements to districts: rules, boundary, duplicates, nearest district."""
-    e = elements.elements(raw_elements(spark, d), "element").where(elements.is_bus_stop())
-    p = e.select(F.col("id").alias("place_id"), "x", "y", "rank", F.array(text.name_key(elements.tag("name"))).alias("keys"))
-    boundary = rings(spark, {"city": box_ring((-200.0, -200.0, 200.0, 200.0))})
-    return places.layer(p, rings(spark, {n: box_ring(x) for n, x in GAPS.items()}), boundary, 50.0, ["rank", "place_id"]).select("place_id", "district", "method")
