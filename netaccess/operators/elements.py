@@ -9,9 +9,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from netaccess.functions import text
+from netaccess.operators import overlay, spatial
+from netaccess.operators.lineage import cut
 
 POINT = "struct<x:double,y:double>"
-ELEMENT = f"struct<type:string,id:bigint,lat:double,lon:double,center:struct<lat:double,lon:double>,geometry:array<struct<lat:double,lon:double>>,tags:map<string,string>>"
+LINE = "array<struct<lat:double,lon:double>>"
+ELEMENT = f"struct<type:string,id:bigint,lat:double,lon:double,center:struct<lat:double,lon:double>,geometry:{LINE},tags:map<string,string>,members:array<struct<role:string,geometry:{LINE}>>>"
 
 
 def tag(key: str, tags: str = "tags") -> Column:
@@ -63,6 +66,12 @@ def interior_point(points: Column) -> Column:
     return F.when(F.size(xs) >= 2, F.struct(F.array_max(pairs)["x"].alias("x"), level.alias("y")))
 
 
+def parsed(raw: DataFrame, column: str) -> DataFrame:
+    """JSON text to elements, one for each (type, id): of differing ones the first by its JSON text."""
+    e = raw.select(F.from_json(column, ELEMENT).alias("e"), F.col(column).alias("j")).where("e.type IS NOT NULL AND e.id IS NOT NULL")
+    return e.groupBy("e.type", "e.id").agg(F.min_by("e", "j").alias("e")).select("e.*")
+
+
 def elements(raw: DataFrame, column: str) -> DataFrame:
     """JSON text of one element a row to rows (type, id, tags, kind, method, rank, points, x, y), one for each (type, id).
 
@@ -70,7 +79,7 @@ def elements(raw: DataFrame, column: str) -> DataFrame:
     the last), open_way, relation_center, way_center. Elements without any place go. x and y are the point that stands for the
     element: the node, the middle of a line by length, a point inside a polygon; rank is 0 for polygons, 1 for lines, 2 for points.
     """
-    e = raw.select(F.from_json(column, ELEMENT).alias("e")).select("e.*").where("type IS NOT NULL AND id IS NOT NULL").dropDuplicates(["type", "id"])
+    e = parsed(raw, column).drop("members")
     shape = F.transform("geometry", lambda p: F.struct(p["lon"].alias("x"), p["lat"].alias("y")))
     n = F.coalesce(F.size(F.col("geometry")), F.lit(0))
     n = F.when(F.col("geometry").isNull(), F.lit(0)).otherwise(n)
@@ -148,14 +157,8 @@ def projected(lon: Column, lat: Column, lon0: float, lat0: float) -> tuple[Colum
     return F.when(ok, x).otherwise(bad), F.when(ok, y).otherwise(bad)
 
 
-def rounded(points: Column, digits: int = 5) -> Column:
-    """Coordinates of a line or ring rounded, repeats that this makes dropped."""
-    r = F.transform(points, lambda p: F.struct(F.round(p["x"], digits).alias("x"), F.round(p["y"], digits).alias("y")))
-    return F.filter(r, lambda p, i: (i == 0) | (p != F.get(r, i - 1)))
-
-
 def joined_rings(ways: DataFrame) -> DataFrame:
-    """Ways (relation, role, way_id, points) stitched to rings: (relation, role, ring) for each closed one.
+    """Ways (relation, role, way_id, points) stitched to rings: (relation, role, number, ring) for each closed one.
 
     A ring is made of ways that meet end to end, in any direction, each used once; what does not close is
     left out. One relation is stitched in one task; relations are small by nature.
@@ -177,4 +180,45 @@ def joined_rings(ways: DataFrame) -> DataFrame:
         return pd.DataFrame([(int(first["relation"]), str(first["role"]), json.dumps(out))], columns=["relation", "role", "rings"])
 
     found = ways.select("relation", "role", "way_id", "points").groupBy("relation", "role").applyInPandas(stitch, "relation long, role string, rings string")
-    return found.select("relation", "role", F.explode(F.from_json("rings", f"array<array<{POINT}>>")).alias("ring"))
+    return found.select("relation", "role", F.posexplode(F.from_json("rings", f"array<array<{POINT}>>")).alias("number", "ring"))
+
+
+def _area_names(names: Column) -> Column:
+    """Inside an outer ring and in no inner one."""
+    return F.exists(names, lambda n: n.startswith("outer")) & ~F.exists(names, lambda n: n.startswith("inner"))
+
+
+def relation_outlines(raw: DataFrame, column: str) -> DataFrame:
+    """(layer, x1, y1, x2, y2): outlines of relations as areas, one layer for each relation's id, what is inside on the left.
+
+    Member ways of a role are joined end to end to rings. The area is what the rings of all members but the inner ones cover together, less what
+    the inner ones cover: overlapping parts are one, holes stay open. Relations whose ways close no ring have no row.
+    """
+    members = parsed(raw, column).where("type = 'relation'").select(F.col("id").alias("relation"), F.posexplode("members").alias("way_id", "m"))
+    points = F.transform("m.geometry", lambda p: F.struct(p["lon"].alias("x"), p["lat"].alias("y")))
+    ways = members.where("m.geometry IS NOT NULL AND size(m.geometry) >= 2")
+    role = F.when(F.col("m.role") == "inner", "inner").otherwise("outer")
+    rings = joined_rings(ways.select("relation", role.alias("role"), F.col("way_id").cast("long").alias("way_id"), points.alias("points")))
+    named = rings.select(F.struct("relation", F.concat("role", F.lit(":"), F.col("number").cast("string")).alias("ring_name")).alias("name"), F.col("ring"))
+    sides = spatial.ring_edges(named.withColumn("ring", F.slice("ring", 1, F.size("ring") - 1)))
+    return overlay.outline(overlay.faces(sides.select(F.col("name.relation").alias("layer"), F.col("name.ring_name").alias("name"), "x1", "y1", "x2", "y2")), _area_names)
+
+
+def relation_polygons(raw: DataFrame, column: str) -> DataFrame:
+    """(id, area, outers, holes, x, y) of the relations that form an area; x and y lie inside it, never in a hole."""
+    outline = cut(relation_outlines(raw, column))
+    rings = overlay.linked(outline).groupBy("layer").agg(F.sum("area").alias("area"), F.count_if(F.col("area") > 0).alias("outers"), F.count_if(F.col("area") <= 0).alias("holes"))
+    at = overlay.points_inside(outline.withColumn("name", F.lit("area"))).select("layer", "x", "y")
+    return rings.join(at, "layer").withColumnRenamed("layer", "id")
+
+
+def elements_with_areas(raw: DataFrame, column: str) -> DataFrame:
+    """``elements`` with relations as areas where their members form one (kind polygon, method relation_area, rank 0); the others keep their centre."""
+    areas = relation_polygons(raw, column).select("id", F.lit("relation").alias("type"), F.col("x").alias("ax"), F.col("y").alias("ay"))
+    plain = elements(raw, column)
+    tags = parsed(raw, column).where("type = 'relation'").select("type", "id", "tags")
+    rest = plain.join(areas, ["type", "id"], "left_anti")
+    made = tags.join(areas, ["type", "id"]).select(
+        "type", "id", "tags", F.lit("polygon").alias("kind"), F.lit("relation_area").alias("method"), F.lit(0).alias("rank"), F.lit(None).cast(f"array<{POINT}>").alias("points"), F.col("ax").alias("x"), F.col("ay").alias("y")
+    )
+    return rest.unionByName(made)

@@ -1,7 +1,7 @@
 """Polygons of any shape: lengths and sums inside them, tiling checks, clipped grids. Native expressions, even-odd rule.
 
 Polygons come as sides (name, x1, y1, x2, y2; see ``spatial.ring_edges``); rings of holes are sides like others.
-Sets of polygons are small by nature (districts); points and edges meet them on their bounding boxes.
+Points meet sides in row bands, edges meet them in grid cells, cells of a raster by row and column: equi joins all.
 """
 
 from __future__ import annotations
@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netaccess.operators import spatial
+from netaccess.operators import overlay, spatial
 
 
 def areas(sides: DataFrame) -> DataFrame:
@@ -35,43 +35,73 @@ def window_of(box: DataFrame, x0: float, y0: float, size: float, rows: int, cols
     return box.select(row.alias("row"), col.alias("col"), F.greatest(end_r - row, F.lit(0)).alias("height"), F.greatest(end_c - col, F.lit(0)).alias("width"))
 
 
-def zonal(raster: DataFrame, sides: DataFrame, x0: float, y0: float, size: float) -> DataFrame:
-    """Cells (row, col, value) by the polygon that holds their centre, null values left out: name, cells, total."""
-    centre = raster.where("value IS NOT NULL AND NOT isnan(value)").select(
-        F.struct("row", "col").alias("point_id"), (x0 + (F.col("col") + 0.5) * size).alias("x"), (y0 - (F.col("row") + 0.5) * size).alias("y"), "value"
-    )
-    held = spatial.assign_polygon(centre.drop("value"), sides, 0.0).where("district IS NOT NULL")
-    return held.join(centre.select("point_id", "value"), "point_id").groupBy(F.col("district").alias("name")).agg(F.count("*").alias("cells"), F.sum("value").alias("total"))
+def rasterized(sides: DataFrame, x0: float, y0: float, size: float, rows: int, cols: int) -> DataFrame:
+    """(name, row, col): the cells whose centre each polygon holds, by scanline. Row 0 lies at y0, the top.
+
+    Each side goes to the rows whose middle it crosses; a row's crossings are sorted and paired to stretches of columns, and these
+    become cells. No cell is tested against a polygon. A centre on a side or a vertex counts as held.
+    """
+    x1, y1, x2, y2 = (F.col(c) for c in ("x1", "y1", "x2", "y2"))
+    top, low = F.greatest(y1, y2), F.least(y1, y2)
+    # rows whose middle y0 - (row + 0.5) * size lies in [low, top)
+    first = F.greatest(F.floor((y0 - top) / size - 0.5) + 1, F.lit(0))
+    last = F.least(F.floor((y0 - low) / size - 0.5), F.lit(rows - 1))
+    crossed = sides.where(y1 != y2).withColumn("first", first).withColumn("last", last).where("first <= last").withColumn("row", F.explode(F.sequence("first", "last")))
+    level = F.lit(y0) - (F.col("row") + 0.5) * size
+    at = crossed.select("name", "row", (x1 + (level - y1) * (x2 - x1) / (y2 - y1)).alias("x"))
+    lines = at.groupBy("name", "row").agg(F.sort_array(F.collect_list("x")).alias("xs")).where(F.size("xs") >= 2)
+    spans = lines.withColumn("k", F.explode(F.sequence(F.lit(0), F.size("xs") - 2, F.lit(2))))
+    a, b = F.get("xs", F.col("k")), F.get("xs", F.col("k") + 1)
+    # sides that end at, or lie along, the middle of a row: the half-open rule above leaves these points out
+    ends = sides.withColumn("p", F.explode(F.array(F.struct(y1.alias("y"), x1.alias("a"), F.when(y1 == y2, x2).otherwise(x1).alias("b")), F.struct(y2.alias("y"), x2.alias("a"), x2.alias("b")))))
+    at_row = (y0 - F.col("p.y")) / size - 0.5
+    on = ends.where((at_row == F.floor(at_row)) & (at_row >= 0) & (at_row < rows)).select("name", F.floor(at_row).alias("row"), F.least("p.a", "p.b").alias("a"), F.greatest("p.a", "p.b").alias("b"))
+    every = spans.select("name", "row", a.alias("a"), b.alias("b")).unionByName(on)
+    lo = F.greatest(F.ceil((F.col("a") - x0) / size - 0.5), F.lit(0))
+    hi = F.least(F.floor((F.col("b") - x0) / size - 0.5), F.lit(cols - 1))
+    found = every.select("name", "row", lo.alias("lo"), hi.alias("hi")).where("lo <= hi")
+    return found.select("name", "row", F.explode(F.sequence("lo", "hi")).alias("col")).distinct()
+
+
+def zonal(raster: DataFrame, sides: DataFrame, x0: float, y0: float, size: float, rows: int, cols: int) -> DataFrame:
+    """Cells (row, col, value) by the polygon that holds their centre (the first name), null values left out: name, cells, total."""
+    own = rasterized(sides, x0, y0, size, rows, cols).groupBy("row", "col").agg(F.min("name").alias("name"))
+    known = raster.where("value IS NOT NULL AND NOT isnan(value)")
+    return known.join(own, ["row", "col"]).groupBy("name").agg(F.count("*").alias("cells"), F.sum("value").alias("total"))
 
 
 def inside_parts(edges: DataFrame, sides: DataFrame) -> DataFrame:
     """(edge_id, name, f0, f1, length_m): the stretches of straight edges that lie inside each polygon.
 
-    An edge is cut where it crosses a side; the middle of each piece says whether the piece is inside. An edge along a
-    side counts as inside or outside as a whole. ``edges``: edge_id, x1, y1, x2, y2.
+    An edge is cut where it crosses a side, which it meets in the grid cells that both pass; the middle of each piece says whether the
+    piece is inside, and of an edge that crosses no side of a polygon its own. An edge along a side counts as inside or outside as a whole.
+    ``edges``: edge_id, x1, y1, x2, y2.
     """
-    box = boxes(sides)
-    touch = (F.greatest("x1", "x2") >= F.col("bx1")) & (F.least("x1", "x2") <= F.col("bx2")) & (F.greatest("y1", "y2") >= F.col("by1")) & (F.least("y1", "y2") <= F.col("by2"))
-    near = edges.join(F.broadcast(box), touch).select("edge_id", "name", *[F.col(c).alias("e" + c) for c in ("x1", "y1", "x2", "y2")])
-    s = sides.select("name", *[F.col(c).alias("s" + c) for c in ("x1", "y1", "x2", "y2")])
+    size = max(sides.agg(F.avg(F.greatest(F.abs(F.col("x2") - F.col("x1")), F.abs(F.col("y2") - F.col("y1")))).alias("m")).first()["m"] or 1.0, 1e-6)
+    ends = ("x1", "y1", "x2", "y2")
+    mine = overlay.cells_crossed(edges.select("edge_id", *ends), size).select("edge_id", "gx", "gy", *[F.col(c).alias("e" + c) for c in ends])
+    theirs = overlay.cells_crossed(sides.select("name", *ends), size).select("name", "gx", "gy", *[F.col(c).alias("s" + c) for c in ends])
     dx, dy = F.col("ex2") - F.col("ex1"), F.col("ey2") - F.col("ey1")
     sx, sy = F.col("sx2") - F.col("sx1"), F.col("sy2") - F.col("sy1")
     det = dx * sy - dy * sx
     qx, qy = F.col("sx1") - F.col("ex1"), F.col("sy1") - F.col("ey1")
     safe = F.when(det != 0, det)
     t, u = (qx * sy - qy * sx) / safe, (qx * dy - qy * dx) / safe
-    cut = F.when((t > 0) & (t < 1) & (u >= 0) & (u <= 1), t)
-    cuts = near.join(s, "name").groupBy("edge_id", "name", "ex1", "ey1", "ex2", "ey2").agg(F.collect_set(cut).alias("ts"))
-    ends = F.array_sort(F.array_distinct(F.concat(F.array(F.lit(0.0), F.lit(1.0)), F.col("ts"))))
-    pieces = cuts.withColumn("ends", ends).withColumn("i", F.explode(F.sequence(F.lit(1), F.size("ends") - 1)))
-    pieces = pieces.select("edge_id", "name", "ex1", "ey1", "ex2", "ey2", F.element_at("ends", F.col("i")).alias("f0"), F.element_at("ends", F.col("i") + 1).alias("f1"))
+    crossing = mine.join(theirs, ["gx", "gy"]).where((t > 0) & (t < 1) & (u >= 0) & (u <= 1))
+    cuts = crossing.groupBy("edge_id", "name").agg(F.collect_set(t).alias("ts"))
+    line = edges.select("edge_id", *ends)
+    stops = F.array_sort(F.array_distinct(F.concat(F.array(F.lit(0.0), F.lit(1.0)), F.col("ts"))))
+    pieces = line.join(cuts, "edge_id").withColumn("ends", stops).withColumn("i", F.explode(F.sequence(F.lit(1), F.size("ends") - 1)))
+    pieces = pieces.select("edge_id", "name", *ends, F.element_at("ends", F.col("i")).alias("f0"), F.element_at("ends", F.col("i") + 1).alias("f1"))
+    at = lambda a, b, f: F.col(a) + f * (F.col(b) - F.col(a))
     mid = (F.col("f0") + F.col("f1")) / 2
-    px, py = F.col("ex1") + mid * dx, F.col("ey1") + mid * dy
-    # a horizontal ray from the middle of the piece
-    cross = ((F.col("sy1") > py) != (F.col("sy2") > py)) & (px < F.col("sx1") + (py - F.col("sy1")) * sx / F.when(sy != 0, sy).otherwise(F.lit(1.0)))
-    keys = ["edge_id", "name", "ex1", "ey1", "ex2", "ey2", "f0", "f1"]
-    held = pieces.join(s, "name").groupBy(*keys).agg((F.count_if(cross) % 2 == 1).alias("inside")).where("inside")
-    return held.select("edge_id", "name", "f0", "f1", ((F.col("f1") - F.col("f0")) * F.sqrt(dx * dx + dy * dy)).alias("length_m"))
+    probe = lambda df, *k: df.select(F.struct("edge_id", *k).alias("point_id"), *[c for c in ("name",) if c in df.columns], at("x1", "x2", mid).alias("x"), at("y1", "y2", mid).alias("y"))
+    cut_in = spatial.held_by(probe(pieces, "f0", "f1"), sides, on=["name"]).where("inside").select("point_id.*", "name")
+    every = line.withColumn("f0", F.lit(0.0)).withColumn("f1", F.lit(1.0))
+    whole_in = spatial.held_by(probe(every, "f0", "f1"), sides).where("inside").select("point_id.*", "name").join(cuts.select("edge_id", "name"), ["edge_id", "name"], "left_anti")
+    held = cut_in.unionByName(whole_in)
+    length = F.sqrt((F.col("x2") - F.col("x1")) ** 2 + (F.col("y2") - F.col("y1")) ** 2)
+    return held.join(line.select("edge_id", length.alias("len")), "edge_id").select("edge_id", "name", "f0", "f1", ((F.col("f1") - F.col("f0")) * F.col("len")).alias("length_m"))
 
 
 def lengths(parts: DataFrame) -> DataFrame:

@@ -104,24 +104,36 @@ def ring_edges(polygons: DataFrame) -> DataFrame:
     return sides.select("name", F.col("s.a.x").alias("x1"), F.col("s.a.y").alias("y1"), F.col("s.b.x").alias("x2"), F.col("s.b.y").alias("y2"))
 
 
-def assign_polygon(points: DataFrame, sides: DataFrame, tolerance: float = 1e-3) -> DataFrame:
-    """The polygon of each point: within (exactly one), boundary_tie (several, or within the tolerance of one's side; the first name), else outside.
+def band_height(sides: DataFrame) -> float:
+    """Height of row bands in which a side lies in few: about its mean height."""
+    return max(sides.agg(F.avg(F.abs(F.col("y2") - F.col("y1"))).alias("h")).first()["h"] or 0.0, 1e-6)
+
+
+def held_by(points: DataFrame, sides: DataFrame, tolerance: float = 0.0, on: list[str] | None = None) -> DataFrame:
+    """(point_id, name, inside, edge) of the polygons around each point: inside by the even-odd rule, edge within the tolerance of a side.
 
-    ``sides`` come from a set of polygons that is small by nature (districts); the join is on their
-    bounding boxes, then ray casting, summed by point and polygon.
+    Points meet the sides of their row band, by equality (and by ``on``, such as the name): a ray to the right crosses no others. No
+    boxes are compared and nothing is broadcast; work follows the sides of a band. Pairs with neither are left out.
     """
     px, py = F.col("x"), F.col("y")
     x1, y1, x2, y2 = (F.col(c) for c in ("x1", "y1", "x2", "y2"))
+    size, e, keys = band_height(sides), tolerance, on or []
     cross = ((y1 > py) != (y2 > py)) & (px < x1 + (py - y1) * (x2 - x1) / F.when(y2 != y1, y2 - y1).otherwise(F.lit(1.0)))
     l2 = (x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1)
     t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((px - x1) * (x2 - x1) + (py - y1) * (y2 - y1)) / F.when(l2 > 0, l2).otherwise(F.lit(1.0))))
     gap = F.sqrt((px - x1 - t * (x2 - x1)) ** 2 + (py - y1 - t * (y2 - y1)) ** 2)
-    box = sides.groupBy("name").agg(F.min(F.least("x1", "x2")).alias("bx1"), F.min(F.least("y1", "y2")).alias("by1"), F.max(F.greatest("x1", "x2")).alias("bx2"), F.max(F.greatest("y1", "y2")).alias("by2"))
-    e = tolerance
-    near = points.join(box, (px >= F.col("bx1") - e) & (px <= F.col("bx2") + e) & (py >= F.col("by1") - e) & (py <= F.col("by2") + e))
-    test = near.select("point_id", "name", "x", "y").join(sides, "name")
-    per = test.groupBy("point_id", "name").agg((F.count_if(cross) % 2 == 1).alias("inside"), (F.min(gap) <= e).alias("edge"))
-    per = per.where("inside OR edge")
+    band = F.sequence(F.floor((F.least(y1, y2) - e) / size), F.floor((F.greatest(y1, y2) + e) / size))
+    rows = sides.select("name", "x1", "y1", "x2", "y2").withColumn("band", F.explode(band))
+    ours = points.select("point_id", *keys, "x", "y").where(px.isNotNull() & py.isNotNull() & ~F.isnan(px) & ~F.isnan(py)).withColumn("band", F.floor(py / size))
+    met = ours.join(rows, ["band", *keys]).where(px <= F.greatest(x1, x2) + e)
+    met = met.select("point_id", "name", cross.alias("c"), (gap <= e).alias("g")).where("c OR g")
+    per = met.groupBy("point_id", "name").agg((F.count_if("c") % 2 == 1).alias("inside"), F.max("g").alias("edge"))
+    return per.where("inside OR edge")
+
+
+def assign_polygon(points: DataFrame, sides: DataFrame, tolerance: float = 1e-3) -> DataFrame:
+    """The polygon of each point: within (exactly one), boundary_tie (several, or within the tolerance of one's side; the first name), else outside."""
+    per = held_by(points, sides, tolerance)
     got = per.groupBy("point_id").agg(F.count_if(F.col("inside") & ~F.col("edge")).alias("n_in"), F.count("*").alias("n"), F.min("name").alias("first"))
     out = points.select("point_id").join(got, "point_id", "left")
     method = F.when(F.col("n").isNull(), "outside").when((F.col("n") == 1) & (F.col("n_in") == 1), "within").otherwise("boundary_tie")

@@ -152,7 +152,7 @@ h AS (SELECT row, col, value, name, min((x2 - x1) * (y - y1) - (y2 - y1) * (x -
 SELECT name, count(*) AS cells, CAST(sum(value) AS DOUBLE) AS total FROM f GROUP BY name""")
 def zonal_sums(spark: SparkSession, d: str) -> DataFrame:
     """A raster's cells by the polygon that holds their centre, nodata left out."""
-    return shapes.zonal(raster(spark, d), rings(spark, CONVEX), -250.0, 250.0, 20.0)
+    return shapes.zonal(raster(spark, d), rings(spark, CONVEX), -250.0, 250.0, 20.0, 25, 25)
 
 
 @query(f"""WITH {PTS}, bx AS (SELECT min(e3) AS x1, min(e4) AS y1, max(e3) AS x2, max(e4) AS y2 FROM pts WHERE label = 3)
