@@ -4,9 +4,11 @@
 2. Benchmark items are cut into passages; a randomised SVD of their TF-IDF matrix, computed over the
    passages' partitions, gives latent axes, for each block of items its own.
 3. Every document is cut into overlapping passages, each projected on the axes and compared with all item
-   passages by cosine (with the full TF-IDF norm of the document's passage). Passages whose projection is
-   too short to reach the threshold are left out beforehand, which loses nothing.
-4. The cosine alone would miss short copies, edited ones and items that the axes represent poorly. So the
+   passages by cosine (with the full TF-IDF norms of both passages). A passage that the axes hold in part only
+   reaches no more than that part, so its threshold is a share of it. Passages whose projection is
+   too short to reach any threshold are left out beforehand, which loses nothing. What this search alone finds are copies
+   stretched by words put in between.
+4. Short and heavily cut copies share too little with a passage of fixed length. So the
    words are counted too: a copy has 60 % of the item's words, hence most of its rare ones. Texts with enough
    of them are looked through for windows of the item's own length (and half of it for insertions) that have
    enough of all its words. Every copy within such a window is a candidate, whatever the axes, the weights
@@ -14,7 +16,7 @@
 5. Candidates are checked on words: the longest common subsequence of the item and the document around the
    passage, and that of the item's answer (what follows a word for it, else the last sentence). So edited
    copies count, shared words do not. Items of fewer than ``LEAST_WORDS`` words have too little to compare:
-   they are found where their words stand in a row.
+   they are found where their words stand in a row. Each result says which search found it.
 
 The documents are read twice, and nothing of them is shuffled but the result. Items are worked on in blocks of
 at most about ``ITEMS`` items and ``PASSAGES`` passages; one reading searches all blocks, or ``AT_ONCE`` of them
@@ -37,13 +39,15 @@ from netaccess.llm.common import Scratch, bounded_batches, chunks
 #: Words of half a passage (passages are two halves and overlap by one), step between an item's passages.
 HALF, STEP = 12, 6
 #: Latent axes, extra random directions, power iterations, items at a time.
-AXES, EXTRA, POWERS, ITEMS = 128, 16, 2, 200
-#: Blocks that one reading of the documents searches: about 4 MB of vectors each.
-AT_ONCE = 24
+AXES, EXTRA, POWERS, ITEMS = 256, 16, 2, 200
+#: Blocks that one reading of the documents searches: about 5 MB of vectors each.
+AT_ONCE = 16
 #: Passages of a block's items, about: longer items make smaller blocks, so that the axes suffice.
 PASSAGES = 1_600
 #: Share of an item's words, the rarest first, by which texts are chosen for the look through their windows.
 RAREST = 0.8
+#: Part of what the axes hold of an item's passage that a candidate must reach, where that is less than ``COSINE``.
+HELD = 0.5
 #: Least cosine of a candidate; least share of an item's words in common order, alone or with the answer.
 COSINE, ALONE, WITH_ANSWER, ANSWER = 0.3, 0.75, 0.6, 0.75
 #: Items with fewer words are found as whole sequences of words only.
@@ -191,6 +195,9 @@ class Searcher:
         rows = np.array([self.vectors[p].sum(0) for _, p in parts]).reshape(len(parts), self.vectors.shape[1])
         norms = np.array([np.sqrt(self.square[p].sum()) for _, p in parts]).reshape(-1)
         self.parts = (rows / np.maximum(norms, 1e-9)[:, None]).astype(np.float32).T
+        held = (self.parts * self.parts).sum(0)
+        # items that are found as whole sequences have an empty passage, which nothing is near to
+        self.least = np.where(held > 0, np.minimum(COSINE, HELD * held), np.inf)
         self._index(idf)
 
     def _index(self, idf: np.ndarray) -> None:
@@ -278,7 +285,8 @@ class Searcher:
         inside = self.length[flat].reshape(-1, HALF).sum(1)
         square = self.square[flat].reshape(-1, HALF).sum(1)
         norms = np.maximum(np.sqrt(square[:-1] + square[1:]), 1e-9)
-        able = np.flatnonzero(inside[:-1] + inside[1:] >= COSINE * norms)
+        lowest = float(self.least.min())
+        able = np.flatnonzero(inside[:-1] + inside[1:] >= lowest * norms)
         where = np.zeros(len(square), dtype=np.int64)
         for lo in range(0, len(able), 1024):
             mine = able[lo : lo + 1024]
@@ -288,13 +296,13 @@ class Searcher:
             sums = np.einsum("hwk->hk", self.vectors[part])
             x = sums[where[mine]] + sums[where[mine + 1]]
             norm = norms[mine]
-            long = np.flatnonzero((x * x).sum(1) >= (COSINE * norm) ** 2)
+            long = np.flatnonzero((x * x).sum(1) >= (lowest * norm) ** 2)
             if not len(long):
                 continue
             x, norm, mine = x[long], norm[long], mine[long]
             for c in range(0, self.parts.shape[1], 4096):
                 cos = (x @ self.parts[:, c : c + 4096]) / norm[:, None]
-                for a, p in zip(*np.nonzero(cos >= COSINE), strict=True):
+                for a, p in zip(*np.nonzero(cos >= self.least[c : c + 4096]), strict=True):
                     h = int(mine[a])
                     d, item = int(doc_of[h]), int(self.owner[c + p])
                     n, s = len(self.items[item]), (h - int(first[d])) * HALF
@@ -308,7 +316,7 @@ class Searcher:
         return regions
 
     def search(self, everywhere: list[np.ndarray], place: np.ndarray) -> list[tuple]:
-        """(text, item id, cosine, share of the item's words, share of the answer's) of contaminated texts.
+        """(text, item id, cosine, share of the item's words, share of the answer's, found by) of contaminated texts.
 
         ``everywhere`` are the texts as numbers of the whole vocabulary, ``place`` those of this block.
         """
@@ -316,7 +324,7 @@ class Searcher:
         has = np.zeros((len(numbers), len(self.vectors)), dtype=bool)
         for d, x in enumerate(numbers):
             has[d, x] = True
-        out = [(d, self.ids[i], 1.0, 1.0, 1.0) for d, i in self.sequences(numbers, has)]
+        out = [(d, self.ids[i], 1.0, 1.0, 1.0, "sequence") for d, i in self.sequences(numbers, has)]
         windows: dict[tuple[int, int], list[tuple[int, int]]] = {}
         for d, item, s, e in self.windows(numbers, has):
             windows.setdefault((d, item), []).append((s, e))
@@ -325,7 +333,7 @@ class Searcher:
         for d, item in sorted({*regions, *windows}):
             words = self.items[item]
             answer = words[-self.answers[item] :]
-            found = (0.0, 0.0)
+            found = latent = (0.0, 0.0)
             for s, e in windows.get((d, item), ()):
                 near = numbers[d][s:e].tolist()
                 share = common_subsequence(words, near) / len(words)
@@ -346,10 +354,10 @@ class Searcher:
                     near = piece.tolist()
                     share = common_subsequence(words, near) / len(words)
                     tail = common_subsequence(answer, near) / len(answer) if share >= WITH_ANSWER else 0.0
-                    found = max(found, (share, tail))
-            share, tail = found
-            if share >= ALONE or share >= WITH_ANSWER and tail >= ANSWER:
-                out.append((d, self.ids[item], best[d, item], share, tail))
+                    latent = max(latent, (share, tail))
+            by = [name for name, (share, tail) in (("windows", found), ("latent", latent)) if share >= ALONE or share >= WITH_ANSWER and tail >= ANSWER]
+            if by:
+                out.append((d, self.ids[item], best[d, item], *max(found, latent), "+".join(by)))
         return out
 
     def _enough(self, piece: np.ndarray, item: int) -> bool:
@@ -422,15 +430,15 @@ def _pieces(batches: Iterator[pd.DataFrame], key) -> Iterator[tuple[list, list]]
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", block: int = ITEMS, at_once: int = AT_ONCE) -> DataFrame:
-    """One row for each document and item that it holds: doc_id, item_id, cosine, words, answer.
+    """One row for each document and item that it holds: doc_id, item_id, cosine, words, answer, found_by.
 
-    words and answer are the shares of the item's words, and of its answer's, that the document has in
+    found_by is windows, latent, both (windows+latent) or sequence. words and answer are the shares of the item's words, and of its answer's, that the document has in
     order near the passage. Items with a null text or without words are never found; items of fewer than
     ``LEAST_WORDS`` words where these stand in a row; of items with equal texts each is reported. Documents
     with a null text hold nothing; repeated rows are reported each; an empty table gives no rows.
     """
     bounded_batches(docs)
-    schema = f"doc_id {dict(docs.dtypes)[doc_id]}, item_id {dict(benchmark.dtypes)[item_id]}, cosine double, words double, answer double"
+    schema = f"doc_id {dict(docs.dtypes)[doc_id]}, item_id {dict(benchmark.dtypes)[item_id]}, cosine double, words double, answer double, found_by string"
     out = docs.sparkSession.createDataFrame([], schema)
     texts = docs.where(F.col(f"`{text}`").isNotNull()).select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("t"))
     for search in searches(texts.select("t"), benchmark, item_id, item_text, block, at_once):
@@ -440,10 +448,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
             for hit in search(_pieces(batches, lambda p: p["id"].tolist())):
                 hits.append(hit)
                 if len(hits) == 1000:
-                    yield pd.DataFrame(hits, columns=["doc_id", "item_id", "cosine", "words", "answer"])
+                    yield pd.DataFrame(hits, columns=["doc_id", "item_id", "cosine", "words", "answer", "found_by"])
                     hits = []
             if hits:
-                yield pd.DataFrame(hits, columns=["doc_id", "item_id", "cosine", "words", "answer"])
+                yield pd.DataFrame(hits, columns=["doc_id", "item_id", "cosine", "words", "answer", "found_by"])
 
         out = out.unionByName(texts.mapInPandas(find, schema))
     return out
@@ -473,8 +481,5 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
     texts = docs.where(F.col(f"`{text}`").isNotNull()).select(F.col(f"`{text}`").alias("t"))
     for i, search in enumerate(searches(texts, benchmark, item_id, item_text, block, at_once)):
         # written between readings: one worker holds one search
-        before = docs
         docs = (scratch.keep(docs) if i else docs).where(_clean(search)(F.col(f"`{text}`")))
-        if i > 1:
-            scratch.drop(before)
     return docs

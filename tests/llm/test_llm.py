@@ -876,8 +876,24 @@ def test_op10_equals_an_exhaustive_search(spark):
                 if share >= decontaminate.ALONE or share >= decontaminate.WITH_ANSWER and decontaminate.common_subsequence(ws[-a:], near) / a >= decontaminate.ANSWER:
                     want.add((r["doc_id"], i))
                     break
-    got = {(r["doc_id"], r["item_id"]) for r in queries.op10_decontaminate(spark, sf).collect()}
-    assert want and len(want & got) >= 0.9 * len(want) and len(got - want) <= 0.1 * len(want)
+    rows = queries.op10_decontaminate(spark, sf).collect()
+    assert want and {(r["doc_id"], r["item_id"]) for r in rows} == want
+
+
+def test_latent_search_by_itself(spark):
+    """It finds nine of ten of all pairs without the windows' help, and stretched copies that no window holds."""
+    from netaccess.llm import queries
+
+    rows = queries.op10_decontaminate(spark, "/root/testdata/sf0.01").collect()
+    long = [r for r in rows if r["found_by"] != "sequence"]
+    assert long and sum("latent" in r["found_by"] for r in long) >= 0.9 * len(long)
+    rng = random.Random(21)
+    words = [f"w{i}" for i in range(6000)]
+    items = [(i, " ".join(rng.choices(words, k=36))) for i in range(60)]
+    stretched = lambda t: " ".join(f"{w} {rng.choice(['and', 'the', 'so'])} |" for w in t.split())
+    d = docs_of(spark, [(i, " ".join([prose(rng, 60), stretched(items[i][1]), prose(rng, 60)]), None, None) for i in range(20)] + [(100 + i, prose(rng, 200), None, None) for i in range(80)])
+    got = {(r["doc_id"], r["item_id"]): r["found_by"] for r in decontaminate.contaminated(d, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert set(got) == {(i, i) for i in range(20)} and set(got.values()) == {"latent"}
 
 
 def test_decontaminate_judges_rows_not_ids(spark):
