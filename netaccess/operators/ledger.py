@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from netaccess.operators.quantiles import exact_quantiles
+
 
 def strict_pct(part: Column, whole: Column) -> Column:
     """Percent of a whole that must be positive: raises otherwise."""
@@ -81,7 +83,8 @@ def search(places: DataFrame, query: str, limit: int = 12) -> DataFrame:
 
 def colour_cap(df: DataFrame, value: str, share: float = 0.98) -> DataFrame:
     """The linear-interpolated quantile that a colour scale ends at; 1 for an empty table."""
-    return df.agg(F.coalesce(F.percentile(value, F.lit(share)), F.lit(1.0)).alias("cap"))
+    found = exact_quantiles(df, value, [share], []).select(F.col("q")[0].alias("cap"))
+    return found.groupBy().agg(F.coalesce(F.max("cap"), F.lit(1.0)).alias("cap"))
 
 
 def year_gaps(df: DataFrame, keys: list[str], year: str = "year") -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from netaccess.operators.lineage import cut
+from netaccess.operators.quantiles import exact_quantiles
 
 #: Positions on an edge closer than this are one, in metres.
 EPSILON = 1e-6
@@ -72,14 +73,6 @@ def backing_histogram(edges: DataFrame) -> DataFrame:
     return edges.groupBy("records").agg(F.count("*").alias("edges"))
 
 
-def cost_ratios(edges: DataFrame, lines: DataFrame) -> DataFrame:
-    """Smallest, median and largest ratio of an edge's cost to the straight distance of its ends; edges of no length left out."""
-    d = F.sqrt((F.col("x2") - F.col("x1")) ** 2 + (F.col("y2") - F.col("y1")) ** 2)
-    r = F.when(d > 0, F.col("cost_m") / d)
-    at = lines.select("edge_id", "x1", "y1", "x2", "y2")
-    return edges.select("edge_id", "cost_m").join(at, "edge_id").agg(F.round(F.min(r), 6).alias("lo"), F.round(F.percentile(r, F.lit(0.5)), 6).alias("median"), F.round(F.max(r), 6).alias("hi"))
-
-
 def spliced_xy(spliced: DataFrame, lines: DataFrame) -> DataFrame:
     """(mode, node, x, y) of the nodes that splicing adds, interpolated along their straight edges."""
     new = spliced.where("fraction > 0 AND fraction < 1").select("mode", "edge_id", "node", "fraction").distinct()
@@ -102,10 +95,11 @@ def network_stats(edges: DataFrame, budget: float) -> DataFrame:
     pairs = edges.groupBy("u", "v").agg(F.count("*").alias("m"))
     a = edges.agg(
         F.count("*").alias("edges"), F.sum("records").alias("records"), F.count_if(F.col("u") == F.col("v")).alias("loops"), F.count_if(F.col("records") > 1).alias("merged"),
-        F.round(F.min("cost_m"), 4).alias("min_cost"), F.round(F.percentile("cost_m", F.lit(0.5)), 4).alias("median_cost"), F.round(F.max("cost_m"), 4).alias("max_cost"), F.count_if(F.col("cost_m") > budget).alias("over_budget"),
+        F.round(F.min("cost_m"), 4).alias("min_cost"), F.round(F.max("cost_m"), 4).alias("max_cost"), F.count_if(F.col("cost_m") > budget).alias("over_budget"),
     )
     b = pairs.agg(F.count("*").alias("pairs"), F.count_if(F.col("m") > 1).alias("parallel_pairs"), F.max("m").alias("most_parallel"))
-    return a.crossJoin(F.broadcast(b))  # one row each
+    median = exact_quantiles(edges, "cost_m", [0.5], []).select(F.round(F.col("q")[0], 4).alias("median_cost"))
+    return a.crossJoin(F.broadcast(b)).join(F.broadcast(median), how="left")  # one row each
 
 
 def splice(edges: DataFrame, snaps: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from netaccess.operators import overlay
 from netaccess.operators.lineage import cut
 
 
@@ -18,9 +19,11 @@ def _cells(lo, hi, size: float):
     return F.sequence(F.floor(lo / size), F.floor(hi / size))
 
 
-def _ring_search(points: DataFrame, things: DataFrame, box: list, measure: list, best: list, size: float) -> DataFrame:
+def _ring_search(points: DataFrame, things: DataFrame, box: list, measure: list, best: list, size: float, tiled=None) -> DataFrame:
     """For each point the first of ``best`` (ordering struct) among things; ``measure`` are its columns.
 
+    ``tiled`` puts things into the grid cells (gx, gy) of a size that they pass, all cells of their box unless given.
+
     Points and things are written once. The first cells are sized so that about one thing lies in each (``size`` at least),
     and every round meets nine cells around the point; what is nearer than a cell is decided, the rest goes on with cells four
     times as wide, until one cell holds everything. Points or things without finite coordinates take no part.
@@ -39,8 +42,10 @@ def _ring_search(points: DataFrame, things: DataFrame, box: list, measure: list,
     whole = max(facts["x2"], reach["x2"]) - min(facts["x1"], reach["x1"]) + max(facts["y2"], reach["y2"]) - min(facts["y1"], reach["y1"])
     out = None
     while True:
-        gx, gy = _cells(box[0], box[2], step), _cells(box[1], box[3], step)
-        tiles = things.withColumn("gx", F.explode(gx)).withColumn("gy", F.explode(gy))
+        if tiled:
+            tiles = tiled(things, step)
+        else:
+            tiles = things.withColumn("gx", F.explode(_cells(box[0], box[2], step))).withColumn("gy", F.explode(_cells(box[1], box[3], step)))
         mine = left.withColumn("gx", F.explode(F.sequence(F.floor(F.col("px") / step) - 1, F.floor(F.col("px") / step) + 1)))
         mine = mine.withColumn("gy", F.explode(F.sequence(F.floor(F.col("py") / step) - 1, F.floor(F.col("py") / step) + 1)))
         pairs = mine.join(tiles, ["gx", "gy"]).select("point_id", *measure)
@@ -59,9 +64,10 @@ def _ring_search(points: DataFrame, things: DataFrame, box: list, measure: list,
 def snap_to_edges(points: DataFrame, segments: DataFrame, size: float = 25.0) -> DataFrame:
     """Nearest edge of each point: edge_id, connector_m, fraction, cost_to_u, cost_to_v, sx, sy.
 
-    ``points``: point_id, x, y. ``segments``: edge_id, cost_m, x1, y1, x2, y2 (straight edges). The nearest
+    ``points``: point_id, x, y. ``segments``: edge_id, cost_m, x1, y1, x2, y2 (straight edges), and from_f, to_f where they are
+    parts of bent ones (see ``lines.parts``). The nearest
     point of an edge is found by projection; an edge of no length has fraction 0; of equally near edges
-    the smaller id counts. No edges or no points: no rows.
+    the smaller id counts, of equally near places on it the first. No edges or no points: no rows.
     """
     p = points.select("point_id", F.col("x").alias("px"), F.col("y").alias("py"))
     segments = segments.where("x1 IS NOT NULL AND y1 IS NOT NULL AND x2 IS NOT NULL AND y2 IS NOT NULL")
@@ -74,8 +80,9 @@ def snap_to_edges(points: DataFrame, segments: DataFrame, size: float = 25.0) ->
     qx, qy = x1 + t * dx, y1 + t * dy
     d = F.sqrt((px - qx) * (px - qx) + (py - qy) * (py - qy))
     box = [F.least("x1", "x2"), F.least("y1", "y2"), F.greatest("x1", "x2"), F.greatest("y1", "y2")]
-    measure = [F.col("edge_id"), d.alias("d"), t.alias("t"), F.col("cost_m"), qx.alias("sx"), qy.alias("sy")]
-    got = _ring_search(p, segments, box, measure, ["d", "edge_id"], size)
+    f = F.col("from_f") + t * (F.col("to_f") - F.col("from_f")) if "from_f" in segments.columns else t
+    measure = [F.col("edge_id"), d.alias("d"), f.alias("t"), F.col("cost_m"), qx.alias("sx"), qy.alias("sy")]
+    got = _ring_search(p, segments, box, measure, ["d", "edge_id", "t"], size, overlay.cells_crossed)
     return got.select("point_id", "edge_id", F.col("d").alias("connector_m"), F.col("t").alias("fraction"), (F.col("t") * F.col("cost_m")).alias("cost_to_u"), ((1 - F.col("t")) * F.col("cost_m")).alias("cost_to_v"), "sx", "sy")
 
 

@@ -28,6 +28,18 @@ def source_states(opened: DataFrame) -> DataFrame:
     return states.select(F.concat(F.lit("state_"), F.size("ids")).alias("state_id"), F.size("ids").alias("stations"), "ids", "years", digest.alias("digest"))
 
 
+def lost_between_years(opened: DataFrame) -> DataFrame:
+    """(year, stations, lost) of years that lack stations of the year before; ``opened`` as of ``open_in``.
+
+    Stations are compared one by one across years, by equality; no year's stations are gathered in one row.
+    """
+    counts = opened.groupBy("year").agg(F.count_distinct("station_id").cast("int").alias("stations"))
+    before = counts.select("year", F.lag("year").over(Window.orderBy("year")).alias("before"))  # a row for each year
+    was = opened.select(F.col("year").alias("before"), "station_id").distinct().join(F.broadcast(before.where("before IS NOT NULL")), "before")
+    gone = was.join(opened.select("year", "station_id"), ["year", "station_id"], "left_anti")
+    return gone.groupBy("year").agg(F.count("*").cast("int").alias("lost")).join(counts, "year").select("year", "stations", "lost")
+
+
 def colliding_states(states: DataFrame) -> DataFrame:
     return states.groupBy("state_id").count().where("count > 1")
 

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netaccess.operators import elements, overlay, spatial
+from netaccess.operators import elements, lines, overlay, spatial
 from netaccess.operators.lineage import cut
 from netaccess.plans import bindings as b
+from netaccess.plans.bindings import NETWORK, ROUTES, SNAP
 from netaccess.plans.catalogue import query
 from netaccess.plans.catalogue_more import PTS
 
@@ -79,3 +80,72 @@ def relation_polygons(spark: SparkSession, d: str) -> DataFrame:
     """Relations as areas with holes and several parts, and a point inside each."""
     got = elements.relation_polygons(raw_relations(spark, d), "element")
     return got.select("id", F.round("area", 4).alias("area"), "outers", "holes", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"))
+
+
+# --- bent lines
+
+#: Every edge with a bend half way, and its two straight parts.
+BENT = """bl AS (SELECT edge_id, cost_m, p.e1 AS x1, p.e2 AS y1, (p.e1 + q.e1) / 2 + p.e5 / 10 AS xm, (p.e2 + q.e2) / 2 + q.e6 / 10 AS ym, q.e1 AS x2, q.e2 AS y2 FROM edges JOIN pts p ON p.vec_id = u JOIN pts q ON q.vec_id = v),
+ln AS (SELECT *, sqrt((xm - x1) * (xm - x1) + (ym - y1) * (ym - y1)) AS l1, sqrt((x2 - xm) * (x2 - xm) + (y2 - ym) * (y2 - ym)) AS l2 FROM bl),
+prt AS (SELECT edge_id, cost_m, x1 AS ax, y1 AS ay, xm AS bx, ym AS by_, 0.0::DOUBLE AS f0, l1 / (l1 + l2) AS f1 FROM ln UNION ALL SELECT edge_id, cost_m, xm, ym, x2, y2, l1 / (l1 + l2), 1.0::DOUBLE FROM ln)"""
+
+
+def bent_lines(spark: SparkSession, d: str) -> DataFrame:
+    p = b.points(spark, d)
+    at = lambda k, n: p.select(F.col("vec_id").alias(k), *[F.col(c).alias(f"{n}{c}") for c in ("e1", "e2", "e5", "e6")])
+    e = b.edges(spark, d).join(at("u", "p"), "u").join(at("v", "q"), "v")
+    point = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
+    bend = point((F.col("pe1") + F.col("qe1")) / 2 + F.col("pe5") / 10, (F.col("pe2") + F.col("qe2")) / 2 + F.col("qe6") / 10)
+    return e.select("edge_id", "cost_m", F.array(point(F.col("pe1"), F.col("pe2")), bend, point(F.col("qe1"), F.col("qe2"))).alias("points"))
+
+
+@query(f"""WITH {NETWORK}, {BENT}, pr AS (SELECT vec_id, e3 AS x, e4 AS y, edge_id, cost_m, ax, ay, bx, by_, f0, f1, greatest(0, least(1, ((e3 - ax) * (bx - ax) + (e4 - ay) * (by_ - ay)) / ((bx - ax) * (bx - ax) + (by_ - ay) * (by_ - ay)))) AS t FROM pts CROSS JOIN prt),
+ds AS (SELECT vec_id, edge_id, cost_m, f0 + t * (f1 - f0) AS f, sqrt((x - ax - t * (bx - ax)) * (x - ax - t * (bx - ax)) + (y - ay - t * (by_ - ay)) * (y - ay - t * (by_ - ay))) AS dd, ax + t * (bx - ax) AS sx, ay + t * (by_ - ay) AS sy FROM pr)
+SELECT vec_id, edge_id, round(dd, 4) AS connector_m, round(f, 6) AS fraction, round(f * cost_m, 4) AS cost_to_u, round(sx, 4) AS sx, round(sy, 4) AS sy FROM ds QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY dd, edge_id, f) = 1""")
+def bent_snap(spark: SparkSession, d: str) -> DataFrame:
+    """The nearest place on streets with bends: edge, distance, and how far along the edge it lies."""
+    p = b.points(spark, d).select(F.col("vec_id").alias("point_id"), F.col("e3").alias("x"), F.col("e4").alias("y"))
+    got = lines.snap(p, cut(bent_lines(spark, d)))
+    r = lambda c, n: F.round(c, n).alias(c)
+    return got.select(F.col("point_id").alias("vec_id"), "edge_id", r("connector_m", 4), r("fraction", 6), r("cost_to_u", 4), r("sx", 4), r("sy", 4))
+
+
+@query(f"""WITH {NETWORK}, {BENT}, av AS (SELECT edge_id, f, ax + (f - f0) / (f1 - f0) * (bx - ax) AS x, ay + (f - f0) / (f1 - f0) * (by_ - ay) AS y FROM prt, (VALUES (0.3::DOUBLE), (0.8::DOUBLE)) v(f) WHERE f > f0 AND f <= f1)
+SELECT ln.edge_id, CAST(2 + CAST(l1 / (l1 + l2) > 0.3 AND l1 / (l1 + l2) < 0.8 AS INTEGER) AS INTEGER) AS vertices, round(0.5 * (l1 + l2), 4) AS length_m, round(a.x, 4) AS x1, round(a.y, 4) AS y1, round(z.x, 4) AS x2, round(z.y, 4) AS y2
+FROM ln JOIN av a ON a.edge_id = ln.edge_id AND a.f = 0.3::DOUBLE JOIN av z ON z.edge_id = ln.edge_id AND z.f = 0.8::DOUBLE""")
+def bent_cuts(spark: SparkSession, d: str) -> DataFrame:
+    """Every street from 0.3 to 0.8 of its length, its bend included where it lies between."""
+    whole = cut(bent_lines(spark, d))
+    got = lines.sublines(whole, whole.select("edge_id", F.lit(0.3).alias("f0"), F.lit(0.8).alias("f1")))
+    end = lambda i, c: F.round(F.element_at("points", i)[c], 4)
+    return got.select("edge_id", F.size("points").alias("vertices"), F.round("length_m", 4).alias("length_m"), end(1, "x").alias("x1"), end(1, "y").alias("y1"), end(-1, "x").alias("x2"), end(-1, "y").alias("y2"))
+
+
+#: Segments with the distances of their ends, as service_area_segments has them; what is within 150 m; cells and samples around it.
+REACHABLE = """brk AS (SELECT m.mode, e.edge_id, 0.0::DOUBLE AS f, coalesce(d, 'inf'::DOUBLE) AS d FROM edges e CROSS JOIN (VALUES ('metro'), ('bus')) m(mode) LEFT JOIN reach r ON r.mode = m.mode AND r.node = u
+UNION ALL SELECT m.mode, e.edge_id, 1.0::DOUBLE, coalesce(d, 'inf'::DOUBLE) FROM edges e CROSS JOIN (VALUES ('metro'), ('bus')) m(mode) LEFT JOIN reach r ON r.mode = m.mode AND r.node = v
+UNION ALL SELECT c.kind, c.edge_id, c.f, least(coalesce(du.d, 'inf'::DOUBLE) + c.f * c.cost_m, coalesce(dv.d, 'inf'::DOUBLE) + (1 - c.f) * c.cost_m, (SELECT min(s.connector_m + abs(c.f - s.f) * c.cost_m) FROM snap s WHERE s.kind = c.kind AND s.edge_id = c.edge_id))
+  FROM snap c LEFT JOIN reach du ON du.mode = c.kind AND du.node = c.u LEFT JOIN reach dv ON dv.mode = c.kind AND dv.node = c.v WHERE c.kind <> 'cell' AND c.f * c.cost_m > 1e-6 AND (1 - c.f) * c.cost_m > 1e-6),
+seg AS (SELECT mode, edge_id, cost_m, f AS lo, lead(f) OVER w AS hi, d AS da, lead(d) OVER w AS db FROM brk JOIN edges USING (edge_id) WINDOW w AS (PARTITION BY mode, edge_id ORDER BY f) QUALIFY db IS NOT NULL),
+rr AS (SELECT mode, edge_id, lo, hi, least(greatest(150 - da, 0) / cost_m, hi - lo) AS ra, least(greatest(150 - db, 0) / cost_m, hi - lo) AS rb FROM seg),
+sp AS (SELECT mode, edge_id, lo AS f0, CASE WHEN ra + rb >= hi - lo THEN hi ELSE lo + ra END AS f1 FROM rr UNION ALL SELECT mode, edge_id, hi - rb, hi FROM rr WHERE ra + rb < hi - lo),
+li AS MATERIALIZED (SELECT mode, x1 + f0 * (x2 - x1) AS x1, y1 + f0 * (y2 - y1) AS y1, x1 + f1 * (x2 - x1) AS x2, y1 + f1 * (y2 - y1) AS y2 FROM sp JOIN lines USING (edge_id) WHERE f1 > f0),
+cx AS (SELECT *, unnest(range(CAST(floor((least(x1, x2) - 25) / 10) AS BIGINT), CAST(floor((greatest(x1, x2) + 25) / 10) AS BIGINT) + 1)) AS gx FROM li),
+cy AS (SELECT *, unnest(range(CAST(floor((least(y1, y2) - 25) / 10) AS BIGINT), CAST(floor((greatest(y1, y2) + 25) / 10) AS BIGINT) + 1)) AS gy FROM cx),
+ct AS (SELECT *, greatest(0, least(1, (((gx + 0.5) * 10 - x1) * (x2 - x1) + ((gy + 0.5) * 10 - y1) * (y2 - y1)) / ((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1)))) AS t FROM cy),
+cn AS (SELECT * FROM ct WHERE sqrt(((gx + 0.5) * 10 - x1 - t * (x2 - x1)) ** 2 + ((gy + 0.5) * 10 - y1 - t * (y2 - y1)) ** 2) <= 33),
+sm AS (SELECT mode, gx, gy, i, j, x1, y1, x2, y2, gx * 10 + (i + 0.5) * 1.25 AS px, gy * 10 + (j + 0.5) * 1.25 AS py FROM cn, range(8) r(i), range(8) s(j)),
+hit AS (SELECT DISTINCT mode, gx, gy, i, j FROM (SELECT *, greatest(0, least(1, ((px - x1) * (x2 - x1) + (py - y1) * (y2 - y1)) / ((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1)))) AS t FROM sm) WHERE sqrt((px - x1 - t * (x2 - x1)) ** 2 + (py - y1 - t * (y2 - y1)) ** 2) <= 25)"""
+
+
+@query(f"""WITH RECURSIVE {NETWORK}, {SNAP}, {ROUTES}, {REACHABLE} SELECT mode, count(*) / 64.0::DOUBLE * 100 / 1e6 AS km2, count(DISTINCT (gx, gy)) AS cells FROM hit GROUP BY mode""")
+def service_area_km2(spark: SparkSession, d: str) -> DataFrame:
+    """The area within 25 m of the streets that 150 m reach, by mode: a grid whose border cells count in part."""
+    r = b.Routed(spark, d)
+    spans = lines.reachable_spans(r.segments, r.reached, 150.0)
+    point = lambda x, y: F.struct(F.col(x).alias("x"), F.col(y).alias("y"))
+    straight = r.lines.select("edge_id", "cost_m", F.array(point("x1", "y1"), point("x2", "y2")).alias("points"))
+    way = lines.sublines(straight, spans)
+    at = lambda i, c, n: F.element_at("points", i)[c].alias(n)
+    cells = lines.coverage(way.select(F.col("mode").alias("layer"), at(1, "x", "x1"), at(1, "y", "y1"), at(-1, "x", "x2"), at(-1, "y", "y2")), 25.0, 10.0)
+    return cells.groupBy(F.col("layer").alias("mode")).agg((F.sum("share") * 100 / 1e6).alias("km2"), F.count("*").alias("cells"))
