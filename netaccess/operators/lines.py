@@ -41,8 +41,8 @@ def snap(points: DataFrame, lines: DataFrame, size: float = 25.0) -> DataFrame:
 def positions(lines: DataFrame, at: DataFrame) -> DataFrame:
     """The rows of ``at`` (edge_id, fraction, others) with x and y on their line; fractions beyond the ends stand for these, lines without parts give nulls."""
     f = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("fraction")))
-    p = parts(lines).select("edge_id", "part", "x1", "y1", "x2", "y2", "from_f", "to_f")
-    held = at.withColumn("row", F.struct("*")).join(p, "edge_id").where((f >= F.col("from_f")) & (f <= F.col("to_f")))
+    p = parts(lines).select("edge_id", "part", "x1", "y1", "x2", "y2", "from_f", "to_f", "length_m")
+    held = at.withColumn("row", F.struct("*")).join(p, "edge_id").where((f >= F.col("from_f")) & (f <= F.col("to_f")) | (F.col("length_m") == 0))
     first = held.groupBy("row").agg(F.min_by(F.struct("x1", "y1", "x2", "y2", "from_f", "to_f"), "part").alias("p"))
     g = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("row.fraction")))
     t = F.when(F.col("p.to_f") > F.col("p.from_f"), (g - F.col("p.from_f")) / (F.col("p.to_f") - F.col("p.from_f"))).otherwise(F.lit(0.0))
