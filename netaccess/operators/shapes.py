@@ -138,3 +138,19 @@ def clipped_grid(points: DataFrame, box: tuple[float, float, float, float], size
     facts = every.crossJoin(held)  # one row each
     share = F.round(F.try_divide(100.0 * F.col("kept_weight"), F.col("all_weight")), 6).alias("retained_pct")
     return kept.crossJoin(F.broadcast(facts.select(share))).withColumn("density_km2", F.round(F.col("weight") / F.col("area_km2"), 6))
+
+
+def grid_clipped_by(points: DataFrame, boundary: DataFrame, size: float = 500.0) -> DataFrame:
+    """``surface.density_grid`` clipped to a boundary of any shape (sides x1, y1, x2, y2): row, col, weight, area_km2, density_km2.
+
+    Squares with weight are laid over the boundary (see ``overlay``); those outside go, density is over the part of the square inside.
+    """
+    bins = points.groupBy(F.floor(F.col("y") / size).alias("row"), F.floor(F.col("x") / size).alias("col")).agg(F.sum("weight").alias("weight")).where("weight > 0")
+    corner = lambda i, j: F.struct(((F.col("col") + i) * size).cast("double").alias("x"), ((F.col("row") + j) * size).cast("double").alias("y"))
+    # names: the boundary sorts before the squares, which pairs it with each of them
+    square = bins.select(F.concat_ws(":", F.lit("square"), "row", "col").alias("name"), F.array(corner(0, 0), corner(1, 0), corner(1, 1), corner(0, 1)).alias("ring"))
+    sides = spatial.ring_edges(square).unionByName(boundary.select(F.lit("boundary").alias("name"), "x1", "y1", "x2", "y2"))
+    inside = overlay.overlaps(overlay.faces(overlay.with_layer(sides))).where("a = 'boundary' AND area > 1e-6")
+    parts = F.split("b", ":")
+    held = inside.select(parts[1].cast("long").alias("row"), parts[2].cast("long").alias("col"), (F.col("area") / 1e6).alias("area_km2"))
+    return bins.join(held, ["row", "col"]).withColumn("density_km2", F.col("weight") / F.col("area_km2"))

@@ -315,11 +315,11 @@ def components(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""WITH p AS (SELECT vec_id, CAST(embedding[1] AS DOUBLE) * 1000 AS x, CAST(embedding[2] AS DOUBLE) * 1000 AS y FROM embeddings), d AS (
-SELECT s.vec_id AS station, e.vec_id AS entrance, sqrt((s.x - e.x) * (s.x - e.x) + (s.y - e.y) * (s.y - e.y)) AS d FROM p s JOIN p e ON s.vec_id % 10 = 1 AND e.vec_id % 40 = 0), n AS (SELECT station, min(d) AS d FROM d GROUP BY station)
-SELECT vec_id AS target_id, 'entrance' AS kind, NULL AS reason FROM p WHERE vec_id % 40 = 0 UNION ALL SELECT station, 'station', 'no entrance within 60 m' FROM n WHERE d > 60""")
+SELECT s.vec_id AS station, e.vec_id AS entrance, sqrt((s.x - e.x) * (s.x - e.x) + (s.y - e.y) * (s.y - e.y)) AS d FROM p s JOIN p e ON s.vec_id % 4 <> 0 AND e.vec_id % 4 = 0), n AS (SELECT station, min(d) AS d FROM d GROUP BY station)
+SELECT vec_id AS target_id, 'entrance' AS kind, NULL AS reason FROM p WHERE vec_id % 4 = 0 UNION ALL SELECT station, 'station', 'no entrance within 60 m' FROM n WHERE d > 60""")
 def nearest_point_fallback(spark: SparkSession, d: str) -> DataFrame:
     p = b.points(spark, d).select(F.col("vec_id").alias("target_id"), F.col("e1").alias("x"), F.col("e2").alias("y"))
-    return spatial.with_fallback(p.where("target_id % 40 = 0"), p.where("target_id % 10 = 1"), 60.0)
+    return spatial.with_fallback(p.where("target_id % 4 = 0"), p.where("target_id % 4 <> 0"), 60.0)
 
 
 #: Four boxes that share borders: enough to have points within, on borders and outside.

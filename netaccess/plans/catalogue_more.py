@@ -98,12 +98,12 @@ def attach_district(spark: SparkSession, d: str) -> DataFrame:
     return relate.with_nearest_polygon(p, rings(spark, {n: box_ring(x) for n, x in GAPS.items()}))
 
 
-@query(f"""WITH {PTS}, j AS (SELECT a.vec_id AS point_id, t.vec_id AS target_id, sqrt((a.e1 - t.e1) * (a.e1 - t.e1) + (a.e2 - t.e2) * (a.e2 - t.e2)) AS d FROM pts a, pts t WHERE a.vec_id % 10 = 1 AND t.vec_id % 40 = 0),
+@query(f"""WITH {PTS}, j AS (SELECT a.vec_id AS point_id, t.vec_id AS target_id, sqrt((a.e1 - t.e1) * (a.e1 - t.e1) + (a.e2 - t.e2) * (a.e2 - t.e2)) AS d FROM pts a, pts t WHERE a.vec_id % 4 <> 0 AND t.vec_id % 4 = 0),
 n AS (SELECT * FROM j WHERE d <= 60 QUALIFY row_number() OVER (PARTITION BY point_id ORDER BY d, target_id) = 1)
-SELECT vec_id AS point_id, target_id, round(d, 4) AS distance FROM pts LEFT JOIN n ON point_id = vec_id WHERE vec_id % 10 = 1""")
+SELECT vec_id AS point_id, target_id, round(d, 4) AS distance FROM pts LEFT JOIN n ON point_id = vec_id WHERE vec_id % 4 <> 0""")
 def nearest_within_radius(spark: SparkSession, d: str) -> DataFrame:
     p = b.points(spark, d).select("vec_id", F.col("e1").alias("x"), F.col("e2").alias("y"))
-    got = relate.nearest_within(p.where("vec_id % 10 = 1").withColumnRenamed("vec_id", "point_id"), p.where("vec_id % 40 = 0").withColumnRenamed("vec_id", "target_id"), 60.0)
+    got = relate.nearest_within(p.where("vec_id % 4 <> 0").withColumnRenamed("vec_id", "point_id"), p.where("vec_id % 4 = 0").withColumnRenamed("vec_id", "target_id"), 60.0)
     return got.withColumn("distance", F.round("distance", 4))
 
 
@@ -391,7 +391,7 @@ def more_invariants(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH {CELLS}, s AS (SELECT district, sum(weight) AS total, sum(CASE WHEN metro_d <= {BUDGET_SQL} THEN weight ELSE 0 END) AS health, sum(CASE WHEN bus_d <= {BUDGET_SQL} THEN weight ELSE 0 END) AS education, sum(CASE WHEN cell_id % 3 = 0 THEN weight ELSE 0 END) AS bazaar,
- sum(CASE WHEN metro_d <= {BUDGET_SQL} AND bus_d <= {BUDGET_SQL} THEN weight ELSE 0 END) AS joint FROM cells GROUP BY district), f AS (SELECT c_nationkey AS district, {", ".join(f"count(*) FILTER (WHERE c_mktsegment = '{s}') AS {s.lower()}" for s in SEGMENTS)}, count(*) AS "all" FROM customer WHERE c_custkey % 4 = 0 GROUP BY 1)
+ sum(CASE WHEN metro_d <= {BUDGET_SQL} AND bus_d <= {BUDGET_SQL} THEN weight ELSE 0 END) AS joint FROM cells GROUP BY district), f AS (SELECT c_nationkey AS district, {", ".join(f"count(*) FILTER (WHERE c_mktsegment = '{s}') AS {s.lower()}" for s in SEGMENTS)}, count(*) AS "all" FROM customer GROUP BY 1)
 SELECT n_nationkey AS district, CAST(total AS BIGINT) AS total, {", ".join(f"round(CASE WHEN total > 0 THEN 100.0::DOUBLE * {k} / total END, 6) AS {k}_pct" for k in ("health", "education", "bazaar", "joint"))}, {", ".join(f"coalesce({s.lower()}, 0) AS {s.lower()}" for s in SEGMENTS)}, coalesce("all", 0) AS "all",
 round(CASE WHEN total > 0 THEN 100000.0::DOUBLE * coalesce("all", 0) / total END, 6) AS per_100k, round(coalesce("all", 0) / (1.0::DOUBLE + n_nationkey), 6) AS per_km2 FROM nation LEFT JOIN s ON s.district = n_nationkey LEFT JOIN f ON f.district = n_nationkey""")
 def urban_dimensions(spark: SparkSession, d: str) -> DataFrame:
@@ -400,7 +400,7 @@ def urban_dimensions(spark: SparkSession, d: str) -> DataFrame:
     masks = {"health": near("metro_d"), "education": near("bus_d"), "bazaar": F.col("cell_id") % 3 == 0, "joint": near("metro_d") & near("bus_d")}
     sums = b.cells(spark, d).groupBy("district").agg(F.sum("weight").alias("total"), *[F.sum(F.when(m, F.col("weight")).otherwise(0)).alias(k) for k, m in masks.items()])
     domain = table(spark, d, "nation").select(F.col("n_nationkey").alias("district"))
-    found = table(spark, d, "customer").where("c_custkey % 4 = 0").select(F.col("c_nationkey").alias("district"), F.col("c_mktsegment").alias("category"))
+    found = table(spark, d, "customer").select(F.col("c_nationkey").alias("district"), F.col("c_mktsegment").alias("category"))
     j = domain.join(sums, "district", "left").join(places.supply(found, domain, SEGMENTS), "district")
     pct = [F.round(access.rate(F.col(k), F.col("total"), 100.0), 6).alias(f"{k}_pct") for k in masks]
     return j.select("district", "total", *pct, *[s.lower() for s in SEGMENTS], "all", F.round(access.rate(F.col("all"), F.col("total"), 100000.0), 6).alias("per_100k"), F.round(F.col("all") / (1.0 + F.col("district")), 6).alias("per_km2"))
@@ -440,3 +440,12 @@ def station_history(spark: SparkSession, d: str) -> DataFrame:
     j = relate.keyed_both_ways(curated, mapped, text.match_key(F.col("spelt")), text.match_key(F.col("name")))
     batch = Window.partitionBy("opening_year")
     return j.select("station_id", "match_key", "opening_year", F.row_number().over(batch.orderBy("name")).alias("in_batch"), F.count("*").over(batch).alias("batch"))
+
+
+@query("""WITH s AS (SELECT CAST(year(o_orderdate) AS INTEGER) AS year, coalesce(round(sum(o_totalprice) FILTER (WHERE o_orderstatus = 'F'), 2), 0) AS a, coalesce(round(sum(o_totalprice) FILTER (WHERE o_orderstatus = 'O'), 2), 0) AS b FROM orders GROUP BY 1)
+SELECT year, round(b - a, 2) AS gap FROM s ORDER BY abs(b - a) DESC, year LIMIT 1""")
+def widest_gap(spark: SparkSession, d: str) -> DataFrame:
+    """The year in which two masks' sums differ most."""
+    total = lambda s: F.coalesce(F.round(F.sum(F.when(F.col("o_orderstatus") == s, F.col("o_totalprice"))), 2), F.lit(0.0))
+    series = table(spark, d, "orders").groupBy(F.year("o_orderdate").alias("year")).agg(total("F").alias("a"), total("O").alias("b"))
+    return temporal.widest_gap(series, "a", "b").select("year", F.round("gap", 2).alias("gap"))

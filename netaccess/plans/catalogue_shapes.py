@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netaccess.operators import elements, lines, overlay, spatial
+from netaccess.operators import elements, lines, overlay, shapes, spatial
 from netaccess.operators.lineage import cut
 from netaccess.plans import bindings as b
 from netaccess.plans.bindings import NETWORK, ROUTES, SNAP
 from netaccess.plans.catalogue import query
-from netaccess.plans.catalogue_more import PTS
+from netaccess.plans.catalogue_more import PTS, rings
 
 #: Every vector as a diamond: a box in u = x + y, v = x - y, so its area is half of that box's; all numbers are exact.
 DIAMONDS = f"""{PTS}, dia AS MATERIALIZED (SELECT vec_id AS id, label, round(e1) + round(e2) AS u1, round(e1) - round(e2) AS v1, round(e1) + round(e2) + 20 + 2 * (vec_id % 30) AS u2, round(e1) - round(e2) + 30 + 2 * (vec_id % 20) AS v2 FROM pts),
@@ -149,3 +149,20 @@ def service_area_km2(spark: SparkSession, d: str) -> DataFrame:
     at = lambda i, c, n: F.element_at("points", i)[c].alias(n)
     cells = lines.coverage(way.select(F.col("mode").alias("layer"), at(1, "x", "x1"), at(1, "y", "y1"), at(-1, "x", "x2"), at(-1, "y", "y2")), 25.0, 10.0)
     return cells.groupBy(F.col("layer").alias("mode")).agg((F.sum("share") * 100 / 1e6).alias("km2"), F.count("*").alias("cells"))
+
+
+#: An L of two boxes that share a border, and a hole in it; the oracle adds and subtracts boxes.
+L_SHAPE = [(-210.0, -190.0, 130.0, 40.0, 1), (-210.0, 40.0, 15.0, 220.0, 1), (-120.0, -90.0, -30.0, 10.0, -1)]
+L_RINGS = [[(-210.0, -190.0), (130.0, -190.0), (130.0, 40.0), (15.0, 40.0), (15.0, 220.0), (-210.0, 220.0)], [(-120.0, -90.0), (-30.0, -90.0), (-30.0, 10.0), (-120.0, 10.0)]]
+L_SQL = "ls(bx1, by1, bx2, by2, s) AS (VALUES " + ", ".join("(" + ", ".join(f"{v}::DOUBLE" for v in row) + ")" for row in L_SHAPE) + ")"
+
+
+@query(f"""WITH {PTS}, {L_SQL}, g AS (SELECT CAST(floor(e4 / 50) AS BIGINT) AS row, CAST(floor(e3 / 50) AS BIGINT) AS col, CAST(sum(1 + vec_id % 97) AS BIGINT) AS weight FROM pts GROUP BY 1, 2),
+a AS (SELECT row, col, weight, sum(s * greatest(0, least(bx2, (col + 1) * 50) - greatest(bx1, col * 50)) * greatest(0, least(by2, (row + 1) * 50) - greatest(by1, row * 50))) / 1e6 AS area_km2 FROM g, ls GROUP BY ALL)
+SELECT row, col, weight, round(area_km2, 9) AS area_km2, round(weight / area_km2, 4) AS density_km2 FROM a WHERE area_km2 > 1e-12""")
+def density_in_boundary(spark: SparkSession, d: str) -> DataFrame:
+    """Weights by square, cut to a boundary with a corner and a hole."""
+    p = b.points(spark, d).select(F.col("e3").alias("x"), F.col("e4").alias("y"), (1 + F.col("vec_id") % 97).alias("weight"))
+    boundary = rings(spark, {f"r{i}": r for i, r in enumerate(L_RINGS)})
+    got = shapes.grid_clipped_by(p, boundary, 50.0)
+    return got.select("row", "col", "weight", F.round("area_km2", 9).alias("area_km2"), F.round("density_km2", 4).alias("density_km2"))

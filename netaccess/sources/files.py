@@ -86,18 +86,14 @@ def grids_differ(metadata: DataFrame, name: str = "name") -> DataFrame:
     return n.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("values")) for c in rest])).alias("r")).select("r.*").where("values > 1")
 
 
-def raster_cells(spark: SparkSession, path: str, nodata: float = -99999.0) -> DataFrame:
-    """A raster kept as a table (row, col, value); nodata and NaN become null, not zero."""
-    rows = spark.read.schema("row int, col int, value double").parquet(path)
-    return rows.withColumn("value", F.when((F.col("value") != nodata) & ~F.isnan("value"), F.col("value")))
-
-
 def tagged_elements(raw: DataFrame, column: str, tags: str = "map<string,string>") -> DataFrame:
     """JSON elements {type, id, lat, lon, center, tags} to rows, one for each (type, id); those without a place go."""
     schema = f"elements array<struct<type: string, id: bigint, lat: double, lon: double, center: struct<lat: double, lon: double>, tags: {tags}>>"
     e = raw.select(F.explode(F.from_json(column, schema)["elements"]).alias("e")).select("e.*")
-    e = e.select("type", "id", F.coalesce("lat", "center.lat").alias("lat"), F.coalesce("lon", "center.lon").alias("lon"), "tags")
-    return e.where("lat IS NOT NULL AND lon IS NOT NULL").dropDuplicates(["type", "id"])
+    e = e.select("type", "id", F.coalesce("lat", "center.lat").alias("lat"), F.coalesce("lon", "center.lon").alias("lon"), "tags").where("lat IS NOT NULL AND lon IS NOT NULL")
+    # of differing rows of an element the first by place, then by its tags as text
+    first = e.groupBy("type", "id").agg(F.min_by(F.struct("lat", "lon", "tags"), F.struct("lat", "lon", F.to_json("tags"))).alias("e"))
+    return first.select("type", "id", "e.*")
 
 
 def fixed_precision(df: DataFrame) -> DataFrame:

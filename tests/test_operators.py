@@ -129,7 +129,13 @@ def test_missing_weights(spark):
 def test_calibration_conserves(spark):
     raw = spark.createDataFrame([("a", 1.0), ("a", 3.0), ("b", 2.0), ("c", 1.0)], "k string, raw double")
     control = spark.createDataFrame([("a", 8.0), ("b", 1.0), ("d", 1.0)], "k string, control double")
-    got = {r["k"]: r["s"] for r in weights.calibrate(raw, control, ["k"]).groupBy("k").agg(F.sum("calibrated").alias("s")).collect()}
+    for lack in ("k <> 'c'", "k <> 'd'"):  # a control without rows, rows without a control
+        with pytest.raises(ValueError, match="no rows|no control"):
+            weights.calibrate(raw.where(lack), control.where(lack), ["k"])
+    with pytest.raises(ValueError, match="no positive sum"):
+        weights.calibrate(raw.where("k = 'a'").withColumn("raw", F.lit(0.0)), control.where("k = 'a'"), ["k"])
+    both = "k IN ('a', 'b')"
+    got = {r["k"]: r["s"] for r in weights.calibrate(raw.where(both), control.where(both), ["k"]).groupBy("k").agg(F.sum("calibrated").alias("s")).collect()}
     assert got == {"a": 8.0, "b": 1.0}
     assert {tuple(r) for r in weights.missing_controls(raw, control, ["k"]).collect()} == {("c", "control"), ("d", "raw")}
 
