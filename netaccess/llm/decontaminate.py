@@ -5,8 +5,8 @@
    passages' partitions, gives latent axes, for each block of items its own.
 3. Every document is cut into overlapping passages, each projected on the axes and compared with all item
    passages by cosine (with the full TF-IDF norms of both passages). A passage that the axes hold in part only
-   reaches no more than that part, so its threshold is a share of it. Passages whose projection is
-   too short to reach any threshold are left out beforehand, which loses nothing. What this search alone finds are copies
+   reaches no more than that part, so its threshold is a share of it. Passages of a document of which the axes hold
+   less than ``COSINE`` are left out beforehand. What this search alone finds are copies
    stretched by words put in between.
 4. Short and heavily cut copies share too little with a passage of fixed length. So the
    words are counted too: a copy has 60 % of the item's words, hence most of its rare ones. Texts with enough
@@ -39,7 +39,7 @@ from netaccess.llm.common import Scratch, bounded_batches, chunks
 #: Words of half a passage (passages are two halves and overlap by one), step between an item's passages.
 HALF, STEP = 12, 6
 #: Latent axes, extra random directions, power iterations, items at a time.
-AXES, EXTRA, POWERS, ITEMS = 256, 16, 2, 200
+AXES, EXTRA, POWERS, ITEMS = 224, 16, 2, 200
 #: Blocks that one reading of the documents searches: about 5 MB of vectors each.
 AT_ONCE = 16
 #: Passages of a block's items, about: longer items make smaller blocks, so that the axes suffice.
@@ -50,6 +50,8 @@ RAREST = 0.8
 HELD = 0.5
 #: Least cosine of a candidate; least share of an item's words in common order, alone or with the answer.
 COSINE, ALONE, WITH_ANSWER, ANSWER = 0.3, 0.75, 0.6, 0.75
+#: Tokens whose numbers a worker keeps.
+KNOWN = 600_000
 #: Items with fewer words are found as whole sequences of words only.
 LEAST_WORDS = 5
 #: Words (followed by a colon) that an item's answer comes after.
@@ -71,23 +73,27 @@ def answer_length(text: str) -> int:
 
 
 class Vocabulary(dict):
-    """Number of a token, from 2 on; 1 for a word that the benchmark doesn't have, 0 for padding and marks alone."""
+    """Number of a token, from 2 on; 1 for a word that the benchmark doesn't have, 0 for padding and marks alone.
+
+    Keeps what it knows of short tokens, ``KNOWN`` at most.
+    """
 
     def __init__(self, words: list[str]):
         super().__init__()
         self.base = {w: i + 2 for i, w in enumerate(words)}
 
     def __missing__(self, token: str) -> int:
-        if len(self) > 150_000:
+        if len(self) > KNOWN:
             self.clear()
         word = token.strip(_MARKS)
-        n = self[token] = self.base.get(word, 1) if word else 0
+        n = self.base.get(word, 1) if word else 0
+        if len(token) <= 60:
+            self[token] = n
         return n
 
     def numbers(self, text: str | None) -> np.ndarray:
         tokens = (text or "").lower().split()
-        ids = np.fromiter(map(self.__getitem__, tokens), dtype=np.int32, count=len(tokens))
-        return ids
+        return np.fromiter(map(self.__getitem__, tokens), dtype=np.int32, count=len(tokens))
 
 
 def common_subsequence(a: list[int], b: list[int]) -> int:
@@ -123,8 +129,11 @@ def document_frequencies(docs: DataFrame, words: list[str]) -> tuple[np.ndarray,
         vocabulary, df, n = Vocabulary(words), np.zeros(size, dtype=np.int64), 0
         for pdf in batches:
             for t in pdf["t"]:
-                # distinct words are enough here
-                df[list({*map(vocabulary.__getitem__, set((t or "").lower().split()))})] += 1
+                x = vocabulary.numbers(t)
+                if len(x) * 20 > size:
+                    df += np.bincount(x, minlength=size) > 0
+                else:
+                    df[np.unique(x)] += 1
                 n += 1
         df[0] = n
         at = np.flatnonzero(df)
@@ -285,8 +294,7 @@ class Searcher:
         inside = self.length[flat].reshape(-1, HALF).sum(1)
         square = self.square[flat].reshape(-1, HALF).sum(1)
         norms = np.maximum(np.sqrt(square[:-1] + square[1:]), 1e-9)
-        lowest = float(self.least.min())
-        able = np.flatnonzero(inside[:-1] + inside[1:] >= lowest * norms)
+        able = np.flatnonzero(inside[:-1] + inside[1:] >= COSINE * norms)
         where = np.zeros(len(square), dtype=np.int64)
         for lo in range(0, len(able), 1024):
             mine = able[lo : lo + 1024]
@@ -296,7 +304,7 @@ class Searcher:
             sums = np.einsum("hwk->hk", self.vectors[part])
             x = sums[where[mine]] + sums[where[mine + 1]]
             norm = norms[mine]
-            long = np.flatnonzero((x * x).sum(1) >= (lowest * norm) ** 2)
+            long = np.flatnonzero((x * x).sum(1) >= (COSINE * norm) ** 2)
             if not len(long):
                 continue
             x, norm, mine = x[long], norm[long], mine[long]
