@@ -321,3 +321,28 @@ def trace(reached: DataFrame, targets: DataFrame) -> DataFrame:
     ways = steps.groupBy("mode", "node").agg(F.sort_array(F.collect_list(F.struct((-F.col("back")).alias("o"), "at"))).alias("w"))
     out = targets.select("mode", "node").distinct().join(ways, ["mode", "node"], "left")
     return out.select("mode", "node", F.coalesce(F.transform("w", lambda x: x["at"]), F.array().cast("array<string>")).alias("path"))
+
+
+def path_legs(paths: DataFrame, segs: DataFrame) -> DataFrame:
+    """(mode, node, leg, edge_id, lo, hi) of the ways of ``trace``: the stretch of an edge between each two nodes that follow, the cheapest of parallel ones; legs count from 1."""
+    steps = paths.select("mode", "node", "path", F.explode(F.sequence(F.lit(1), F.greatest(F.size("path") - 1, F.lit(1)))).alias("leg")).where(F.col("leg") < F.size("path"))
+    a, b = F.get("path", F.col("leg") - 1), F.get("path", F.col("leg"))
+    steps = steps.select("mode", "node", "leg", F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
+    ends = segs.where("a <> b").select("mode", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), ((F.col("hi") - F.col("lo")) * F.col("cost_m")).alias("w"), "edge_id", "lo", "hi")
+    best = ends.groupBy("mode", "a", "b").agg(F.min(F.struct("w", "edge_id", "lo", "hi")).alias("s"))
+    return steps.join(best, ["mode", "a", "b"]).select("mode", "node", "leg", "s.edge_id", "s.lo", "s.hi")
+
+
+def leaving(legs: DataFrame, parts: DataFrame) -> DataFrame:
+    """(mode, node, name, legs, crosses, first_leg): whether a way leaves its polygon, and on which leg first.
+
+    ``legs`` as of ``path_legs`` with ``name``, the way's polygon; ``parts`` are the stretches of edges inside polygons (``shapes.inside_parts``). A leg
+    stays inside if the polygon's stretches cover it.
+    """
+    mine = parts.select("edge_id", "name", "f0", "f1")
+    held = legs.join(mine, ["edge_id", "name"], "left")
+    # least and greatest leave nulls out: a leg without any stretch inside has none
+    both = F.when(F.col("f0").isNotNull(), F.greatest(F.lit(0.0), F.least("hi", "f1") - F.greatest("lo", "f0")))
+    each = held.groupBy("mode", "node", "name", "leg", "lo", "hi").agg(F.coalesce(F.sum(both), F.lit(0.0)).alias("inside"))
+    out = F.col("inside") < F.col("hi") - F.col("lo") - 1e-9
+    return each.groupBy("mode", "node", "name").agg(F.count("*").alias("legs"), F.max(out).alias("crosses"), F.min(F.when(out, F.col("leg"))).alias("first_leg"))

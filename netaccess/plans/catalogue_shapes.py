@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netaccess.operators import elements, lines, overlay, shapes, spatial
+from netaccess.operators import elements, lines, network, overlay, shapes, spatial
 from netaccess.operators.lineage import cut
 from netaccess.plans import bindings as b
 from netaccess.plans.bindings import NETWORK, ROUTES, SNAP
 from netaccess.plans.catalogue import query
-from netaccess.plans.catalogue_more import PTS, rings
+from netaccess.plans.catalogue_more import GAPS, GAPS_SQL, PTS, box_ring, rings
 
 #: Every vector as a diamond: a box in u = x + y, v = x - y, so its area is half of that box's; all numbers are exact.
 DIAMONDS = f"""{PTS}, dia AS MATERIALIZED (SELECT vec_id AS id, label, round(e1) + round(e2) AS u1, round(e1) - round(e2) AS v1, round(e1) + round(e2) + 20 + 2 * (vec_id % 30) AS u2, round(e1) - round(e2) + 30 + 2 * (vec_id % 20) AS v2 FROM pts),
@@ -166,3 +166,42 @@ def density_in_boundary(spark: SparkSession, d: str) -> DataFrame:
     boundary = rings(spark, {f"r{i}": r for i, r in enumerate(L_RINGS)})
     got = shapes.grid_clipped_by(p, boundary, 50.0)
     return got.select("row", "col", "weight", F.round("area_km2", 9).alias("area_km2"), F.round("density_km2", 4).alias("density_km2"))
+
+
+@query(f"""WITH RECURSIVE {NETWORK}, {SNAP}, {ROUTES}, {GAPS_SQL}, h AS (SELECT p.vec_id, min(name) AS name FROM pts p JOIN gaps ON e3 > bx1 AND e3 < bx2 AND e4 > by1 AND e4 < by2 GROUP BY 1),
+c AS (SELECT h.name, c.vec_id, c.distance FROM cell_d c JOIN h USING (vec_id) WHERE c.mode = 'metro' AND c.distance < 'inf'), b AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY name ORDER BY distance, vec_id) = 1)
+SELECT b.name AS district, b.vec_id AS point_id, round(b.distance, 4) AS distance, s.edge_id, round(x1 + f * (x2 - x1), 4) AS access_x, round(y1 + f * (y2 - y1), 4) AS access_y FROM b JOIN snap s ON s.kind = 'cell' AND s.vec_id = b.vec_id""")
+def district_focus(spark: SparkSession, d: str) -> DataFrame:
+    """Each district's cell nearest to a station, and where it enters the network."""
+    return _focus(b.Routed(spark, d), spark).select("district", "point_id", F.round("distance", 4).alias("distance"), "edge_id", F.round("sx", 4).alias("access_x"), F.round("sy", 4).alias("access_y"))
+
+
+def _focus(r: b.Routed, spark: SparkSession) -> DataFrame:
+    cells = r.points.select(F.col("vec_id").alias("point_id"), F.col("e3").alias("x"), F.col("e4").alias("y"))
+    held = spatial.assign_polygon(cells, _districts(spark), 0.0).where("district IS NOT NULL").select("point_id", "district")
+    near = r.cells().where("mode = 'metro' AND distance < double('inf')").join(held, "point_id")
+    best = near.groupBy("district").agg(F.min(F.struct("distance", "point_id")).alias("m")).select("district", "m.*")
+    at = r.snap.where("kind = 'cell'").select(F.col("vec_id").alias("point_id"), "edge_id", "fraction", "sx", "sy")
+    return best.join(at, "point_id")
+
+
+def _districts(spark: SparkSession) -> DataFrame:
+    return rings(spark, {n: box_ring(x) for n, x in GAPS.items()})
+
+
+@query()
+def district_paths(spark: SparkSession, d: str) -> DataFrame:
+    """The way from each district's nearest station to its cell: whether it leaves the district, and on which leg first."""
+    r = b.Routed(spark, d)
+    best = cut(_focus(r, spark))
+    seg = r.segments.where("mode = 'metro'")
+    on = best.join(seg, "edge_id").where("fraction >= lo AND fraction <= hi")
+    end = lambda n, c: F.struct(F.col(n).alias("node"), (c * F.col("cost_m")).alias("c"))
+    ends = on.select("district", F.explode(F.array(end("a", F.col("fraction") - F.col("lo")), end("b", F.col("hi") - F.col("fraction")))).alias("e"))
+    reach = r.reached.where("mode = 'metro'").select("node", F.col("distance").alias("dn"))
+    last = ends.select("district", "e.*").join(reach, "node").groupBy("district").agg(F.min_by("node", F.struct(F.col("dn") + F.col("c"), F.col("node"))).alias("node"))
+    paths = cut(network.trace(r.reached, last.select(F.lit("metro").alias("mode"), "node")))
+    legs = network.path_legs(paths, r.segments).join(last.select("node", F.col("district").alias("name")), "node")
+    found = network.leaving(legs, shapes.inside_parts(r.lines, _districts(spark)))
+    out = last.join(paths.select("node", F.size("path").alias("nodes")), "node").join(found.select("node", F.col("name").alias("district"), "legs", "crosses", "first_leg"), ["node", "district"], "left")
+    return out.select("district", "node", "nodes", F.coalesce("legs", F.lit(0)).alias("legs"), F.coalesce("crosses", F.lit(False)).alias("crosses"), "first_leg")

@@ -4,8 +4,9 @@ import math
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
-from netaccess.operators import network, places, relate
+from netaccess.operators import network, places, relate, shapes, spatial
 
 
 def walked(rows, radius):
@@ -64,3 +65,15 @@ def test_delta_stepping_equals_dijkstra(spark, delta):
     many = network.multi_source_distances(a, e, distributed=True, delta=delta)
     key = lambda df: sorted((r["mode"], r["node"], r["distance"], r["before"] or "") for r in df.collect())
     assert key(one) == key(many)
+
+
+def test_a_way_that_leaves_its_polygon(spark):
+    """A street from left to right in four edges; the polygon ends in the middle of the third."""
+    segs = spark.createDataFrame([("m", i, 0.0, 1.0, f"n{i}", f"n{i + 1}", 10.0) for i in range(4)] + [("m", 9, 0.0, 1.0, "n0", "n1", 99.0)], "mode string, edge_id long, lo double, hi double, a string, b string, cost_m double")
+    lines = spark.createDataFrame([(i, 10.0 * i, 0.0, 10.0 * (i + 1), 0.0) for i in range(4)] + [(9, 0.0, 0.0, 10.0, 0.0)], "edge_id long, x1 double, y1 double, x2 double, y2 double")
+    paths = spark.createDataFrame([("m", "n4", ["n0", "n1", "n2", "n3", "n4"]), ("m", "n2", ["n0", "n1", "n2"]), ("m", "n0", ["n0"]), ("m", "n3", ["n4", "n3"])], "mode string, node string, path array<string>")
+    legs = network.path_legs(paths, segs)
+    assert sorted((r["node"], r["leg"], r["edge_id"]) for r in legs.collect()) == [("n2", 1, 0), ("n2", 2, 1), ("n3", 1, 3), ("n4", 1, 0), ("n4", 2, 1), ("n4", 3, 2), ("n4", 4, 3)]
+    sides = spatial.ring_edges(spark.createDataFrame([("p", [(-5.0, -5.0), (25.0, -5.0), (25.0, 5.0), (-5.0, 5.0)])], "name string, ring array<struct<x: double, y: double>>"))
+    got = network.leaving(legs.withColumn("name", F.lit("p")), shapes.inside_parts(lines, sides)).collect()
+    assert {r["node"]: (r["legs"], r["crosses"], r["first_leg"]) for r in got} == {"n4": (4, True, 3), "n2": (2, False, None), "n3": (1, True, 1)}
