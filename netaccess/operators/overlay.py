@@ -48,14 +48,17 @@ def _spacing(rows: DataFrame) -> float:
     return max(mean or 1.0, 10.0**-GRID)
 
 
-def cells_crossed(rows: DataFrame, size: float) -> DataFrame:
-    """Each side (x1, y1, x2, y2) once for every grid cell (gx, gy) that it passes, by columns; no cell of its box that it misses by more than a hair."""
-    lo, hi = F.least("x1", "x2"), F.greatest("x1", "x2")
+def cells_crossed(rows: DataFrame, size: float, margin: float = 0.0) -> DataFrame:
+    """Each side (x1, y1, x2, y2) once for every grid cell (gx, gy) that it passes, by columns; no cell of its box that it misses by more than a hair.
+
+    With a margin also for the cells that it comes so near to.
+    """
+    lo, hi = F.least("x1", "x2") - margin, F.greatest("x1", "x2") + margin
     rows = rows.withColumn("gx", F.explode(F.sequence(F.floor(lo / size), F.floor(hi / size))))
     dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
     at = lambda x: F.col("y1") + F.greatest(F.lit(0.0), F.least(F.lit(1.0), (x - F.col("x1")) / F.when(dx != 0, dx))) * dy
-    a, b = at(F.col("gx") * size), at((F.col("gx") + 1) * size)
-    eps = 1e-9 * size
+    a, b = at(F.col("gx") * size - margin), at((F.col("gx") + 1) * size + margin)
+    eps = 1e-9 * size + margin
     low = F.when(dx == 0, F.least("y1", "y2")).otherwise(F.least(a, b)) - eps
     high = F.when(dx == 0, F.greatest("y1", "y2")).otherwise(F.greatest(a, b)) + eps
     return rows.withColumn("gy", F.explode(F.sequence(F.floor(low / size), F.floor(high / size))))

@@ -15,50 +15,67 @@ from netaccess.operators import overlay
 from netaccess.operators.lineage import cut
 
 
-def _cells(lo, hi, size: float):
-    return F.sequence(F.floor(lo / size), F.floor(hi / size))
+#: Places that are sent to all things (rather than dealt by cell with them) number at most this.
+FEW_PLACES = 20_000
 
 
-def _ring_search(points: DataFrame, things: DataFrame, box: list, measure: list, best: list, size: float, tiled=None) -> DataFrame:
-    """For each point the first of ``best`` (ordering struct) among things; ``measure`` are its columns.
+def _around(things: DataFrame, box: list, size: float, margin: float) -> DataFrame:
+    """Each thing once for every grid cell (gx, gy) of its box, widened by the margin."""
+    reach = lambda lo, hi: F.explode(F.sequence(F.floor((lo - margin) / size), F.floor((hi + margin) / size)))
+    return things.withColumn("gx", reach(box[0], box[2])).withColumn("gy", reach(box[1], box[3]))
 
-    ``tiled`` puts things into the grid cells (gx, gy) of a size that they pass, all cells of their box unless given.
 
-    Points and things are written once. The first cells are sized so that about one thing lies in each (``size`` at least),
-    and every round meets nine cells around the point; what is nearer than a cell is decided, the rest goes on with cells four
-    times as wide, until one cell holds everything. Points or things without finite coordinates take no part.
+def _ring_search(points: DataFrame, things: DataFrame, box: list, measured, measure: list[str], best: list[str], size: float, tiled=_around) -> DataFrame:
+    """For each point the nearest thing, of equally near ones the first of ``best`` (ordering columns); ``measure`` are its columns besides the distance d.
+
+    ``measured`` adds d and these columns to pairs of a point and a thing.
+    ``tiled`` puts things into the grid cells (gx, gy) of a size that they pass or come nearer to than a margin, all cells of their box unless given.
+
+    Places and things are written once; points at one place are searched once. A cell holds a few things, or an eighth of a thing's mean
+    extent if that is more, so a thing lies in a bounded number of cells however many there are. A place meets the things of its own cell: what
+    is nearer than the margin is decided, the rest goes on with a margin eight times as wide, until it holds everything. Each round first finds
+    the least distance, which is summed up while the join runs (no pair is sorted or written), then the thing that has it. Points or things without
+    finite coordinates take no part; ``size`` is the cell where things have no extent at all.
     """
     finite = lambda *cs: reduce(lambda a, b: a & b, [c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")) for c in cs])
-    things = cut(things.where(finite(*box)))
-    left = cut(points.where(finite(F.col("px"), F.col("py"))))
-    facts = things.agg(F.count("*").alias("n"), F.min(box[0]).alias("x1"), F.min(box[1]).alias("y1"), F.max(box[2]).alias("x2"), F.max(box[3]).alias("y2")).first()
-    if not facts["n"]:
-        return left.join(things, F.lit(False)).select("point_id", *measure)
-    reach = left.agg(F.min("px").alias("x1"), F.min("py").alias("y1"), F.max("px").alias("x2"), F.max("py").alias("y2")).first()
-    if reach["x1"] is None:
-        return left.join(things, F.lit(False)).select("point_id", *measure)
+    # every core gets things, as the work is in the pairs
+    things = cut(things.where(finite(*box)).repartition(4 * things.sparkSession.sparkContext.defaultParallelism))
+    points = cut(points.where(finite(F.col("px"), F.col("py"))))
+    left = cut(points.select("px", "py").distinct())
+    extent = F.avg(F.greatest(box[2] - box[0], box[3] - box[1]))
+    facts = things.agg(F.count("*").alias("n"), F.min(box[0]).alias("x1"), F.min(box[1]).alias("y1"), F.max(box[2]).alias("x2"), F.max(box[3]).alias("y2"), extent.alias("extent")).first()
+    span = left.agg(F.count("*").alias("n"), F.min("px").alias("x1"), F.min("py").alias("y1"), F.max("px").alias("x2"), F.max("py").alias("y2")).first()
+    if not facts["n"] or not span["n"]:
+        return measured(points.join(things, F.lit(False))).select("point_id", "d", *measure)
     width, height = facts["x2"] - facts["x1"], facts["y2"] - facts["y1"]
-    step = max(size, (width * height / facts["n"]) ** 0.5)
-    whole = max(facts["x2"], reach["x2"]) - min(facts["x1"], reach["x1"]) + max(facts["y2"], reach["y2"]) - min(facts["y1"], reach["y1"])
-    out = None
+    corners = [max(facts["x2"], span["x2"]), min(facts["x1"], span["x1"]), max(facts["y2"], span["y2"]), min(facts["y1"], span["y1"])]
+    whole = corners[0] - corners[1] + corners[2] - corners[3]
+    step = max(2 * (width * height / facts["n"]) ** 0.5, 2 * max(width, height) / facts["n"], facts["extent"] / 8) or size
+    step = max(step, 1e-9 * max(map(abs, corners)))
+    # long things lie denser than their number says
+    margin = min(step / 2, max(4 * width * height / (facts["n"] * facts["extent"]), step / 1000)) if facts["extent"] else step / 2
+    count, out = span["n"], None
     while True:
-        if tiled:
-            tiles = tiled(things, step)
-        else:
-            tiles = things.withColumn("gx", F.explode(_cells(box[0], box[2], step))).withColumn("gy", F.explode(_cells(box[1], box[3], step)))
-        mine = left.withColumn("gx", F.explode(F.sequence(F.floor(F.col("px") / step) - 1, F.floor(F.col("px") / step) + 1)))
-        mine = mine.withColumn("gy", F.explode(F.sequence(F.floor(F.col("py") / step) - 1, F.floor(F.col("py") / step) + 1)))
-        pairs = mine.join(tiles, ["gx", "gy"]).select("point_id", *measure)
-        got = pairs.groupBy("point_id").agg(F.min_by(F.struct("*"), F.struct(*best)).alias("m"))
-        last = step > whole  # then nine cells hold everything
-        near = cut((got if last else got.where(F.col("m.d") <= step)).select("m.*"))
+        tiles = tiled(things, box, step, margin)
+        small = F.broadcast if count <= FEW_PLACES else lambda df: df
+        mine = left.withColumn("gx", F.floor(F.col("px") / step)).withColumn("gy", F.floor(F.col("py") / step))
+        low = measured(small(mine).join(tiles, ["gx", "gy"])).groupBy("px", "py").agg(F.min("d").alias("low"))
+        last = margin > whole  # then a cell holds everything
+        low = cut(low if last else low.where(F.col("low") <= 0.999 * margin))
+        mine = low.withColumn("gx", F.floor(F.col("px") / step)).withColumn("gy", F.floor(F.col("py") / step))
+        # exploded, as a filter on d would be computed from its parts again and again
+        first = F.explode_outer(F.when(F.col("d") == F.col("low"), F.array(F.struct("d", *measure))))
+        pairs = measured(small(mine).join(tiles, ["gx", "gy"])).select("px", "py", first.alias("one")).where("one IS NOT NULL")
+        near = cut(pairs.select("px", "py", "one.*").groupBy("px", "py").agg(F.min_by(F.struct("*"), F.struct(*best)).alias("m")).select("m.*"))
         out = near if out is None else out.unionByName(near)
-        if last:
-            return out
-        left = cut(left.join(near.select("point_id"), "point_id", "left_anti"))
-        if not left.limit(1).count():
-            return out
-        step *= 4
+        if not last:
+            left = cut(left.join(near.select("px", "py"), ["px", "py"], "left_anti"))
+            count = left.count()
+        if last or not count:
+            every = points.join(out, ["px", "py"]).drop("px", "py")
+            return every.groupBy("point_id").agg(F.min_by(F.struct("*"), F.struct(*best)).alias("m")).select("m.*")
+        margin *= 8
+        step = max(step, margin)
 
 
 def snap_to_edges(points: DataFrame, segments: DataFrame, size: float = 25.0) -> DataFrame:
@@ -77,22 +94,28 @@ def snap_to_edges(points: DataFrame, segments: DataFrame, size: float = 25.0) ->
     dx, dy = x2 - x1, y2 - y1
     l2 = dx * dx + dy * dy
     t = F.when(l2 > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((px - x1) * dx + (py - y1) * dy) / F.when(l2 > 0, l2)))).otherwise(F.lit(0.0))
-    qx, qy = x1 + t * dx, y1 + t * dy
-    d = F.sqrt((px - qx) * (px - qx) + (py - qy) * (py - qy))
+    sx, sy = F.col("sx"), F.col("sy")
     box = [F.least("x1", "x2"), F.least("y1", "y2"), F.greatest("x1", "x2"), F.greatest("y1", "y2")]
-    f = F.col("from_f") + t * (F.col("to_f") - F.col("from_f")) if "from_f" in segments.columns else t
-    measure = [F.col("edge_id"), d.alias("d"), f.alias("t"), F.col("cost_m"), qx.alias("sx"), qy.alias("sy")]
-    got = _ring_search(p, segments, box, measure, ["d", "edge_id", "t"], size, overlay.cells_crossed)
+    parts = [c for c in ("from_f", "to_f") if c in segments.columns]
+    f = F.col("from_f") + F.col("t") * (F.col("to_f") - F.col("from_f")) if parts else F.col("t")
+
+    def measured(pairs: DataFrame) -> DataFrame:
+        at = pairs.withColumn("t", t).withColumn("sx", x1 + F.col("t") * dx).withColumn("sy", y1 + F.col("t") * dy)
+        return at.withColumn("d", F.sqrt((px - sx) * (px - sx) + (py - sy) * (py - sy))).withColumn("t", f)
+
+    # of edges in one place the first stands for all
+    own = segments.groupBy("x1", "y1", "x2", "y2").agg(F.min(F.struct("edge_id", *parts, "cost_m")).alias("e")).select("x1", "y1", "x2", "y2", "e.*")
+    got = _ring_search(p, own, box, measured, ["edge_id", "t", "cost_m", "sx", "sy"], ["d", "edge_id", "t"], size, lambda rows, _, step, margin: overlay.cells_crossed(rows, step, margin))
     return got.select("point_id", "edge_id", F.col("d").alias("connector_m"), F.col("t").alias("fraction"), (F.col("t") * F.col("cost_m")).alias("cost_to_u"), ((1 - F.col("t")) * F.col("cost_m")).alias("cost_to_v"), "sx", "sy")
 
 
 def nearest_points(points: DataFrame, targets: DataFrame, size: float = 25.0) -> DataFrame:
     """(point_id, target_id, distance) of the nearest target (target_id, x, y), ties to the smaller id."""
     p = points.select("point_id", F.col("x").alias("px"), F.col("y").alias("py"))
-    t = targets.select("target_id", F.col("x").alias("tx"), F.col("y").alias("ty"))
+    t = targets.groupBy(F.col("x").alias("tx"), F.col("y").alias("ty")).agg(F.min("target_id").alias("target_id"))
     d = F.sqrt((F.col("px") - F.col("tx")) * (F.col("px") - F.col("tx")) + (F.col("py") - F.col("ty")) * (F.col("py") - F.col("ty")))
     box = [F.col("tx"), F.col("ty"), F.col("tx"), F.col("ty")]
-    got = _ring_search(p, t, box, [F.col("target_id"), d.alias("d")], ["d", "target_id"], size)
+    got = _ring_search(p, t, box, lambda pairs: pairs.withColumn("d", d), ["target_id"], ["d", "target_id"], size)
     return got.select("point_id", "target_id", F.col("d").alias("distance"))
 
 

@@ -152,3 +152,48 @@ def test_quantiles_are_exact(spark):
     whole = quantiles.exact_quantiles(df, "v", [0.5], []).first()
     assert whole["q"][0] == pytest.approx(np.median([v for _, v in rows if v is not None and math.isfinite(v)]))
     assert quantiles.exact_quantiles(df.limit(0), "v", [0.5], []).count() == 0
+
+
+def nearest_by_hand(px, py, segments):
+    best = None
+    for e, x1, y1, x2, y2 in segments:
+        dx, dy = x2 - x1, y2 - y1
+        l2 = dx * dx + dy * dy
+        t = max(0.0, min(1.0, ((px - x1) * dx + (py - y1) * dy) / l2)) if l2 > 0 else 0.0
+        qx, qy = x1 + t * dx, y1 + t * dy
+        best = min(best or (math.inf,), (math.sqrt((px - qx) * (px - qx) + (py - qy) * (py - qy)), e, t))
+    return best
+
+
+def test_nearest_search_sorts_no_pairs_and_equals_the_definition(spark, monkeypatch):
+    rng = random.Random(11)
+    xy = lambda: (rng.gauss(0, 100), rng.gauss(0, 100))
+    segments = [(i, *xy(), *xy()) for i in range(300)] + [(300, 5.0, 5.0, 5.0, 5.0), (301, 5.0, 5.0, 5.0, 5.0)]
+    points = [(f"p{i}", *xy()) for i in range(400)] + [("far", 9e5, -7e5), ("spot", 5.0, 5.0), ("again", 5.0, 5.0), ("nan", math.nan, 0.0)]
+    plans, keep = [], spatial.cut
+    monkeypatch.setattr(spatial, "cut", lambda df: (plans.append((df.columns, df._jdf.queryExecution().executedPlan().toString())), keep(df))[1])
+    p, s = spark.createDataFrame(points, "point_id string, x double, y double"), spark.createDataFrame([(*r, 1.0) for r in segments], "edge_id long, x1 double, y1 double, x2 double, y2 double, cost_m double")
+    got = {r.point_id: (r.connector_m, r.edge_id, r.fraction) for r in spatial.snap_to_edges(p, s).collect()}
+    assert got == {i: nearest_by_hand(x, y, segments) for i, x, y in points if i != "nan"}
+    # the least distance is found while the join runs: before, every pair of a place and an edge was sorted, and spilled
+    least = [plan for columns, plan in plans if columns[-1] == "low"]
+    assert least and all("SortAggregate" not in plan for plan in least)
+
+
+def test_things_lie_in_a_bounded_number_of_cells(spark, monkeypatch):
+    """However many there are, and however many share one place."""
+    rng, loads, keep = random.Random(2), [], overlay.cells_crossed
+
+    def counted(rows, *args):
+        tiles = keep(rows, *args)
+        loads.append((rows.count(), tiles.count()))
+        return tiles
+
+    monkeypatch.setattr(overlay, "cells_crossed", counted)
+    for n in (200, 3200):
+        ends = [[rng.uniform(0, 500) for _ in range(4)] for _ in range(n)]
+        s = spark.createDataFrame([(i, *map(float, r), 1.0) for i, r in enumerate(ends + [[1.0, 1.0, 2.0, 2.0]] * n)], "edge_id long, x1 double, y1 double, x2 double, y2 double, cost_m double")
+        p = spark.createDataFrame([(i, 1.0, 2.0) for i in range(n)], "point_id long, x double, y double")
+        got = spatial.snap_to_edges(p, s)
+        assert got.count() == n and got.select("edge_id").distinct().count() == 1
+    assert all(distinct <= 3201 and tiles <= 64 * distinct for distinct, tiles in loads)
