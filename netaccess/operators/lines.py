@@ -13,6 +13,8 @@ from netaccess.operators import overlay, spatial
 from netaccess.operators.lineage import cut
 
 POINT = "struct<x:double,y:double>"
+#: Border cells of a coverage that are sent to the lines' parts; more are joined by shuffling.
+BORDER_CELLS = 100_000
 
 
 def parts(lines: DataFrame) -> DataFrame:
@@ -88,11 +90,12 @@ def coverage(lines: DataFrame, radius: float, size: float, fine: int = 8) -> Dat
     """(layer, gx, gy, share) of grid cells of ``size`` metres that lie within ``radius`` of the layer's lines: share of the cell.
 
     ``lines``: layer, x1, y1, x2, y2 (straight parts). A cell whose centre lies deep inside is whole, one far out is none; of the cells on
-    the border, ``fine`` times ``fine`` sample points say how much. Each part meets only the cells around it.
+    the border, ``fine`` times ``fine`` sample points say how much. Each part meets only the cells that it comes so near to. The cells'
+    distances are summed up where the parts lie, and up to BORDER_CELLS border cells are sent there, so the many cells of the parts are not shuffled.
     """
     half = size * 0.7071067811865476
-    box = lambda a, b: F.sequence(F.floor((F.least(a, b) - radius) / size), F.floor((F.greatest(a, b) + radius) / size))
-    near = lines.select("layer", "x1", "y1", "x2", "y2").withColumn("gx", F.explode(box("x1", "x2"))).withColumn("gy", F.explode(box("y1", "y2")))
+    spread = lines.select("layer", "x1", "y1", "x2", "y2").repartition(4 * lines.sparkSession.sparkContext.defaultParallelism)
+    near = overlay.cells_crossed(cut(spread), size, radius)
 
     def gap(px, py):
         x1, y1, dx, dy = F.col("x1"), F.col("y1"), F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
@@ -102,9 +105,10 @@ def coverage(lines: DataFrame, radius: float, size: float, fine: int = 8) -> Dat
 
     centre = gap((F.col("gx") + 0.5) * size, (F.col("gy") + 0.5) * size)
     near = near.withColumn("d", centre).where(F.col("d") <= radius + half)
-    cells = near.groupBy("layer", "gx", "gy").agg(F.min("d").alias("d"))
+    cells = cut(near.groupBy("layer", "gx", "gy").agg(F.min("d").alias("d")))
     whole = cells.where(F.col("d") <= radius - half).select("layer", "gx", "gy", F.lit(1.0).alias("share"))
-    border = near.join(cells.where(F.col("d") > radius - half).select("layer", "gx", "gy"), ["layer", "gx", "gy"])
+    rim = cells.where(F.col("d") > radius - half).select("layer", "gx", "gy")
+    border = near.join(F.broadcast(rim) if rim.count() <= BORDER_CELLS else rim, ["layer", "gx", "gy"])
     step = F.sequence(F.lit(0), F.lit(fine - 1))
     dots = border.withColumn("i", F.explode(step)).withColumn("j", F.explode(step))
     hit = gap(F.col("gx") * size + (F.col("i") + 0.5) * size / fine, F.col("gy") * size + (F.col("j") + 0.5) * size / fine) <= radius

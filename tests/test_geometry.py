@@ -197,3 +197,13 @@ def test_things_lie_in_a_bounded_number_of_cells(spark, monkeypatch):
         got = spatial.snap_to_edges(p, s)
         assert got.count() == n and got.select("edge_id").distinct().count() == 1
     assert all(distinct <= 3201 and tiles <= 64 * distinct for distinct, tiles in loads)
+
+
+def test_coverage_sends_the_border_alone(spark, monkeypatch):
+    rows = spark.createDataFrame([("a", 0.0, 0.0, 300.0, 200.0), ("a", 0.0, 200.0, 300.0, 0.0), ("b", 7.0, 7.0, 7.0, 7.0)], "layer string, x1 double, y1 double, x2 double, y2 double")
+    seen = lambda: sorted(map(tuple, lines.coverage(rows, 25.0, 10.0).collect()))
+    sent = seen()
+    assert "BroadcastHashJoin" in lines.coverage(rows, 25.0, 10.0)._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(lines, "BORDER_CELLS", 0)
+    assert seen() == sent
+    assert abs(sum(share for la, _, _, share in sent if la == "b") * 100 - math.pi * 625) < 25
