@@ -187,16 +187,17 @@ def linked(outline: DataFrame) -> DataFrame:
     a piece, and its place in it, are found by doubling jumps along the pieces that follow.
     """
     pieces = cut(outline.withColumn("id", F.xxhash64("layer", *ENDS)))
-    n = pieces.count()
     arrive = F.atan2(F.col("y1") - F.col("y2"), F.col("x1") - F.col("x2"))  # back along the piece
     ends = pieces.select("layer", "id", F.col("x2").alias("x"), F.col("y2").alias("y"), arrive.alias("a"))
     leave = pieces.select("layer", F.col("id").alias("next"), F.col("x1").alias("x"), F.col("y1").alias("y"), F.atan2(F.col("y2") - F.col("y1"), F.col("x2") - F.col("x1")).alias("b"))
     turn = F.pmod(F.col("a") - F.col("b"), F.lit(2 * 3.141592653589793))
     follow = ends.join(leave, ["layer", "x", "y"]).groupBy("id").agg(F.min_by("next", F.struct(F.when(turn <= 1e-12, F.lit(7.0)).otherwise(turn), "next")).alias("next"))
     jump = cut(follow.select("id", F.col("next").alias("hop"), F.least("id", "next").alias("low")))
-    for _ in range(max(1, n.bit_length())):
+    fell = True
+    while fell:  # once no least id falls, none falls further on: rounds follow the longest ring, not the number of pieces
         there = jump.select(F.col("id").alias("hop"), F.col("hop").alias("hop2"), F.col("low").alias("low2"))
-        jump = cut(jump.join(there, "hop").select("id", F.col("hop2").alias("hop"), F.least("low", "low2").alias("low")))
+        jump = cut(jump.join(there, "hop").select("id", F.col("hop2").alias("hop"), F.least("low", "low2").alias("low"), (F.col("low2") < F.col("low")).alias("fell")))
+        fell = bool(jump.where("fell").limit(1).count())
     # steps back to the ring's first piece
     walk = cut(follow.join(jump.select("id", "low"), "id").select("id", "low", F.when(F.col("next") == F.col("low"), None).otherwise(F.col("next")).alias("hop"), F.lit(1).alias("left")))
     while walk.where("hop IS NOT NULL").limit(1).count():

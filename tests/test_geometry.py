@@ -207,3 +207,14 @@ def test_coverage_sends_the_border_alone(spark, monkeypatch):
     monkeypatch.setattr(lines, "BORDER_CELLS", 0)
     assert seen() == sent
     assert abs(sum(share for la, _, _, share in sent if la == "b") * 100 - math.pi * 625) < 25
+
+
+def test_linking_takes_rounds_by_the_longest_ring(spark, monkeypatch):
+    """Not by the number of pieces: many small rings were linked in as many rounds as one long ring."""
+    squares = [("L", f"q{i}", box(3 * (i % 40), 3 * (i // 40), 2, 2)) for i in range(400)]
+    out = overlay.cut(sides_of(spark, squares).drop("name"))
+    rounds, keep = [], overlay.cut
+    monkeypatch.setattr(overlay, "cut", lambda df: (rounds.append(df.columns), keep(df))[1])
+    rings = overlay.linked(out).collect()
+    assert len(rings) == 400 and all(r.area == 4.0 and len(r.points) == 4 for r in rings)
+    assert len([c for c in rounds if "hop" in c and "low" in c]) <= 8
