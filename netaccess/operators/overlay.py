@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from netaccess.operators.lineage import cut
+from netaccess.operators.lineage import cut, written
 
 #: Digits that coordinates are rounded to: sides that meet do so in equal numbers.
 GRID = 6
@@ -180,6 +180,176 @@ def outline(faces: DataFrame, inside=covered) -> DataFrame:
     return faces.where(l != r).select("layer", *turn)
 
 
+def oriented(sides: DataFrame) -> DataFrame:
+    """(layer, name, x1, y1, x2, y2): each polygon's own outline, its inside on the left of every side. Polygons don't meet each other here."""
+    alone = sides.select(F.struct("layer", "name").alias("layer"), F.lit("").alias("name"), *ENDS)
+    return outline(faces(alone)).select("layer.layer", "layer.name", *ENDS)
+
+
+def outline_areas(outlines: DataFrame) -> DataFrame:
+    """(layer, name, area) of each polygon of ``oriented``."""
+    return outlines.groupBy("layer", "name").agg(F.sum(_green()).alias("area"))
+
+
+#: Part of a side at which a ray leaves it: far from any simple fraction, where sides tend to meet.
+ANCHOR = 0.381966011250105
+
+
+def _anchor(p: str) -> tuple[Column, Column]:
+    return F.col(p + "x1") + ANCHOR * (F.col(p + "x2") - F.col(p + "x1")), F.col(p + "y1") + ANCHOR * (F.col(p + "y2") - F.col(p + "y1"))
+
+
+def _leftward(p: str, x: Column, y: Column) -> Column:
+    """Above 0 for points on the left of a side, by its length times the distance."""
+    return (F.col(p + "x2") - F.col(p + "x1")) * (y - F.col(p + "y1")) - (F.col(p + "y2") - F.col(p + "y1")) * (x - F.col(p + "x1"))
+
+
+def _square(p: str) -> Column:
+    return (F.col(p + "x2") - F.col(p + "x1")) ** 2 + (F.col(p + "y2") - F.col(p + "y1")) ** 2
+
+
+def _along(p: str, x: Column, y: Column) -> Column:
+    """Place along a side, from 0 to 1."""
+    return ((x - F.col(p + "x1")) * (F.col(p + "x2") - F.col(p + "x1")) + (y - F.col(p + "y1")) * (F.col(p + "y2") - F.col(p + "y1"))) / _square(p)
+
+
+def depths(outlines: DataFrame, marked: Column | None = None) -> DataFrame:
+    """(layer, x1, y1, x2, y2, left, right): pieces of ``oriented`` outlines with how many polygons lie on either side.
+
+    left and right are structs of n, the number of polygons, and marked, that of those for which the condition ``marked`` on layer and name
+    holds. What these numbers decide (unions, differences, what is covered how often) needs no names, so a piece stays a short row however many
+    polygons lie around it. Along a side the number on its left changes only where another side leaves or reaches it there, by that side's own
+    difference of left and right; the number at one place, ``ANCHOR``, comes from a ray. So sides meet in cells once, their changes are summed
+    along each side, and the rays, one a side, meet sides in row bands.
+    """
+    w = ["n"] if marked is None else ["n", "marked"]
+    swap = (F.col("y1") > F.col("y2")) | ((F.col("y1") == F.col("y2")) & (F.col("x1") > F.col("x2")))
+    turned = [F.when(swap, F.col(b)).otherwise(F.col(a)).alias(a) for a, b in zip(ENDS, ["x2", "y2", "x1", "y1"], strict=True)]
+    sign = F.when(swap, -1).otherwise(1)
+    each = outlines.select("layer", *turned, sign.alias("n"), *([] if marked is None else [F.when(marked, sign).otherwise(0).alias("marked")]))
+    # sides in one place stand for one; where as many polygons lie left of it as right, nothing changes
+    whole = each.groupBy("layer", *ENDS).agg(*[F.sum(c).cast("int").alias(c) for c in w]).where(" OR ".join(f"{c} <> 0" for c in w))
+    whole = cut(whole.withColumn("id", F.xxhash64("layer", *ENDS)))
+    size, tol = _spacing(whole), 0.5 * 10.0**-GRID
+    own = lambda p: [F.col(c).alias(p + c) for c in ENDS]
+    px1, py1, px2, py2, qx1, qy1, qx2, qy2 = (F.col(p + c) for p in "pq" for c in ENDS)
+    mx, my = _anchor("p")
+    aside = _leftward("q", mx, my)  # of the anchor; rays and changes ask the same, so they agree
+    level = py1 == py2
+
+    tiles = cells_crossed(whole, size, 10.0**-GRID)
+    keys = ["layer", "gx", "gy"]
+    met = tiles.select(*keys, "id", *own("p")).join(tiles.select(*keys, F.col("id").alias("other"), *own("q"), *w), keys).where(F.col("id") != F.col("other"))
+    near = (qy1 <= py2 + tol) & (py1 <= qy2 + tol) & (F.least(qx1, qx2) <= F.greatest(px1, px2) + tol) & (F.least(px1, px2) <= F.greatest(qx1, qx2) + tol)
+
+    def on(p: str, x: Column, y: Column) -> Column:
+        """Place of a point along a side that it lies on, else null."""
+        k, off = _along(p, x, y), _leftward(p, x, y)
+        return F.when((k >= 0) & (k <= 1) & (off * off <= tol * tol * _square(p)), k)
+
+    # where the sides touch: ends of the other on this one, and this one's ends on the other
+    # neither side's ends lie both beyond the other's line; what is left meets, and that alone is worked out
+    c, e, r, f = ((_leftward("p", qx1, qy1), _leftward("p", qx2, qy2)), (_leftward("q", px1, py1), _leftward("q", px2, py2)), 2 * tol * F.sqrt(_square("p")), 2 * tol * F.sqrt(_square("q")))
+    near = near & (F.least(*c) <= r) & (F.greatest(*c) >= -r) & (F.least(*e) <= f) & (F.greatest(*e) >= -f)
+    met = met.where(near).select("*", on("p", qx1, qy1).alias("k1"), on("p", qx2, qy2).alias("k2"), F.when(on("q", px1, py1).isNotNull(), 0.0).alias("k3"), F.when(on("q", px2, py2).isNotNull(), 1.0).alias("k4"), _leftward("p", qx1, qy1).alias("c1"), _leftward("p", qx2, qy2).alias("c2"))
+    met = met.withColumn("lo", F.least("k1", "k2", "k3", "k4")).withColumn("hi", F.greatest("k1", "k2", "k3", "k4"))
+    k1, k2, lo, hi, c1, c2 = (F.col(c) for c in ("k1", "k2", "lo", "hi", "c1", "c2"))
+    d1, d2 = _leftward("q", px1, py1), _leftward("q", px2, py2)
+    apart = (hi - lo) * (hi - lo) * _square("p") > tol * tol
+    # the same point for both, whichever is asked
+    first = F.col("id") < F.col("other")
+    ax, ay, bx, by, cx, cy, ex, ey = (F.when(first, F.col(f + c)).otherwise(F.col(g + c)) for f, g in ("pq", "qp") for c in ENDS)
+    det = (bx - ax) * (ey - cy) - (by - ay) * (ex - cx)
+    t = ((cx - ax) * (ey - cy) - (cy - ay) * (ex - cx)) / F.when(det != 0, det)
+    same = F.signum((px2 - px1) * (qx2 - qx1) + (py2 - py1) * (qy2 - qy1)).cast("int")
+    at = lambda k: F.when(k1 == k, F.struct(qx1.alias("x"), qy1.alias("y"))).when(k2 == k, F.struct(qx2.alias("x"), qy2.alias("y"))).when(k == 0, F.struct(px1.alias("x"), py1.alias("y"))).otherwise(F.struct(px2.alias("x"), py2.alias("y")))
+    nothing = F.lit(0)
+
+    def change(point: Column, turns: Column, along: Column, before: Column | None = None) -> Column:
+        """A change at a point: of the left by ``turns`` times the other's difference, of this side's own difference by ``along`` times it."""
+        k = _along("p", point["x"], point["y"])
+        early = before if before is not None else k < ANCHOR
+        out = [k.alias("k"), point["x"].alias("x"), point["y"].alias("y"), F.when(F.col("other") < F.col("id"), along).otherwise(nothing).alias("same")]
+        for c in w:
+            l, own = F.col(c) * turns, F.col(c) * along * same
+            out += [l.alias(c + "_l"), own.alias(c + "_w"), F.when(early, F.when(level, nothing).otherwise(own) - l).otherwise(nothing).alias(c + "_b")]
+        return F.struct(*out)
+
+    one, less = F.lit(1), F.lit(-1)
+    crossing = F.struct(F.round(ax + t * (bx - ax), GRID).alias("x"), F.round(ay + t * (by - ay), GRID).alias("y"))
+    inner = (lo > 0) & (lo < 1)
+    changes = (
+        F.when(apart, F.array(change(at(lo), nothing, one), change(at(hi), nothing, less)))
+        .when(lo.isNotNull() & inner & k1.isNotNull() & (c2 > 0), F.array(change(at(lo), less, nothing)))
+        .when(lo.isNotNull() & inner & k2.isNotNull() & (c1 > 0), F.array(change(at(lo), one, nothing)))
+        .when(lo.isNull() & (c1 * c2 < 0) & (d1 * d2 < 0), F.array(change(crossing, F.when(c2 > 0, less).otherwise(one), nothing, F.signum(aside) != F.signum(d1))))
+    )
+    # two sides meet in each cell that both pass; the one that holds the point counts
+    here = (F.floor(F.col("e")[0]["x"] / size) == F.col("gx")) & (F.floor(F.col("e")[0]["y"] / size) == F.col("gy"))
+    events = met.select("id", "gx", "gy", F.explode(F.array(changes)).alias("e")).where("e IS NOT NULL").where(here).select("id", F.explode("e").alias("e")).select("id", "e.*")
+
+    # one ray a side: to the right, or upwards from a level side
+    def rays(across: bool) -> DataFrame:
+        band = max(size / 2, 10.0**-GRID)
+        mine = whole.select("layer", "id", *own("p")).where(level if across else ~level)
+        mine = mine.withColumn("band", F.floor((mx if across else my) / band))
+        a, b, m = (qx1, qx2, mx) if across else (qy1, qy2, my)
+        rest = whole.select("layer", F.col("id").alias("other"), *own("q"), *w).where(a != b).withColumn("band", F.explode(F.sequence(F.floor(F.least(a, b) / band), F.floor(F.greatest(a, b) / band))))
+        turn = F.signum(qx2 - qx1).cast("int") if across else F.lit(-1)
+        met = mine.join(rest, ["layer", "band"]).where((F.col("id") != F.col("other")) & ((a > m) != (b > m)) & (aside * turn < 0))
+        # sides that lie on this one are its own difference
+        det = (px2 - px1) * (qy2 - qy1) - (py2 - py1) * (qx2 - qx1)
+        met = met.where(~((aside * aside <= tol * tol * _square("q")) & (det * det <= 400 * tol * tol * F.greatest(_square("p"), _square("q")))))
+        return met.groupBy("id").agg(*[F.sum(-F.col(c) * turn).cast("int").alias(c + "_b") for c in w])
+
+    zero = lambda names: [nothing.alias(c) for c in names]
+    seen = rays(False).unionByName(rays(True)).select("id", F.lit(-1.0).alias("k"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), nothing.alias("same"), *[x for c in w for x in (*zero([c + "_l", c + "_w"]), F.col(c + "_b"))])
+    flat = F.col("y1") == F.col("y2")
+    begin = whole.select("id", F.lit(0.0).alias("k"), F.col("x1").alias("x"), F.col("y1").alias("y"), nothing.alias("same"), *[x for c in w for x in (*zero([c + "_l"]), F.col(c).alias(c + "_w"), F.when(flat, nothing).otherwise(F.col(c)).alias(c + "_b"))])
+    end = whole.select("id", F.lit(1.0).alias("k"), F.col("x2").alias("x"), F.col("y2").alias("y"), nothing.alias("same"), *[x for c in w for x in zero([c + "_l", c + "_w", c + "_b"])])
+    rows = events.unionByName(begin).unionByName(end).unionByName(seen)
+    side = Window.partitionBy("id").orderBy("k")
+    so_far, all_of_it = side.rowsBetween(Window.unboundedPreceding, 0), side.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    for c in w:
+        rows = rows.withColumn(c + "_left", F.sum(c + "_b").over(all_of_it) + F.sum(c + "_l").over(so_far)).withColumn(c + "_own", F.sum(c + "_w").over(so_far))
+    rows = rows.withColumn("others", F.sum("same").over(so_far)).withColumn("to", F.lead(F.struct("x", "y")).over(side)).where("k >= 0 AND to IS NOT NULL AND (x <> to.x OR y <> to.y)")
+    # of sides that lie on each other the first gives the piece
+    rows = rows.where("others = 0").where(" OR ".join(f"{c}_own <> 0" for c in w))
+    number = lambda f: F.struct(*[(f(c) if c in w else F.lit(0).cast("long")).alias(c) for c in ("n", "marked")])
+    out = rows.select("id", F.col("x").alias("x1"), F.col("y").alias("y1"), F.col("to.x").alias("x2"), F.col("to.y").alias("y2"), number(lambda c: F.col(c + "_left")).alias("left"), number(lambda c: F.col(c + "_left") - F.col(c + "_own")).alias("right"))
+    return out.join(whole.select("id", "layer"), "id").select("layer", *ENDS, "left", "right")
+
+
+def pair_overlaps(outlines: DataFrame) -> DataFrame:
+    """(layer, a, b, area) of every two polygons of ``oriented`` whose boxes overlap, the smaller name first; the area may be 0.
+
+    A polygon is the sum of what lies beneath its sides, those that go left less those that go right; two polygons share the sum over their
+    sides, two by two, of what lies beneath both. Polygons meet once, in the first grid cell that their boxes share; a row holds two polygons.
+    """
+    span = [F.min(F.least("x1", "x2")).alias("bx1"), F.min(F.least("y1", "y2")).alias("by1"), F.max(F.greatest("x1", "x2")).alias("bx2"), F.max(F.greatest("y1", "y2")).alias("by2")]
+    side = F.when(F.col("x1") != F.col("x2"), F.struct(F.least("x1", "x2").alias("lo"), F.greatest("x1", "x2").alias("hi"), "x1", "y1", ((F.col("y2") - F.col("y1")) / F.when(F.col("x1") != F.col("x2"), F.col("x2") - F.col("x1"))).alias("slope"), F.when(F.col("x2") < F.col("x1"), 1.0).otherwise(-1.0).alias("s")))
+    whole = cut(outlines.groupBy("layer", "name").agg(F.collect_list(side).alias("sides"), *span))
+    mean = whole.agg(F.avg(F.greatest(F.col("bx2") - F.col("bx1"), F.col("by2") - F.col("by1"))).alias("m")).first()["m"]
+    size = max(mean or 1.0, 10.0**-GRID)
+    cell = lambda c: F.floor(F.col(c) / size)
+    tiles = whole.withColumn("gx", F.explode(F.sequence(cell("bx1"), cell("bx2")))).withColumn("gy", F.explode(F.sequence(cell("by1"), cell("by2"))))
+    keys, box = ["layer", "gx", "gy"], ["bx1", "by1", "bx2", "by2"]
+    one = lambda p: tiles.select(*keys, F.col("name").alias(p), F.col("sides").alias(p + "_sides"), *[F.col(c).alias(p + c) for c in box])
+    met = one("a").join(one("b"), keys).where("a < b AND abx1 < bbx2 AND bbx1 < abx2 AND aby1 < bby2 AND bby1 < aby2")
+    met = met.where((F.col("gx") == F.floor(F.greatest("abx1", "bbx1") / size)) & (F.col("gy") == F.floor(F.greatest("aby1", "bby1") / size)))
+    base = F.greatest("aby1", "bby1")
+
+    pairs = met.select("layer", "a", "b", base.alias("base"), "b_sides", F.explode("a_sides").alias("i")).select("layer", "a", "b", "base", "i", F.explode("b_sides").alias("j"))
+    lo, hi = F.greatest("i.lo", "j.lo"), F.least("i.hi", "j.hi")
+    y = lambda c, x: F.col(c + ".y1") + (F.col(x) - F.col(c + ".x1")) * F.col(c + ".slope") - F.col("base")
+    ends = pairs.where(lo < hi).select("layer", "a", "b", "base", "i", "j", lo.alias("lo"), hi.alias("hi"))
+    il, ih, jl, jh = y("i", "lo"), y("i", "hi"), y("j", "lo"), y("j", "hi")
+    ends = ends.select("layer", "a", "b", (F.col("i.s") * F.col("j.s") * (F.col("hi") - F.col("lo"))).alias("wide"), (il + ih + jl + jh).alias("high"), (il - jl).alias("dl"), (ih - jh).alias("dh"))
+    dl, dh = F.col("dl"), F.col("dh")
+    gap = F.when(dl * dh >= 0, F.abs(dl + dh)).otherwise((dl * dl + dh * dh) / (F.abs(dl) + F.abs(dh)))
+    return ends.groupBy("layer", "a", "b").agg(F.sum(F.col("wide") * (F.col("high") - gap) / 4).alias("area"))
+
+
 def linked(outline: DataFrame) -> DataFrame:
     """Rings of an outline: layer, ring (number), points (first not repeated), area: above 0 for outer rings, below for holes.
 
@@ -192,17 +362,17 @@ def linked(outline: DataFrame) -> DataFrame:
     leave = pieces.select("layer", F.col("id").alias("next"), F.col("x1").alias("x"), F.col("y1").alias("y"), F.atan2(F.col("y2") - F.col("y1"), F.col("x2") - F.col("x1")).alias("b"))
     turn = F.pmod(F.col("a") - F.col("b"), F.lit(2 * 3.141592653589793))
     follow = ends.join(leave, ["layer", "x", "y"]).groupBy("id").agg(F.min_by("next", F.struct(F.when(turn <= 1e-12, F.lit(7.0)).otherwise(turn), "next")).alias("next"))
-    jump = cut(follow.select("id", F.col("next").alias("hop"), F.least("id", "next").alias("low")))
+    jump = written(follow.select("id", F.col("next").alias("hop"), F.least("id", "next").alias("low")))
     fell = True
     while fell:  # once no least id falls, none falls further on: rounds follow the longest ring, not the number of pieces
         there = jump.select(F.col("id").alias("hop"), F.col("hop").alias("hop2"), F.col("low").alias("low2"))
-        jump = cut(jump.join(there, "hop").select("id", F.col("hop2").alias("hop"), F.least("low", "low2").alias("low"), (F.col("low2") < F.col("low")).alias("fell")))
+        jump = written(jump.join(there, "hop").select("id", F.col("hop2").alias("hop"), F.least("low", "low2").alias("low"), (F.col("low2") < F.col("low")).alias("fell")))
         fell = bool(jump.where("fell").limit(1).count())
     # steps back to the ring's first piece
-    walk = cut(follow.join(jump.select("id", "low"), "id").select("id", "low", F.when(F.col("next") == F.col("low"), None).otherwise(F.col("next")).alias("hop"), F.lit(1).alias("left")))
+    walk = written(follow.join(jump.select("id", "low"), "id").select("id", "low", F.when(F.col("next") == F.col("low"), None).otherwise(F.col("next")).alias("hop"), F.lit(1).alias("left")))
     while walk.where("hop IS NOT NULL").limit(1).count():
         there = walk.select(F.col("id").alias("hop"), F.col("hop").alias("hop2"), F.col("left").alias("more"))
-        walk = cut(walk.join(there, "hop", "left").select("id", "low", F.col("hop2").alias("hop"), (F.col("left") + F.coalesce("more", F.lit(0))).alias("left")))
+        walk = written(walk.join(there, "hop", "left").select("id", "low", F.col("hop2").alias("hop"), (F.col("left") + F.coalesce("more", F.lit(0))).alias("left")))
     rows = pieces.join(walk.select("id", "low", "left"), "id")
     rings = rows.groupBy("layer", "low").agg(F.sort_array(F.collect_list(F.struct((-F.col("left")).alias("k"), F.col("x1").alias("x"), F.col("y1").alias("y")))).alias("p"), F.sum(_green()).alias("area"))
     number = F.row_number().over(Window.partitionBy("layer").orderBy(F.desc("area"), "low"))

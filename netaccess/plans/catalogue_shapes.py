@@ -34,17 +34,19 @@ def diamonds(spark: SparkSession, d: str) -> DataFrame:
 FROM dia x JOIN dia y ON x.label = y.label AND CAST(x.id AS VARCHAR) < CAST(y.id AS VARCHAR) AND least(x.u2, y.u2) > greatest(x.u1, y.u1) AND least(x.v2, y.v2) > greatest(x.v1, y.v1)""")
 def polygon_overlaps(spark: SparkSession, d: str) -> DataFrame:
     """Every two polygons of a layer that overlap, with the area of their intersection."""
-    return overlay.overlaps(overlay.faces(diamonds(spark, d))).withColumn("area", F.round("area", 4)).where("area > 0")
+    return overlay.pair_overlaps(overlay.oriented(diamonds(spark, d))).withColumn("area", F.round("area", 4)).where("area > 0")
 
 
 @query(f"""WITH {DIAMONDS}, one AS (SELECT label, sum((u2 - u1) * (v2 - v1) / 2) AS s FROM dia GROUP BY 1)
 SELECT label AS layer, round(sum(a), 4) AS union_area, round(coalesce(sum(a) FILTER (WHERE n = 1), 0), 4) AS once, round(coalesce(sum(a) FILTER (WHERE n > 1), 0), 4) AS several, round(max(s), 4) AS single_areas FROM cells JOIN one USING (label) GROUP BY label""")
 def polygon_union(spark: SparkSession, d: str) -> DataFrame:
     """Each layer's union, dissolved to rings; what one and what several of its polygons cover; and the sum of their own areas."""
-    f = cut(overlay.faces(diamonds(spark, d)))
-    rings = overlay.linked(overlay.outline(f)).groupBy("layer").agg(F.round(F.sum("area"), 4).alias("union_area"))
-    once, several = (overlay.area_where(f, on).withColumnRenamed("area", c) for c, on in (("once", lambda n: F.size(n) == 1), ("several", lambda n: F.size(n) > 1)))
-    own = overlay.areas(f).groupBy("layer").agg(F.round(F.sum("area"), 4).alias("single_areas"))
+    outlines = cut(overlay.oriented(diamonds(spark, d)))
+    # pieces deep inside bound neither the union nor what is covered once
+    f = cut(overlay.depths(outlines).where(F.least("left.n", "right.n") < 2))
+    rings = overlay.linked(overlay.outline(f, lambda n: n["n"] > 0)).groupBy("layer").agg(F.round(F.sum("area"), 4).alias("union_area"))
+    once, several = (overlay.area_where(f, on).withColumnRenamed("area", c) for c, on in (("once", lambda n: n["n"] == 1), ("several", lambda n: n["n"] > 1)))
+    own = overlay.outline_areas(outlines).groupBy("layer").agg(F.round(F.sum("area"), 4).alias("single_areas"))
     return rings.join(once, "layer").join(several, "layer").join(own, "layer").select("layer", "union_area", F.round("once", 4).alias("once"), F.round("several", 4).alias("several"), "single_areas")
 
 
@@ -56,7 +58,8 @@ def polygon_difference(spark: SparkSession, d: str) -> DataFrame:
     sides = diamonds(spark, d)
     first = sides.groupBy("layer").agg(F.min(F.col("name").cast("long")).cast("string").alias("first"))
     marked = sides.join(first, "layer").withColumn("name", F.when(F.col("name") == F.col("first"), F.lit("first")).otherwise(F.col("name"))).drop("first")
-    left = overlay.area_where(overlay.faces(marked), lambda n: (F.size(n) > 0) & ~F.array_contains(n, "first"))
+    pieces = overlay.depths(overlay.oriented(marked), F.col("name") == "first")
+    left = overlay.area_where(pieces, lambda n: (n["n"] > 0) & (n["marked"] == 0))
     return left.select("layer", F.round("area", 4).alias("rest"))
 
 
