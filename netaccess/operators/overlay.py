@@ -1,4 +1,4 @@
-"""Overlay of polygons of any shape: union, difference, overlaps, rings with holes, points inside. Native expressions.
+"""Overlay of polygons of any shape: union, difference, overlaps, rings with holes, points inside.
 
 Polygons come as sides (layer, name, x1, y1, x2, y2), filled by the even-odd rule; polygons meet within their layer alone, so
 many overlays (one for each map relation, say) run as one. All sides are cut where they meet others (grid cells find the
@@ -10,6 +10,10 @@ Coordinates are on a grid of ``GRID`` metres.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -208,9 +212,60 @@ def _square(p: str) -> Column:
     return (F.col(p + "x2") - F.col(p + "x1")) ** 2 + (F.col(p + "y2") - F.col(p + "y1")) ** 2
 
 
-def _along(p: str, x: Column, y: Column) -> Column:
-    """Place along a side, from 0 to 1."""
-    return ((x - F.col(p + "x1")) * (F.col(p + "x2") - F.col(p + "x1")) + (y - F.col(p + "y1")) * (F.col(p + "y2") - F.col(p + "y1"))) / _square(p)
+def _changes(names: list[str], size: float, tol: float):
+    """What a side (p) that meets another (q) in a grid cell sees change there, for batches of pairs: nothing, one change, or two where one lies on the other.
+
+    Changes: the place k along the side and its point; ``same``, how many sides of smaller id lie on it; for each number of polygons ``_l``, on the left,
+    ``_w``, the side's own difference of left and right, and ``_b``, what that means for its first piece when the anchor's number is known.
+    Arrays, as one expression for all this is more than the virtual machine compiles.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            v = {c: rows[c].to_numpy() for c in rows.columns}
+            (px1, py1, px2, py2), (qx1, qy1, qx2, qy2) = ([v[p + c] for c in ENDS] for p in "pq")
+            dx, dy, ex, ey = px2 - px1, py2 - py1, qx2 - qx1, qy2 - qy1
+            pp, qq = dx * dx + dy * dy, ex * ex + ey * ey
+
+            def on(ax, ay, bx, by, square, x, y):
+                """Place of a point along a side, or nan where it lies off; and by how much it lies on the left."""
+                k, off = ((x - ax) * bx + (y - ay) * by) / square, bx * (y - ay) - by * (x - ax)
+                return np.where((k >= 0) & (k <= 1) & (off * off <= tol * tol * square), k, np.nan), off
+
+            (k1, c1), (k2, c2) = on(px1, py1, dx, dy, pp, qx1, qy1), on(px1, py1, dx, dy, pp, qx2, qy2)
+            (h1, d1), (h2, d2) = on(qx1, qy1, ex, ey, qq, px1, py1), on(qx1, qy1, ex, ey, qq, px2, py2)
+            # where they touch: ends of the other on this one, and this one's ends on the other
+            k = np.stack([k1, k2, np.where(np.isnan(h1), np.nan, 0.0), np.where(np.isnan(h2), np.nan, 1.0)])
+            xs, ys, each = np.stack([qx1, qx2, px1, px2]), np.stack([qy1, qy2, py1, py2]), np.arange(len(rows))
+            low, high = np.where(np.isnan(k), np.inf, k).argmin(0), np.where(np.isnan(k), -np.inf, k).argmax(0)
+            lo, hi = k[low, each], k[high, each]
+            off = np.isnan(lo)
+            apart = ~off & ((hi - lo) ** 2 * pp > tol * tol)
+            end = ~off & ~apart & (lo > 0) & (lo < 1)
+            leaves, comes = end & ~np.isnan(k1) & (c2 > 0), end & np.isnan(k1) & ~np.isnan(k2) & (c1 > 0)
+            cross = off & (c1 * c2 < 0) & (d1 * d2 < 0)
+            # the same point for both sides, whichever is asked
+            first = v["id"] < v["other"]
+            ax, bx, ay, by = np.where(first, px1, qx1), np.where(first, dx, ex), np.where(first, py1, qy1), np.where(first, dy, ey)
+            cx, fx, cy, fy = np.where(first, qx1, px1), np.where(first, ex, dx), np.where(first, qy1, py1), np.where(first, ey, dy)
+            det = bx * fy - by * fx
+            t = ((cx - ax) * fy - (cy - ay) * fx) / np.where(det == 0, np.nan, det)
+            x, y = np.where(cross, np.round(ax + t * bx, GRID), xs[low, each]), np.where(cross, np.round(ay + t * by, GRID), ys[low, each])
+            # two sides meet in each cell that both pass; the one that holds the point counts
+            here = (np.floor(x / size) == v["gx"]) & (np.floor(y / size) == v["gy"])
+            turns = np.where(leaves | (cross & (c2 > 0)), -1, np.where(comes | cross, 1, 0))
+            aside = ex * (py1 + ANCHOR * (py2 - py1) - qy1) - ey * (px1 + ANCHOR * (px2 - px1) - qx1)
+            same, level = np.where(dx * ex + dy * ey > 0, 1, -1), dy == 0
+            for chosen, point_x, point_y, along in ((here & (leaves | comes | cross | apart), x, y, np.where(apart, 1, 0)), (here & apart, xs[high, each], ys[high, each], np.where(apart, -1, 0))):
+                place = ((point_x - px1) * dx + (point_y - py1) * dy) / pp
+                early = np.where(cross, np.sign(aside) != np.sign(d1), place < ANCHOR)
+                out = {"id": v["id"], "k": place, "x": point_x, "y": point_y, "same": np.where(v["other"] < v["id"], along, 0)}
+                for c in names:
+                    moved, own = v[c] * turns, v[c] * along * same
+                    out |= {c + "_l": moved, c + "_w": own, c + "_b": np.where(early, np.where(level, 0, own) - moved, 0)}
+                yield pd.DataFrame({n: a[chosen] for n, a in out.items()})
+
+    return run
 
 
 def depths(outlines: DataFrame, marked: Column | None = None) -> DataFrame:
@@ -242,51 +297,14 @@ def depths(outlines: DataFrame, marked: Column | None = None) -> DataFrame:
     met = tiles.select(*keys, "id", *own("p")).join(tiles.select(*keys, F.col("id").alias("other"), *own("q"), *w), keys).where(F.col("id") != F.col("other"))
     near = (qy1 <= py2 + tol) & (py1 <= qy2 + tol) & (F.least(qx1, qx2) <= F.greatest(px1, px2) + tol) & (F.least(px1, px2) <= F.greatest(qx1, qx2) + tol)
 
-    def on(p: str, x: Column, y: Column) -> Column:
-        """Place of a point along a side that it lies on, else null."""
-        k, off = _along(p, x, y), _leftward(p, x, y)
-        return F.when((k >= 0) & (k <= 1) & (off * off <= tol * tol * _square(p)), k)
-
-    # where the sides touch: ends of the other on this one, and this one's ends on the other
     # neither side's ends lie both beyond the other's line; what is left meets, and that alone is worked out
     c, e, r, f = ((_leftward("p", qx1, qy1), _leftward("p", qx2, qy2)), (_leftward("q", px1, py1), _leftward("q", px2, py2)), 2 * tol * F.sqrt(_square("p")), 2 * tol * F.sqrt(_square("q")))
     near = near & (F.least(*c) <= r) & (F.greatest(*c) >= -r) & (F.least(*e) <= f) & (F.greatest(*e) >= -f)
-    met = met.where(near).select("*", on("p", qx1, qy1).alias("k1"), on("p", qx2, qy2).alias("k2"), F.when(on("q", px1, py1).isNotNull(), 0.0).alias("k3"), F.when(on("q", px2, py2).isNotNull(), 1.0).alias("k4"), _leftward("p", qx1, qy1).alias("c1"), _leftward("p", qx2, qy2).alias("c2"))
-    met = met.withColumn("lo", F.least("k1", "k2", "k3", "k4")).withColumn("hi", F.greatest("k1", "k2", "k3", "k4"))
-    k1, k2, lo, hi, c1, c2 = (F.col(c) for c in ("k1", "k2", "lo", "hi", "c1", "c2"))
-    d1, d2 = _leftward("q", px1, py1), _leftward("q", px2, py2)
-    apart = (hi - lo) * (hi - lo) * _square("p") > tol * tol
-    # the same point for both, whichever is asked
-    first = F.col("id") < F.col("other")
-    ax, ay, bx, by, cx, cy, ex, ey = (F.when(first, F.col(f + c)).otherwise(F.col(g + c)) for f, g in ("pq", "qp") for c in ENDS)
-    det = (bx - ax) * (ey - cy) - (by - ay) * (ex - cx)
-    t = ((cx - ax) * (ey - cy) - (cy - ay) * (ex - cx)) / F.when(det != 0, det)
-    same = F.signum((px2 - px1) * (qx2 - qx1) + (py2 - py1) * (qy2 - qy1)).cast("int")
-    at = lambda k: F.when(k1 == k, F.struct(qx1.alias("x"), qy1.alias("y"))).when(k2 == k, F.struct(qx2.alias("x"), qy2.alias("y"))).when(k == 0, F.struct(px1.alias("x"), py1.alias("y"))).otherwise(F.struct(px2.alias("x"), py2.alias("y")))
-    nothing = F.lit(0)
+    met = met.where(near).select("id", "other", "gx", "gy", *["p" + c for c in ENDS], *["q" + c for c in ENDS], *w)
+    of_each = ", ".join(f"{c}_l int, {c}_w int, {c}_b int" for c in w)
+    events = met.mapInPandas(_changes(w, size, tol), f"id long, k double, x double, y double, same int, {of_each}")
 
-    def change(point: Column, turns: Column, along: Column, before: Column | None = None) -> Column:
-        """A change at a point: of the left by ``turns`` times the other's difference, of this side's own difference by ``along`` times it."""
-        k = _along("p", point["x"], point["y"])
-        early = before if before is not None else k < ANCHOR
-        out = [k.alias("k"), point["x"].alias("x"), point["y"].alias("y"), F.when(F.col("other") < F.col("id"), along).otherwise(nothing).alias("same")]
-        for c in w:
-            l, own = F.col(c) * turns, F.col(c) * along * same
-            out += [l.alias(c + "_l"), own.alias(c + "_w"), F.when(early, F.when(level, nothing).otherwise(own) - l).otherwise(nothing).alias(c + "_b")]
-        return F.struct(*out)
-
-    one, less = F.lit(1), F.lit(-1)
-    crossing = F.struct(F.round(ax + t * (bx - ax), GRID).alias("x"), F.round(ay + t * (by - ay), GRID).alias("y"))
-    inner = (lo > 0) & (lo < 1)
-    changes = (
-        F.when(apart, F.array(change(at(lo), nothing, one), change(at(hi), nothing, less)))
-        .when(lo.isNotNull() & inner & k1.isNotNull() & (c2 > 0), F.array(change(at(lo), less, nothing)))
-        .when(lo.isNotNull() & inner & k2.isNotNull() & (c1 > 0), F.array(change(at(lo), one, nothing)))
-        .when(lo.isNull() & (c1 * c2 < 0) & (d1 * d2 < 0), F.array(change(crossing, F.when(c2 > 0, less).otherwise(one), nothing, F.signum(aside) != F.signum(d1))))
-    )
-    # two sides meet in each cell that both pass; the one that holds the point counts
-    here = (F.floor(F.col("e")[0]["x"] / size) == F.col("gx")) & (F.floor(F.col("e")[0]["y"] / size) == F.col("gy"))
-    events = met.select("id", "gx", "gy", F.explode(F.array(changes)).alias("e")).where("e IS NOT NULL").where(here).select("id", F.explode("e").alias("e")).select("id", "e.*")
+    nothing = F.lit(0)
 
     # one ray a side: to the right, or upwards from a level side
     def rays(across: bool) -> DataFrame:
