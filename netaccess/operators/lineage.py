@@ -32,6 +32,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def dealt(df: DataFrame, parts: int, *keys: str) -> DataFrame:
+    """A checkpoint dealt out by keys and sorted by them, that joins on these keys read as it lies; that of an adaptive plan forgets how its rows are dealt."""
+    conf, name = df.sparkSession.conf, "spark.sql.adaptive.enabled"
+    was = conf.get(name)
+    conf.set(name, "false")
+    try:
+        return cut(df.repartition(parts, *keys).sortWithinPartitions(*keys))
+    finally:
+        conf.set(name, was)
+
+
 def written(df: DataFrame) -> DataFrame:
     """The rows as a table in the shared folder, for loops of joins.
 

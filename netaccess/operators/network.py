@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import heapq
 import math
+from collections.abc import Iterator
 from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from netaccess.operators.lineage import cut
+from netaccess.operators.lineage import cut, dealt
 from netaccess.operators.quantiles import exact_quantiles
 
 #: Positions on an edge closer than this are one, in metres.
@@ -19,6 +20,8 @@ EPSILON = 1e-6
 WORKER_EDGES = 100_000
 #: Width of a distance bucket of the distributed search, in mean edges.
 BUCKET_EDGES = 8.0
+#: Directed edges of a task of the distributed search, about.
+TASK_EDGES = 100_000
 
 
 def canonical_edges(records: DataFrame) -> DataFrame:
@@ -111,32 +114,32 @@ def splice(edges: DataFrame, snaps: DataFrame) -> DataFrame:
     "s<edge>:<k>" for spliced ones. Returns (mode, edge_id, fraction, node, connector_m), connector_m only
     where a source enters.
     """
-    rows = snaps.join(edges.select("edge_id", "u", "v", "cost_m"), "edge_id").select("mode", "edge_id", "u", "v", "cost_m", "point_id", "fraction", "connector_m")
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["fraction", "point_id"])
-        first = pdf.iloc[0]
-        cost, out = float(first["cost_m"]), []
-        u, v = f"n{first['u']}", f"n{first['v']}"
-        out += [(0.0, u, None), (1.0, v, None)]
-        kept, node, k = None, None, 0
-        for f, con in zip(pdf["fraction"], pdf["connector_m"], strict=True):
-            pos = f * cost
-            if pos <= EPSILON:
-                out.append((0.0, u, con))
-            elif cost - pos <= EPSILON:
-                out.append((1.0, v, con))
-            else:
-                if kept is None or pos - kept > EPSILON:
-                    kept, node = pos, f"s{first['edge_id']}:{k}"
-                    k += 1
-                out.append((kept / cost, node, con))
-        got = pd.DataFrame(out, columns=["fraction", "node", "connector_m"])
-        got.insert(0, "mode", first["mode"])
-        got.insert(1, "edge_id", first["edge_id"])
-        return got
-
-    return rows.groupBy("mode", "edge_id").applyInPandas(walk, "mode string, edge_id long, fraction double, node string, connector_m double")
+    rows = snaps.join(edges.select("edge_id", "u", "v", "cost_m"), "edge_id")
+    # an edge is a row, as a call for each of many edges costs more than the walk; dealt to all cores, as Spark would take the few bytes for one
+    each = rows.groupBy("mode", "edge_id", "u", "v", "cost_m").agg(F.sort_array(F.collect_list(F.struct("fraction", "point_id", "connector_m"))).alias("at"))
+    each = each.repartition(each.sparkSession.sparkContext.defaultParallelism)
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for mode, edge, un, vn, cost, sources in zip(pdf["mode"], pdf["edge_id"], pdf["u"], pdf["v"], pdf["cost_m"], pdf["at"], strict=True):
+                u, v = f"n{un}", f"n{vn}"
+                out += [(mode, edge, 0.0, u, None), (mode, edge, 1.0, v, None)]
+                kept, node, k = None, None, 0
+                for source in sources:
+                    pos, con = source["fraction"] * cost, source["connector_m"]
+                    if pos <= EPSILON:
+                        out.append((mode, edge, 0.0, u, con))
+                    elif cost - pos <= EPSILON:
+                        out.append((mode, edge, 1.0, v, con))
+                    else:
+                        if kept is None or pos - kept > EPSILON:
+                            kept, node = pos, f"s{edge}:{k}"
+                            k += 1
+                        out.append((mode, edge, kept / cost, node, con))
+            yield pd.DataFrame(out, columns=["mode", "edge_id", "fraction", "node", "connector_m"])
+
+    return each.mapInPandas(walk, "mode string, edge_id long, fraction double, node string, connector_m double")
 
 
 def break_table(edges: DataFrame, spliced: DataFrame, modes: list[str]) -> DataFrame:
@@ -218,15 +221,20 @@ def delta_stepping(adj: DataFrame, entries: DataFrame, delta: float | None = Non
     table of their own for each bucket, and relax their heavy edges once. Edges have no direction, so a node that
     is settled already and that a bucket can reach lies no further back than the longest edge: only the tables of these buckets are
     met. Buckets number at most largest distance / delta; empty ones are skipped.
+
+    Edges and nodes are dealt out by node in as many parts, and edges stay where they are: a round shuffles the nodes that it
+    reaches, not the edges.
     """
+    adj = cut(adj)
     both = adj.select("mode", "a", "b", "w").unionByName(adj.select("mode", F.col("b").alias("a"), F.col("a").alias("b"), "w"))
-    both = cut(both.repartition("mode", "a"))
+    parts = max(adj.sparkSession.sparkContext.defaultParallelism, -(-2 * adj.count() // TASK_EDGES))
+    both = dealt(both, parts, "mode", "a")
     facts = both.agg(F.avg("w").alias("mean"), F.max("w").alias("most")).first()
     delta = delta or BUCKET_EDGES * (facts["mean"] or 1.0) or 1.0
     light, heavy = both.where(F.col("w") <= delta), both.where(F.col("w") > delta)
     any_heavy, back = (facts["most"] or 0.0) > delta, math.ceil((facts["most"] or 0.0) / delta) + 1
     state = F.struct("distance", "before")
-    opened = cut(entries.select("mode", "node", F.col("cost").alias("distance"), F.lit(None).cast("string").alias("before"), F.lit(True).alias("fresh")))
+    opened = cut(entries.select("mode", "node", F.col("cost").alias("distance"), F.lit(None).cast("string").alias("before"), F.lit(True).alias("fresh")).repartition(parts, "mode", "node"))
     settled: list[tuple[int, DataFrame]] = []
 
     def relaxed(front: DataFrame, edges: DataFrame, done: list[DataFrame]) -> DataFrame:
@@ -237,7 +245,7 @@ def delta_stepping(adj: DataFrame, entries: DataFrame, delta: float | None = Non
             old = reduce(DataFrame.unionByName, [t.select("mode", "node") for t in done])
             step = step.join(old, ["mode", "node"], "left_anti")
         rows = opened.select("mode", "node", state.alias("s"), F.col("distance").alias("was")).unionByName(step.select("mode", "node", state.alias("s"), F.lit(None).cast("double").alias("was")))
-        best = rows.groupBy("mode", "node").agg(F.min("s").alias("s"), F.min("was").alias("was"))
+        best = rows.repartition(parts, "mode", "node").groupBy("mode", "node").agg(F.min("s").alias("s"), F.min("was").alias("was"))
         return cut(best.select("mode", "node", "s.distance", "s.before", F.coalesce(F.col("s.distance") < F.col("was"), F.lit(True)).alias("fresh")))
 
     while True:

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from netaccess.operators import network, places, relate, shapes, spatial
+from netaccess.operators.lineage import dealt
 
 
 def walked(rows, radius):
@@ -77,3 +78,21 @@ def test_a_way_that_leaves_its_polygon(spark):
     sides = spatial.ring_edges(spark.createDataFrame([("p", [(-5.0, -5.0), (25.0, -5.0), (25.0, 5.0), (-5.0, 5.0)])], "name string, ring array<struct<x: double, y: double>>"))
     got = network.leaving(legs.withColumn("name", F.lit("p")), shapes.inside_parts(lines, sides)).collect()
     assert {r["node"]: (r["legs"], r["crosses"], r["first_leg"]) for r in got} == {"n4": (4, True, 3), "n2": (2, False, None), "n3": (1, True, 1)}
+
+
+def test_edges_stay_where_they_are_dealt(spark):
+    edges = dealt(spark.range(1000).selectExpr("'m' AS mode", "id % 97 AS a", "id AS b"), 3, "mode", "a")
+    assert edges.rdd.getNumPartitions() == 3 and spark.conf.get("spark.sql.adaptive.enabled") == "true"
+    front = spark.range(200).selectExpr("'m' AS mode", "id AS node")
+    plan = front.join(edges.hint("merge"), (front.mode == edges.mode) & (front.node == edges.a))._jdf.queryExecution().executedPlan().toString()
+    # the front alone is shuffled
+    assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_splice_is_dealt_to_all_cores(spark):
+    edges = spark.range(40).selectExpr("id AS edge_id", "id AS u", "id + 1 AS v", "10.0D AS cost_m")
+    snaps = spark.range(200).selectExpr("'m' AS mode", "concat('m:', id) AS point_id", "id % 40 AS edge_id", "(id div 40) / 4.0D AS fraction", "1.0D AS connector_m")
+    got = network.splice(edges, snaps)
+    assert got.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    # five sources an edge: one at each end, three between; and both ends
+    assert got.count() == 40 * 7 and got.select("node").distinct().count() == 41 + 40 * 3
