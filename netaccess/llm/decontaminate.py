@@ -28,6 +28,8 @@ from __future__ import annotations
 import re
 import string
 from collections.abc import Iterator
+from itertools import compress, filterfalse, repeat
+from operator import methodcaller
 
 import numpy as np
 import pandas as pd
@@ -50,13 +52,13 @@ RAREST = 0.8
 HELD = 0.5
 #: Least cosine of a candidate; least share of an item's words in common order, alone or with the answer.
 COSINE, ALONE, WITH_ANSWER, ANSWER = 0.3, 0.75, 0.6, 0.75
-#: Tokens whose numbers a worker keeps.
-KNOWN = 600_000
 #: Items with fewer words are found as whole sequences of words only.
 LEAST_WORDS = 5
 #: Words (followed by a colon) that an item's answer comes after.
 ANSWERS = re.compile(r"(?:\banswer|\bsolution|\ba)\s*:", re.IGNORECASE)
 _MARKS = string.punctuation + "«»“”„‘’…–—"
+#: A token without the marks around it.
+_BARE = methodcaller("strip", _MARKS)
 
 
 def item_words(text: str | None) -> list[str]:
@@ -72,28 +74,29 @@ def answer_length(text: str) -> int:
     return min(n, max(3, k if 0 < k < n else -(-n // 4)))
 
 
-class Vocabulary(dict):
+class Vocabulary:
     """Number of a token, from 2 on; 1 for a word that the benchmark doesn't have, 0 for padding and marks alone.
 
-    Keeps what it knows of short tokens, ``KNOWN`` at most.
+    Only the benchmark's words are held: looking a token up anew costs less than a table of all tokens, which outgrows the caches.
     """
 
     def __init__(self, words: list[str]):
-        super().__init__()
-        self.base = {w: i + 2 for i, w in enumerate(words)}
-
-    def __missing__(self, token: str) -> int:
-        if len(self) > KNOWN:
-            self.clear()
-        word = token.strip(_MARKS)
-        n = self.base.get(word, 1) if word else 0
-        if len(token) <= 60:
-            self[token] = n
-        return n
+        self.base = {w: i + 2 for i, w in enumerate(words)} | {"": 0}
 
     def numbers(self, text: str | None) -> np.ndarray:
         tokens = (text or "").lower().split()
-        return np.fromiter(map(self.__getitem__, tokens), dtype=np.int32, count=len(tokens))
+        n = np.fromiter(map(self.base.get, tokens, repeat(1)), dtype=np.int32, count=len(tokens))
+        # letters and digits alone have no marks around them
+        marked = ~np.fromiter(map(str.isalnum, tokens), dtype=bool, count=len(tokens))
+        n[marked] = np.fromiter(map(self.base.get, map(_BARE, compress(tokens, marked.tolist())), repeat(1)), dtype=np.int32)
+        return n
+
+    def held(self, text: str | None) -> list[int]:
+        """The numbers of the benchmark's words that a text has, once each."""
+        tokens = set((text or "").lower().split())
+        found = self.base.keys() & tokens
+        found |= self.base.keys() & set(map(_BARE, filterfalse(str.isalnum, tokens)))
+        return [self.base[w] for w in found if w]
 
 
 def common_subsequence(a: list[int], b: list[int]) -> int:
@@ -122,18 +125,14 @@ def item_passages(items: list[list[int]]) -> list[tuple[int, list[int]]]:
 
 
 def document_frequencies(docs: DataFrame, words: list[str]) -> tuple[np.ndarray, int]:
-    """(documents that hold each word, documents with text), over all documents."""
+    """(documents that hold each of the words, from the third place on; documents with text), over all documents."""
     size = len(words) + 2
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         vocabulary, df, n = Vocabulary(words), np.zeros(size, dtype=np.int64), 0
         for pdf in batches:
             for t in pdf["t"]:
-                x = vocabulary.numbers(t)
-                if len(x) * 20 > size:
-                    df += np.bincount(x, minlength=size) > 0
-                else:
-                    df[np.unique(x)] += 1
+                df[vocabulary.held(t)] += 1
                 n += 1
         df[0] = n
         at = np.flatnonzero(df)

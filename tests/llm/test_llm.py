@@ -998,3 +998,11 @@ def test_contract_columns(spark):
         assert sorted(r["doc_id"] for r in rows) == sorted(docs)
         if name == "op7_secrets":
             assert all(r["base_sha256"] == hashlib.sha256(secrets.digest(brute_spans(docs[r["doc_id"]])).encode()).hexdigest() for r in rows)
+
+
+def test_vocabulary_holds_no_more_than_the_benchmark():
+    v = decontaminate.Vocabulary(["don't", "été", "x1"])
+    text = "«Été», don't -- x1! X1 'don't' x-1 ²x1 " + " ".join(f"w{i}," for i in range(500))
+    assert v.numbers(text)[:9].tolist() == [3, 2, 0, 4, 4, 2, 1, 1, 1] and sorted(v.held(text)) == [2, 3, 4]
+    assert len(v.numbers(None)) == 0 and v.held("-- ?") == []
+    assert set(v.base) == {"don't", "été", "x1", ""}
