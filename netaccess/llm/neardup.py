@@ -36,6 +36,8 @@ CHUNKS, PLACES, DISTANCE = 8, 4, 15
 SMALL, LEADERS = 8, 3
 #: Classes, and hashes in their sets, of a block of a large key (one class at least).
 BLOCK, BLOCK_HASHES = 512, 500_000
+#: Nodes whose links a task joins at a time, before any are shuffled.
+JOINED = 200_000
 #: Bits of the filter of ids for each id in it, and at most (32 MB are broadcast): beyond it the filter lets more
 #: rows through, and the join after it, which decides, reads more.
 FILTER_BITS, FILTER_MOST = 16, 2**28
@@ -143,6 +145,33 @@ def _distance(a: str, b: str):
     return reduce(lambda x, y: x + y, terms)
 
 
+def stars(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Links (u, v) that join the same nodes as those of the batches: each node with the smallest one that it is joined to there.
+
+    Long ways within a task become one step, so components are found in fewer rounds. A task holds about JOINED nodes at a time.
+    """
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while root.setdefault(x, x) != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    def found() -> pd.DataFrame:
+        ends = [(x, find(x)) for x in list(root)]
+        led = {r for x, r in ends if x != r}
+        return pd.DataFrame([(x, r) for x, r in ends if x != r or x not in led], columns=["u", "v"]).astype("int64")
+
+    for pdf in batches:
+        for u, v in zip(pdf["u"].tolist(), pdf["v"].tolist(), strict=True):
+            a, b = find(u), find(v)
+            root[max(a, b)] = min(a, b)
+        if len(root) > JOINED:
+            yield found()
+            root.clear()
+    yield found()
+
+
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, comp) for every node of the edges (u, v): comp is the smallest node reachable.
 
@@ -168,9 +197,12 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def merged(labels: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
-    """Labels (node, comp) after the links (u, v) between nodes."""
+    """Labels (node, comp) after the links (u, v) between nodes, a written table; no plan is run where there are none."""
+    if not links.limit(1).count():
+        scratch.drop(links)
+        return labels
     name = labels.toDF("x", "c")
-    edges = links.join(name.toDF("u", "cu"), "u").join(name.toDF("v", "cv"), "v").where("cu <> cv").select(F.col("cu").alias("u"), F.col("cv").alias("v"))
+    edges = links.mapInPandas(stars, "u long, v long").join(name.toDF("u", "cu"), "u").join(name.toDF("v", "cv"), "v").where("cu <> cv").select(F.col("cu").alias("u"), F.col("cv").alias("v"))
     found = components(edges, scratch)
     out = scratch.keep(labels.join(found.toDF("comp", "to"), "comp", "left").select("node", F.coalesce("to", "comp").alias("comp")))
     scratch.drop(labels, found, links)

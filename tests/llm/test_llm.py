@@ -5,6 +5,7 @@ from collections import Counter
 from itertools import permutations
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -1006,3 +1007,22 @@ def test_vocabulary_holds_no_more_than_the_benchmark():
     assert v.numbers(text)[:9].tolist() == [3, 2, 0, 4, 4, 2, 1, 1, 1] and sorted(v.held(text)) == [2, 3, 4]
     assert len(v.numbers(None)) == 0 and v.held("-- ?") == []
     assert set(v.base) == {"don't", "été", "x1", ""}
+
+
+def test_links_are_joined_in_their_tasks_and_no_links_run_no_plan(spark):
+    scratch = neardup.Scratch(spark)
+    ends = [(i, i + 1) for i in range(0, 300)] + [(1000, 1001), (7, 7)]
+    random.Random(5).shuffle(ends)
+    nodes = sorted({x for e in ends for x in e} | {5000})
+    labels = scratch.keep(spark.createDataFrame([(x, x) for x in nodes], "node long, comp long"))
+    none = scratch.keep(spark.createDataFrame([], "u long, v long"))
+    before = scratch.n
+    assert neardup.merged(labels, none, scratch) is labels and scratch.n == before
+    links = scratch.keep(spark.createDataFrame(ends, "u long, v long").coalesce(1))
+    before = scratch.n
+    got = {r["node"]: r["comp"] for r in neardup.merged(labels, links, scratch).collect()}
+    assert got == {x: 0 if x <= 300 else 1000 if x <= 1001 else x for x in nodes}
+    assert scratch.n - before <= 5  # 12 without joining them first
+    scratch.close()
+    one = pd.concat(list(neardup.stars(iter([pd.DataFrame({"u": [3, 9, 4], "v": [9, 4, 1]}), pd.DataFrame({"u": [8], "v": [8]})]))))
+    assert sorted(map(tuple, one.values.tolist())) == [(3, 1), (4, 1), (8, 8), (9, 1)]
