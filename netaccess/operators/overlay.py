@@ -184,10 +184,47 @@ def outline(faces: DataFrame, inside=covered) -> DataFrame:
     return faces.where(l != r).select("layer", *turn)
 
 
+#: Polygons of up to so many sides are looked at side by side for being convex.
+CONVEX_SIDES = 16
+
+
+def _convex(sides: DataFrame) -> DataFrame:
+    """(layer, name, sides, convex) of polygons with few sides: convex if all corners but a side's own ends lie strictly on one side of it, the same ``left`` or right.
+
+    As many corners as sides, all of them on the hull: that is one ring without a crossing, so it needs no cutting.
+    """
+    n = F.count("*").over(Window.partitionBy("layer", "name"))
+    few = sides.withColumn("n", n).where(F.col("n") <= CONVEX_SIDES).groupBy("layer", "name").agg(F.collect_list(F.struct(*ENDS)).alias("sides"))
+    point = lambda q, i: F.struct(q["x" + i].alias("x"), q["y" + i].alias("y"))
+    corners = F.array_distinct(F.concat(F.transform("sides", lambda q: point(q, "1")), F.transform("sides", lambda q: point(q, "2"))))
+    few = few.withColumn("corners", corners)
+
+    def beyond(q: Column, turn: int) -> Column:
+        dx, dy = (q["x2"] - q["x1"]) * turn, (q["y2"] - q["y1"]) * turn
+        tol = 4 * 10.0**-GRID * F.sqrt(dx * dx + dy * dy)
+        end = lambda c: ((c["x"] == q["x1"]) & (c["y"] == q["y1"])) | ((c["x"] == q["x2"]) & (c["y"] == q["y2"]))
+        return F.forall("corners", lambda c: end(c) | (dx * (c["y"] - q["y1"]) - dy * (c["x"] - q["x1"]) > tol))
+
+    seen = F.transform("sides", lambda q: F.struct(*[q[c].alias(c) for c in ENDS], beyond(q, 1).alias("left"), beyond(q, -1).alias("right")))
+    fits = (F.size("corners") == F.size("sides")) & (F.size(F.array_distinct("sides")) == F.size("sides")) & (F.size("sides") > 2)
+    seen = few.select("layer", "name", seen.alias("sides"), fits.alias("fits"))
+    return seen.select("layer", "name", "sides", (F.col("fits") & F.forall("sides", lambda q: q["left"] | q["right"])).alias("convex"))
+
+
 def oriented(sides: DataFrame) -> DataFrame:
-    """(layer, name, x1, y1, x2, y2): each polygon's own outline, its inside on the left of every side. Polygons don't meet each other here."""
-    alone = sides.select(F.struct("layer", "name").alias("layer"), F.lit("").alias("name"), *ENDS)
-    return outline(faces(alone)).select("layer.layer", "layer.name", *ENDS)
+    """(layer, name, x1, y1, x2, y2): each polygon's own outline, its inside on the left of every side. Polygons don't meet each other here.
+
+    Convex polygons are turned as they are; what is left is cut where it meets itself.
+    """
+    rows = _upward(sides)
+    few = cut(_convex(rows))
+    turn = [F.when(F.col("q.left"), F.col("q." + a)).otherwise(F.col("q." + b)).alias(a) for a, b in zip(ENDS, ["x2", "y2", "x1", "y1"], strict=True)]
+    done = few.where("convex").select("layer", "name", F.explode("sides").alias("q")).select("layer", "name", *turn)
+    rest = rows.join(few.where("convex").select("layer", "name"), ["layer", "name"], "left_anti").select(F.struct("layer", "name").alias("layer"), F.lit("").alias("name"), *ENDS)
+    rest = cut(rest)
+    if rest.isEmpty():
+        return done
+    return done.unionByName(outline(faces(rest)).select("layer.layer", "layer.name", *ENDS))
 
 
 def outline_areas(outlines: DataFrame) -> DataFrame:
@@ -195,12 +232,9 @@ def outline_areas(outlines: DataFrame) -> DataFrame:
     return outlines.groupBy("layer", "name").agg(F.sum(_green()).alias("area"))
 
 
-#: Part of a side at which a ray leaves it: far from any simple fraction, where sides tend to meet.
-ANCHOR = 0.381966011250105
-
-
-def _anchor(p: str) -> tuple[Column, Column]:
-    return F.col(p + "x1") + ANCHOR * (F.col(p + "x2") - F.col(p + "x1")), F.col(p + "y1") + ANCHOR * (F.col(p + "y2") - F.col(p + "y1"))
+#: Part of a stretch of a side, and of a grid cell's width and height, at which polygons are counted: far from any simple fraction, where sides tend to meet, and
+#: from each other, so that sides at simple angles don't pass there.
+ANCHOR, PLACE_X, PLACE_Y = 0.381966011250105, 0.732050807568877, 0.414213562373095
 
 
 def _leftward(p: str, x: Column, y: Column) -> Column:
@@ -212,12 +246,12 @@ def _square(p: str) -> Column:
     return (F.col(p + "x2") - F.col(p + "x1")) ** 2 + (F.col(p + "y2") - F.col(p + "y1")) ** 2
 
 
-def _changes(names: list[str], size: float, tol: float):
-    """What a side (p) that meets another (q) in a grid cell sees change there, for batches of pairs: nothing, one change, or two where one lies on the other.
+def _changes(names: list[str], tol: float):
+    """What a side (p) that meets another (q) sees change between the places kin and kout, where it passes a grid cell, for batches of pairs: nothing, one change, or two where one lies on the other.
 
-    Changes: the place k along the side and its point; ``same``, how many sides of smaller id lie on it; for each number of polygons ``_l``, on the left,
-    ``_w``, the side's own difference of left and right, and ``_b``, what that means for its first piece when the anchor's number is known.
-    Arrays, as one expression for all this is more than the virtual machine compiles.
+    Changes: the place k along the side and its point; ``inner``, that it only is the cell's border; ``same``, how many sides that precede it lie on it; for each
+    number of polygons ``_l``, on the left, ``_w``, the side's own difference of left and right, and ``_b``, what that means for the first piece of its stretch when
+    the number at the stretch's anchor, ka, is known. Arrays, as one expression for all this is more than the virtual machine compiles.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -226,6 +260,7 @@ def _changes(names: list[str], size: float, tol: float):
             (px1, py1, px2, py2), (qx1, qy1, qx2, qy2) = ([v[p + c] for c in ENDS] for p in "pq")
             dx, dy, ex, ey = px2 - px1, py2 - py1, qx2 - qx1, qy2 - qy1
             pp, qq = dx * dx + dy * dy, ex * ex + ey * ey
+            kin, kout, ka = v["kin"], v["kout"], v["ka"]
 
             def on(ax, ay, bx, by, square, x, y):
                 """Place of a point along a side, or nan where it lies off; and by how much it lies on the left."""
@@ -251,91 +286,159 @@ def _changes(names: list[str], size: float, tol: float):
             det = bx * fy - by * fx
             t = ((cx - ax) * fy - (cy - ay) * fx) / np.where(det == 0, np.nan, det)
             x, y = np.where(cross, np.round(ax + t * bx, GRID), xs[low, each]), np.where(cross, np.round(ay + t * by, GRID), ys[low, each])
-            # two sides meet in each cell that both pass; the one that holds the point counts
-            here = (np.floor(x / size) == v["gx"]) & (np.floor(y / size) == v["gy"])
+            place = ((x - px1) * dx + (y - py1) * dy) / pp
+            # two sides meet in each cell that both pass; the one in which this side holds the point counts
+            here = ((kin <= 0) | (place >= kin)) & ((kout >= 1) | (place < kout)) & (leaves | comes | cross)
             turns = np.where(leaves | (cross & (c2 > 0)), -1, np.where(comes | cross, 1, 0))
-            aside = ex * (py1 + ANCHOR * (py2 - py1) - qy1) - ey * (px1 + ANCHOR * (px2 - px1) - qx1)
+            aside = ex * (py1 + ka * dy - qy1) - ey * (px1 + ka * dx - qx1)
+            early = np.where(cross, np.sign(aside) != np.sign(d1), place < ka)
             same, level = np.where(dx * ex + dy * ey > 0, 1, -1), dy == 0
-            for chosen, point_x, point_y, along in ((here & (leaves | comes | cross | apart), x, y, np.where(apart, 1, 0)), (here & apart, xs[high, each], ys[high, each], np.where(apart, -1, 0))):
-                place = ((point_x - px1) * dx + (point_y - py1) * dy) / pp
-                early = np.where(cross, np.sign(aside) != np.sign(d1), place < ANCHOR)
-                out = {"id": v["id"], "k": place, "x": point_x, "y": point_y, "same": np.where(v["other"] < v["id"], along, 0)}
+            # of a stretch in common each cell has its own part
+            begin, stop = np.fmax(lo, kin), np.fmin(hi, kout)
+            shared = apart & (begin < stop)
+            nothing = np.zeros(len(rows), int)
+            for chosen, at, point, inner, before, along, moves in (
+                (here, place, (x, y), nothing, early, nothing, turns),
+                (shared, begin, (xs[low, each], ys[low, each]), (begin > lo) & (begin > 0), begin < ka, nothing + 1, nothing),
+                (shared, stop, (xs[high, each], ys[high, each]), (stop < hi) & (stop < 1), stop < ka, nothing - 1, nothing),
+            ):
+                out = {"pid": v["pid"], "k": np.clip(at, 0.0, 1.0), "x": point[0], "y": point[1], "inner": np.asarray(inner, int), "same": np.where(v["precedes"], along, 0)}
                 for c in names:
-                    moved, own = v[c] * turns, v[c] * along * same
-                    out |= {c + "_l": moved, c + "_w": own, c + "_b": np.where(early, np.where(level, 0, own) - moved, 0)}
+                    moved, own = v[c] * moves, v[c] * along * same
+                    out |= {c + "_l": moved, c + "_w": own, c + "_b": np.where(before, np.where(level, 0, own) - moved, 0)}
                 yield pd.DataFrame({n: a[chosen] for n, a in out.items()})
 
     return run
 
 
-def depths(outlines: DataFrame, marked: Column | None = None) -> DataFrame:
+def _ground(each: DataFrame, w: list[str], size: float, margin: float, deep: int | None) -> DataFrame:
+    """(layer, gx, gy, base of each number, covered): the grid cells that sides pass, with how many polygons lie at ``PLACE_X``, ``PLACE_Y`` of the cell.
+
+    Where a row of cells is passed at that height, the sides that cross it change the number; so it is a running sum over the row. Cells that ``deep``
+    or more polygons cover whole are left out, as nothing less than ``deep`` is found in there, or ``covered`` if a marked polygon's side passes.
+    A polygon covers whole what lies between the cells of a row that its sides pass, if it is inside there.
+    """
+    ry, rx = (F.col("gy") + PLACE_Y) * size, (F.col("gx") + PLACE_X) * size
+    x = F.col("x1") + (ry - F.col("y1")) * (F.col("x2") - F.col("x1")) / F.when(F.col("y1") != F.col("y2"), F.col("y2") - F.col("y1"))
+    here = ((F.col("y1") > ry) != (F.col("y2") > ry)) & (F.floor(x / size) == F.col("gx"))
+    number = lambda on, c, alias: F.sum(F.when(on, -F.col(c)).otherwise(0)).alias(alias)
+    # dealt by polygons, so all that follows up to the sums of cells stays where it is
+    tiles = cells_crossed(each.repartition("layer", "name"), size, margin)
+    marks = F.max(F.col("marked") != 0) if "marked" in w else F.max(F.lit(False))
+    per = tiles.groupBy("layer", "name", "gy", "gx").agg(*[number(here, c, c + "_all") for c in w], *[number(here & (x < rx), c, c + "_part") for c in w], marks.alias("marks"))
+    row = Window.partitionBy("layer", "name", "gy").orderBy("gx")
+    per = per.withColumn("inside", F.sum("n_all").over(row)).withColumn("next", F.lead("gx").over(row))
+    sums = [c + e for c in w for e in ("_all", "_part")]
+    own = F.struct(F.col("gx"), *[F.col(c) for c in sums], F.col("marks"), F.lit(True).alias("passed"), F.lit(0).cast("long").alias("full"))
+    edge = lambda at, by: F.struct(at.alias("gx"), *[F.lit(0).cast("long").alias(c) for c in sums], F.lit(False).alias("marks"), F.lit(False).alias("passed"), by.cast("long").alias("full"))
+    gap = F.when((F.col("next") > F.col("gx") + 1) & (F.col("inside") > 0), F.array(edge(F.col("gx") + 1, F.lit(1)), edge(F.col("next"), F.lit(-1))))
+    found = per.select("layer", "gy", F.inline(F.concat(F.array(own), F.coalesce(gap, F.array().cast(f"array<struct<gx:bigint,{','.join(c + ':bigint' for c in sums)},marks:boolean,passed:boolean,full:bigint>>")))))
+    cells = found.groupBy("layer", "gy", "gx").agg(*[F.sum(c).alias(c) for c in sums], F.max("marks").alias("marks"), F.max("passed").alias("passed"), F.sum("full").alias("full"))
+    line = Window.partitionBy("layer", "gy").orderBy("gx").rowsBetween(Window.unboundedPreceding, 0)
+    base = [(F.sum(c + "_all").over(line) - F.col(c + "_all") + F.col(c + "_part")).alias(c + "_base") for c in w]
+    cells = cells.select("layer", "gx", "gy", *base, "marks", "passed", F.sum("full").over(line).alias("full")).where("passed")
+    covered = F.lit(False) if deep is None else F.col("full") >= deep
+    return cells.withColumn("covered", covered).where("marks OR NOT covered").select("layer", "gx", "gy", *[c + "_base" for c in w], "covered")
+
+
+def depths(outlines: DataFrame, marked: Column | None = None, deep: int | None = None) -> DataFrame:
     """(layer, x1, y1, x2, y2, left, right): pieces of ``oriented`` outlines with how many polygons lie on either side.
 
     left and right are structs of n, the number of polygons, and marked, that of those for which the condition ``marked`` on layer and name
     holds. What these numbers decide (unions, differences, what is covered how often) needs no names, so a piece stays a short row however many
-    polygons lie around it. Along a side the number on its left changes only where another side leaves or reaches it there, by that side's own
-    difference of left and right; the number at one place, ``ANCHOR``, comes from a ray. So sides meet in cells once, their changes are summed
-    along each side, and the rays, one a side, meet sides in row bands.
+    polygons lie around it. With ``deep`` only pieces that have less than so many polygons on a side, or where marked changes, are found, and work is left out
+    where ``deep`` polygons cover everything: it follows what lies open, not the pairs of polygons.
+
+    Sides meet in grid cells. Along a side the number on its left changes only where another side leaves or reaches it there, by that side's own
+    difference of left and right; these changes are summed along each stretch of cells. The number at one place of the stretch is that of its cell
+    (``_ground``), changed by the sides that lie between.
     """
     w = ["n"] if marked is None else ["n", "marked"]
     swap = (F.col("y1") > F.col("y2")) | ((F.col("y1") == F.col("y2")) & (F.col("x1") > F.col("x2")))
     turned = [F.when(swap, F.col(b)).otherwise(F.col(a)).alias(a) for a, b in zip(ENDS, ["x2", "y2", "x1", "y1"], strict=True)]
     sign = F.when(swap, -1).otherwise(1)
-    each = outlines.select("layer", *turned, sign.alias("n"), *([] if marked is None else [F.when(marked, sign).otherwise(0).alias("marked")]))
+    each = outlines.select("layer", "name", *turned, sign.alias("n"), *([] if marked is None else [F.when(marked, sign).otherwise(0).alias("marked")]))
     # sides in one place stand for one; where as many polygons lie left of it as right, nothing changes
     whole = each.groupBy("layer", *ENDS).agg(*[F.sum(c).cast("int").alias(c) for c in w]).where(" OR ".join(f"{c} <> 0" for c in w))
     whole = cut(whole.withColumn("id", F.xxhash64("layer", *ENDS)))
-    size, tol = _spacing(whole), 0.5 * 10.0**-GRID
+    tol, margin = 0.5 * 10.0**-GRID, 2 * 10.0**-GRID
+    size = max(_spacing(whole) / 2, 10 * margin)  # so that cells lie whole in polygons of the usual size
     own = lambda p: [F.col(c).alias(p + c) for c in ENDS]
     px1, py1, px2, py2, qx1, qy1, qx2, qy2 = (F.col(p + c) for p in "pq" for c in ENDS)
-    mx, my = _anchor("p")
-    aside = _leftward("q", mx, my)  # of the anchor; rays and changes ask the same, so they agree
-    level = py1 == py2
-
-    tiles = cells_crossed(whole, size, 10.0**-GRID)
     keys = ["layer", "gx", "gy"]
-    met = tiles.select(*keys, "id", *own("p")).join(tiles.select(*keys, F.col("id").alias("other"), *own("q"), *w), keys).where(F.col("id") != F.col("other"))
+    ground = written(_ground(each, w, size, margin, deep))
+    tiles = cells_crossed(whole, size, margin).join(ground.select(*keys, "covered"), keys)
+
+    # the part of a side, from kin to kout, in each cell
+    def span(c: str, g: str) -> tuple[Column, Column]:
+        a, d = F.col(c + "1"), F.col(c + "2") - F.col(c + "1")
+        ks = [((F.col(g) + i) * size - a) / F.when(d != 0, d) for i in (0, 1)]
+        still = F.when(F.floor(a / size) == F.col(g), 0.0).otherwise(2.0)
+        return F.coalesce(F.least(*ks), still), F.coalesce(F.greatest(*ks), F.lit(2.0))
+
+    (xlo, xhi), (ylo, yhi) = span("x", "gx"), span("y", "gy")
+    tiles = cut(tiles.withColumn("kin", F.greatest(xlo, ylo, F.lit(0.0))).withColumn("kout", F.least(xhi, yhi, F.lit(1.0))))
+    # stretches: parts that follow each other
+    side = Window.partitionBy("id").orderBy("kin")
+    stretch = Window.partitionBy("id", "part")
+    parts = tiles.where("kin < kout")
+    if marked is not None:  # what changes in a covered cell changes along marked sides
+        parts = parts.where("marked <> 0 OR NOT covered")
+    parts = parts.withColumn("new", F.coalesce(F.lag("kout").over(side) != F.col("kin"), F.lit(True)).cast("int")).withColumn("part", F.sum("new").over(side.rowsBetween(Window.unboundedPreceding, 0)))
+    parts = parts.withColumn("k0", F.min("kin").over(stretch)).withColumn("k1", F.max("kout").over(stretch)).withColumn("widest", F.max(F.struct(F.col("kout") - F.col("kin"), "kin", "kout")).over(stretch))
+    parts = parts.withColumn("ka", F.col("widest.kin") + ANCHOR * (F.col("widest.kout") - F.col("widest.kin"))).withColumn("anchored", F.col("widest.kin") == F.col("kin")).withColumn("pid", F.xxhash64("id", "part"))
+    parts = cut(parts.drop("new", "part", "widest", "covered"))
+    other = tiles.select(*keys, F.col("id").alias("other"), *own("q"), *w)
+
+    mine = parts.select(*keys, "pid", "id", "kin", "kout", "ka", *own("p"), *([] if marked is None else [(F.col("marked") != 0).alias("mark")]))
+    met = mine.join(other, keys).where(F.col("id") != F.col("other"))
+    # of sides that lie on each other one gives the piece: a marked one if there is any
+    precedes = F.col("other") < F.col("id")
+    if marked is not None:
+        precedes = F.when(F.col("mark") == (F.col("marked") != 0), precedes).otherwise(~F.col("mark"))
     near = (qy1 <= py2 + tol) & (py1 <= qy2 + tol) & (F.least(qx1, qx2) <= F.greatest(px1, px2) + tol) & (F.least(px1, px2) <= F.greatest(qx1, qx2) + tol)
-
     # neither side's ends lie both beyond the other's line; what is left meets, and that alone is worked out
     c, e, r, f = ((_leftward("p", qx1, qy1), _leftward("p", qx2, qy2)), (_leftward("q", px1, py1), _leftward("q", px2, py2)), 2 * tol * F.sqrt(_square("p")), 2 * tol * F.sqrt(_square("q")))
     near = near & (F.least(*c) <= r) & (F.greatest(*c) >= -r) & (F.least(*e) <= f) & (F.greatest(*e) >= -f)
-    met = met.where(near).select("id", "other", "gx", "gy", *["p" + c for c in ENDS], *["q" + c for c in ENDS], *w)
+    met = met.where(near).select("pid", "id", "other", precedes.alias("precedes"), "kin", "kout", "ka", *["p" + c for c in ENDS], *["q" + c for c in ENDS], *w)
     of_each = ", ".join(f"{c}_l int, {c}_w int, {c}_b int" for c in w)
-    events = met.mapInPandas(_changes(w, size, tol), f"id long, k double, x double, y double, same int, {of_each}")
+    events = met.mapInPandas(_changes(w, tol), f"pid long, k double, x double, y double, inner int, same int, {of_each}")
+
+    # from the cell's place to the anchor, by two ways along the axes that end on the right of the side, or above a level one
+    mx, my = px1 + F.col("ka") * (px2 - px1), py1 + F.col("ka") * (py2 - py1)
+    rx, ry = (F.col("gx") + PLACE_X) * size, (F.col("gy") + PLACE_Y) * size
+    ex, ey, aside = qx2 - qx1, qy2 - qy1, _leftward("q", mx, my)  # rays and changes ask the same of the anchor, so they agree
+    det = (px2 - px1) * ey - (py2 - py1) * ex
+    upon = (aside * aside <= tol * tol * _square("q")) & (det * det <= 400 * tol * tol * F.greatest(_square("p"), _square("q")))
+    y_at, x_at = lambda x: qy1 + (x - qx1) * ey / F.when(ex != 0, ex), lambda y: qx1 + (y - qy1) * ex / F.when(ey != 0, ey)
+    less = lambda a, b: a.cast("int") - b.cast("int")
+    over, along = F.signum(ex).cast("int"), lambda a, b, x: (a > x) != (b > x)
+    upward = lambda x, top: F.when(along(qx1, qx2, x), over * less(top, y_at(x) <= ry)).otherwise(0)
+    rightward = lambda y, far: F.when(along(qy1, qy2, y), -less(far, x_at(y) < rx)).otherwise(0)
+    level = py1 == py2
+    way = F.when(level, rightward(ry, x_at(ry) < mx) + upward(mx, upon | (aside * over > 0))).otherwise(upward(rx, y_at(rx) <= my) + rightward(my, upon | (aside < 0)))
+    anchors = parts.where("anchored").join(ground.drop("covered"), keys).select(*keys, "pid", "ka", *own("p"), *[c + "_base" for c in w])
+    seen = anchors.join(other, keys).withColumn("way", way).where("way <> 0").groupBy("pid").agg(*[F.sum(F.col(c) * F.col("way")).cast("int").alias(c) for c in w])
 
     nothing = F.lit(0)
-
-    # one ray a side: to the right, or upwards from a level side
-    def rays(across: bool) -> DataFrame:
-        band = max(size / 2, 10.0**-GRID)
-        mine = whole.select("layer", "id", *own("p")).where(level if across else ~level)
-        mine = mine.withColumn("band", F.floor((mx if across else my) / band))
-        a, b, m = (qx1, qx2, mx) if across else (qy1, qy2, my)
-        rest = whole.select("layer", F.col("id").alias("other"), *own("q"), *w).where(a != b).withColumn("band", F.explode(F.sequence(F.floor(F.least(a, b) / band), F.floor(F.greatest(a, b) / band))))
-        turn = F.signum(qx2 - qx1).cast("int") if across else F.lit(-1)
-        met = mine.join(rest, ["layer", "band"]).where((F.col("id") != F.col("other")) & ((a > m) != (b > m)) & (aside * turn < 0))
-        # sides that lie on this one are its own difference
-        det = (px2 - px1) * (qy2 - qy1) - (py2 - py1) * (qx2 - qx1)
-        met = met.where(~((aside * aside <= tol * tol * _square("q")) & (det * det <= 400 * tol * tol * F.greatest(_square("p"), _square("q")))))
-        return met.groupBy("id").agg(*[F.sum(-F.col(c) * turn).cast("int").alias(c + "_b") for c in w])
-
     zero = lambda names: [nothing.alias(c) for c in names]
-    seen = rays(False).unionByName(rays(True)).select("id", F.lit(-1.0).alias("k"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), nothing.alias("same"), *[x for c in w for x in (*zero([c + "_l", c + "_w"]), F.col(c + "_b"))])
+    point = lambda k: [F.when(F.col(k) <= 0, F.col("x1")).when(F.col(k) >= 1, F.col("x2")).otherwise(F.round(F.col("x1") + F.col(k) * (F.col("x2") - F.col("x1")), GRID)).alias("x"), F.when(F.col(k) <= 0, F.col("y1")).when(F.col(k) >= 1, F.col("y2")).otherwise(F.round(F.col("y1") + F.col(k) * (F.col("y2") - F.col("y1")), GRID)).alias("y")]
     flat = F.col("y1") == F.col("y2")
-    begin = whole.select("id", F.lit(0.0).alias("k"), F.col("x1").alias("x"), F.col("y1").alias("y"), nothing.alias("same"), *[x for c in w for x in (*zero([c + "_l"]), F.col(c).alias(c + "_w"), F.when(flat, nothing).otherwise(F.col(c)).alias(c + "_b"))])
-    end = whole.select("id", F.lit(1.0).alias("k"), F.col("x2").alias("x"), F.col("y2").alias("y"), nothing.alias("same"), *[x for c in w for x in zero([c + "_l", c + "_w", c + "_b"])])
-    rows = events.unionByName(begin).unionByName(end).unionByName(seen)
-    side = Window.partitionBy("id").orderBy("k")
-    so_far, all_of_it = side.rowsBetween(Window.unboundedPreceding, 0), side.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    for c in w:
-        rows = rows.withColumn(c + "_left", F.sum(c + "_b").over(all_of_it) + F.sum(c + "_l").over(so_far)).withColumn(c + "_own", F.sum(c + "_w").over(so_far))
-    rows = rows.withColumn("others", F.sum("same").over(so_far)).withColumn("to", F.lead(F.struct("x", "y")).over(side)).where("k >= 0 AND to IS NOT NULL AND (x <> to.x OR y <> to.y)")
-    # of sides that lie on each other the first gives the piece
+    heads = parts.where("anchored").join(ground.drop("covered"), keys).join(seen.select("pid", *[F.col(c).alias(c + "_seen") for c in w]), "pid", "left")
+    first = lambda c: (F.col(c + "_base") + F.coalesce(c + "_seen", nothing)).cast("int") + F.when(flat, nothing).otherwise(F.col(c))
+    begin = heads.select("pid", F.col("k0").alias("k"), *point("k0"), nothing.alias("inner"), nothing.alias("same"), *[x for c in w for x in (*zero([c + "_l"]), F.col(c).alias(c + "_w"), first(c).alias(c + "_b"))], "layer")
+    end = parts.where("anchored").select("pid", F.col("k1").alias("k"), *point("k1"), nothing.alias("inner"), nothing.alias("same"), *[x for c in w for x in zero([c + "_l", c + "_w", c + "_b"])])
+    rows = begin.unionByName(events, allowMissingColumns=True).unionByName(end, allowMissingColumns=True)
+    # changes in one place count together
+    so_far = Window.partitionBy("pid").orderBy("k")
+    all_of_it = so_far.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = rows.select("pid", "k", "x", "y", "inner", F.max("layer").over(all_of_it).alias("layer"), F.sum("same").over(so_far).alias("others"), *[x for c in w for x in ((F.sum(c + "_b").over(all_of_it) + F.sum(c + "_l").over(so_far)).alias(c + "_left"), F.sum(c + "_w").over(so_far).alias(c + "_own"))])
+    rows = rows.where("inner = 0").withColumn("to", F.lead(F.struct("x", "y")).over(so_far)).where("to IS NOT NULL AND (x <> to.x OR y <> to.y)")
     rows = rows.where("others = 0").where(" OR ".join(f"{c}_own <> 0" for c in w))
+    if deep is not None:
+        rows = rows.where(" OR ".join([f"n_left < {deep}", f"n_left - n_own < {deep}", *(["marked_own <> 0"] if marked is not None else [])]))
     number = lambda f: F.struct(*[(f(c) if c in w else F.lit(0).cast("long")).alias(c) for c in ("n", "marked")])
-    out = rows.select("id", F.col("x").alias("x1"), F.col("y").alias("y1"), F.col("to.x").alias("x2"), F.col("to.y").alias("y2"), number(lambda c: F.col(c + "_left")).alias("left"), number(lambda c: F.col(c + "_left") - F.col(c + "_own")).alias("right"))
-    return out.join(whole.select("id", "layer"), "id").select("layer", *ENDS, "left", "right")
+    return rows.select("layer", F.col("x").alias("x1"), F.col("y").alias("y1"), F.col("to.x").alias("x2"), F.col("to.y").alias("y2"), number(lambda c: F.col(c + "_left")).alias("left"), number(lambda c: F.col(c + "_left") - F.col(c + "_own")).alias("right"))
 
 
 def pair_overlaps(outlines: DataFrame) -> DataFrame:

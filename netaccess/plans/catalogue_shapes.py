@@ -43,7 +43,7 @@ def polygon_union(spark: SparkSession, d: str) -> DataFrame:
     """Each layer's union, dissolved to rings; what one and what several of its polygons cover; and the sum of their own areas."""
     outlines = cut(overlay.oriented(diamonds(spark, d)))
     # pieces deep inside bound neither the union nor what is covered once
-    f = cut(overlay.depths(outlines).where(F.least("left.n", "right.n") < 2))
+    f = cut(overlay.depths(outlines, deep=2))
     rings = overlay.linked(overlay.outline(f, lambda n: n["n"] > 0)).groupBy("layer").agg(F.round(F.sum("area"), 4).alias("union_area"))
     once, several = (overlay.area_where(f, on).withColumnRenamed("area", c) for c, on in (("once", lambda n: n["n"] == 1), ("several", lambda n: n["n"] > 1)))
     own = overlay.outline_areas(outlines).groupBy("layer").agg(F.round(F.sum("area"), 4).alias("single_areas"))
@@ -58,7 +58,7 @@ def polygon_difference(spark: SparkSession, d: str) -> DataFrame:
     sides = diamonds(spark, d)
     first = sides.groupBy("layer").agg(F.min(F.col("name").cast("long")).cast("string").alias("first"))
     marked = sides.join(first, "layer").withColumn("name", F.when(F.col("name") == F.col("first"), F.lit("first")).otherwise(F.col("name"))).drop("first")
-    pieces = overlay.depths(overlay.oriented(marked), F.col("name") == "first")
+    pieces = overlay.depths(cut(overlay.oriented(marked)), F.col("name") == "first")
     left = overlay.area_where(pieces, lambda n: (n["n"] > 0) & (n["marked"] == 0))
     return left.select("layer", F.round("area", 4).alias("rest"))
 
