@@ -58,7 +58,7 @@ def polygon_difference(spark: SparkSession, d: str) -> DataFrame:
     sides = diamonds(spark, d)
     first = sides.groupBy("layer").agg(F.min(F.col("name").cast("long")).cast("string").alias("first"))
     marked = sides.join(first, "layer").withColumn("name", F.when(F.col("name") == F.col("first"), F.lit("first")).otherwise(F.col("name"))).drop("first")
-    pieces = overlay.depths(cut(overlay.oriented(marked)), F.col("name") == "first")
+    pieces = overlay.depths(cut(overlay.oriented(marked)), F.col("name") == "first", deep=1)
     left = overlay.area_where(pieces, lambda n: (n["n"] > 0) & (n["marked"] == 0))
     return left.select("layer", F.round("area", 4).alias("rest"))
 

@@ -58,6 +58,13 @@ def test_union_of_a_crowd_works_on_its_rim(spark, crowd, meetings):
     assert grid.max() > 200 and 0 < meetings() < 300_000
 
 
+def test_difference_of_a_crowd_works_on_its_rim(spark, crowd, meetings):
+    folder, grid, own = crowd
+    got = catalogue.QUERIES["polygon_difference"](spark, folder).collect()
+    assert [tuple(r) for r in got] == [(4, (grid > 0).sum() / 2 - own[0])]
+    assert 0 < meetings() < 300_000
+
+
 def test_deep_pieces_alone_are_left_out(spark):
     rng = random.Random(3)
     box = lambda x, y, w, h: [(x, y), (x + w, y), (x + w, y + h), (x, y + h)]
