@@ -216,7 +216,7 @@ def oriented(sides: DataFrame) -> DataFrame:
 
     Convex polygons are turned as they are; what is left is cut where it meets itself.
     """
-    rows = _upward(sides)
+    rows = cut(_upward(sides))
     few = cut(_convex(rows))
     turn = [F.when(F.col("q.left"), F.col("q." + a)).otherwise(F.col("q." + b)).alias(a) for a, b in zip(ENDS, ["x2", "y2", "x1", "y1"], strict=True)]
     done = few.where("convex").select("layer", "name", F.explode("sides").alias("q")).select("layer", "name", *turn)
